@@ -1,0 +1,44 @@
+"""Join helpers: broadcast a side only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Side tables of this domain are bounded by biology, not by evidence volume:
+# one row per gene (~6*10^4), per curated study (~50), per drug mechanism
+# pair (~10^5), per disease (~3*10^4), per intogen (gene, cancer) pair.
+# Beyond this many rows a side is joined by shuffle instead.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def fits_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """True when ``side`` has at most ``max_rows`` rows (a small counting job)."""
+    return side.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``side`` hinted for broadcast if it has at most ``max_rows`` rows, else unhinted."""
+    return F.broadcast(side) if fits_broadcast(side, max_rows) else side
+
+
+def left_join_bounded(
+    df: DataFrame,
+    side: DataFrame,
+    condition: Column,
+    eligible: Column,
+    max_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """Left join of a large ``df`` with a side table of checked size.
+
+    ``eligible`` marks the rows of ``df`` that can match at all (for example
+    "has a drug id").  A small side is broadcast and the big frame is never
+    shuffled.  A side above the bound is joined by shuffle, and only the
+    eligible rows take part in that shuffle; the rest get NULL side columns.
+    ``eligible`` must be non-null for every row (use ``isNotNull``/``eqNullSafe``).
+    """
+    if fits_broadcast(side, max_rows):
+        return df.join(F.broadcast(side), condition, "left")
+    keyed = df.where(eligible).join(side, condition, "left")
+    rest = df.where(~eligible)
+    return keyed.unionByName(rest, allowMissingColumns=True)
