@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,21 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
+    """The side, persisted, if it has at most ``max_rows`` rows; else None.
+
+    The side is persisted before it is counted so the broadcast reuses the
+    counted rows instead of computing the side a second time.  Above the
+    bound it is unpersisted again (only the partitions needed to pass the
+    bound were computed).
+    """
+    kept = side.persist(StorageLevel.MEMORY_AND_DISK)
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return kept
+    kept.unpersist()
+    return None
+
+
 def fits_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """True when ``side`` has at most ``max_rows`` rows (a small counting job)."""
     return side.limit(max_rows + 1).count() <= max_rows
@@ -19,7 +35,8 @@ def fits_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> b
 
 def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``side`` hinted for broadcast if it has at most ``max_rows`` rows, else unhinted."""
-    return F.broadcast(side) if fits_broadcast(side, max_rows) else side
+    kept = bounded_side(side, max_rows)
+    return side if kept is None else F.broadcast(kept)
 
 
 def left_join_bounded(
@@ -37,8 +54,9 @@ def left_join_bounded(
     eligible rows take part in that shuffle; the rest get NULL side columns.
     ``eligible`` must be non-null for every row (use ``isNotNull``/``eqNullSafe``).
     """
-    if fits_broadcast(side, max_rows):
-        return df.join(F.broadcast(side), condition, "left")
+    kept = bounded_side(side, max_rows)
+    if kept is not None:
+        return df.join(F.broadcast(kept), condition, "left")
     keyed = df.where(eligible).join(side, condition, "left")
     rest = df.where(~eligible)
     return keyed.unionByName(rest, allowMissingColumns=True)

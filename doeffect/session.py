@@ -21,6 +21,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doe
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans here are built from many Column calls; capturing the Python
+        # call site of each one costs several JVM round trips per call.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

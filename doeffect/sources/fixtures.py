@@ -47,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster when it has fewer splits than cores.
+
+    A Parquet row group is never split, so a small file written as one row
+    group is read by one task and every narrow step after it runs on one
+    core.  Few splits means little data (each split is at least
+    ``spark.sql.files.openCostInBytes``), so the extra shuffle is cheap; a
+    large input has many splits and is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _case(expr: Column, mapping: Mapping[int, Column | str | float | None]) -> Column:
     """CASE expr WHEN k THEN v ... END (no ELSE: unmatched keys are NULL)."""
     items = list(mapping.items())
@@ -67,7 +80,7 @@ def _arr(*items: str | None) -> Column:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evidence row per ``lineitem`` row, all sources in one wide frame."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     k0 = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
     k1 = F.floor(k0 / F.lit(10.0)).cast("bigint")
     k2 = F.floor(
@@ -135,7 +148,7 @@ def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drug mechanisms: ``chemblIds, actionType, mechanismOfAction, targets``."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 3 == 0)
+    li = spread(table(spark, sf_dir, "lineitem")).where(F.col("l_partkey") % 3 == 0)
     drug = F.concat(F.lit("C"), _str(F.col("l_suppkey") % 20))
     action = _case(
         (F.col("l_suppkey") % 20 + F.col("l_partkey") % 100) % 5,
@@ -171,7 +184,7 @@ def diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .select(
             F.concat(F.lit("D"), _str(i)).alias("id"),
             descendants.alias("descendants"),
