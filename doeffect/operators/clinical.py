@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coherence as C
@@ -11,6 +11,9 @@ from ..functions import vocab as V
 from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded
 from .matrix import count_where, subset_predicates
 
+# Internal flag: true on exactly one spine row per (target, disease) pair.
+PAIR_FLAG = "_pair_first"
+
 SPINE_COLUMNS = [
     "targetIdC",
     "datasourceIdC",
@@ -106,7 +109,8 @@ def clinical_spine(
     ``area`` is :func:`primary_area` output; a disease with tied areas gives
     one spine row per area.  Pairs whose drugs have no usable action stay in
     as ``noData``.  Side values joined by key equality are NULL for a pair
-    with a NULL key.
+    with a NULL key.  With ``keep_subsets`` the rows also carry the subset
+    cells of :func:`pair_profile` and the one-row-per-pair flag ``PAIR_FLAG``.
     """
     known = F.col(R.TARGET).isNotNull() & F.col(R.DISEASE).isNotNull()
     subset_cols = [c for c in profile.columns if c.startswith("s") and c[1:2].isdigit()]
@@ -124,7 +128,14 @@ def clinical_spine(
         *(subset_cols if keep_subsets else []),
     )
     spine = spine.withColumn("coherency_chembl", C.drug_coherence())
-    side = area.select(F.col("diseaseId").alias("_area_disease"), "taLabelSimple")
+    # Tied areas repeat a pair; flag one row per pair so distinct pairs can
+    # be counted later without a second pass over the evidence.
+    first = Window.partitionBy("diseaseId").orderBy("taLabelSimple")
+    side = area.select(
+        F.col("diseaseId").alias("_area_disease"),
+        "taLabelSimple",
+        (F.row_number().over(first) == 1).alias("_first_area"),
+    )
     spine = left_join_bounded(
         spine,
         side,
@@ -132,10 +143,13 @@ def clinical_spine(
         F.col("diseaseIdC").isNotNull(),
         max_broadcast_rows,
     ).drop("_area_disease")
-    spine = spine.withColumn(
-        "geneticEvidenceAssessment",
-        F.when(F.col("geneticEvidence").isNotNull(), F.lit("hasGenetics")).otherwise(
-            F.lit("noGenetics")
-        ),
+    spine = spine.withColumns(
+        {
+            "geneticEvidenceAssessment": F.when(
+                F.col("geneticEvidence").isNotNull(), F.lit("hasGenetics")
+            ).otherwise(F.lit("noGenetics")),
+            PAIR_FLAG: F.coalesce(F.col("_first_area"), F.lit(True)),
+        }
     )
-    return spine.select(*SPINE_COLUMNS, *(subset_cols if keep_subsets else []))
+    extra = [PAIR_FLAG, *subset_cols] if keep_subsets else []
+    return spine.select(*SPINE_COLUMNS, *extra)

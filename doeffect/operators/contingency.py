@@ -50,6 +50,7 @@ def contingency_grid(
     scored: DataFrame,
     comparisons: Sequence[tuple[str, str]] = V.COMPARISONS,
     predictions: Sequence[tuple[str, str]] = V.PREDICTIONS,
+    pair_flag: str | None = None,
 ) -> DataFrame:
     """All (subset, comparison, prediction) contingency tables in one job.
 
@@ -64,33 +65,48 @@ def contingency_grid(
     columns (partial aggregation, few distinct combinations), only then
     fanned out to the comparison x prediction grid, so the fan-out works on
     a small table; the margins are sums over that small table.
+
+    ``pair_flag`` names a boolean column that is true on exactly one scored
+    row per (subset, pair); ``total`` is then counted in the same pass.
+    Without it ``total`` is a separate distinct count over ``scored``
+    (which re-reads the scored lineage).
     """
     ccols = [c for c, _ in comparisons]
     pcols = [p for p, _ in predictions]
-    combos = scored.groupBy("dataset", *ccols, *pcols).agg(F.count(KEY).alias("_n"))
+    counted = [F.count(KEY).alias("_n")]
+    if pair_flag:
+        counted.append(F.count_if(F.col(pair_flag)).alias("_pairs"))
+    combos = scored.groupBy("dataset", *ccols, *pcols).agg(*counted)
+    carried = ["_n", "_pairs"] if pair_flag else ["_n"]
     by_comparison = combos.select(
         "dataset",
-        "_n",
+        *carried,
         *pcols,
         F.explode(_label_cells(comparisons, "comparisonColumn", "comparisonType", "comparison")).alias("_c"),
-    ).select("dataset", "_n", "_c.*", *pcols)
+    ).select("dataset", *carried, "_c.*", *pcols)
     long = by_comparison.select(
         "dataset",
-        "_n",
+        *carried,
         "comparisonColumn",
         "comparisonType",
         "comparison",
         F.explode(_label_cells(predictions, "predictionColumn", "predictionType", "prediction")).alias("_p"),
-    ).select("dataset", "_n", "comparisonColumn", "comparisonType", "comparison", "_p.*")
+    ).select("dataset", *carried, "comparisonColumn", "comparisonType", "comparison", "_p.*")
     cell = ["dataset", "comparisonColumn", "predictionColumn"]
-    counts = long.groupBy(
-        *cell, "comparisonType", "predictionType", "comparison", "prediction"
-    ).agg(F.sum("_n").alias("a"))
-    with_margins = counts.select(
-        "*",
+    sums = [F.sum("_n").alias("a")] + ([F.sum("_pairs").alias("_pairs")] if pair_flag else [])
+    counts = long.groupBy(*cell, "comparisonType", "predictionType", "comparison", "prediction").agg(*sums)
+    margins = [
         F.sum("a").over(Window.partitionBy(*cell, "prediction")).alias("predictionTotal"),
         F.sum("a").over(Window.partitionBy(*cell, "comparison")).alias("comparisonTotal"),
-    ).where(F.col("prediction").isNotNull() & F.col("comparison").isNotNull())
+    ]
+    if pair_flag:
+        # every scored row lands in exactly one value pair of each cell
+        margins.append(F.sum("_pairs").over(Window.partitionBy(*cell)).alias("total"))
+    with_margins = counts.select("*", *margins).where(
+        F.col("prediction").isNotNull() & F.col("comparison").isNotNull()
+    )
+    if pair_flag:
+        return with_margins.select(*CONTINGENCY_COLUMNS)
     # One row per subset: bounded by the number of subsets, safe to broadcast.
     totals = F.broadcast(pair_total(scored))
     return with_margins.join(totals, "dataset").select(*CONTINGENCY_COLUMNS)
@@ -102,9 +118,12 @@ def contingency(
     prediction: str,
     comparison_type: str = "byDatatype",
     prediction_type: str = "clinical",
+    pair_flag: str | None = None,
 ) -> DataFrame:
     """One comparison x one prediction, every subset."""
-    return contingency_grid(scored, [(comparison, comparison_type)], [(prediction, prediction_type)])
+    return contingency_grid(
+        scored, [(comparison, comparison_type)], [(prediction, prediction_type)], pair_flag
+    )
 
 
 def contingency_windows(

@@ -255,16 +255,17 @@ def q_pair_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_contingency_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CT.contingency(_scored(spark, sf_dir), "coherency_inter", "pro_phase3H")
+    scored = P.scored(fixture_inputs(spark, sf_dir), keep_pair_flag=True)
+    return CT.contingency(scored, "coherency_inter", "pro_phase3H", pair_flag=CL.PAIR_FLAG)
 
 
 def q_contingency_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CT.contingency_grid(_scored(spark, sf_dir))
+    return P.report(fixture_inputs(spark, sf_dir))
 
 
 def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
-    sinks.write_contingency(CT.contingency_grid(_scored(spark, sf_dir)), folder, ROUNDTRIP_RUN)
+    sinks.write_contingency(P.report(fixture_inputs(spark, sf_dir)), folder, ROUNDTRIP_RUN)
     return sinks.read_contingency(spark, folder)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.annotate import mechanism_pairs, oncogene_label
 from ..operators.assess import assess
-from ..operators.clinical import clinical_spine, pair_profile
+from ..operators.clinical import PAIR_FLAG, clinical_spine, pair_profile
 from ..operators.contingency import contingency_grid
 from ..operators.ontology import primary_area
 from ..operators.scoring import score
@@ -48,17 +48,18 @@ def spine(inputs: Inputs, keep_subsets: bool = False, evidence: DataFrame | None
     return clinical_spine(pair_profile(ev), area(inputs), keep_subsets=keep_subsets)
 
 
-def scored(inputs: Inputs, evidence: DataFrame | None = None) -> DataFrame:
-    return score(spine(inputs, keep_subsets=True, evidence=evidence))
+def scored(inputs: Inputs, evidence: DataFrame | None = None, keep_pair_flag: bool = False) -> DataFrame:
+    return score(spine(inputs, keep_subsets=True, evidence=evidence), keep_pair_flag)
 
 
 def report(inputs: Inputs, evidence: DataFrame | None = None) -> DataFrame:
-    return contingency_grid(scored(inputs, evidence))
+    """The contingency grid in one pass over the evidence."""
+    return contingency_grid(scored(inputs, evidence, keep_pair_flag=True), pair_flag=PAIR_FLAG)
 
 
 def run(spark: SparkSession, inputs: Inputs, out_path: str, run_date: str) -> DataFrame:
     """Compute the report and write it; returns the checkpointed scored table."""
     ensure_checkpoint_dir(spark)
-    scored_rows = scored(inputs).checkpoint(eager=True)
-    write_contingency(contingency_grid(scored_rows), out_path, run_date)
-    return scored_rows
+    scored_rows = scored(inputs, keep_pair_flag=True).checkpoint(eager=True)
+    write_contingency(contingency_grid(scored_rows, pair_flag=PAIR_FLAG), out_path, run_date)
+    return scored_rows.drop(PAIR_FLAG)

@@ -269,3 +269,37 @@ def test_grid_equals_cells_and_margins_hold(scored_small):
     )
     assert sums.where("s > p").count() == 0
     assert sums.where("comparisonColumn = 'hasGeneticsFromDS' AND s <> p").count() == 0
+
+
+def test_single_pass_total_equals_distinct_count(small):
+    inputs, assessed = small
+    flagged = P.scored(inputs, evidence=assessed, keep_pair_flag=True)
+    one_pass = CT.contingency_grid(flagged, pair_flag=CL.PAIR_FLAG)
+    two_pass = CT.contingency_grid(flagged.drop(CL.PAIR_FLAG))
+    assert bag(one_pass) == bag(two_pass)
+
+
+def _outside_cached(plan: str) -> list[str]:
+    """Plan lines that are not part of a cached side's own plan."""
+    kept, skip_indent = [], None
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :+-|"))
+        if skip_indent is not None and indent > skip_indent:
+            continue
+        skip_indent = None
+        if "InMemoryRelation" in line:
+            skip_indent = indent
+        kept.append(line)
+    return kept
+
+
+def test_report_shuffles_evidence_once(spark, sf_small):
+    inputs = fixture_inputs(spark, sf_small)
+    plan = P.report(inputs)._jdf.queryExecution().executedPlan().toString()
+    lines = _outside_cached(plan)
+    # the evidence is scanned once and shuffled once, by (target, disease);
+    # the side tables (consequence count, labels, mechanisms, areas) are
+    # cached relations broadcast into that single pass
+    assert sum("FileScan parquet" in x and "l_orderkey" in x for x in lines) == 1, plan
+    assert sum("Exchange hashpartitioning(targetId" in x for x in lines) == 1, plan
+    assert not any("SortMergeJoin" in x for x in lines), plan
