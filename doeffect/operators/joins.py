@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+# (semantic hash of a cached side, bound) -> it passed the check.  Only
+# consulted while the side is still cached, i.e. holds the counted rows.
+_CHECKED: dict[tuple[int, int], bool] = {}
+
+
 def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
     """The side, persisted, if it has at most ``max_rows`` rows; else None.
 
     The side is persisted before it is counted so the broadcast reuses the
     counted rows instead of computing the side a second time.  Above the
     bound it is unpersisted again (only the partitions needed to pass the
-    bound were computed).
+    bound were computed).  A side that is still cached from an earlier
+    check of the same plan is not counted again.
     """
+    key = (side.semanticHash(), max_rows)
+    already = side.storageLevel != StorageLevel.NONE
     kept = side.persist(StorageLevel.MEMORY_AND_DISK)
+    if already and _CHECKED.get(key):
+        return kept
     if kept.limit(max_rows + 1).count() <= max_rows:
+        _CHECKED[key] = True
         return kept
     kept.unpersist()
+    _CHECKED.pop(key, None)
     return None
 
 
