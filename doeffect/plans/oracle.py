@@ -440,6 +440,15 @@ ORACLE: dict[str, str] = {
   """ + _joined("clinicalSignificances") + """ AS clinicalSignificances,
   """ + _joined("consequenceIds") + """ AS consequenceIds,
   statisticalMethodOverview, drugId, clinicalPhase
+FROM unioned""",
+    ),
+    "read_evidence": _q(
+        f"unioned AS ({_UNION})",
+        select="""SELECT datasourceId AS sourceId, targetId, diseaseId, datasourceId, beta, oddsRatio,
+  variantFunctionalConsequenceId, variantFunctionalConsequenceFromQtlId,
+  """ + _joined("clinicalSignificances") + """ AS clinicalSignificances,
+  """ + _joined("consequenceIds") + """ AS consequenceIds,
+  statisticalMethodOverview, drugId, clinicalPhase
 FROM unioned""",
     ),
     "mechanism_pairs": _q(select="SELECT targetId2, drugId2, actionType, mechanismOfAction FROM mech_pairs"),

@@ -74,6 +74,36 @@ def q_union_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_source_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Write the per-source fixture as ``<root>/sourceId=<s>/`` Parquet folders
+    (each with its own columns) under the checkpoint folder; returns root."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evidence-{uuid.uuid4().hex}"
+    for source, frame in fixtures.source_frames(spark, sf_dir).items():
+        frame.write.mode("overwrite").parquet(f"{root}/sourceId={source}")
+    return root
+
+
+def q_read_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import read_evidence
+
+    ev = read_evidence(spark, write_source_folders(spark, sf_dir))
+    return ev.select(
+        "sourceId",
+        "targetId",
+        "diseaseId",
+        "datasourceId",
+        "beta",
+        "oddsRatio",
+        "variantFunctionalConsequenceId",
+        "variantFunctionalConsequenceFromQtlId",
+        _joined("clinicalSignificances").alias("clinicalSignificances"),
+        _joined("mutatedSamples.functionalConsequenceId").alias("consequenceIds"),
+        "statisticalMethodOverview",
+        "drugId",
+        "clinicalPhase",
+    )
+
+
 # --- annotations -----------------------------------------------------------
 
 
@@ -279,6 +309,7 @@ def q_contingency_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "union_aligned": q_union_aligned,
+    "read_evidence": q_read_evidence,
     "mechanism_pairs": q_mechanism_pairs,
     "action_class": q_action_class,
     "action_matrix": q_action_matrix,

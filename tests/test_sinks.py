@@ -47,3 +47,34 @@ def test_run_writes_the_grid(spark, sf_small):
     expected = P.report(inputs)
     assert bag(written.drop("run_date"), CONTINGENCY_COLUMNS) == bag(expected, CONTINGENCY_COLUMNS)
     assert scored.count() == P.scored(inputs).count()
+
+
+def test_read_annotations_csv_header_and_quotes(spark):
+    from doeffect.sources.readers import read_annotations_csv, read_study_inclusion
+
+    folder = tempfile.mkdtemp(prefix="doeffect-csv-")
+    path = os.path.join(folder, "study.csv")
+    with open(path, "w") as fh:
+        fh.write(",statisticalMethodOverview,count,comment,whatToDo\n")
+        fh.write('0,"Burden test with PTV,missense variants",3,,get\n')
+        fh.write('1,Burden test with synonymous variants,5,"a note, with comma",notGet\n')
+    raw = read_annotations_csv(spark, path)
+    assert raw.columns == ["_c0", "statisticalMethodOverview", "count", "comment", "whatToDo"]
+    assert all(t == "string" for _, t in raw.dtypes)
+    study = {r["stMethod"]: r["whatToDo"] for r in read_study_inclusion(spark, path).collect()}
+    assert study == {"Burden test with PTV,missense variants": "get",
+                     "Burden test with synonymous variants": "notGet"}
+
+
+def test_read_evidence_keeps_partition_and_prunes(spark, sf_small):
+    from doeffect.plans.registry import write_source_folders
+    from doeffect.sources.readers import read_evidence
+
+    root = write_source_folders(spark, sf_small)
+    ev = read_evidence(spark, root)
+    assert "sourceId" in ev.columns and "mutatedSamples" in ev.columns
+    only = ev.where("sourceId = 'impc'")
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    # partition filter on a literal partition column: every other branch reads nothing
+    assert only.count() == ev.where("datasourceId = 'impc'").count()
+    assert "sourceId=impc" in plan or "PartitionFilters" in plan
