@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysis this library reproduces is a batch job over a data release:
+there is no stream source, watermark, state or trigger anywhere in it, so no
+streaming operator is provided (adding one would go beyond what the analysis
+does).  A new release is processed by running :func:`doeffect.plans.run.run`
+again with a new ``run_date``; the report sink overwrites only that run's
+partitions.
+"""
