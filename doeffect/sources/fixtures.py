@@ -80,12 +80,17 @@ def _arr(*items: str | None) -> Column:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evidence row per ``lineitem`` row, all sources in one wide frame."""
-    li = spread(table(spark, sf_dir, "lineitem"))
-    k0 = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
-    k1 = F.floor(k0 / F.lit(10.0)).cast("bigint")
-    k2 = F.floor(
+    # The three hash keys are computed once per row and referenced by name.
+    k0_expr = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
+    k2_expr = F.floor(
         (F.col("l_orderkey") * 11 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 5) / F.lit(3.0)
     ).cast("bigint")
+    li = (
+        spread(table(spark, sf_dir, "lineitem"))
+        .select("*", k0_expr.alias("_k0"), k2_expr.alias("_k2"))
+        .withColumn("_k1", F.floor(F.col("_k0") / F.lit(10.0)).cast("bigint"))
+    )
+    k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
     source = _case(k0 % 10, {i: s for i, s in enumerate(V.EVIDENCE_SOURCES[:9])})
     source = source.otherwise(F.lit(V.DRUG_SOURCE))
     consequence_ids = _case(
