@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coherence as C
 from ..functions import rules as R
 from ..functions import vocab as V
-from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded
+from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded, semi_join_bounded
 from .matrix import count_where, subset_predicates
 
 # Internal flag: true on exactly one spine row per (target, disease) pair.
@@ -65,6 +65,31 @@ def evaluable_sources(assessed: DataFrame) -> DataFrame:
     )
 
 
+def drug_pairs(assessed: DataFrame) -> DataFrame:
+    """Distinct (target, disease) pairs with drug evidence: the spine keys."""
+    return (
+        assessed.where(_is_drug())
+        .select(F.col(R.TARGET).alias("_pt"), F.col(R.DISEASE).alias("_pd"))
+        .distinct()
+    )
+
+
+def restrict_to_drug_pairs(
+    assessed: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+) -> DataFrame:
+    """Evidence rows of pairs that have drug evidence (all their rows, any source).
+
+    Every value of the spine and of the scoring is an aggregate over the
+    rows of one drug pair, so rows of other pairs can be dropped before the
+    pair aggregation.  Drug pairs are few next to all evidence pairs, so the
+    key set is broadcast and the evidence is filtered map-side; NULL keys
+    match NULL keys, as grouping does.
+    """
+    pairs = drug_pairs(assessed)
+    cond = F.col(R.TARGET).eqNullSafe(F.col("_pt")) & F.col(R.DISEASE).eqNullSafe(F.col("_pd"))
+    return semi_join_bounded(assessed, pairs, cond, max_broadcast_rows)
+
+
 def subset_column(index: int, label: str) -> str:
     return f"s{index}_{label}"
 

@@ -72,3 +72,22 @@ def left_join_bounded(
     keyed = df.where(eligible).join(side, condition, "left")
     rest = df.where(~eligible)
     return keyed.unionByName(rest, allowMissingColumns=True)
+
+
+def semi_join_bounded(
+    df: DataFrame,
+    keys: DataFrame,
+    condition: Column,
+    max_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows of ``df`` that match ``keys``, when ``keys`` has a checked size.
+
+    A small key set is broadcast and the filter runs map-side, before any
+    shuffle of ``df``.  Above the bound ``df`` is returned whole: the caller
+    must give the same result for unmatched rows (a shuffle semi join would
+    move every raw row, which costs more than it saves).
+    """
+    kept = bounded_side(keys, max_rows)
+    if kept is None:
+        return df
+    return df.join(F.broadcast(kept), condition, "left_semi")

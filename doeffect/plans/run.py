@@ -3,9 +3,10 @@
 Shuffles of the whole run (see ``.explain()``):
 
 1. consequence count: intogen rows only, distinct + grouped sum;
-2. pair profile: ONE aggregation of all assessed evidence keyed by
-   (target, disease), map-side combined; every other step works on its
-   output (drug pairs only) or on small tables;
+2. pair profile: ONE aggregation of the assessed evidence keyed by
+   (target, disease), map-side combined, over the rows of drug pairs only
+   (a broadcast semi join with the drug pairs drops the rest map-side);
+   every other step works on its output or on small tables;
 3. report: the scored rows counted per label combination, then the grid.
 
 Side tables (gene labels, study list, mechanisms, disease areas) are
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.annotate import mechanism_pairs, oncogene_label
 from ..operators.assess import assess
-from ..operators.clinical import PAIR_FLAG, clinical_spine, pair_profile
+from ..operators.clinical import PAIR_FLAG, clinical_spine, pair_profile, restrict_to_drug_pairs
 from ..operators.contingency import contingency_grid
 from ..operators.ontology import primary_area
 from ..operators.scoring import score
@@ -45,7 +46,8 @@ def area(inputs: Inputs) -> DataFrame:
 
 def spine(inputs: Inputs, keep_subsets: bool = False, evidence: DataFrame | None = None) -> DataFrame:
     ev = assessed(inputs) if evidence is None else evidence
-    return clinical_spine(pair_profile(ev), area(inputs), keep_subsets=keep_subsets)
+    profile = pair_profile(restrict_to_drug_pairs(ev))
+    return clinical_spine(profile, area(inputs), keep_subsets=keep_subsets)
 
 
 def scored(inputs: Inputs, evidence: DataFrame | None = None, keep_pair_flag: bool = False) -> DataFrame:

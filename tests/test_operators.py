@@ -303,3 +303,17 @@ def test_report_shuffles_evidence_once(spark, sf_small):
     assert sum("FileScan parquet" in x and "l_orderkey" in x for x in lines) == 1, plan
     assert sum("Exchange hashpartitioning(targetId" in x for x in lines) == 1, plan
     assert not any("SortMergeJoin" in x for x in lines), plan
+
+
+def test_restrict_to_drug_pairs_keeps_all_rows_of_drug_pairs(spark):
+    rows = [
+        ("T1", "D1", "chembl"), ("T1", "D1", "eva"), ("T1", "D1", "impc"),
+        ("T2", "D1", "eva"),  # no drug evidence: dropped
+        (None, "D2", "chembl"), (None, "D2", "orphanet"),  # NULL key matches NULL key
+        ("T3", None, "eva"),
+    ]
+    df = spark.createDataFrame(rows, "targetId string, diseaseId string, datasourceId string")
+    kept = bag(CL.restrict_to_drug_pairs(df))
+    assert kept == bag(df.where("NOT (targetId <=> 'T2') AND NOT (diseaseId IS NULL)"))
+    # above the bound nothing is dropped (the aggregation gives the same spine)
+    assert len(bag(CL.restrict_to_drug_pairs(df, max_broadcast_rows=0))) == len(rows)
