@@ -75,7 +75,9 @@ def drug_pairs(assessed: DataFrame) -> DataFrame:
 
 
 def restrict_to_drug_pairs(
-    assessed: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    assessed: DataFrame,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    pairs_from: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence rows of pairs that have drug evidence (all their rows, any source).
 
@@ -83,9 +85,11 @@ def restrict_to_drug_pairs(
     rows of one drug pair, so rows of other pairs can be dropped before the
     pair aggregation.  Drug pairs are few next to all evidence pairs, so the
     key set is broadcast and the evidence is filtered map-side; NULL keys
-    match NULL keys, as grouping does.
+    match NULL keys, as grouping does.  ``pairs_from`` may be the raw
+    (unannotated) evidence: annotation keeps every row, so it has the same
+    drug pairs and they are found without the annotation joins.
     """
-    pairs = drug_pairs(assessed)
+    pairs = drug_pairs(assessed if pairs_from is None else pairs_from)
     cond = F.col(R.TARGET).eqNullSafe(F.col("_pt")) & F.col(R.DISEASE).eqNullSafe(F.col("_pd"))
     return semi_join_bounded(assessed, pairs, cond, max_broadcast_rows)
 

@@ -46,7 +46,8 @@ def area(inputs: Inputs) -> DataFrame:
 
 def spine(inputs: Inputs, keep_subsets: bool = False, evidence: DataFrame | None = None) -> DataFrame:
     ev = assessed(inputs) if evidence is None else evidence
-    profile = pair_profile(restrict_to_drug_pairs(ev))
+    raw = inputs.evidence if evidence is None else None
+    profile = pair_profile(restrict_to_drug_pairs(ev, pairs_from=raw))
     return clinical_spine(profile, area(inputs), keep_subsets=keep_subsets)
 
 

@@ -229,8 +229,10 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def study_inclusion(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """Curated study list: ``stMethod, whatToDo`` (M4 and M5 unlisted on purpose)."""
+    from .readers import inline_table
+
     rows = [("M0", "get"), ("M1", "notGet"), ("M2", "get"), ("M3", "noGet")]
-    return spark.createDataFrame(rows, "stMethod string, whatToDo string")
+    return inline_table(spark, rows, ["stMethod", "whatToDo"], ["string", "string"])
 
 
 def sequence_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,30 @@ THERAPEUTIC_AREA_SCHEMA = T.StructType(
 )
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
+def inline_table(spark: SparkSession, rows, columns: list[str], types: list[str]) -> DataFrame:
+    """A small constant table as SQL ``VALUES``.
+
+    Unlike ``createDataFrame`` on Python rows (a new RDD per call), the plan
+    is a deterministic local relation: repeated calls give equal plans, so
+    cached results derived from it are found again.
+    """
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(columns)
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in zip(columns, types))
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({cols})")
+
+
 def therapeutic_areas(spark: SparkSession) -> DataFrame:
     """The 25 ranked therapeutic areas; rank is the 0-based list position."""
     rows = [(ta, label, simple, rank) for rank, (ta, label, simple) in enumerate(V.THERAPEUTIC_AREAS)]
-    return spark.createDataFrame(rows, THERAPEUTIC_AREA_SCHEMA)
+    return inline_table(
+        spark, rows, ["taId", "taLabel", "taLabelSimple", "taRank"], ["string", "string", "string", "bigint"]
+    )

@@ -294,6 +294,9 @@ def _outside_cached(plan: str) -> list[str]:
 
 
 def test_report_shuffles_evidence_once(spark, sf_small):
+    # start from an empty cache, as a production run does: other tests cache
+    # the whole assessed frame, which would hide the evidence pass
+    spark.catalog.clearCache()
     inputs = fixture_inputs(spark, sf_small)
     plan = P.report(inputs)._jdf.queryExecution().executedPlan().toString()
     lines = _outside_cached(plan)
