@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 # Side tables of this domain are bounded by biology, not by evidence volume:
 # one row per gene (~6*10^4), per curated study (~50), per drug mechanism
-# pair (~10^5), per disease (~3*10^4), per intogen (gene, cancer) pair.
-# Beyond this many rows a side is joined by shuffle instead.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# pair (~10^5), per disease (~3*10^4), per intogen (gene, cancer) pair, per
+# drug (target, disease) pair (~10^5-10^6).  Their rows are a few short
+# strings, so this bound keeps a broadcast around 100 MB at most.  Beyond it
+# a side is joined by shuffle instead.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 # (semantic hash of a cached side, bound) -> it passed the check.  Only

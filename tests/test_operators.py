@@ -320,3 +320,22 @@ def test_restrict_to_drug_pairs_keeps_all_rows_of_drug_pairs(spark):
     assert kept == bag(df.where("NOT (targetId <=> 'T2') AND NOT (diseaseId IS NULL)"))
     # above the bound nothing is dropped (the aggregation gives the same spine)
     assert len(bag(CL.restrict_to_drug_pairs(df, max_broadcast_rows=0))) == len(rows)
+
+
+def test_hot_pair_is_combined_map_side(spark):
+    # one (target, disease) pair holds a third of all rows
+    hot = [("T1", "D1", "eva", "LoF_risk", "LoF_risk", [("A",)])] * 300
+    cold = [(f"T{i}", f"D{i % 7}", src, "GoF_risk", "GoF_risk", [("B",)])
+            for i in range(600) for src in ("intogen",)]
+    df = spark.createDataFrame(
+        hot + cold,
+        "targetId string, diseaseId string, datasourceId string, unified string, homogenized string, "
+        "mutatedSamples array<struct<functionalConsequenceId: string>>",
+    ).withColumn("clinicalPhase", F.lit(None).cast("double"))
+    for frame in (CL.pair_profile(df), A.consequence_count(df), M.subset_matrix(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        # partial aggregation below the shuffle, and no window over pairs
+        assert "partial_" in plan and "Window" not in plan, plan
+    prof = {r["targetId"]: r for r in CL.pair_profile(df).collect()}
+    ev_index = [n for n, _ in M.subset_predicates()].index("eva")
+    assert prof["T1"][CL.subset_column(ev_index, "LoF_risk")] == 300
