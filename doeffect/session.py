@@ -36,17 +36,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doe
     )
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster configured, if any."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
+    if configured and sc is not None:
         sc.setCheckpointDir(configured)
-        return configured
-    return None
+    return configured or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -58,9 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     found = checkpoint_dir(spark)
     if found:
         return found
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if sc is None or not master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder for master {master!r}")
     scratch = tempfile.mkdtemp(prefix="doeffect-ckpt-")
-    spark.sparkContext.setCheckpointDir(scratch)
-    return spark.sparkContext.getCheckpointDir() or scratch
+    sc.setCheckpointDir(scratch)
+    return sc.getCheckpointDir() or scratch

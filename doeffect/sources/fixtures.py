@@ -56,8 +56,12 @@ def spread(df: DataFrame) -> DataFrame:
     ``spark.sql.files.openCostInBytes``), so the extra shuffle is cheap; a
     large input has many splits and is returned unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without the RDD API (Spark Connect)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def _case(expr: Column, mapping: Mapping[int, Column | str | float | None]) -> Column:
