@@ -42,11 +42,6 @@ def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Dat
     return None
 
 
-def fits_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``side`` has at most ``max_rows`` rows (a small counting job)."""
-    return side.limit(max_rows + 1).count() <= max_rows
-
-
 def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``side`` hinted for broadcast if it has at most ``max_rows`` rows, else unhinted."""
     kept = bounded_side(side, max_rows)

@@ -318,14 +318,14 @@ SUBSET_LIST = "[" + ", ".join(f"'{n}'" for n, _ in SUBSET_WHERE) + "]"
 SCORED = f"""
 {MATRIX},
 matrix_scored AS (SELECT *, {COHERENCE_OTHERS} AS coherency_others FROM matrix),
-subset_names AS (SELECT unnest({SUBSET_LIST}) AS dataset),
+spine_by_subset AS (SELECT unnest({SUBSET_LIST}) AS dataset, * FROM spine),
 scored_base AS (
   SELECT d.dataset, m.targetId AS targetIdO, m.diseaseId AS diseaseIdO,
     m.LoF_protect, m.GoF_protect, m.LoF_risk, m.GoF_risk, m.evidenceDif, m.coherency_others,
-    s.*
-  FROM spine s CROSS JOIN subset_names d
+    d.* EXCLUDE (dataset)
+  FROM spine_by_subset d
   LEFT JOIN matrix_scored m
-    ON m.dataset = d.dataset AND m.targetId = s.targetIdC AND m.diseaseId = s.diseaseIdC),
+    ON m.dataset = d.dataset AND m.targetId = d.targetIdC AND m.diseaseId = d.diseaseIdC),
 scored_flags AS (
   SELECT *,
     coalesce(targetIdO IS NOT NULL AND coherency_others = 'coherent'

@@ -63,16 +63,6 @@ def read_sequence_ontology(spark: SparkSession, path: str) -> DataFrame:
     return read_annotations_csv(spark, path).select("Accession", "Parents")
 
 
-THERAPEUTIC_AREA_SCHEMA = T.StructType(
-    [
-        T.StructField("taId", T.StringType(), True),
-        T.StructField("taLabel", T.StringType(), True),
-        T.StructField("taLabelSimple", T.StringType(), True),
-        T.StructField("taRank", T.LongType(), False),
-    ]
-)
-
-
 def _sql_literal(value) -> str:
     if value is None:
         return "NULL"
