@@ -36,7 +36,11 @@ def main() -> None:
     from doeffect.plans.run import run
     from doeffect.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="doeffect-bench")
+    spark = local_session(
+        cores=cpus,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
+        app="doeffect-bench",
+    )
     spark.sparkContext.setLogLevel("ERROR")
     scratch = tempfile.mkdtemp(prefix="doeffect-bench-")
     if not spark.sparkContext.getCheckpointDir():

@@ -18,6 +18,15 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 # (semantic hash of a cached side, bound) -> it passed the check.  Only
 # consulted while the side is still cached, i.e. holds the counted rows.
 _CHECKED: dict[tuple[int, int], bool] = {}
+# Sides persisted here, so a long-lived session can release them.
+_PERSISTED: list[DataFrame] = []
+
+
+def release_sides() -> None:
+    """Unpersist every side table cached by the size checks."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    _CHECKED.clear()
 
 
 def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
@@ -36,6 +45,7 @@ def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Dat
         return kept
     if kept.limit(max_rows + 1).count() <= max_rows:
         _CHECKED[key] = True
+        _PERSISTED.append(kept)
         return kept
     kept.unpersist()
     _CHECKED.pop(key, None)

@@ -23,6 +23,7 @@ from ..operators.annotate import mechanism_pairs, oncogene_label
 from ..operators.assess import assess
 from ..operators.clinical import PAIR_FLAG, clinical_spine, pair_profile, restrict_to_drug_pairs
 from ..operators.contingency import contingency_grid
+from ..operators.joins import release_sides
 from ..operators.ontology import primary_area
 from ..operators.scoring import score
 from ..session import ensure_checkpoint_dir
@@ -61,8 +62,13 @@ def report(inputs: Inputs, evidence: DataFrame | None = None) -> DataFrame:
 
 
 def run(spark: SparkSession, inputs: Inputs, out_path: str, run_date: str) -> DataFrame:
-    """Compute the report and write it; returns the checkpointed scored table."""
+    """Compute the report and write it; returns the checkpointed scored table.
+
+    The cached side tables are released at the end: the returned table is
+    read from the checkpoint and no longer needs them.
+    """
     ensure_checkpoint_dir(spark)
     scored_rows = scored(inputs, keep_pair_flag=True).checkpoint(eager=True)
     write_contingency(contingency_grid(scored_rows, pair_flag=PAIR_FLAG), out_path, run_date)
+    release_sides()
     return scored_rows.drop(PAIR_FLAG)

@@ -339,3 +339,13 @@ def test_hot_pair_is_combined_map_side(spark):
     prof = {r["targetId"]: r for r in CL.pair_profile(df).collect()}
     ev_index = [n for n, _ in M.subset_predicates()].index("eva")
     assert prof["T1"][CL.subset_column(ev_index, "LoF_risk")] == 300
+
+
+def test_release_sides_unpersists(spark):
+    side = spark.range(5).withColumnRenamed("id", "k2")
+    big = spark.range(10)
+    out = J.left_join_bounded(big, side, F.col("id") == F.col("k2"), F.lit(True))
+    assert out.count() == 10
+    assert side.storageLevel.useMemory or side.storageLevel.useDisk
+    J.release_sides()
+    assert not (side.storageLevel.useMemory or side.storageLevel.useDisk)
