@@ -4,7 +4,8 @@ Usage: python scripts/show_plan.py <query> [sf_dir] [mode]
 
 ``mode`` is an ``explain`` mode (default ``formatted``).  With ``final``
 the query is executed first and the adaptive plan it settled on is printed
-(AQE decisions: coalesced partitions, broadcast conversions, skew splits).
+(AQE decisions: coalesced partitions, broadcast conversions, skew splits);
+``outline`` prints that plan with operator names only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,28 @@ from doeffect.plans.registry import QUERIES  # noqa: E402
 from doeffect.session import local_session  # noqa: E402
 
 
+def outline(plan: str) -> str:
+    """Operator names only, one per line, keeping the tree indentation.
+
+    The plans of cached side tables are folded into their InMemoryRelation.
+    """
+    out, skip = [], None
+    for line in plan.splitlines():
+        stripped = line.lstrip(" :+-|")
+        if not stripped or stripped.startswith(("==", "Output", "Arguments")):
+            continue
+        indent = line[: len(line) - len(stripped)]
+        if skip is not None and len(indent) > skip:
+            continue
+        skip = len(indent) if stripped.startswith("InMemoryRelation") else None
+        name = stripped.split(" [", 1)[0].split("(keys=", 1)[0].split(" (", 1)[0]
+        if name.startswith("Exchange"):
+            name = stripped.split(", ENSURE", 1)[0].split(", REPARTITION", 1)[0]
+            name = name.split("(", 1)[0] + ("" if "(" not in name else "(" + name.split("(", 1)[1])
+        out.append(indent + name[:120])
+    return "\n".join(out)
+
+
 def main() -> None:
     name = sys.argv[1] if len(sys.argv) > 1 else "contingency_grid"
     sf_dir = sys.argv[2] if len(sys.argv) > 2 else "/root/testdata/sf0.01"
@@ -25,9 +48,10 @@ def main() -> None:
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     df = QUERIES[name](spark, sf_dir)
-    if mode == "final":
+    if mode in ("final", "outline"):
         df.write.format("noop").mode("overwrite").save()
-        print(df._jdf.queryExecution().executedPlan().toString())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        print(outline(plan) if mode == "outline" else plan)
     else:
         df.explain(mode)
     spark.stop()
