@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-# (semantic hash of a cached side, bound) -> it passed the check.  Only
+# (semantic hash and schema of a cached side, bound) -> it passed the check.  Only
 # consulted while the side is still cached, i.e. holds the counted rows.
-_CHECKED: dict[tuple[int, int], bool] = {}
+_CHECKED: dict[tuple[int, str, int], bool] = {}
 # Sides persisted here, so a long-lived session can release them.
 _PERSISTED: list[DataFrame] = []
 
@@ -38,7 +38,7 @@ def bounded_side(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Dat
     bound were computed).  A side that is still cached from an earlier
     check of the same plan is not counted again.
     """
-    key = (side.semanticHash(), max_rows)
+    key = (side.semanticHash(), side.schema.json(), max_rows)
     already = side.storageLevel != StorageLevel.NONE
     kept = side.persist(StorageLevel.MEMORY_AND_DISK)
     if already and _CHECKED.get(key):
