@@ -15,8 +15,36 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_license_scan": op4_license_scan,
+    "op7_language_id": op7_language_id,
+    "op8_ngram_join": op8_ngram_join,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
