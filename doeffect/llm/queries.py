@@ -15,6 +15,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import digest, find
+
+    return digest(find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import digest, scan
 
@@ -33,6 +39,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digest, round_trip
+
+    return digest(round_trip(_table(spark, sf_dir, "pages")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -41,9 +53,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op7_language_id": op7_language_id,
     "op8_ngram_join": op8_ngram_join,
+    "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
