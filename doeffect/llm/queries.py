@@ -27,6 +27,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_table(spark, sf_dir, "documents")))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_mixing import digest, score
+
+    return digest(score(_table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_ngram_join": op8_ngram_join,
     "op9_warc": op9_warc,
