@@ -224,6 +224,25 @@ def refined(cells: np.ndarray, node: np.ndarray, t: np.ndarray) -> np.ndarray:
     return cells[at] * (1 - share) + cells[at + 1] * share
 
 
+def ship(df: DataFrame, *arrays):
+    """Broadcast arrays in compressed form (tables of a small corpus are mostly zeros)."""
+    import zstandard as zstd
+
+    packed = [(zstd.compress(a.tobytes(), 1), a.dtype.str, a.shape) for a in arrays]
+    return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed))
+
+
+def received(shipped) -> list[np.ndarray]:
+    """The arrays of a broadcast, unpacked once in a Python worker."""
+    import zstandard as zstd
+
+    key, packed = shipped.value
+    cache = worker_cache()
+    if cache.get("shipped", (None,))[0] != key:
+        cache["shipped"] = (key, [np.frombuffer(zstd.decompress(b), kind).reshape(shape) for b, kind, shape in packed])
+    return cache["shipped"][1]
+
+
 def _initial_cells() -> np.ndarray:
     return np.tile(_sigmoid(np.linspace(-MOST, MOST, CELLS)), 256)
 
@@ -283,12 +302,12 @@ def _left_out(counts, at, bit):
     return np.where(known, log_odds(np.maximum(z, 0), np.maximum(o, 0)), 0).astype(np.float32), known
 
 
-def train_mixer(seen: DataFrame, counts) -> np.ndarray:
+def train_mixer(seen: DataFrame, shipped) -> np.ndarray:
     """Weights learned online in each task, averaged by the bytes behind them."""
     n_gates = 8 * (ORDER + 2)
-    shipped = seen.sparkSession.sparkContext.broadcast(counts)
 
     def learn(batches):
+        counts = received(shipped)
         model = Model(None, np.full((n_gates, ORDER + 1), 1.5 / (ORDER + 1)), None)
         mass = np.zeros(n_gates)
         for batch in batches:
@@ -296,7 +315,7 @@ def train_mixer(seen: DataFrame, counts) -> np.ndarray:
             for i in range(0, len(w), BATCH):
                 part = n[i : i + BATCH]
                 for b, _, bit, at in steps(w[i : i + BATCH]):
-                    inputs, known = _left_out(shipped.value, at, bit)
+                    inputs, known = _left_out(counts, at, bit)
                     t, gate = model.mixed(b, inputs, gate_of(known))
                     wrong = (bit - _sigmoid(t)) * part
                     total = np.bincount(gate, part, n_gates)
@@ -316,11 +335,11 @@ def train_mixer(seen: DataFrame, counts) -> np.ndarray:
     return weights.reshape(n_gates, ORDER + 1)
 
 
-def train_cells(seen: DataFrame, counts, weights: np.ndarray) -> np.ndarray:
+def train_cells(seen: DataFrame, shipped, weights: np.ndarray) -> np.ndarray:
     """The adaptive map: how often the bit was 1 around each mixed probability."""
-    shipped = seen.sparkSession.sparkContext.broadcast(counts)
 
     def learn(batches):
+        counts = received(shipped)
         model = Model(None, weights, None)
         total, ones = np.zeros(256 * CELLS), np.zeros(256 * CELLS)
         for batch in batches:
@@ -328,7 +347,7 @@ def train_cells(seen: DataFrame, counts, weights: np.ndarray) -> np.ndarray:
             for i in range(0, len(w), 1 << 16):
                 part = n[i : i + (1 << 16)]
                 for b, node, bit, at in steps(w[i : i + (1 << 16)]):
-                    inputs, known = _left_out(shipped.value, at, bit)
+                    inputs, known = _left_out(counts, at, bit)
                     t, _ = model.mixed(b, inputs, gate_of(known))
                     low, share = cell_of(t)
                     for cell, weight in ((node * CELLS + low, part * (1 - share)), (node * CELLS + low + 1, part * share)):
@@ -353,8 +372,10 @@ def train(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
     schema = "value long, n long, kind int"
     seen = spark.read.schema(schema).parquet(folder).where("kind = 1")
     counts = tables(seen)
-    weights = train_mixer(seen, counts)
-    cells = train_cells(seen, counts, weights)
+    shipped = ship(docs, *counts)
+    weights = train_mixer(seen, shipped)
+    cells = train_cells(seen, shipped, weights)
+    shipped.unpersist()
     odds = np.where(counts[0] + counts[1] > 0, log_odds(*counts), np.nan).astype(np.float16)
     words = spark.read.schema(schema).parquet(folder).where("kind = 0").select(F.col("value").alias("word"), "n")
     return Model(odds, weights, cells), words
@@ -409,12 +430,14 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
     below = np.log10(n_train + ADD * (kinds + 1))
     # At most HEAD rows.
     top = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    head = Head(top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
-    shipped = spark.sparkContext.broadcast((model, head))
+    shipped = ship(
+        rows, model.odds, model.weights, model.cells, top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    )
     end_cost = float(np.log10(texts + ADD) - below)
 
     def run(batches):
-        model, head = shipped.value
+        odds, weights, cells, *top = received(shipped)
+        model, head = Model(odds, weights, cells), Head(*top)
         memo = worker_cache()
         if memo.get("mixing") != folder:
             memo["mixing"] = folder
