@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_lm
+from . import quality_js, url_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_js import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_mixing import digest, score
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_ngram_join": op8_ngram_join,
@@ -79,4 +86,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_lm.oracle_sql(),
+    "op5_quality": quality_js.oracle_sql(),
 }
