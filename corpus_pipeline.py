@@ -1,4 +1,80 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: language, near copies, benchmark passages, secrets, packing.
 
-STAGES = []
+Every stage takes the documents that its predecessor kept and returns them
+with the columns of ``documents``; the last returns the packed pieces.
+``run`` writes each stage's rows as Parquet in the session's checkpoint
+folder and reads them back, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter, and long texts that are ambiguous."""
+    from doeffect.llm import langid
+
+    return langid.accept(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group of near copies."""
+    from doeffect.llm.ngram_join import one_each
+
+    return one_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of a benchmark item."""
+    from doeffect.llm.decontam import clean
+
+    return clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the texts; the other columns stay, but for the length."""
+    from doeffect.llm.secrets import redact, scan
+
+    masked = redact(scan(docs).withColumn("_found", F.size("spans") > 0))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the documents into pieces of power-of-two length."""
+    from doeffect.llm.packing import digest, pack, vocabulary
+
+    return digest(pack(docs, vocabulary()))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_copies", near_copies),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+# Languages, n-gram sets and token ids are beyond SQL; see tests/llm.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``."""
+    from doeffect.session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

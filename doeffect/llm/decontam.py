@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .text import _GRAM, ALNUM, grams, mix, words_of
+from .text import _GRAM, ALNUM, grams, mix, text_key, words_of
 
 SPAN = 10
 GRAM = 5
@@ -100,8 +100,8 @@ def item_slots(items: DataFrame, span: int = SPAN, k: int = GRAM, text_col: str
 
 
 def candidates(docs: DataFrame, bitmaps: dict[int, np.ndarray], span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``doc_id, n_words`` of every row, and the runs (hash, start, length) around
-    its marked fingerprints."""
+    """``doc_id, key, n_words`` of every row (columns id, text, key), and the runs
+    (hash, start, length) around its marked fingerprints."""
     width = span - k + 1
     kind = pa.list_(pa.struct([("run", pa.int64()), ("start", pa.int64()), ("length", pa.int32())]))
     shipped = docs.sparkSession.sparkContext.broadcast(bitmaps)
@@ -142,13 +142,14 @@ def candidates(docs: DataFrame, bitmaps: dict[int, np.ndarray], span: int = SPAN
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, n),
+                        batch.column(2).slice(i, n),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind),
                     ],
-                    ["doc_id", "n_words", "runs"],
+                    ["doc_id", "key", "n_words", "runs"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, runs array<struct<run:long,start:long,length:int>>")
+    return docs.mapInArrow(run, "doc_id long, key long, n_words long, runs array<struct<run:long,start:long,length:int>>")
 
 
 def find(
@@ -159,14 +160,15 @@ def find(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: ``doc_id, n_words``, the covered ``places`` (start, length) and the ``items`` found."""
+    """Per row: ``doc_id, key`` (a hash of the text), ``n_words``, the covered ``places`` (start, length) and the ``items`` found."""
     ensure_checkpoint_dir(docs.sparkSession)
     bitmaps: dict[int, np.ndarray] = {}
     # At most 2 ** BITS slots a length, and as many lengths as words in a run.
     for length, slots in item_slots(items, span, k).toPandas().groupby("length")["slot"]:
         bitmaps[int(length)] = np.zeros(1 << BITS, bool)
         bitmaps[int(length)][slots.to_numpy()] = True
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text_col).alias("key"))
     rows = candidates(rows, bitmaps, span, k).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     found = (
         rows.select("row", F.inline("runs"))
@@ -180,6 +182,14 @@ def find(
     return rows.drop("runs").join(found, "row", "left").drop("row")
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` in whose text no run of an item occurs."""
+    found = find(docs, items, id_col=id_col, text_col=text_col, **settings)
+    bad = found.where(F.col("places").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key"))
+    return docs.join(bad, same, "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Words covered, items found and their checksum."""
     covered = F.aggregate(

@@ -30,6 +30,7 @@ SLOTS = 1 << 13  # hashed trigrams
 SMOOTH = 0.5
 SHARPNESS = 12.0  # of the logistic loss over bit margins
 AMBIGUOUS = 0.15  # least distance between the best and the second share
+ENOUGH = 200  # trigrams that ought to tell a language
 MOST_LANGUAGES = 2000  # more distinct labels than this are an error in the input
 UNKNOWN = "und"
 BLOCK = 1 << 19
@@ -196,6 +197,29 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, PREDICTED)
 
 
+def accept(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a known language: texts without a letter go, and
+    ambiguous ones of ``ENOUGH`` trigrams or more (shorter ones get the benefit
+    of the doubt).  Without a model only texts without a letter go."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            data, off = utf8(batch.column(place))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, j in blocks(off, BLOCK):
+                rel = off[i : j + 1] - off[i]
+                ok = has_letter(data[off[i] : off[j]], rel)
+                if model is not None and len(model.languages) > 1:
+                    counts = trigram_counts(data[off[i] : off[j]], rel)
+                    top = np.sort(model.shares(counts), axis=1)
+                    ok &= (top[:, -1] - top[:, -2] >= AMBIGUOUS) | (counts.sum(axis=1) < ENOUGH)
+                keep[i:j] = ok
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """Rows whose crc32 of the id as text leaves no remainder; a NULL id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))

@@ -39,17 +39,13 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .graph import components
-from .text import _GRAM, NONSPACE, grams, mix, words_of
+from .text import _GRAM, NONSPACE, grams, mix, text_key, words_of
 
 SHINGLE = 4
 PERCENT = 85
 FLUSH = 1 << 20  # n-grams that a task holds before it packs them
 
 
-def key_of(text_col: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def sets_of(column, k: int):
     """Blocks of a column: (first document, sizes, sorted n-gram hashes of each document in turn)."""
     for i, j, hashes, docs, *_ in words_of(column, NONSPACE):
@@ -266,7 +262,7 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-join-{uuid.uuid4().hex}"
     n_blocks = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(key_of(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     (
         to_columns(texts, k, n_blocks)
         .groupBy("block")
@@ -331,15 +327,20 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     return sets.select("key", "n"), edges
 
 
+def members(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, n, component`` of every row; components are named by a text's key."""
+    sets, edges = links(docs, k, percent, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"))
+    rows = rows.join(sets, "key", "left").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+    return rows.withColumn("component", F.coalesce("component", "key"))
+
+
 def join(
     docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the size of its n-gram
     set and the least id reachable by links (its own included)."""
-    sets, edges = links(docs, k, percent, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(text_col).alias("key"))
-    rows = rows.join(sets, "key", "left").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "key"))
+    rows = members(docs, k, percent, id_col, text_col)
     # One row a component, from per-task minima.
     least = (
         rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -349,3 +350,19 @@ def join(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_each(
+    docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of least
+    id stays (NULL ids last), once; rows without words all stay."""
+    rows = members(docs, k, percent, id_col, text_col).where("n > 0")
+    # Ids and keys only; one row a component, from per-task minima.
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    stay = first.select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
+    keyed = docs.withColumn("_text_key", text_key(text_col))
+    empty = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("^[ \\t\\n\\x0B\\f\\r]*$")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    once = keyed.where(~empty).join(stay, same, "left_semi").dropDuplicates([id_col, "_text_key"])
+    return once.unionByName(keyed.where(empty)).drop("_text_key")

@@ -27,7 +27,7 @@ LEAST_BASE = 20  # words, base rule
 MOST_REPEATED = 30  # per cent, base rule
 LEAST_WORDS = 80  # length guard of the method
 LEAST_TEXTS = 30  # of a reference
-MOST_CHAR_DISTANCE = 0.35
+MOST_CHAR_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.55
 
 # Common words of English, German, French and Spanish.

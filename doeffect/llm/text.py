@@ -13,6 +13,8 @@ import types
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 
@@ -56,6 +58,11 @@ def worker_cache() -> dict:
     return sys.modules[name].__dict__
 
 
+def text_key(text_col: str = "text") -> Column:
+    """A 64-bit hash of the text; NULL is like an empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets of an Arrow string column; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
