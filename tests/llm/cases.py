@@ -1,0 +1,82 @@
+"""Rows that every operator must take, and plain restatements of the word classes."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import types as T
+
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+NONSPACE = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+        # Names that operators use inside; they must not clash.
+        T.StructField("key", T.StringType()),
+        T.StructField("blob", T.StringType()),
+        T.StructField("row", T.LongType()),
+    ]
+)
+
+
+def low(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def prose(seed: int, n: int, words: str = "the of and a to in stone river cloud amber quiet lantern orbit velvet") -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(words.split()) + (".\n" if r.random() < 0.05 else "") for _ in range(n))
+
+
+def documents() -> list[tuple]:
+    base = prose(1, 120)
+    changed = base.split(" ")
+    changed[60] = "changed"
+    texts = [
+        None,
+        "",
+        " \t\n\x0b\x0c\r ",
+        "one",
+        "Two words",
+        "\u00e9\u00df\u4e2d\u6587 \U0001f600 caf\u00e9\u00a0x",
+        "12345 !!! ###",
+        base,
+        base,  # a copy
+        base.upper(),
+        " ".join(changed),  # a near copy
+        prose(2, 3000),
+        "x" * 5000,  # one very long word
+        "a b " * 2000,
+        prose(3, 40) + " " + prose(9, 12),
+        "nul \x00 byte",
+    ]
+    rows = [(i, t, "en" if i % 2 else None, "s", None if t is None else len(t), "k", "b", 7) for i, t in enumerate(texts)]
+    rows.append(rows[7])  # a repeated row
+    rows.append((None, prose(4, 30), None, None, None, None, None, None))
+    rows.append((None, None, None, None, None, None, None, None))
+    return rows
+
+
+def frame(spark, rows=None):
+    return spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
+
+
+def many(spark, n=400, seed=5):
+    """Random documents with copies and near copies."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if rows and r.random() < 0.4:
+            words = r.choice(rows)[1].split(" ")
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                words[r.randrange(len(words))] = r.choice(["alpha", "beta", "gamma"]) + str(r.randrange(50))
+            text = " ".join(words)
+        else:
+            text = " ".join(f"w{r.randrange(300)}" for _ in range(r.choice([1, 2, 3, 4, 6, 9, 25, 60, 120])))
+        rows.append((i, text, None, None, None, None, None, None))
+    return rows
