@@ -381,6 +381,23 @@ def train(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
     return Model(odds, weights, cells), words
 
 
+def most_frequent(words: DataFrame, most: int):
+    """The words of the highest counts, ``most`` at the utmost: those above the
+    least bound, eight to an octave, that no more words reach."""
+    steps = words.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"))
+    bound, held = None, 0
+    # A few hundred rows, whatever the corpus.
+    for row in steps.orderBy(F.desc("step")).collect():
+        held += row["words"]
+        if held > most:
+            break
+        bound = row["step"]
+    above = F.lit(False) if bound is None else F.floor(F.log2("n") * 8) >= bound
+    top = words.where(above).toPandas()
+    # The most frequent get their places first.
+    return top.sort_values(["n", "word"], ascending=[False, True])
+
+
 class Head:
     """Counts of the most frequent words, by their hash; a word that finds both
     its places taken by more frequent ones is looked up like a rare word."""
@@ -428,8 +445,7 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n_train, kinds = totals["n"] + texts, totals["v"] + (texts > 0)
     below = np.log10(n_train + ADD * (kinds + 1))
-    # At most HEAD rows.
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    top = most_frequent(words, HEAD)
     shipped = ship(
         rows, model.odds, model.weights, model.cells, top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     )
