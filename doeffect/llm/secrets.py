@@ -5,9 +5,10 @@ ledger is a Parquet table of (blob, rule version) pairs that were scanned,
 with their findings; a run scans only pairs the ledger lacks, appends them,
 and joins the findings back to every path that holds the blob.
 
-Copies of one blob meet before the shuffle (partial aggregation), so a group
-that holds a third of all rows sends one row per task; the join back moves
-ids and digests only, and the adaptive skew join splits a hot digest.
+Every task drops its own copies of a blob before the shuffle, so a group that
+holds a third of all rows sends one row per task; the join back is split by
+the adaptive skew join if a digest is hot.  Texts stream through the tasks;
+what a task holds is the digests it has seen.
 
 NULL text counts as empty, and an empty text has no findings.  Repeated rows
 each get the findings of their blob.  Offsets are code points.
@@ -16,7 +17,6 @@ each get the findings of their blob.  Offsets are code points.
 from __future__ import annotations
 
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +64,19 @@ def blob_id(text_col: str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
 
+def first_ones(batches):
+    """The rows of each blob (first column) that a task sees first."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for blob in batch.column(0).to_pylist():
+            keep.append(blob not in seen)
+            seen.add(blob)
+        if not all(keep):
+            batch = batch.filter(pa.array(keep))
+        yield batch
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at ``path``; empty if nothing was written there yet."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,24 +95,23 @@ def scan(
     """The rows of ``docs`` with ``blob`` and ``spans`` (by start, then kind).
 
     Blobs the ledger has for this rule version are not scanned again; new
-    ones are appended to it.  Without a ledger path a new ledger is written
-    under the session's checkpoint folder.
+    ones are appended to it.  Without a ledger path all blobs are new, and
+    their findings are checkpointed for this run alone.
     """
     spark = docs.sparkSession
-    path = ledger_path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    known = read_ledger(spark, path) if ledger_path else None
     blobs = docs.select(blob_id(text_col).alias("blob"), F.col(text_col).cast("string").alias("text")).where(
         F.length("text") > 0
     )
-    # One text per blob; copies of a task are dropped before the shuffle.
-    blobs = blobs.dropDuplicates(["blob"])
-    if known is not None:
-        blobs = blobs.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    blobs = blobs.mapInArrow(first_ones, blobs.schema)
+    if ledger_path:
+        known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
+        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+    blobs = blobs.repartition("blob")
     patterns = [(re.compile(p, re.ASCII), group, least) for p, group, least in rules.values()]
 
     def scan_batch(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
-        for batch in batches:
+        for batch in first_ones(batches):
             found = [
                 [{"start": a, "kind": k, "stop": b} for a, k, b in find(t.as_py(), patterns)] for t in batch.column(1)
             ]
@@ -108,14 +120,16 @@ def scan(
                 [batch.column(0), version, pa.array(found, kind)], ["blob", "rule_version", "spans"]
             )
 
-    blobs.mapInArrow(scan_batch, LEDGER).write.mode("append").parquet(path)
-    findings = (
-        spark.read.schema(LEDGER)
-        .parquet(path)
-        .where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
-        .select(F.col("blob").alias("_blob"), "spans")
-        .dropDuplicates(["_blob"])
-    )
+    scanned = blobs.mapInArrow(scan_batch, LEDGER)
+    if ledger_path:
+        scanned.write.mode("append").parquet(ledger_path)
+        scanned = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
+        # Two runs that append at once may both scan a blob.
+        scanned = scanned.dropDuplicates(["blob"])
+    else:
+        ensure_checkpoint_dir(spark)
+        scanned = scanned.where(F.size("spans") > 0).checkpoint()
+    findings = scanned.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
     keyed = docs.withColumn("blob", blob_id(text_col))
     empty = F.array().cast(f"array<{SPAN}>")
     return (
