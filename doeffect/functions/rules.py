@@ -6,8 +6,8 @@ An outcome can itself be a conditional Column that yields NULL (for example
 "risk if the odds ratio is above 1, protective if below"): that NULL is the
 final answer for the row, it does not fall through to the next rule.
 
-All functions return Columns built from ``pyspark.sql.functions`` so the
-whole assessment compiles into one projection inside whole-stage codegen.
+All functions return Columns built from ``pyspark.sql.functions`` so a
+source's assessment compiles into one projection inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -209,18 +209,11 @@ SOURCE_RULES = {
 
 
 def source_assessment(source: str, params: RuleParams) -> Column:
-    """The label of one source's rule set (no source dispatch)."""
+    """The label of one source's rule set."""
     rules, default = SOURCE_RULES[source](params)
     return first_match(rules, default)
 
 
-def assessment(params: RuleParams, sources: Sequence[str] | None = None) -> Column:
-    """Dispatch on ``datasourceId``; unknown sources get NULL."""
-    names = list(SOURCE_RULES) if sources is None else list(sources)
-    src = F.col(SOURCE)
-    return first_match([(src == s, source_assessment(s, params)) for s in names])
-
-
 # ---------------------------------------------------------------------------
 # Label normalisation.
 # ---------------------------------------------------------------------------

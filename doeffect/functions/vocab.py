@@ -73,13 +73,11 @@ DEFAULT_LOF = [SO_LOSS_OF_FUNCTION]
 # literal member of the list, not SQL NULL.
 NON_DIRECTIONAL_TERMS = ["noEvaluable", "bivalent_risk", "null", "dispar"]
 
-DIRECTIONS = ["LoF_protect", "GoF_protect", "LoF_risk", "GoF_risk"]
 # Columns of the presence matrix that the scoring reads.
 MATRIX_COLUMNS = ["LoF_protect", "GoF_protect", "LoF_risk", "GoF_risk", "evidenceDif"]
 # Every value the unified label can take (explicit pivot values: no discovery
 # job, and a column exists even when no row carries the label).
 UNIFIED_VALUES = MATRIX_COLUMNS + ["bivalent_risk"]
-DRUG_DIRECTIONS = ["LoF_protect", "GoF_protect"]
 
 # ---------------------------------------------------------------------------
 # Evidence source groups.
@@ -120,9 +118,6 @@ EVIDENCE_SOURCES = [
     "chembl",
 ]
 
-# Sources that are read but not unioned.
-UNUSED_SOURCES = ["genomics_england", "uniprot_literature", "uniprot_variants", "clingen"]
-
 DRUG_SOURCE = "chembl"
 
 # Subset names, in report order.  "!chembl" is every source but the drug one,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,40 +13,40 @@ from ..functions import vocab as V
 def oncogene_label(targets: DataFrame) -> DataFrame:
     """One row per labelled gene: ``target_id, approvedSymbol, description, TSorOncogene``.
 
-    ``targets`` has ``id, approvedSymbol, hallmarks.attributes[].description``.
-    Only listed hallmark descriptions count; genes with none are absent.
-    The description set is sorted, and the label is decided element-wise, so
-    the result does not depend on the order ``collect_set`` returns.
+    ``targets`` has one row per gene with ``hallmarks.attributes[].description``.
+    The listed descriptions are picked out of that array in place (distinct,
+    sorted); genes with none are absent.  Narrow: no explode and no grouping.
     """
+    listed = F.filter(F.col("hallmarks.attributes.description"), lambda d: d.isin(V.ONCO_TSG_DESCRIPTIONS))
     return (
-        targets.select("id", "approvedSymbol", F.explode_outer("hallmarks.attributes").alias("attr"))
-        .select("id", "approvedSymbol", F.col("attr.description").alias("description"))
-        .where(F.col("description").isin(V.ONCO_TSG_DESCRIPTIONS))
-        .groupBy("id", "approvedSymbol")
-        .agg(F.sort_array(F.collect_set("description")).alias("description"))
-        .select(
-            F.col("id").alias("target_id"),
-            "approvedSymbol",
-            "description",
-            R.onco_class(F.col("description")).alias(R.ONCO_LABEL),
+        targets.select(
+            F.col("id").alias("target_id"), "approvedSymbol", F.sort_array(F.array_distinct(listed)).alias("description")
         )
+        .where(F.size("description") > 0)
+        .withColumn(R.ONCO_LABEL, R.onco_class(F.col("description")))
     )
 
 
+def _or_null(name: str) -> Column:
+    """The array, or one NULL in place of a missing or empty one."""
+    none = F.array(F.lit(None).cast(T.StringType()))
+    return F.when(F.size(name) > 0, F.col(name)).otherwise(none)
+
+
 def mechanism_pairs(mechanisms: DataFrame) -> DataFrame:
     """(drug, target) pairs of each mechanism: ``targetId2, drugId2, actionType, mechanismOfAction``.
 
-    Both explodes are outer (a mechanism without drugs or targets keeps a
-    NULL row).  Two mechanisms of one (drug, target) stay two rows, so a
-    join on the pair fans out; that is intended.
+    Both lists count as outer: a mechanism without drugs or targets keeps a
+    NULL on that side.  Two mechanisms of one (drug, target) stay two rows, so
+    a join on the pair fans out; that is intended.
     """
-    return (
-        mechanisms.select(
-            F.explode_outer("chemblIds").alias("drugId2"), "actionType", "mechanismOfAction", "targets"
+    pairs = F.flatten(
+        F.transform(
+            _or_null("targets"),
+            lambda t: F.transform(_or_null("chemblIds"), lambda d: F.struct(t.alias("targetId2"), d.alias("drugId2"))),
         )
-        .select(F.explode_outer("targets").alias("targetId2"), "drugId2", "actionType", "mechanismOfAction")
-        .dropDuplicates()
     )
+    return mechanisms.select(F.inline(pairs), R.ACTION, "mechanismOfAction").distinct()
 
 
 def _clean_consequences() -> Column:
@@ -55,39 +55,22 @@ def _clean_consequences() -> Column:
 
 
 def consequence_count(evidence: DataFrame, source: str = "intogen") -> DataFrame:
-    """``targetId, diseaseId, intogenAnnot`` over the rows of ``source``.
-
-    The count is the number of consequence ids summed over the *distinct*
-    (null-stripped, per-row deduplicated) id arrays of the pair: arrays
-    [A] and [A, B] give 3, [A, B] and [B, A] give 4.
-
-    Filter + distinct + grouped sum: partial aggregation combines map-side,
-    so a pair that holds a large share of the rows never lands whole in one
-    task (a window over the pair would).
+    """``targetId, diseaseId, own, every``: consequence ids summed over the
+    distinct (null-stripped, per-row deduplicated) id arrays of the pair, of
+    the rows of ``source`` and of all rows.
+
+    Arrays [A] and [A, B] give 3, [A, B] and [B, A] give 4; pairs without
+    arrays are absent (their count is 0).  Two grouped sums with map-side
+    combination: a pair that holds a large share of the rows never meets whole
+    in one task.
     """
-    ids = _clean_consequences()
-    return (
-        evidence.where(F.col(R.SOURCE) == source)
-        .select(R.TARGET, R.DISEASE, ids.alias("ids"))
-        .distinct()
-        .groupBy(R.TARGET, R.DISEASE)
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("int").alias(R.CONSEQUENCE_COUNT)
-        )
+    arrays = (
+        evidence.select(R.TARGET, R.DISEASE, _clean_consequences().alias("ids"), F.col(R.SOURCE).eqNullSafe(source).alias("mine"))
+        .where(F.col("ids").isNotNull())
+        .groupBy(R.TARGET, R.DISEASE, "ids")
+        .agg(F.bool_or("mine").alias("mine"))
     )
-
-
-def consequence_count_window(evidence: DataFrame, source: str = "intogen") -> DataFrame:
-    """The same count as a column on every row, by an ordered window.
-
-    Rows of ``source`` come first in the (target, disease) window and the
-    default frame includes peers, so they see the arrays of ``source`` rows
-    only; every other row sees all rows of the pair.  Kept for equivalence
-    checks: it shuffles every evidence row by pair and cannot split a hot
-    pair, so the assessment uses :func:`consequence_count`.
-    """
-    first = F.when(F.col(R.SOURCE) == source, 1).otherwise(0)
-    w = Window.partitionBy(R.TARGET, R.DISEASE).orderBy(first.desc())
-    return evidence.withColumn(
-        R.CONSEQUENCE_COUNT, F.size(F.flatten(F.collect_set(_clean_consequences()).over(w)))
+    n = F.size("ids")
+    return arrays.groupBy(R.TARGET, R.DISEASE).agg(
+        F.sum(F.when(F.col("mine"), n).otherwise(0)).cast("int").alias("own"), F.sum(n).cast("int").alias("every")
     )

@@ -1,14 +1,22 @@
-"""Direction-of-effect assessment of unified evidence."""
+"""Direction-of-effect assessment, source by source.
+
+Evidence comes as one frame per source (as it is stored), so every source
+has a short plan of its own: its folder, the one side table its rules need,
+and one CASE.  A query for one source reads that source alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
+from .align import union_aligned
 from .annotate import consequence_count
-from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded
 
 CONSEQUENCE_SCHEMA = T.ArrayType(
     T.StructType([T.StructField("functionalConsequenceId", T.StringType(), True)])
@@ -26,8 +34,22 @@ RULE_INPUTS = {
     "drugId": T.StringType(),
     "clinicalPhase": T.DoubleType(),
 }
+# The side table that a source's rules read.
+NEEDS = {
+    "gene_burden": "study",
+    "cancer_gene_census": "label",
+    "intogen": "counts",
+    "chembl": "mechanisms",
+}
 
-ASSESSMENT_COLUMNS = ["Assessment", "homogenized", "tendency", "variation", "unified"]
+
+@dataclass
+class Sides:
+    """Side tables of the annotation."""
+
+    label: DataFrame  # target_id, approvedSymbol, description, TSorOncogene
+    study: DataFrame  # stMethod, whatToDo, ...
+    mechanisms: DataFrame  # drugId2, targetId2, actionType, mechanismOfAction
 
 
 def prepare(evidence: DataFrame) -> DataFrame:
@@ -48,62 +70,41 @@ def prepare(evidence: DataFrame) -> DataFrame:
     )
 
 
-def annotate(
-    evidence: DataFrame,
-    onco_label: DataFrame,
-    study: DataFrame,
-    mech_pairs: DataFrame,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
-    """Attach consequence count, gene label, study decision and drug mechanism.
+def with_counts(evidence: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the consequence count: rows of the drivers' source see that source's
+    arrays, all others every array of the pair; 0 where there are none."""
+    side = counts.select(F.col(R.TARGET).alias("_ct"), F.col(R.DISEASE).alias("_cd"), "own", "every")
+    same = F.col(R.TARGET).eqNullSafe(F.col("_ct")) & F.col(R.DISEASE).eqNullSafe(F.col("_cd"))
+    own = F.col(R.SOURCE).eqNullSafe("intogen")
+    count = F.coalesce(F.when(own, F.col("own")).otherwise(F.col("every")), F.lit(0))
+    return evidence.join(side, same, "left").withColumn(R.CONSEQUENCE_COUNT, count).drop("_ct", "_cd", "own", "every")
 
-    All four sides are small and bounded, so each is broadcast after a size
-    check and the evidence is never shuffled here; the consequence count
-    itself aggregates only the intogen rows.
-    """
-    ev = prepare(evidence)
-    is_intogen = F.col(R.SOURCE).eqNullSafe("intogen")
 
-    counts = consequence_count(ev).select(
-        F.col(R.TARGET).alias("_ct"), F.col(R.DISEASE).alias("_cd"), R.CONSEQUENCE_COUNT
-    )
-    ev = left_join_bounded(
-        ev,
-        counts,
-        is_intogen
-        & F.col(R.TARGET).eqNullSafe(F.col("_ct"))
-        & F.col(R.DISEASE).eqNullSafe(F.col("_cd")),
-        is_intogen,
-        max_broadcast_rows,
-    ).drop("_ct", "_cd")
-
-    label = onco_label.select("target_id", R.ONCO_LABEL)
-    ev = left_join_bounded(
-        ev, label, F.col(R.TARGET) == F.col("target_id"), F.col(R.TARGET).isNotNull(), max_broadcast_rows
-    ).drop("target_id")
-
-    decisions = study.select("stMethod", R.STUDY_DECISION)
-    ev = left_join_bounded(
-        ev, decisions, F.col(R.METHOD) == F.col("stMethod"), F.col(R.METHOD).isNotNull(), max_broadcast_rows
-    ).drop("stMethod")
-
-    pairs = mech_pairs.select("drugId2", "targetId2", R.ACTION, "mechanismOfAction")
-    ev = left_join_bounded(
-        ev,
-        pairs,
-        (F.col("drugId2") == F.col("drugId")) & (F.col("targetId2") == F.col(R.TARGET)),
-        F.col("drugId").isNotNull() & F.col(R.TARGET).isNotNull(),
-        max_broadcast_rows,
-    ).drop("drugId2", "targetId2")
-    return ev
-
-
-def label(annotated: DataFrame, params: R.RuleParams) -> DataFrame:
-    """Add ``Assessment`` and its normal forms to annotated evidence."""
-    with_label = annotated.withColumn("Assessment", R.assessment(params))
-    h = R.homogenize(F.col("Assessment"))
-    with_h = with_label.withColumn("homogenized", h)
-    return with_h.withColumns(
+def with_label(evidence: DataFrame, label: DataFrame) -> DataFrame:
+    return evidence.join(label, F.col(R.TARGET) == F.col("target_id"), "left").drop("target_id")
+
+
+def with_study(evidence: DataFrame, study: DataFrame) -> DataFrame:
+    return evidence.join(study, F.col(R.METHOD) == F.col("stMethod"), "left").drop("stMethod")
+
+
+def with_mechanisms(evidence: DataFrame, mechanisms: DataFrame) -> DataFrame:
+    """Add the drug's mechanisms on the target (a row for each)."""
+    same = (F.col("drugId2") == F.col("drugId")) & (F.col("targetId2") == F.col(R.TARGET))
+    return evidence.join(mechanisms, same, "left").drop("drugId2", "targetId2")
+
+
+JOINS = {"counts": with_counts, "label": with_label, "study": with_study, "mechanisms": with_mechanisms}
+
+
+def label(annotated: DataFrame, source: str, params: R.RuleParams) -> DataFrame:
+    """Add ``Assessment`` by the rules of ``source`` (NULL without rules) and its normal forms."""
+    assessment = F.lit(None).cast("string")
+    if source in R.SOURCE_RULES:
+        assessment = F.when(F.col(R.SOURCE) == source, R.source_assessment(source, params))
+    ev = annotated.withColumn("Assessment", assessment)
+    ev = ev.withColumn("homogenized", R.homogenize(F.col("Assessment")))
+    return ev.withColumns(
         {
             "tendency": R.tendency(F.col("homogenized")),
             "variation": R.variation(F.col("homogenized")),
@@ -112,14 +113,46 @@ def label(annotated: DataFrame, params: R.RuleParams) -> DataFrame:
     )
 
 
+def branch(source: str, evidence: DataFrame, sides: Mapping[str, DataFrame], params: R.RuleParams) -> DataFrame:
+    """The assessed rows of one source, with the given side tables joined."""
+    ev = prepare(evidence)
+    for name, side in sides.items():
+        ev = JOINS[name](ev, side)
+    return label(ev, source, params)
+
+
+def counts_of(frames: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Consequence counts over all frames that carry consequences."""
+    held = [
+        f.select(R.TARGET, R.DISEASE, R.SOURCE, "mutatedSamples") for f in frames.values() if "mutatedSamples" in f.columns
+    ]
+    return consequence_count(union_aligned(held)) if held else None
+
+
 def assess(
-    evidence: DataFrame,
-    onco_label: DataFrame,
-    study: DataFrame,
-    mech_pairs: DataFrame,
-    params: R.RuleParams,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    frames: Mapping[str, DataFrame], sides: Sides, params: R.RuleParams, full: bool = False, only: str | None = None
 ) -> DataFrame:
-    """Unified evidence -> assessed evidence (one row per evidence row, or
-    more where a drug has several mechanisms on the target)."""
-    return label(annotate(evidence, onco_label, study, mech_pairs, max_broadcast_rows), params)
+    """Per-source evidence -> assessed evidence (one row per evidence row, or
+    more where a drug has several mechanisms on the target).
+
+    Every source is joined with the side its rules need.  With ``full`` every
+    row also gets the gene label, the consequence count, and, where the source
+    has a study method or a drug, the study's and the mechanism's columns.
+    ``only`` assesses a single source.  Frames of sources without rules are
+    kept with a NULL assessment.
+    """
+    tables = {"label": sides.label, "study": sides.study, "mechanisms": sides.mechanisms}
+    out = []
+    for source, frame in frames.items():
+        if only is not None and source != only:
+            continue
+        wanted = [NEEDS[source]] if source in NEEDS else []
+        if full:
+            own = [("study", R.METHOD), ("mechanisms", "drugId")]
+            wanted = ["counts", "label", *[name for name, column in own if column in frame.columns]]
+        joined = {name: tables[name] for name in wanted if name in tables}
+        # Rules that read the count see their own source's arrays alone.
+        if "counts" in wanted and (counts := counts_of(frames if full else {source: frame})) is not None:
+            joined["counts"] = counts
+        out.append(branch(source, frame, joined, params))
+    return union_aligned(out)

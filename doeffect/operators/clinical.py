@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coherence as C
 from ..functions import rules as R
 from ..functions import vocab as V
-from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded, semi_join_bounded
-from .matrix import count_where, subset_predicates
+from .matrix import subset_predicates
 
 # Internal flag: true on exactly one spine row per (target, disease) pair.
 PAIR_FLAG = "_pair_first"
@@ -53,86 +54,73 @@ def evidence_presence(assessed: DataFrame) -> DataFrame:
     )
 
 
-def evaluable_sources(assessed: DataFrame) -> DataFrame:
+def evaluable_sources(counts: DataFrame) -> DataFrame:
     """``targetId, diseaseId, datasourceIds``: sorted non-drug sources with a
-    directional (or bivalent-intogen) assessment.  At most one entry per
-    source, so the collected set is bounded."""
-    directional = F.col("Assessment").isin(V.NON_DIRECTIONAL_TERMS) == F.lit(False)
+    directional (or bivalent-intogen) assessment, from :func:`label_counts`.
+
+    The unified label of every other assessment is ``evidenceDif``.  At most
+    one entry per source, so the collected set is bounded.
+    """
+    usable = (F.col("unified") != "evidenceDif") & (F.col(R.SOURCE) != V.DRUG_SOURCE)
     return (
-        assessed.where(directional & (F.col(R.SOURCE) != V.DRUG_SOURCE))
-        .groupBy(R.TARGET, R.DISEASE)
-        .agg(F.sort_array(F.collect_set(R.SOURCE)).alias("datasourceIds"))
+        counts.groupBy(R.TARGET, R.DISEASE)
+        .agg(F.sort_array(F.collect_set(F.when(usable, F.col(R.SOURCE)))).alias("datasourceIds"))
+        .where(F.size("datasourceIds") > 0)
     )
 
 
-def drug_pairs(assessed: DataFrame) -> DataFrame:
+def drug_pairs(drug_evidence: DataFrame) -> DataFrame:
     """Distinct (target, disease) pairs with drug evidence: the spine keys."""
     return (
-        assessed.where(_is_drug())
+        drug_evidence.where(_is_drug())
         .select(F.col(R.TARGET).alias("_pt"), F.col(R.DISEASE).alias("_pd"))
         .distinct()
     )
 
 
-def restrict_to_drug_pairs(
-    assessed: DataFrame,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    pairs_from: DataFrame | None = None,
-) -> DataFrame:
-    """Evidence rows of pairs that have drug evidence (all their rows, any source).
-
-    Every value of the spine and of the scoring is an aggregate over the
-    rows of one drug pair, so rows of other pairs can be dropped before the
-    pair aggregation.  Drug pairs are few next to all evidence pairs, so the
-    key set is broadcast and the evidence is filtered map-side; NULL keys
-    match NULL keys, as grouping does.  ``pairs_from`` may be the raw
-    (unannotated) evidence: annotation keeps every row, so it has the same
-    drug pairs and they are found without the annotation joins.
+def restrict_to_drug_pairs(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows of every source whose pair has drug evidence.
+
+    Every value of the spine and of the scoring is an aggregate over the rows
+    of one drug pair, so rows of other pairs leave before anything is joined
+    to them.  NULL keys match NULL keys, as grouping does.  The semi join has
+    no hint: Spark broadcasts the pairs if they are small in bytes.
     """
-    pairs = drug_pairs(assessed if pairs_from is None else pairs_from)
-    cond = F.col(R.TARGET).eqNullSafe(F.col("_pt")) & F.col(R.DISEASE).eqNullSafe(F.col("_pd"))
-    return semi_join_bounded(assessed, pairs, cond, max_broadcast_rows)
+    pairs = drug_pairs(frames[V.DRUG_SOURCE])
+    same = F.col(R.TARGET).eqNullSafe(F.col("_pt")) & F.col(R.DISEASE).eqNullSafe(F.col("_pd"))
+    return {source: frame.join(pairs, same, "left_semi") for source, frame in frames.items()}
 
 
 def subset_column(index: int, label: str) -> str:
     return f"s{index}_{label}"
 
 
-def pair_profile(assessed: DataFrame) -> DataFrame:
-    """Everything the scoring needs, per (target, disease), in one aggregation.
+def pair_profile(counts: DataFrame) -> DataFrame:
+    """Everything the scoring needs, per (target, disease), from :func:`label_counts`.
 
     For each of the 13 subsets and each unified label: the cell of that
     subset's presence matrix (NULL = absent).  For the drug rows: row count,
     protective-direction counts, max trial phase.  For non-drug rows: the
-    evidence count.  One hash aggregation over the assessed evidence, with
-    map-side partial aggregation, so a hot pair is combined before the
-    shuffle; it replaces 13 pivots, the drug pivot, the phase and evidence
-    aggregations and the joins between them.
+    evidence count.
     """
-    unified = F.col("unified")
+    unified, n, drug = F.col("unified"), F.col("n"), _is_drug()
     aggs = [
-        count_where(pred & (unified == v)).alias(subset_column(i, v))
+        F.sum(F.when(pred & (unified == v), n)).alias(subset_column(i, v))
         for i, (_, pred) in enumerate(subset_predicates())
         for v in V.UNIFIED_VALUES
     ]
-    drug = _is_drug()
-    homog = F.col("homogenized")
     aggs += [
-        F.count_if(drug).alias("drug_rows"),
-        count_where(drug & (homog == "LoF_protect")).alias("LoF_protectC"),
-        count_where(drug & (homog == "GoF_protect")).alias("GoF_protectC"),
-        F.max(F.when(drug, F.col("clinicalPhase"))).alias("maxClinPhase"),
-        count_where(F.col(R.SOURCE) != V.DRUG_SOURCE).alias("Nr_evidences"),
+        F.coalesce(F.sum(F.when(drug, F.col("rows"))), F.lit(0)).alias("drug_rows"),
+        # The drug rules give directions whose unified label is the same.
+        F.sum(F.when(drug & (unified == "LoF_protect"), n)).alias("LoF_protectC"),
+        F.sum(F.when(drug & (unified == "GoF_protect"), n)).alias("GoF_protectC"),
+        F.max(F.when(drug, F.col("phase"))).alias("maxClinPhase"),
+        F.sum(F.when(F.col(R.SOURCE) != V.DRUG_SOURCE, n)).alias("Nr_evidences"),
     ]
-    return assessed.groupBy(R.TARGET, R.DISEASE).agg(*aggs)
+    return counts.groupBy(R.TARGET, R.DISEASE).agg(*aggs)
 
 
-def clinical_spine(
-    profile: DataFrame,
-    area: DataFrame,
-    keep_subsets: bool = False,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
+def clinical_spine(profile: DataFrame, area: DataFrame, keep_subsets: bool = False) -> DataFrame:
     """Drug (target, disease) pairs with drug directions, phase, evidence flag and area.
 
     ``area`` is :func:`primary_area` output; a disease with tied areas gives
@@ -165,13 +153,7 @@ def clinical_spine(
         "taLabelSimple",
         (F.row_number().over(first) == 1).alias("_first_area"),
     )
-    spine = left_join_bounded(
-        spine,
-        side,
-        F.col("diseaseIdC") == F.col("_area_disease"),
-        F.col("diseaseIdC").isNotNull(),
-        max_broadcast_rows,
-    ).drop("_area_disease")
+    spine = spine.join(side, F.col("diseaseIdC") == F.col("_area_disease"), "left").drop("_area_disease")
     spine = spine.withColumns(
         {
             "geneticEvidenceAssessment": F.when(

@@ -124,41 +124,3 @@ def contingency(
     return contingency_grid(
         scored, [(comparison, comparison_type)], [(prediction, prediction_type)], pair_flag
     )
-
-
-def contingency_windows(
-    scored: DataFrame,
-    comparison: str,
-    prediction: str,
-    comparison_type: str = "byDatatype",
-    prediction_type: str = "clinical",
-) -> DataFrame:
-    """Literal three-window form of :func:`contingency` (for equivalence checks).
-
-    Counts over (comparison, prediction), prediction and comparison windows
-    on the row level, filters NULL labels, then removes duplicates.  Every
-    window shuffles all scored rows; the grouped form does not.
-    """
-    by_both = Window.partitionBy("dataset", comparison, prediction)
-    by_pred = Window.partitionBy("dataset", prediction)
-    by_comp = Window.partitionBy("dataset", comparison)
-    totals = pair_total(scored)
-    out = (
-        scored.join(totals, "dataset")
-        .select(
-            "dataset",
-            F.lit(comparison).alias("comparisonColumn"),
-            F.lit(prediction).alias("predictionColumn"),
-            F.col(prediction).alias("prediction"),
-            F.col(comparison).alias("comparison"),
-            F.lit(comparison_type).alias("comparisonType"),
-            F.lit(prediction_type).alias("predictionType"),
-            F.count(KEY).over(by_both).alias("a"),
-            F.count(KEY).over(by_pred).alias("predictionTotal"),
-            F.count(KEY).over(by_comp).alias("comparisonTotal"),
-            "total",
-        )
-        .where(F.col("prediction").isNotNull() & F.col("comparison").isNotNull())
-        .distinct()
-    )
-    return out.select(*CONTINGENCY_COLUMNS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import vocab as V
-from .joins import DEFAULT_BROADCAST_ROWS, left_join_bounded
+from .assess import with_mechanisms
 
 
 def count_where(cond: Column, counted: str = R.TARGET) -> Column:
@@ -49,6 +49,18 @@ def subset_predicates() -> list[tuple[str, Column]]:
     return preds
 
 
+def label_counts(assessed: DataFrame) -> DataFrame:
+    """Rows per (target, disease, source, unified label): ``rows, n, phase``.
+
+    ``n`` counts rows with a target, ``phase`` is the largest trial phase.  At
+    most one row per source and label of a pair, whatever its evidence; all
+    per-pair values are folded from this table.
+    """
+    return assessed.groupBy(R.TARGET, R.DISEASE, R.SOURCE, "unified").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(R.TARGET).alias("n"), F.max("clinicalPhase").alias("phase")
+    )
+
+
 def subset_labels() -> Column:
     """Array of the subset names a row belongs to (0 to 4 names)."""
     return F.filter(
@@ -57,51 +69,30 @@ def subset_labels() -> Column:
     )
 
 
-def subset_matrix(
-    assessed: DataFrame, label: str = "unified", values: Sequence[str] = V.UNIFIED_VALUES
-) -> DataFrame:
+def subset_matrix(counts: DataFrame, values: Sequence[str] = V.UNIFIED_VALUES) -> DataFrame:
     """Presence matrix of every subset at once: ``dataset, targetId, diseaseId, <values>``.
 
-    Each row is tagged with the subsets it belongs to and exploded (at most
-    4 copies, combined map-side by partial aggregation before the shuffle),
-    then one aggregation keyed by (dataset, target, disease) replaces one
-    pivot job per subset.
+    Folded from :func:`label_counts`, so the copies for up to four subsets are
+    made of that small table and not of the evidence.
     """
-    tagged = assessed.select(
-        F.explode(subset_labels()).alias("dataset"), R.TARGET, R.DISEASE, label
+    tagged = counts.select(F.explode(subset_labels()).alias("dataset"), R.TARGET, R.DISEASE, "unified", "n")
+    return tagged.groupBy("dataset", R.TARGET, R.DISEASE).agg(
+        *[F.sum(F.when(F.col("unified") == v, F.col("n"))).alias(v) for v in values]
     )
-    return direction_matrix(tagged, ("dataset", R.TARGET, R.DISEASE), label, values)
 
 
-def drug_actions(
-    drug_evidence: DataFrame,
-    mech_pairs: DataFrame,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
+def drug_actions(drug_evidence: DataFrame, mech_pairs: DataFrame) -> DataFrame:
     """Drug evidence with its mechanism(s) and action class ``twoCategories_new``."""
-    rows = drug_evidence.select(
-        R.TARGET, "drugId", R.DISEASE, "clinicalPhase"
-    )
-    pairs = mech_pairs.select("drugId2", "targetId2", R.ACTION, "mechanismOfAction")
-    joined = left_join_bounded(
-        rows,
-        pairs,
-        (F.col("drugId2") == F.col("drugId")) & (F.col("targetId2") == F.col(R.TARGET)),
-        F.col("drugId").isNotNull() & F.col(R.TARGET).isNotNull(),
-        max_broadcast_rows,
-    ).drop("drugId2", "targetId2")
+    rows = drug_evidence.select(R.TARGET, "drugId", R.DISEASE, "diseaseFromSourceId", "clinicalPhase")
+    joined = with_mechanisms(rows, mech_pairs)
     return joined.withColumn("twoCategories_new", R.action_class(F.col(R.ACTION)))
 
 
-def action_matrix(
-    drug_evidence: DataFrame,
-    mech_pairs: DataFrame,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
+def action_matrix(drug_evidence: DataFrame, mech_pairs: DataFrame) -> DataFrame:
     """Per (target, disease): drug rows acting as activator / inhibitor, and
     ``coherency`` = dispar when both occur (else NULL).  Non-evaluable
     actions are left out."""
-    classified = drug_actions(drug_evidence, mech_pairs, max_broadcast_rows).where(
+    classified = drug_actions(drug_evidence, mech_pairs).where(
         F.col("twoCategories_new") != "noEvaluable"
     )
     m = direction_matrix(

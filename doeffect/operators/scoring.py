@@ -75,28 +75,3 @@ def _evidence_side(rows: DataFrame, extra: list[str] | None = None) -> DataFrame
     return keyed.withColumn(
         "coherency_others", F.when(F.col("targetIdO").isNotNull(), C.evidence_coherence())
     )
-
-
-def score_from_matrix(matrix: DataFrame, spine: DataFrame) -> DataFrame:
-    """The same scoring from a long subset matrix and a plain spine, by join.
-
-    Every spine row is repeated once per subset and left-joined with the
-    matrix on (dataset, target, disease).  Kept as the literal form for
-    equivalence checks; :func:`score` needs no join.
-    """
-    names = F.array(*[F.lit(n) for n, _ in subset_predicates()])
-    rows = spine.select(*SPINE_COLUMNS, F.explode(names).alias("dataset"))
-    m = matrix.select(
-        F.col("dataset").alias("_ds"),
-        F.col(R.TARGET).alias("targetIdO"),
-        F.col(R.DISEASE).alias("diseaseIdO"),
-        *[F.col(v).cast("int").cast("bigint").alias(v) for v in V.MATRIX_COLUMNS],
-    ).withColumn("coherency_others", C.evidence_coherence())
-    joined = rows.join(
-        m,
-        (F.col("dataset") == F.col("_ds"))
-        & (F.col("targetIdC") == F.col("targetIdO"))
-        & (F.col("diseaseIdC") == F.col("diseaseIdO")),
-        "left",
-    ).drop("_ds")
-    return _finish(joined)

@@ -13,12 +13,11 @@ from ..sources import fixtures, readers
 
 @dataclass
 class Inputs:
-    evidence: DataFrame  # unified evidence of the ten sources
+    evidence: dict[str, DataFrame]  # one frame per source
     targets: DataFrame  # id, approvedSymbol, hallmarks.attributes[].description
     mechanisms: DataFrame  # chemblIds, actionType, mechanismOfAction, targets
-    study: DataFrame  # stMethod, whatToDo
+    study: DataFrame  # stMethod, whatToDo, ...
     diseases: DataFrame  # id, descendants, therapeuticAreas
-    areas: DataFrame  # taId, taLabel, taLabelSimple, taRank
     params: R.RuleParams
     ontology: DataFrame | None = None  # Accession, Parents
 
@@ -26,12 +25,11 @@ class Inputs:
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     """Inputs derived from ``lineitem``/``part``/``nation`` under ``sf_dir``."""
     return Inputs(
-        evidence=fixtures.evidence(spark, sf_dir),
+        evidence=fixtures.source_frames(spark, sf_dir),
         targets=fixtures.targets(spark, sf_dir),
         mechanisms=fixtures.mechanisms(spark, sf_dir),
         study=fixtures.study_inclusion(spark, sf_dir),
         diseases=fixtures.diseases(spark, sf_dir),
-        areas=readers.therapeutic_areas(spark),
         params=R.RuleParams(var_filter_lof=fixtures.FIXTURE_VAR_FILTER_LOF),
         ontology=fixtures.sequence_ontology(spark, sf_dir),
     )
@@ -47,12 +45,11 @@ def release_inputs(
     """Inputs of a data release laid out as ``<root>/evidence/sourceId=<s>/``
     plus ``targets``, ``diseases``, ``mechanismOfAction`` folders."""
     return Inputs(
-        evidence=readers.read_evidence(spark, f"{root.rstrip('/')}/evidence", V.EVIDENCE_SOURCES),
+        evidence=readers.read_sources(spark, f"{root.rstrip('/')}/evidence", V.EVIDENCE_SOURCES),
         targets=readers.read_entity(spark, root, "targets"),
         mechanisms=readers.read_entity(spark, root, "mechanismOfAction"),
         study=readers.read_study_inclusion(spark, study_csv),
         diseases=readers.read_entity(spark, root, "diseases"),
-        areas=readers.therapeutic_areas(spark),
         params=R.RuleParams(var_filter_lof=var_filter_lof),
         ontology=readers.read_sequence_ontology(spark, ontology_csv) if ontology_csv else None,
     )

@@ -40,40 +40,45 @@ ev_k AS (
     CAST(floor((l_orderkey * 11 + l_partkey * 17 + l_linenumber * 5) / 3.0) AS BIGINT) AS k2
   FROM lineitem),
 ev_k1 AS (SELECT *, CAST(floor(k0 / 10.0) AS BIGINT) AS k1 FROM ev_k),
+ev_s AS (SELECT *,
+    CASE WHEN k0 % 101 = 0 THEN 'clingen' WHEN k0 % 103 = 1 THEN NULL ELSE CASE k0 % 10 WHEN 0 THEN 'ot_genetics_portal' WHEN 1 THEN 'gene_burden' WHEN 2 THEN 'eva'
+      WHEN 3 THEN 'eva_somatic' WHEN 4 THEN 'gene2phenotype' WHEN 5 THEN 'orphanet'
+      WHEN 6 THEN 'cancer_gene_census' WHEN 7 THEN 'intogen' WHEN 8 THEN 'impc' ELSE 'chembl' END END AS src
+  FROM ev_k1),
 evidence AS (
   SELECT
-    'T' || CAST(l_partkey % 100 AS VARCHAR) AS targetId,
-    'D' || CAST(l_orderkey % 60 AS VARCHAR) AS diseaseId,
-    CASE k0 % 10 WHEN 0 THEN 'ot_genetics_portal' WHEN 1 THEN 'gene_burden' WHEN 2 THEN 'eva'
-      WHEN 3 THEN 'eva_somatic' WHEN 4 THEN 'gene2phenotype' WHEN 5 THEN 'orphanet'
-      WHEN 6 THEN 'cancer_gene_census' WHEN 7 THEN 'intogen' WHEN 8 THEN 'impc' ELSE 'chembl' END
-      AS datasourceId,
-    CASE WHEN k1 % 4 IN (0, 3) THEN l_discount - 0.05 END AS beta,
-    CASE WHEN k1 % 4 = 1 THEN l_quantity / 25.0 WHEN k1 % 4 = 3 THEN 1.5 END AS oddsRatio,
-    CASE k2 % 8 WHEN 0 THEN 'SO_0001587' WHEN 1 THEN 'SO_0001589' WHEN 2 THEN 'SO_0002315'
+    'T' || CAST(l_partkey // 10 AS VARCHAR) AS targetId,
+    CASE WHEN k2 % 97 <> 0 THEN 'D' || CAST(l_partkey // 2000 * 60 + l_orderkey % 60 AS VARCHAR) END AS diseaseId,
+    src AS datasourceId,
+    CASE WHEN src IN ('ot_genetics_portal', 'gene_burden') AND k1 % 4 IN (0, 3) THEN l_discount - 0.05 END AS beta,
+    CASE WHEN src IN ('ot_genetics_portal', 'gene_burden') THEN
+      CASE WHEN k1 % 4 = 1 THEN l_quantity / 25.0 WHEN k1 % 4 = 3 THEN 1.5 END END AS oddsRatio,
+    CASE WHEN src IN ('ot_genetics_portal', 'eva', 'eva_somatic', 'gene2phenotype', 'orphanet') THEN CASE k2 % 8 WHEN 0 THEN 'SO_0001587' WHEN 1 THEN 'SO_0001589' WHEN 2 THEN 'SO_0002315'
       WHEN 3 THEN 'SO_0002317' WHEN 4 THEN 'SO_0002053' WHEN 5 THEN 'SO_0002054'
-      WHEN 6 THEN 'SO_0001583' END AS v,
-    CASE CAST(floor(k1 / 4.0) AS BIGINT) % 4 WHEN 0 THEN 'SO_0002314' WHEN 1 THEN 'SO_0002315'
-      WHEN 2 THEN 'SO_0002316' END AS q,
-    CASE k1 % 5 WHEN 0 THEN ['pathogenic'] WHEN 1 THEN ['benign', 'likely pathogenic']
-      WHEN 2 THEN ['protective'] WHEN 3 THEN ['pathogenic', 'risk factor'] END AS sigs,
-    CASE k2 % 6 WHEN 0 THEN ['SO_0002053'] WHEN 1 THEN ['SO_0002054']
+      WHEN 6 THEN 'SO_0001583' END END AS v,
+    CASE WHEN src = 'ot_genetics_portal' THEN CASE CAST(floor(k1 / 4.0) AS BIGINT) % 4 WHEN 0 THEN 'SO_0002314'
+      WHEN 1 THEN 'SO_0002315' WHEN 2 THEN 'SO_0002316' END END AS q,
+    CASE WHEN src IN ('eva', 'eva_somatic') THEN CASE k1 % 5 WHEN 0 THEN ['pathogenic'] WHEN 1 THEN ['benign', 'likely pathogenic']
+      WHEN 2 THEN ['protective'] WHEN 3 THEN ['pathogenic', 'risk factor'] END END AS sigs,
+    CASE WHEN src IN ('intogen', 'cancer_gene_census') THEN CASE k2 % 6 WHEN 0 THEN ['SO_0002053'] WHEN 1 THEN ['SO_0002054']
       WHEN 2 THEN ['SO_0002053', 'SO_0002054'] WHEN 3 THEN ['SO_0001583', NULL]
-      WHEN 4 THEN ['SO_0001583'] END AS cids,
-    'M' || CAST(l_partkey % 6 AS VARCHAR) AS method,
-    CASE WHEN k0 % 10 = 9 THEN 'C' || CAST(l_suppkey % 20 AS VARCHAR) END AS drugId,
-    CAST(CASE l_linenumber WHEN 1 THEN 0.5 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3
-      WHEN 5 THEN 4 END AS DOUBLE) AS clinicalPhase
-  FROM ev_k1),
+      WHEN 4 THEN ['SO_0001583'] END END AS cids,
+    CASE WHEN src = 'gene_burden' THEN 'M' || CAST(l_partkey // 50 AS VARCHAR) END AS method,
+    CASE WHEN src = 'chembl' THEN 'C' || CAST(l_suppkey AS VARCHAR) END AS drugId,
+    CASE WHEN src = 'chembl' THEN CAST(CASE l_linenumber WHEN 1 THEN 0.5 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3
+      WHEN 5 THEN 4 END AS DOUBLE) END AS clinicalPhase,
+    CASE WHEN src = 'chembl' THEN 'S' || CAST(l_orderkey % 500 AS VARCHAR) END AS diseaseFromSourceId
+  FROM ev_s),
 drug_ev AS (SELECT * FROM evidence WHERE datasourceId = 'chembl'),
 mechanisms AS (
   SELECT DISTINCT
-    ['C' || CAST(l_suppkey % 20 AS VARCHAR)] AS chemblIds,
-    CASE (l_suppkey % 20 + l_partkey % 100) % 5 WHEN 0 THEN 'INHIBITOR' WHEN 1 THEN 'AGONIST'
+    CASE l_partkey % 3 WHEN 0 THEN ['C' || CAST(l_suppkey AS VARCHAR)] WHEN 1 THEN CAST([] AS VARCHAR[]) END AS chemblIds,
+    CASE (l_suppkey + l_partkey // 10) % 5 WHEN 0 THEN 'INHIBITOR' WHEN 1 THEN 'AGONIST'
       WHEN 2 THEN 'BLOCKER' WHEN 3 THEN 'BINDING AGENT' END AS actionType,
     'moa-' || CAST(l_linenumber % 2 AS VARCHAR) AS mechanismOfAction,
-    ['T' || CAST(l_partkey % 100 AS VARCHAR), 'T' || CAST((l_partkey + 1) % 100 AS VARCHAR)] AS targets
-  FROM lineitem WHERE l_partkey % 3 = 0),
+    CASE l_partkey % 11 WHEN 5 THEN CAST([] AS VARCHAR[]) WHEN 6 THEN NULL
+      ELSE ['T' || CAST(l_partkey // 10 AS VARCHAR), 'T' || CAST(l_partkey // 10 + 1 AS VARCHAR)] END AS targets
+  FROM lineitem),
 mech_drug AS (
   SELECT unnest(CASE WHEN len(chemblIds) > 0 THEN chemblIds ELSE [NULL::VARCHAR] END) AS drugId2,
     actionType, mechanismOfAction, targets
@@ -84,11 +89,12 @@ mech_pairs AS (
     drugId2, actionType, mechanismOfAction
   FROM mech_drug),
 target_rows AS (
-  SELECT 'T' || CAST(p_partkey % 100 AS VARCHAR) AS id,
-    'SYM' || CAST(p_partkey % 100 AS VARCHAR) AS approvedSymbol,
-    CASE p_size % 7 WHEN 0 THEN 'TSG' WHEN 1 THEN 'oncogene' WHEN 2 THEN 'oncogene,fusion'
-      WHEN 3 THEN 'fusion,oncogene' WHEN 4 THEN 'TSG,oncogene' ELSE p_type END AS description
-  FROM part WHERE p_partkey % 100 < 80 AND p_partkey < 200),
+  SELECT 'T' || CAST(p_partkey // 10 AS VARCHAR) AS id,
+    'SYM' || CAST(p_partkey // 10 AS VARCHAR) AS approvedSymbol,
+    CASE (p_partkey // 10 + (p_size % 2) * ((p_partkey // 10) % 3)) % 9 WHEN 0 THEN 'TSG' WHEN 1 THEN 'oncogene'
+      WHEN 2 THEN 'oncogene,fusion' WHEN 3 THEN 'fusion,oncogene' WHEN 4 THEN 'TSG,oncogene' WHEN 5 THEN 'Oncogene'
+      ELSE p_type END AS description
+  FROM part),
 onco AS (
   SELECT id AS target_id, approvedSymbol,
     list_sort(list(DISTINCT description)) AS description,
@@ -100,23 +106,33 @@ onco AS (
   FROM target_rows WHERE description IN {_list(V.ONCO_TSG_DESCRIPTIONS)}
   GROUP BY id, approvedSymbol),
 study AS (
-  SELECT * FROM (VALUES ('M0', 'get'), ('M1', 'notGet'), ('M2', 'get'), ('M3', 'noGet'))
-    AS t(stMethod, whatToDo)),
-intogen_arrays AS (
-  SELECT DISTINCT targetId, diseaseId,
-    list_filter(cids, lambda x, i: x IS NOT NULL AND list_position(cids, x) = i) AS ids
-  FROM evidence WHERE datasourceId = 'intogen'),
-intogen_counts AS (
-  SELECT targetId, diseaseId, CAST(coalesce(sum(len(ids)), 0) AS INTEGER) AS intogenAnnot
-  FROM intogen_arrays GROUP BY targetId, diseaseId),
+  SELECT CASE WHEN m % 6 < 4 THEN 'M' ELSE 'unused-' END || CAST(m AS VARCHAR) AS stMethod,
+    CAST(m AS VARCHAR) AS "count", CASE WHEN m % 2 = 0 THEN 'a note, with comma' END AS "comment",
+    CASE m % 4 WHEN 0 THEN 'get' WHEN 1 THEN 'notGet' WHEN 2 THEN 'get' WHEN 3 THEN 'noGet' END AS whatToDo
+  FROM (SELECT DISTINCT p_partkey // 50 AS m FROM part)),
+cleaned AS (
+  SELECT *, list_filter(cids, lambda x, i: x IS NOT NULL AND list_position(cids, x) = i) AS ids FROM evidence),
+counted AS (
+  SELECT * EXCLUDE (ids), coalesce(CAST(list_sum(list_transform(
+      list(DISTINCT ids) FILTER (ids IS NOT NULL) OVER (
+        PARTITION BY targetId, diseaseId ORDER BY CASE WHEN datasourceId = 'intogen' THEN 0 ELSE 1 END
+        RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      lambda x: len(x))) AS INTEGER), 0) AS intogenAnnot
+  FROM cleaned),
+pair_arrays AS (
+  SELECT targetId, diseaseId, ids, bool_or(datasourceId = 'intogen') AS mine
+  FROM cleaned WHERE ids IS NOT NULL GROUP BY ALL),
+pair_counts AS (
+  SELECT targetId, diseaseId, CAST(sum(CASE WHEN mine THEN len(ids) ELSE 0 END) AS INTEGER) AS own,
+    CAST(sum(len(ids)) AS INTEGER) AS every
+  FROM pair_arrays GROUP BY targetId, diseaseId),
 annotated AS (
   SELECT e.*,
     CAST(e.beta AS REAL) AS b, CAST(e.oddsRatio AS REAL) AS o,
     coalesce(array_to_string(e.sigs, ','), '') AS sig,
-    ic.intogenAnnot, onco.TSorOncogene, st.whatToDo, mp.actionType, mp.mechanismOfAction
-  FROM evidence e
-  LEFT JOIN intogen_counts ic ON e.datasourceId = 'intogen'
-    AND ic.targetId IS NOT DISTINCT FROM e.targetId AND ic.diseaseId IS NOT DISTINCT FROM e.diseaseId
+    onco.approvedSymbol, onco.description, onco.TSorOncogene, st.whatToDo, st."count", st."comment",
+    mp.actionType, mp.mechanismOfAction
+  FROM counted e
   LEFT JOIN onco ON onco.target_id = e.targetId
   LEFT JOIN study st ON st.stMethod = e.method
   LEFT JOIN mech_pairs mp ON mp.drugId2 = e.drugId AND mp.targetId2 = e.targetId),
@@ -192,14 +208,15 @@ ta AS (
     {_TA_ROWS}
   ) AS t(taId, taLabel, taLabelSimple, taRank)),
 disease_rows AS (
-  SELECT DISTINCT 'D' || CAST(l_orderkey % 60 AS VARCHAR) AS id,
+  SELECT DISTINCT 'D' || CAST(l_partkey // 2000 * 60 + l_orderkey % 60 AS VARCHAR) AS id,
     CASE WHEN (l_orderkey % 60) % 10 = 9 THEN NULL
-      WHEN l_orderkey % 60 < 20 THEN ['D' || CAST(l_orderkey % 60 + 20 AS VARCHAR),
-                                      'D' || CAST(l_orderkey % 60 + 40 AS VARCHAR)]
+      WHEN l_orderkey % 60 < 20 THEN ['D' || CAST(l_partkey // 2000 * 60 + l_orderkey % 60 + 20 AS VARCHAR),
+                                      'D' || CAST(l_partkey // 2000 * 60 + l_orderkey % 60 + 40 AS VARCHAR)]
       ELSE CAST([] AS VARCHAR[]) END AS descendants,
-    CASE (l_orderkey % 60) % 5 WHEN 0 THEN ['EFO_0005741', 'MONDO_0045024']
+    CASE WHEN (l_orderkey % 60) % 15 = 4 THEN ['EFO_0000319', 'EFO_0000319'] ELSE
+      CASE (l_orderkey % 60) % 5 WHEN 0 THEN ['EFO_0005741', 'MONDO_0045024']
       WHEN 1 THEN ['EFO_0000319'] WHEN 2 THEN ['EFO_0000540', 'EFO_0000651']
-      WHEN 3 THEN ['UNLISTED'] END AS therapeuticAreas
+      WHEN 3 THEN ['UNLISTED'] END END AS therapeuticAreas
   FROM lineitem),
 disease_ta AS (
   SELECT x.diseaseId, x.taId, ta.taLabel, ta.taLabelSimple, ta.taRank
@@ -217,6 +234,8 @@ so AS (
     CASE WHEN n_nationkey = 0 THEN NULL
       WHEN n_nationkey % 3 = 0
         THEN 'NATION_' || CAST(CAST(floor((n_nationkey - 1) / 2.0) AS BIGINT) AS VARCHAR) || ',NATION_0'
+      WHEN n_nationkey % 5 = 0
+        THEN 'NATION_' || CAST(CAST(floor((n_nationkey - 1) / 2.0) AS BIGINT) AS VARCHAR) || ', NATION_1'
       ELSE 'NATION_' || CAST(CAST(floor((n_nationkey - 1) / 2.0) AS BIGINT) AS VARCHAR) END AS Parents
   FROM nation)
 """
@@ -407,7 +426,7 @@ UNION_ARMS = {
     "eva_somatic": "v AS variantFunctionalConsequenceId, sigs AS clinicalSignificances",
     "gene2phenotype": "v AS variantFunctionalConsequenceId",
     "orphanet": "v AS variantFunctionalConsequenceId",
-    "cancer_gene_census": None,
+    "cancer_gene_census": "cids AS consequenceIds",
     "intogen": "cids AS consequenceIds",
     "impc": None,
     "chembl": "drugId, clinicalPhase",
@@ -451,9 +470,20 @@ FROM unioned""",
   statisticalMethodOverview, drugId, clinicalPhase
 FROM unioned""",
     ),
+    "read_entity": _q(
+        select="SELECT id, approvedSymbol, array_to_string(list_sort(list(description)), '|') AS descriptions "
+        "FROM target_rows GROUP BY id, approvedSymbol"
+    ),
+    "read_study_csv": _q(select='SELECT stMethod, "count", "comment", whatToDo FROM study'),
+    "read_ontology_csv": _q(select="SELECT Accession, Parents FROM so"),
+    "ensure_columns": _q(
+        select=f"SELECT targetId, diseaseId, {_cells(['LoF_risk', 'evidenceDif'])}, CAST(NULL AS BIGINT) AS LoF_protect, "
+        "CAST(NULL AS BIGINT) AS GoF_protect, CAST(NULL AS BIGINT) AS GoF_risk FROM assessed "
+        "WHERE datasourceId = 'impc' GROUP BY targetId, diseaseId"
+    ),
     "mechanism_pairs": _q(select="SELECT targetId2, drugId2, actionType, mechanismOfAction FROM mech_pairs"),
     "action_class": _q(
-        select=f"""SELECT e.targetId, e.drugId, e.diseaseId, e.clinicalPhase, mp.actionType, mp.mechanismOfAction,
+        select=f"""SELECT e.targetId, e.drugId, e.diseaseId, e.diseaseFromSourceId, e.clinicalPhase, mp.actionType, mp.mechanismOfAction,
   CASE WHEN mp.actionType IN {INHIBITORS} THEN 'inhibitor'
     WHEN mp.actionType IN {ACTIVATORS} THEN 'activator' ELSE 'noEvaluable' END AS twoCategories_new
 FROM drug_ev e LEFT JOIN mech_pairs mp ON mp.drugId2 = e.drugId AND mp.targetId2 = e.targetId"""
@@ -464,24 +494,25 @@ FROM drug_ev e LEFT JOIN mech_pairs mp ON mp.drugId2 = e.drugId AND mp.targetId2
     CASE WHEN mp.actionType IN {INHIBITORS} THEN 'inhibitor'
       WHEN mp.actionType IN {ACTIVATORS} THEN 'activator' ELSE 'noEvaluable' END AS cls
   FROM drug_ev e LEFT JOIN mech_pairs mp ON mp.drugId2 = e.drugId AND mp.targetId2 = e.targetId)""",
-        f"""counted AS (
+        f"""action_counts AS (
   SELECT targetId, diseaseId,
     CAST({_cell('activator', 'cls')} AS INTEGER) AS activator,
     CAST({_cell('inhibitor', 'cls')} AS INTEGER) AS inhibitor
   FROM classified WHERE cls <> 'noEvaluable' GROUP BY targetId, diseaseId)""",
         select="""SELECT targetId, diseaseId, activator, inhibitor,
   CASE WHEN activator IS NOT NULL AND inhibitor IS NOT NULL THEN 'dispar' END AS coherency
-FROM counted""",
+FROM action_counts""",
     ),
     "oncogene_label": _q(
         select="SELECT target_id, approvedSymbol, array_to_string(description, '|') AS description, "
         "TSorOncogene FROM onco"
     ),
-    "consequence_count": _q(select="SELECT targetId, diseaseId, intogenAnnot FROM intogen_counts"),
+    "consequence_count": _q(select="SELECT targetId, diseaseId, own, every FROM pair_counts"),
     **{f"assess_{s}": _assess_source_sql(s) for s in V.EVIDENCE_SOURCES},
     "assess_all": _q(
-        select=f"SELECT {', '.join(ASSESSED_BASE)}, unified, intogenAnnot, TSorOncogene, whatToDo, actionType "
-        "FROM assessed"
+        select=f"SELECT {', '.join(ASSESSED_BASE)}, unified, intogenAnnot, approvedSymbol, "
+        "array_to_string(description, '|') AS description, TSorOncogene, whatToDo, \"count\", \"comment\", "
+        "drugId, diseaseFromSourceId, actionType, mechanismOfAction FROM assessed"
     ),
     "assessment_labels": _q(
         select="SELECT datasourceId, Assessment, homogenized, tendency, variation, count(*) AS n "
@@ -568,9 +599,12 @@ FROM so LEFT JOIN so_children c ON c.Parentalind = so.Accession""",
     ),
     "contingency_manifest": _q(
         SPINE, SCORED, _grid(),
-        select=f"""SELECT DISTINCT '{ROUNDTRIP_RUN}' AS run_date, dataset, comparisonColumn, predictionColumn,
-  '_' || dataset || '_' || comparisonColumn || '_' || predictionColumn AS cell FROM grid""",
+        "cells AS (SELECT * FROM (SELECT unnest(" + SUBSET_LIST + ") AS dataset), "
+        f"(VALUES {', '.join(f"('{c}')" for c, _ in V.COMPARISONS)}) AS c(comparisonColumn), "
+        f"(VALUES {', '.join(f"('{p}')" for p, _ in V.PREDICTIONS)}) AS p(predictionColumn))",
+        select=f"""SELECT '{ROUNDTRIP_RUN}' AS run_date, dataset, comparisonColumn, predictionColumn,
+  count(g.a) AS "rows",
+  '{ROUNDTRIP_RUN}_original/_' || dataset || '_' || comparisonColumn || '_' || predictionColumn || '.parquet' AS path
+FROM cells LEFT JOIN grid g USING (dataset, comparisonColumn, predictionColumn) GROUP BY ALL""",
     ),
 }
-
-ORACLE["score_by_join"] = ORACLE["score_all_subsets"]

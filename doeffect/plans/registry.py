@@ -4,12 +4,12 @@ Every query derives its inputs from the driver's tables under ``sf_dir``
 (``lineitem``, ``part``, ``nation``; see ``sources.fixtures``) and runs over
 them in full.  Arrays are returned as joined strings and counts as bigint so
 that results compare equal across engines; ``plans.oracle`` holds the
-matching DuckDB SQL for each name.
+matching DuckDB SQL for each name.  Tables that a query writes and reads
+back lie under the session's checkpoint folder until the process ends.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +22,10 @@ from ..operators import contingency as CT
 from ..operators import matrix as M
 from ..operators import ontology as O
 from ..operators import scoring as S
-from ..operators.align import union_aligned
-from ..session import ensure_checkpoint_dir
-from ..sources import fixtures, sinks
+from ..operators.assess import counts_of
+from ..operators.align import ensure_columns, union_aligned
+from ..session import scratch_dir
+from ..sources import fixtures, readers, sinks
 from . import run as P
 from .inputs import fixture_inputs
 
@@ -40,12 +41,12 @@ def _joined(col: str | Column, sort: bool = False) -> Column:
     return F.array_join(c, "|", "NULL")
 
 
-def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.assessed(fixture_inputs(spark, sf_dir))
+def _assessed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return P.assessed(fixture_inputs(spark, sf_dir), **how)
 
 
 def _drug_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.evidence(spark, sf_dir).where(F.col("datasourceId") == V.DRUG_SOURCE)
+    return fixtures.source_frames(spark, sf_dir)[V.DRUG_SOURCE]
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,16 +78,15 @@ def q_union_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_source_folders(spark: SparkSession, sf_dir: str) -> str:
     """Write the per-source fixture as ``<root>/sourceId=<s>/`` Parquet folders
     (each with its own columns) under the checkpoint folder; returns root."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evidence-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "evidence")
     for source, frame in fixtures.source_frames(spark, sf_dir).items():
-        frame.write.mode("overwrite").parquet(f"{root}/sourceId={source}")
+        if source != fixtures.OTHER:
+            frame.write.parquet(f"{root}/sourceId={source}")
     return root
 
 
 def q_read_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.readers import read_evidence
-
-    ev = read_evidence(spark, write_source_folders(spark, sf_dir))
+    ev = readers.read_evidence(spark, write_source_folders(spark, sf_dir))
     return ev.select(
         "sourceId",
         "targetId",
@@ -104,6 +104,35 @@ def q_read_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_read_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entity table, written and read back with its nested columns."""
+    root = scratch_dir(spark, "entities")
+    fixtures.targets(spark, sf_dir).write.parquet(f"{root}/targets")
+    return readers.read_entity(spark, root, "targets").select(
+        "id", "approvedSymbol", _joined("hallmarks.attributes.description", sort=True).alias("descriptions")
+    )
+
+
+def q_read_study_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated study list as a CSV with header, quoted cells and empty cells."""
+    path = scratch_dir(spark, "study")
+    rows = fixtures.study_inclusion(spark, sf_dir).withColumnRenamed("stMethod", "statisticalMethodOverview")
+    rows.write.option("header", True).csv(path)
+    return readers.read_study_inclusion(spark, path)
+
+
+def q_read_ontology_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "ontology")
+    fixtures.sequence_ontology(spark, sf_dir).write.option("header", True).csv(path)
+    return readers.read_sequence_ontology(spark, path)
+
+
+def q_ensure_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of one source, which gives few labels, with all matrix columns."""
+    m = M.direction_matrix(_assessed(spark, sf_dir, only="impc"), values=["LoF_risk", "evidenceDif"])
+    return ensure_columns(m, V.MATRIX_COLUMNS).select("targetId", "diseaseId", *V.MATRIX_COLUMNS)
+
+
 # --- annotations -----------------------------------------------------------
 
 
@@ -114,7 +143,7 @@ def q_mechanism_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_action_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = A.mechanism_pairs(fixtures.mechanisms(spark, sf_dir))
     return M.drug_actions(_drug_evidence(spark, sf_dir), pairs).select(
-        "targetId", "drugId", "diseaseId", "clinicalPhase", "actionType", "mechanismOfAction",
+        "targetId", "drugId", "diseaseId", "diseaseFromSourceId", "clinicalPhase", "actionType", "mechanismOfAction",
         "twoCategories_new",
     )
 
@@ -131,7 +160,7 @@ def q_oncogene_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_consequence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.consequence_count(fixtures.evidence(spark, sf_dir))
+    return counts_of(fixtures.source_frames(spark, sf_dir))
 
 
 # --- assessment ------------------------------------------------------------
@@ -153,7 +182,7 @@ SOURCE_EXTRA = {
 
 def _assess_source(source: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _assessed(spark, sf_dir).where(F.col("datasourceId") == source)
+        e = _assessed(spark, sf_dir, only=source)
         return e.select(*ASSESSED_BASE, *SOURCE_EXTRA[source])
 
     query.__name__ = f"q_assess_{source}"
@@ -161,8 +190,20 @@ def _assess_source(source: str) -> Query:
 
 
 def q_assess_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assessed(spark, sf_dir).select(
-        *ASSESSED_BASE, "unified", "intogenAnnot", "TSorOncogene", "whatToDo", "actionType"
+    return _assessed(spark, sf_dir, full=True).select(
+        *ASSESSED_BASE,
+        "unified",
+        "intogenAnnot",
+        "approvedSymbol",
+        _joined("description").alias("description"),
+        "TSorOncogene",
+        "whatToDo",
+        "count",
+        "comment",
+        "drugId",
+        "diseaseFromSourceId",
+        "actionType",
+        "mechanismOfAction",
     )
 
 
@@ -190,13 +231,13 @@ def q_direction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_subset_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.subset_matrix(_assessed(spark, sf_dir))
+    return M.subset_matrix(M.label_counts(_assessed(spark, sf_dir)))
 
 
 def q_evidence_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.coherence import evidence_coherence
 
-    m = M.subset_matrix(_assessed(spark, sf_dir))
+    m = M.subset_matrix(M.label_counts(_assessed(spark, sf_dir)))
     return m.select(
         "dataset", "targetId", "diseaseId", *V.MATRIX_COLUMNS,
         evidence_coherence().alias("coherency_others"),
@@ -215,7 +256,7 @@ def q_evidence_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evaluable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CL.evaluable_sources(_assessed(spark, sf_dir)).select(
+    return CL.evaluable_sources(M.label_counts(_assessed(spark, sf_dir))).select(
         "targetId", "diseaseId", _joined("datasourceIds").alias("datasourceIds")
     )
 
@@ -255,12 +296,6 @@ def q_score_all_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)
 
 
-def q_score_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = fixture_inputs(spark, sf_dir)
-    e = P.assessed(inputs)
-    return S.score_from_matrix(M.subset_matrix(e), P.spine(inputs, evidence=e))
-
-
 def q_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select(*KEYS, "coherency_others", "coherency_chembl", *S.SCORE_COLUMNS[:4])
 
@@ -294,7 +329,7 @@ def q_contingency_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "report")
     sinks.write_contingency(P.report(fixture_inputs(spark, sf_dir)), folder, ROUNDTRIP_RUN)
     return sinks.read_contingency(spark, folder)
 
@@ -304,12 +339,16 @@ def q_contingency_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_contingency_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.contingency_manifest(_written_report(spark, sf_dir))
+    return sinks.contingency_manifest(_written_report(spark, sf_dir), ROUNDTRIP_RUN)
 
 
 QUERIES: dict[str, Query] = {
     "union_aligned": q_union_aligned,
     "read_evidence": q_read_evidence,
+    "read_entity": q_read_entity,
+    "read_study_csv": q_read_study_csv,
+    "read_ontology_csv": q_read_ontology_csv,
+    "ensure_columns": q_ensure_columns,
     "mechanism_pairs": q_mechanism_pairs,
     "action_class": q_action_class,
     "action_matrix": q_action_matrix,
@@ -331,7 +370,6 @@ QUERIES: dict[str, Query] = {
     "propagated_area": q_propagated_area,
     "clinical_spine": q_clinical_spine,
     "score_all_subsets": q_score_all_subsets,
-    "score_by_join": q_score_by_join,
     "agreement": q_agreement,
     "presence_by_area": q_presence_by_area,
     "stratified_by_area": q_stratified_by_area,

@@ -1,18 +1,16 @@
 """End-to-end plan: evidence -> assessment -> scored subsets -> contingency report.
 
-Shuffles of the whole run (see ``.explain()``):
-
-1. consequence count: intogen rows only, distinct + grouped sum;
-2. pair profile: ONE aggregation of the assessed evidence keyed by
-   (target, disease), map-side combined, over the rows of drug pairs only
-   (a broadcast semi join with the drug pairs drops the rest map-side);
-   every other step works on its output or on small tables;
-3. report: the scored rows counted per label combination, then the grid.
-
-Side tables (gene labels, study list, mechanisms, disease areas) are
-broadcast after a size check.  The scored table is checkpointed to the
-session's checkpoint folder so a lost executor never recomputes the
-evidence scan for the report.
+1. drug pairs: the rows of pairs without drug evidence leave every source
+   first, by a semi join on the raw evidence;
+2. assessment: per source, the one side table its rules need and one CASE;
+3. pair profile: evidence counted per (pair, source, label) with map-side
+   combination, then folded to one row per pair;
+4. report: the scored rows counted per label combination, then the grid.
+
+No join carries a hint and nothing is counted, cached or sized while the
+plan is built: Spark picks the joins by bytes when it runs.  ``run``
+checkpoints the scored table to the session's checkpoint folder, so a lost
+executor never recomputes the evidence scan for the report.
 """
 
 from __future__ import annotations
@@ -20,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.annotate import mechanism_pairs, oncogene_label
-from ..operators.assess import assess
+from ..operators.assess import Sides, assess
 from ..operators.clinical import PAIR_FLAG, clinical_spine, pair_profile, restrict_to_drug_pairs
 from ..operators.contingency import contingency_grid
-from ..operators.joins import release_sides
+from ..operators.matrix import label_counts
 from ..operators.ontology import primary_area
 from ..operators.scoring import score
 from ..session import ensure_checkpoint_dir
@@ -31,44 +29,36 @@ from ..sources.sinks import write_contingency
 from .inputs import Inputs
 
 
-def assessed(inputs: Inputs) -> DataFrame:
-    return assess(
-        inputs.evidence,
-        oncogene_label(inputs.targets),
-        inputs.study,
-        mechanism_pairs(inputs.mechanisms),
-        inputs.params,
-    )
+def sides(inputs: Inputs) -> Sides:
+    return Sides(oncogene_label(inputs.targets), inputs.study, mechanism_pairs(inputs.mechanisms))
+
+
+def assessed(inputs: Inputs, full: bool = False, only: str | None = None) -> DataFrame:
+    """All evidence, assessed (of one source with ``only``; with every annotation with ``full``)."""
+    return assess(inputs.evidence, sides(inputs), inputs.params, full=full, only=only)
 
 
 def area(inputs: Inputs) -> DataFrame:
-    return primary_area(inputs.diseases, inputs.areas)
+    return primary_area(inputs.diseases)
 
 
-def spine(inputs: Inputs, keep_subsets: bool = False, evidence: DataFrame | None = None) -> DataFrame:
-    ev = assessed(inputs) if evidence is None else evidence
-    raw = inputs.evidence if evidence is None else None
-    profile = pair_profile(restrict_to_drug_pairs(ev, pairs_from=raw))
-    return clinical_spine(profile, area(inputs), keep_subsets=keep_subsets)
+def spine(inputs: Inputs, keep_subsets: bool = False) -> DataFrame:
+    rows = assess(restrict_to_drug_pairs(inputs.evidence), sides(inputs), inputs.params)
+    return clinical_spine(pair_profile(label_counts(rows)), area(inputs), keep_subsets=keep_subsets)
 
 
-def scored(inputs: Inputs, evidence: DataFrame | None = None, keep_pair_flag: bool = False) -> DataFrame:
-    return score(spine(inputs, keep_subsets=True, evidence=evidence), keep_pair_flag)
+def scored(inputs: Inputs, keep_pair_flag: bool = False) -> DataFrame:
+    return score(spine(inputs, keep_subsets=True), keep_pair_flag)
 
 
-def report(inputs: Inputs, evidence: DataFrame | None = None) -> DataFrame:
+def report(inputs: Inputs) -> DataFrame:
     """The contingency grid in one pass over the evidence."""
-    return contingency_grid(scored(inputs, evidence, keep_pair_flag=True), pair_flag=PAIR_FLAG)
+    return contingency_grid(scored(inputs, keep_pair_flag=True), pair_flag=PAIR_FLAG)
 
 
 def run(spark: SparkSession, inputs: Inputs, out_path: str, run_date: str) -> DataFrame:
-    """Compute the report and write it; returns the checkpointed scored table.
-
-    The cached side tables are released at the end: the returned table is
-    read from the checkpoint and no longer needs them.
-    """
+    """Compute the report and write it; returns the checkpointed scored table."""
     ensure_checkpoint_dir(spark)
     scored_rows = scored(inputs, keep_pair_flag=True).checkpoint(eager=True)
     write_contingency(contingency_grid(scored_rows, pair_flag=PAIR_FLAG), out_path, run_date)
-    release_sides()
     return scored_rows.drop(PAIR_FLAG)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# The rule cascade compiles into one generated method larger than the JVM's
-# 8 KB JIT limit; without this flag HotSpot leaves it interpreted (about 2x
-# slower on the assessment stage).  Set the same on a cluster's executors.
-JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
-
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doeffect") -> SparkSession:
     """A local session for tests and benchmarks (no UI, AQE on)."""
@@ -30,8 +27,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doe
         # call site of each one costs several JVM round trips per call.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
-        .config("spark.executor.extraJavaOptions", JIT_OPTIONS)
         .getOrCreate()
     )
 
@@ -71,3 +66,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="doeffect-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, for tables that a query
+    writes and reads back; what is there is removed when the process ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sc = _context(spark)
+    if sc is not None:
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, hadoop_conf, path: str) -> None:
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop_conf).delete(folder, True)
+    except Exception:  # the JVM is gone already
+        pass

@@ -3,9 +3,11 @@
 The real inputs (evidence per source, targets, diseases, drug mechanisms,
 curated study list, sequence ontology) are not available here, so these
 functions derive tables of the same shape from ``lineitem``, ``part`` and
-``nation`` with fixed arithmetic.  The values mean nothing biologically;
-they exercise every rule branch and grow with the scale factor, so every
-query that uses them reads the given tables in full.
+``nation`` with fixed arithmetic.  The values mean nothing biologically; they
+exercise every rule branch and unmatched join.  No recipe drops a row: every
+``lineitem`` row is one evidence row and one mechanism, every ``part`` row
+one hallmark description.  Genes, drugs, diseases and studies grow with the
+tables, and so do the side tables made of them.
 
 The recipes are deterministic and engine-neutral; the DuckDB forms in
 ``doeffect.plans.oracle`` compute the same rows.
@@ -25,8 +27,7 @@ from ..functions import vocab as V
 # (the rules take it as a parameter; it has no published default).
 FIXTURE_VAR_FILTER_LOF = ["SO_0001587", "SO_0001589"]
 
-# Columns each source actually carries (the rest of the wide frame is NULL
-# for that source).  Used to split the fixture into per-source frames.
+# Columns each source carries beside the keys.
 SOURCE_COLUMNS = {
     "ot_genetics_portal": ["beta", "oddsRatio", "variantFunctionalConsequenceId",
                            "variantFunctionalConsequenceFromQtlId"],
@@ -35,68 +36,54 @@ SOURCE_COLUMNS = {
     "eva_somatic": ["variantFunctionalConsequenceId", "clinicalSignificances"],
     "gene2phenotype": ["variantFunctionalConsequenceId"],
     "orphanet": ["variantFunctionalConsequenceId"],
-    "cancer_gene_census": [],
+    "cancer_gene_census": ["mutatedSamples"],
     "intogen": ["mutatedSamples"],
     "impc": [],
-    "chembl": ["drugId", "clinicalPhase"],
+    "chembl": ["drugId", "clinicalPhase", "diseaseFromSourceId"],
 }
 KEY_COLUMNS = ["targetId", "diseaseId", "datasourceId"]
+# Key of the frame of all rows whose source has no rules (or is NULL).
+OTHER = "other"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cluster when it has fewer splits than cores.
-
-    A Parquet row group is never split, so a small file written as one row
-    group is read by one task and every narrow step after it runs on one
-    core.  Few splits means little data (each split is at least
-    ``spark.sql.files.openCostInBytes``), so the extra shuffle is cheap; a
-    large input has many splits and is returned unchanged.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without the RDD API (Spark Connect)
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def _case(expr: Column, mapping: Mapping[int, Column | str | float | None]) -> Column:
     """CASE expr WHEN k THEN v ... END (no ELSE: unmatched keys are NULL)."""
-    items = list(mapping.items())
     out = None
-    for key, value in items:
+    for key, value in mapping.items():
         v = value if isinstance(value, Column) else F.lit(value)
         out = F.when(expr == key, v) if out is None else out.when(expr == key, v)
     return out
 
 
-def _str(c: Column) -> Column:
-    return c.cast("string")
+def _named(prefix: str, number: Column) -> Column:
+    return F.concat(F.lit(prefix), number.cast("bigint").cast("string"))
+
+
+def _tenth(c: Column | str, of: int = 10) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(of))).cast("bigint")
 
 
 def _arr(*items: str | None) -> Column:
     return F.array(*[F.lit(x).cast("string") for x in items])
 
 
+def _disease(part: Column | str, order: Column) -> Column:
+    """Sixty diseases for every two thousand parts."""
+    return _named("D", _tenth(part, 2000) * 60 + order)
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One evidence row per ``lineitem`` row, all sources in one wide frame."""
-    # The three hash keys are computed once per row and referenced by name.
-    k0_expr = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
-    k2_expr = F.floor(
-        (F.col("l_orderkey") * 11 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 5) / F.lit(3.0)
-    ).cast("bigint")
-    li = (
-        spread(table(spark, sf_dir, "lineitem"))
-        .select("*", k0_expr.alias("_k0"), k2_expr.alias("_k2"))
-        .withColumn("_k1", F.floor(F.col("_k0") / F.lit(10.0)).cast("bigint"))
-    )
+    """One evidence row per ``lineitem`` row, with every column of every source."""
+    k0 = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
+    k2 = _tenth(F.col("l_orderkey") * 11 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 5, 3)
+    li = table(spark, sf_dir, "lineitem").select("*", k0.alias("_k0"), k2.alias("_k2")).withColumn("_k1", _tenth("_k0"))
     k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
-    source = _case(k0 % 10, {i: s for i, s in enumerate(V.EVIDENCE_SOURCES[:9])})
-    source = source.otherwise(F.lit(V.DRUG_SOURCE))
+    listed = _case(k0 % 10, dict(enumerate(V.EVIDENCE_SOURCES)))
+    source = F.when(k0 % 101 == 0, F.lit("clingen")).when(k0 % 103 == 1, F.lit(None)).otherwise(listed)
     consequence_ids = _case(
         k2 % 6,
         {
@@ -108,22 +95,19 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     return li.select(
-        F.concat(F.lit("T"), _str(F.col("l_partkey") % 100)).alias("targetId"),
-        F.concat(F.lit("D"), _str(F.col("l_orderkey") % 60)).alias("diseaseId"),
+        _named("T", _tenth("l_partkey")).alias("targetId"),
+        F.when(k2 % 97 != 0, _disease("l_partkey", F.col("l_orderkey") % 60)).alias("diseaseId"),
         source.alias("datasourceId"),
         F.when((k1 % 4).isin(0, 3), F.col("l_discount") - F.lit(0.05)).alias("beta"),
-        F.when(k1 % 4 == 1, F.col("l_quantity") / F.lit(25.0))
-        .when(k1 % 4 == 3, F.lit(1.5))
-        .alias("oddsRatio"),
+        F.when(k1 % 4 == 1, F.col("l_quantity") / F.lit(25.0)).when(k1 % 4 == 3, F.lit(1.5)).alias("oddsRatio"),
         _case(
             k2 % 8,
             {0: "SO_0001587", 1: "SO_0001589", 2: "SO_0002315", 3: "SO_0002317",
              4: "SO_0002053", 5: "SO_0002054", 6: "SO_0001583"},
         ).alias("variantFunctionalConsequenceId"),
-        _case(
-            F.floor(k1 / F.lit(4.0)).cast("bigint") % 4,
-            {0: "SO_0002314", 1: "SO_0002315", 2: "SO_0002316"},
-        ).alias("variantFunctionalConsequenceFromQtlId"),
+        _case(_tenth(k1, 4) % 4, {0: "SO_0002314", 1: "SO_0002315", 2: "SO_0002316"}).alias(
+            "variantFunctionalConsequenceFromQtlId"
+        ),
         _case(
             k1 % 5,
             {
@@ -133,121 +117,121 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
                 3: _arr("pathogenic", "risk factor"),
             },
         ).alias("clinicalSignificances"),
-        F.transform(
-            consequence_ids, lambda x: F.struct(x.alias("functionalConsequenceId"))
-        ).alias("mutatedSamples"),
-        F.concat(F.lit("M"), _str(F.col("l_partkey") % 6)).alias("statisticalMethodOverview"),
-        F.when(source == V.DRUG_SOURCE, F.concat(F.lit("C"), _str(F.col("l_suppkey") % 20))).alias(
-            "drugId"
-        ),
-        _case(F.col("l_linenumber"), {1: 0.5, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0})
-        .cast("double")
-        .alias("clinicalPhase"),
+        F.transform(consequence_ids, lambda x: F.struct(x.alias("functionalConsequenceId"))).alias("mutatedSamples"),
+        _named("M", _tenth("l_partkey", 50)).alias("statisticalMethodOverview"),
+        _named("C", F.col("l_suppkey")).alias("drugId"),
+        _case(F.col("l_linenumber"), {1: 0.5, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0}).cast("double").alias("clinicalPhase"),
+        _named("S", F.col("l_orderkey") % 500).alias("diseaseFromSourceId"),
     )
 
 
 def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The wide fixture split into ten per-source frames with their own columns."""
+    """The evidence as ten per-source frames with their own columns, and the rest."""
     ev = evidence(spark, sf_dir)
-    return {
-        s: ev.where(F.col("datasourceId") == s).select(*KEY_COLUMNS, *cols)
-        for s, cols in SOURCE_COLUMNS.items()
-    }
+    source = F.col("datasourceId")
+    frames = {s: ev.where(source == s).select(*KEY_COLUMNS, *cols) for s, cols in SOURCE_COLUMNS.items()}
+    frames[OTHER] = ev.where(source.isNull() | ~source.isin(V.EVIDENCE_SOURCES)).select(*KEY_COLUMNS)
+    return frames
 
 
 def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drug mechanisms: ``chemblIds, actionType, mechanismOfAction, targets``."""
-    li = spread(table(spark, sf_dir, "lineitem")).where(F.col("l_partkey") % 3 == 0)
-    drug = F.concat(F.lit("C"), _str(F.col("l_suppkey") % 20))
+    """Drug mechanisms: ``chemblIds, actionType, mechanismOfAction, targets``.
+
+    A third of them name a drug, a third have an empty list and a third none;
+    likewise a few have an empty list of targets or none.
+    """
+    gene = _tenth("l_partkey")
+    none = F.lit(None).cast(T.ArrayType(T.StringType()))
+    empty = F.array().cast(T.ArrayType(T.StringType()))
     action = _case(
-        (F.col("l_suppkey") % 20 + F.col("l_partkey") % 100) % 5,
-        {0: "INHIBITOR", 1: "AGONIST", 2: "BLOCKER", 3: "BINDING AGENT"},
+        (F.col("l_suppkey") + gene) % 5, {0: "INHIBITOR", 1: "AGONIST", 2: "BLOCKER", 3: "BINDING AGENT"}
+    )
+    part = F.col("l_partkey")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.when(part % 3 == 0, F.array(_named("C", F.col("l_suppkey")))).when(part % 3 == 1, empty).otherwise(none).alias("chemblIds"),
+            action.alias("actionType"),
+            _named("moa-", F.col("l_linenumber") % 2).alias("mechanismOfAction"),
+            F.when(part % 11 == 5, empty)
+            .when(part % 11 == 6, none)
+            .otherwise(F.array(_named("T", gene), _named("T", gene + 1)))
+            .alias("targets"),
+        )
+        .distinct()
     )
-    return li.select(
-        F.array(drug).alias("chemblIds"),
-        action.alias("actionType"),
-        F.concat(F.lit("moa-"), _str(F.col("l_linenumber") % 2)).alias("mechanismOfAction"),
-        F.array(
-            F.concat(F.lit("T"), _str(F.col("l_partkey") % 100)),
-            F.concat(F.lit("T"), _str((F.col("l_partkey") + 1) % 100)),
-        ).alias("targets"),
-    ).distinct()
 
 
 def diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diseases: ``id, descendants, therapeuticAreas`` (60 ids)."""
+    """Diseases: ``id, descendants, therapeuticAreas``."""
     i = F.col("l_orderkey") % 60
+    part = F.col("l_partkey")
     empty = F.array().cast(T.ArrayType(T.StringType()))
     descendants = (
         F.when(i % 10 == 9, F.lit(None).cast(T.ArrayType(T.StringType())))
-        .when(i < 20, F.array(F.concat(F.lit("D"), _str(i + 20)), F.concat(F.lit("D"), _str(i + 40))))
+        .when(i < 20, F.array(_disease(part, i + 20), _disease(part, i + 40)))
         .otherwise(empty)
     )
-    areas = _case(
-        i % 5,
-        {
-            0: _arr("EFO_0005741", "MONDO_0045024"),
-            1: _arr("EFO_0000319"),
-            2: _arr("EFO_0000540", "EFO_0000651"),
-            3: _arr("UNLISTED"),
-        },
+    areas = F.when(i % 15 == 4, _arr("EFO_0000319", "EFO_0000319")).otherwise(
+        _case(
+            i % 5,
+            {
+                0: _arr("EFO_0005741", "MONDO_0045024"),
+                1: _arr("EFO_0000319"),
+                2: _arr("EFO_0000540", "EFO_0000651"),
+                3: _arr("UNLISTED"),
+            },
+        )
     )
     return (
-        spread(table(spark, sf_dir, "lineitem"))
-        .select(
-            F.concat(F.lit("D"), _str(i)).alias("id"),
-            descendants.alias("descendants"),
-            areas.alias("therapeuticAreas"),
-        )
+        table(spark, sf_dir, "lineitem")
+        .select(_disease(part, i).alias("id"), descendants.alias("descendants"), areas.alias("therapeuticAreas"))
         .distinct()
     )
 
 
-def target_hallmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets in exploded form: ``id, approvedSymbol, description``."""
-    key = F.col("p_partkey") % 100
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes of ten parts each, nested like the entity table:
+    ``id, approvedSymbol, hallmarks.attributes[].description``."""
+    gene = _tenth("p_partkey")
     description = _case(
-        F.col("p_size") % 7,
-        {0: "TSG", 1: "oncogene", 2: "oncogene,fusion", 3: "fusion,oncogene", 4: "TSG,oncogene"},
-    ).otherwise(F.col("p_type"))
+        (gene + (F.col("p_size") % 2) * (gene % 3)) % 9,
+        {0: "TSG", 1: "oncogene", 2: "oncogene,fusion", 3: "fusion,oncogene", 4: "TSG,oncogene", 5: "Oncogene"},
+    )
     return (
         table(spark, sf_dir, "part")
-        .where((key < 80) & (F.col("p_partkey") < 200))
-        .select(
-            F.concat(F.lit("T"), _str(key)).alias("id"),
-            F.concat(F.lit("SYM"), _str(key)).alias("approvedSymbol"),
-            description.alias("description"),
-        )
+        .select(gene.alias("g"), F.coalesce(description, F.col("p_type")).alias("description"))
+        .groupBy("g")
+        # Ten rows a gene, at any size of the table.
+        .agg(F.collect_list(F.struct("description")).alias("attributes"))
+        .select(_named("T", F.col("g")).alias("id"), _named("SYM", F.col("g")).alias("approvedSymbol"), F.struct("attributes").alias("hallmarks"))
     )
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets nested like the entity table: ``hallmarks.attributes[].description``."""
+def study_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated study list: ``stMethod, count, comment, whatToDo`` (a third of the methods unlisted)."""
+    m = F.col("m")
     return (
-        target_hallmarks(spark, sf_dir)
-        .groupBy("id", "approvedSymbol")
-        .agg(F.collect_list(F.struct("description")).alias("attributes"))
-        .select("id", "approvedSymbol", F.struct("attributes").alias("hallmarks"))
+        table(spark, sf_dir, "part")
+        .select(_tenth("p_partkey", 50).alias("m"))
+        .distinct()
+        .select(
+            F.when(m % 6 < 4, _named("M", m)).otherwise(_named("unused-", m)).alias("stMethod"),
+            m.cast("string").alias("count"),
+            F.when(m % 2 == 0, F.lit("a note, with comma")).alias("comment"),
+            _case(m % 4, {0: "get", 1: "notGet", 2: "get", 3: "noGet"}).alias("whatToDo"),
+        )
     )
 
 
-def study_inclusion(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """Curated study list: ``stMethod, whatToDo`` (M4 and M5 unlisted on purpose)."""
-    from .readers import inline_table
-
-    rows = [("M0", "get"), ("M1", "notGet"), ("M2", "get"), ("M3", "noGet")]
-    return inline_table(spark, rows, ["stMethod", "whatToDo"], ["string", "string"])
-
-
 def sequence_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Accession, Parents`` from ``nation`` (a small binary-ish tree)."""
+    """``Accession, Parents`` from ``nation`` (a small tree; some parents have a blank in front)."""
     key = F.col("n_nationkey")
-    parent = F.concat(F.lit("NATION_"), _str(F.floor((key - 1) / F.lit(2.0)).cast("bigint")))
+    parent = _named("NATION_", _tenth(key - 1, 2))
     parents = (
         F.when(key == 0, F.lit(None).cast("string"))
         .when(key % 3 == 0, F.concat(parent, F.lit(",NATION_0")))
+        .when(key % 5 == 0, F.concat(parent, F.lit(", NATION_1")))
         .otherwise(parent)
     )
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("Accession"), parents.alias("Parents")
-    )
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("Accession"), parents.alias("Parents"))

@@ -14,23 +14,32 @@ from ..operators.align import union_aligned
 PARTITION_COLUMN = "sourceId"
 
 
+def read_sources(
+    spark: SparkSession,
+    root: str,
+    source_ids: Sequence[str] = V.EVIDENCE_SOURCES,
+) -> dict[str, DataFrame]:
+    """Evidence stored as ``<root>/sourceId=<name>/`` Parquet folders, by source.
+
+    Every source is read with its own footer schema (sources differ in
+    columns) and keeps ``sourceId`` as a partition column.
+    """
+    return {
+        s: spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/{PARTITION_COLUMN}={s}") for s in source_ids
+    }
+
+
 def read_evidence(
     spark: SparkSession,
     root: str,
     source_ids: Sequence[str] = V.EVIDENCE_SOURCES,
 ) -> DataFrame:
-    """Evidence stored as ``<root>/sourceId=<name>/`` Parquet folders.
+    """The sources as one frame, aligned by name; columns a source lacks are NULL.
 
-    Every source is read with its own footer schema (sources differ in
-    columns) and keeps ``sourceId`` as a partition column, so a later filter
-    on it prunes whole union branches at planning time.  The branches are
-    aligned by name; columns a source lacks are NULL.
+    A filter on ``sourceId`` leaves the other sources' scans without files; a
+    caller that wants one source only reads it with :func:`read_sources`.
     """
-    frames = [
-        spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/{PARTITION_COLUMN}={s}")
-        for s in source_ids
-    ]
-    return union_aligned(frames)
+    return union_aligned(list(read_sources(spark, root, source_ids).values()))
 
 
 def read_entity(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -52,9 +61,9 @@ def read_annotations_csv(
 
 
 def read_study_inclusion(spark: SparkSession, path: str) -> DataFrame:
-    """Hand-curated gene-burden study list: ``stMethod, whatToDo``."""
+    """Hand-curated gene-burden study list: ``stMethod, count, comment, whatToDo``."""
     return read_annotations_csv(spark, path).select(
-        F.col("statisticalMethodOverview").alias("stMethod"), "whatToDo"
+        F.col("statisticalMethodOverview").alias("stMethod"), "count", "comment", "whatToDo"
     )
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTITIONS = ["run_date", "dataset"]
+from ..functions import vocab as V
+
+PARTITIONS = ["run_date", "dataset", "comparisonColumn"]
+# Declared, so that a run date that looks like a date stays the text it is.
+SCHEMA = (
+    "predictionColumn string, prediction string, comparison string, comparisonType string, predictionType string, "
+    "a long, predictionTotal long, comparisonTotal long, total long, run_date string, dataset string, comparisonColumn string"
+)
 
 
 def write_contingency(report: DataFrame, path: str, run_date: str) -> None:
-    """Write the report under ``path`` partitioned by run date and subset.
+    """Write the report under ``path`` partitioned by run date, subset and comparison.
 
     Dynamic partition overwrite: rewriting one run date replaces only its
     folders.  The report is small (a few rows per cell), so each partition
@@ -26,15 +35,28 @@ def write_contingency(report: DataFrame, path: str, run_date: str) -> None:
 
 
 def read_contingency(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def contingency_manifest(written: DataFrame) -> DataFrame:
-    """One row per written (run, subset, comparison, prediction) table, with its
-    cell name ``_<subset>_<comparison>_<prediction>``."""
-    keys = ["run_date", "dataset", "comparisonColumn", "predictionColumn"]
-    present = [k for k in keys if k in written.columns]
-    return written.select(*present).distinct().withColumn(
-        "cell",
-        F.concat_ws("_", F.lit(""), "dataset", "comparisonColumn", "predictionColumn"),
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def contingency_manifest(
+    written: DataFrame,
+    run_date: str,
+    datasets: Sequence[str] = V.SUBSET_NAMES,
+    comparisons: Sequence[tuple[str, str]] = V.COMPARISONS,
+    predictions: Sequence[tuple[str, str]] = V.PREDICTIONS,
+) -> DataFrame:
+    """One row per cell of the report, empty ones included, with its rows and
+    its path ``<run date>_original/_<subset>_<comparison>_<prediction>.parquet``."""
+    keys = ["dataset", "comparisonColumn", "predictionColumn"]
+    names = [list(datasets), [c for c, _ in comparisons], [p for p, _ in predictions]]
+    cells = written.sparkSession.range(1).select(F.lit(run_date).alias("run_date"))
+    for key, values in zip(keys, names):
+        cells = cells.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(key))
+    rows = written.where(F.col("run_date") == run_date).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    name = F.concat(F.lit("_"), F.concat_ws("_", *keys))
+    return cells.join(rows, keys, "left").select(
+        "run_date",
+        *keys,
+        F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+        F.concat("run_date", F.lit("_original/"), name, F.lit(".parquet")).alias("path"),
     )

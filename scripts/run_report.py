@@ -7,8 +7,7 @@
 
 The release holds ``evidence/sourceId=<source>/``, ``targets/``, ``diseases/``
 and ``mechanismOfAction/`` Parquet folders.  The session comes from
-spark-submit; on a cluster set ``spark.checkpoint.dir`` to a shared folder
-and ``-XX:-DontCompileHugeMethods`` in ``spark.executor.extraJavaOptions``.
+spark-submit; on a cluster set ``spark.checkpoint.dir`` to a shared folder.
 """
 
 from __future__ import annotations

@@ -3,26 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-
-# A spread of queries over every layer; set DOEFFECT_ORACLE_ALL=1 for all.
-SAMPLE = [
-    "union_aligned",
-    "oncogene_label",
-    "assess_all",
-    "subset_matrix",
-    "children_of",
-    "primary_area",
-    "clinical_spine",
-    "score_all_subsets",
-    "contingency_grid",
-]
-
+from doeffect.plans.oracle import ORACLE
+from doeffect.plans.registry import QUERIES
 
 def _norm(v):
     if isinstance(v, float):
@@ -51,12 +38,11 @@ def test_entry_runs(spark, sf_small):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize(
-    "name", sorted(entry.queries()) if os.environ.get("DOEFFECT_ORACLE_ALL") else SAMPLE
-)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_small, duck, name):
     df = entry.queries()[name](spark, sf_small)
     mine = _rows([tuple(r) for r in df.collect()], df.columns)

@@ -1,7 +1,10 @@
-"""Operators: edge rows, and fast forms against literal forms."""
+"""Operators: edge rows, hand-counted values and plan checks."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,14 +12,14 @@ from doeffect.functions import vocab as V
 from doeffect.operators import annotate as A
 from doeffect.operators import clinical as CL
 from doeffect.operators import contingency as CT
-from doeffect.operators import joins as J
+from doeffect.operators import assess as AS
 from doeffect.operators import matrix as M
 from doeffect.operators import ontology as O
-from doeffect.operators import scoring as S
 from doeffect.operators.align import ensure_columns, union_aligned
 from doeffect.plans import run as P
 from doeffect.plans.inputs import fixture_inputs
-from doeffect.sources import fixtures
+from doeffect.plans.registry import write_source_folders
+from doeffect.sources.readers import read_sources
 
 from .conftest import bag
 
@@ -31,8 +34,7 @@ def _ms(*ids):
 @pytest.fixture(scope="module")
 def small(spark, sf_small):
     inputs = fixture_inputs(spark, sf_small)
-    assessed = P.assessed(inputs).cache()
-    return inputs, assessed
+    return inputs, P.assessed(inputs).cache()
 
 
 # --- consequence count (O19) ----------------------------------------------------
@@ -54,28 +56,18 @@ def test_consequence_count_semantics(spark):
         ("T1", "D1", "eva", _ms("C", "D", "E")),  # other sources do not count
     ]
     df = spark.createDataFrame(rows, CONSEQ)
-    got = {(r["targetId"], r["diseaseId"]): r["intogenAnnot"] for r in A.consequence_count(df).collect()}
-    assert got == {("T1", "D1"): 3, ("T2", "D1"): 4, ("T3", "D1"): 2, ("T4", "D1"): 0,
-                   ("T5", "D1"): 0, ("T6", "D1"): 1, (None, "D1"): 2}
-
-
-def test_consequence_count_group_equals_window(spark, sf_small):
-    ev = fixtures.evidence(spark, sf_small)
-    grouped = A.consequence_count(ev)
-    windowed = (
-        A.consequence_count_window(ev)
-        .where(F.col("datasourceId") == "intogen")
-        .select("targetId", "diseaseId", "intogenAnnot")
-        .distinct()
-    )
-    assert bag(grouped) == bag(windowed)
+    got = {(r["targetId"], r["diseaseId"]): (r["own"], r["every"]) for r in A.consequence_count(df).collect()}
+    assert got == {("T1", "D1"): (3, 6), ("T2", "D1"): (4, 4), ("T3", "D1"): (2, 2), ("T4", "D1"): (0, 0),
+                   ("T6", "D1"): (1, 1), (None, "D1"): (2, 2)}
 
 
-def test_window_form_non_intogen_rows_see_everything(spark):
-    rows = [("T1", "D1", "intogen", _ms("A")), ("T1", "D1", "eva", _ms("B", "C"))]
-    out = {r["datasourceId"]: r["intogenAnnot"]
-           for r in A.consequence_count_window(spark.createDataFrame(rows, CONSEQ)).collect()}
-    assert out == {"intogen": 1, "eva": 3}
+def test_counts_on_every_row(spark):
+    """Rows of the drivers' source see its arrays, others all of the pair; 0 without any."""
+    rows = [("T1", "D1", "intogen", _ms("A")), ("T1", "D1", "cancer_gene_census", _ms("B", "C")),
+            ("T2", None, "intogen", _ms("A")), ("T2", None, None, None), ("T3", "D1", "eva", None)]
+    df = spark.createDataFrame(rows, CONSEQ)
+    out = bag(AS.with_counts(df, A.consequence_count(df)), ["targetId", "datasourceId", "intogenAnnot"])
+    assert out == [("T1", "cancer_gene_census", 3), ("T1", "intogen", 1), ("T2", "intogen", 1), ("T2", None, 1), ("T3", "eva", 0)]
 
 
 # --- annotations ----------------------------------------------------------------
@@ -152,8 +144,6 @@ def test_propagate_terms_null_descendants(spark):
 
 
 def test_primary_area_ties_and_unlisted(spark):
-    from doeffect.sources.readers import therapeutic_areas
-
     df = spark.createDataFrame(
         [
             ("D1", ["EFO_0000319", "MONDO_0045024"]),  # oncology wins
@@ -163,25 +153,11 @@ def test_primary_area_ties_and_unlisted(spark):
         ],
         "id string, therapeuticAreas array<string>",
     )
-    got = bag(O.primary_area(df, therapeutic_areas(spark)), ["diseaseId", "taId", "taLabelSimple"])
+    got = bag(O.primary_area(df), ["diseaseId", "taId", "taLabelSimple"])
     assert got == [("D1", "MONDO_0045024", "Oncology"), ("D2", "EFO_0000319", "Other"),
                    ("D2", "EFO_0000319", "Other")]
 
 
-# --- joins ----------------------------------------------------------------------
-
-
-def test_left_join_bounded_both_ways(spark):
-    big = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
-    side = spark.createDataFrame([("a", "x"), ("a", "y")], "k2 string, s string")
-    cond = F.col("k") == F.col("k2")
-    elig = F.col("k").isNotNull()
-    small = J.left_join_bounded(big, side, cond, elig).select("k", "v", "s")
-    large = J.left_join_bounded(big, side, cond, elig, max_rows=1).select("k", "v", "s")
-    assert bag(small) == bag(large)
-    assert len(bag(small)) == 4  # fan-out on 'a', others kept
-
-
 # --- matrices -------------------------------------------------------------------
 
 
@@ -198,7 +174,7 @@ def test_direction_matrix_absent_is_null(spark):
 
 def test_subset_matrix_equals_one_pivot_per_subset(small):
     _, assessed = small
-    long = M.subset_matrix(assessed)
+    long = M.subset_matrix(M.label_counts(assessed))
     for name, pred in M.subset_predicates():
         one = M.direction_matrix(assessed.where(pred))
         mine = long.where(F.col("dataset") == name).drop("dataset")
@@ -207,7 +183,7 @@ def test_subset_matrix_equals_one_pivot_per_subset(small):
 
 def test_pair_profile_matches_separate_aggregations(small):
     _, assessed = small
-    prof = CL.pair_profile(assessed)
+    prof = CL.pair_profile(M.label_counts(assessed))
     drug = assessed.where(F.col("datasourceId") == "chembl")
     phase = CL.max_phase(drug)
     mine = prof.where("drug_rows > 0").select("targetId", "diseaseId", "maxClinPhase")
@@ -220,37 +196,17 @@ def test_pair_profile_matches_separate_aggregations(small):
 # --- scoring and contingency ----------------------------------------------------
 
 
-def test_score_generator_equals_join_form(small):
-    inputs, assessed = small
-    fast = P.scored(inputs, evidence=assessed)
-    literal = S.score_from_matrix(M.subset_matrix(assessed), P.spine(inputs, evidence=assessed))
-    assert sorted(fast.columns) == sorted(literal.columns)
-    assert bag(fast) == bag(literal)
-
-
 def test_every_subset_keeps_every_spine_row(small):
-    inputs, assessed = small
-    spine_rows = P.spine(inputs, evidence=assessed).count()
-    per = {r["dataset"]: r["count"] for r in P.scored(inputs, evidence=assessed).groupBy("dataset").count().collect()}
+    inputs, _ = small
+    spine_rows = P.spine(inputs).count()
+    per = {r["dataset"]: r["count"] for r in P.scored(inputs).groupBy("dataset").count().collect()}
     assert set(per) == set(V.SUBSET_NAMES)
     assert set(per.values()) == {spine_rows}
 
 
 @pytest.fixture(scope="module")
 def scored_small(small):
-    inputs, assessed = small
-    return P.scored(inputs, evidence=assessed).cache()
-
-
-@pytest.mark.parametrize(
-    "comparison,prediction",
-    [("coherency_inter", "pro_phase3H"), ("oncologyInd_coherency_inter", "pro_phase4"),
-     ("coherencyOnlyDOE_inter_oneCell", "pro_phase0"), ("otherHasGeneticsFromDS", "pro_phase1H")],
-)
-def test_contingency_grouped_equals_windows(scored_small, comparison, prediction):
-    fast = CT.contingency(scored_small, comparison, prediction)
-    literal = CT.contingency_windows(scored_small, comparison, prediction)
-    assert bag(fast) == bag(literal)
+    return P.scored(small[0]).cache()
 
 
 def test_grid_equals_cells_and_margins_hold(scored_small):
@@ -272,40 +228,59 @@ def test_grid_equals_cells_and_margins_hold(scored_small):
 
 
 def test_single_pass_total_equals_distinct_count(small):
-    inputs, assessed = small
-    flagged = P.scored(inputs, evidence=assessed, keep_pair_flag=True)
+    flagged = P.scored(small[0], keep_pair_flag=True).cache()
     one_pass = CT.contingency_grid(flagged, pair_flag=CL.PAIR_FLAG)
     two_pass = CT.contingency_grid(flagged.drop(CL.PAIR_FLAG))
     assert bag(one_pass) == bag(two_pass)
 
 
-def _outside_cached(plan: str) -> list[str]:
-    """Plan lines that are not part of a cached side's own plan."""
-    kept, skip_indent = [], None
-    for line in plan.splitlines():
-        indent = len(line) - len(line.lstrip(" :+-|"))
-        if skip_indent is not None and indent > skip_indent:
-            continue
-        skip_indent = None
-        if "InMemoryRelation" in line:
-            skip_indent = indent
-        kept.append(line)
-    return kept
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_report_shuffles_evidence_once(spark, sf_small):
-    # start from an empty cache, as a production run does: other tests cache
-    # the whole assessed frame, which would hide the evidence pass
-    spark.catalog.clearCache()
+def _scans(df, column: str) -> int:
+    return sum("FileScan parquet" in line and column in line for line in _plan(df).splitlines())
+
+
+def test_plans_do_not_depend_on_broadcasts(spark, sf_small):
+    """Without broadcasts the joins shuffle, but nothing is scanned more often
+    and every result is the same."""
+    spark.catalog.clearCache()  # frames that other tests keep would take part in the plans
     inputs = fixture_inputs(spark, sf_small)
-    plan = P.report(inputs)._jdf.queryExecution().executedPlan().toString()
-    lines = _outside_cached(plan)
-    # the evidence is scanned once and shuffled once, by (target, disease);
-    # the side tables (consequence count, labels, mechanisms, areas) are
-    # cached relations broadcast into that single pass
-    assert sum("FileScan parquet" in x and "l_orderkey" in x for x in lines) == 1, plan
-    assert sum("Exchange hashpartitioning(targetId" in x for x in lines) == 1, plan
-    assert not any("SortMergeJoin" in x for x in lines), plan
+    small = {"report": P.report(inputs), "assessed": P.assessed(inputs, full=True)}
+    rows = {name: bag(df) for name, df in small.items()}
+    scans = {name: _scans(df, "l_orderkey") for name, df in small.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        inputs = fixture_inputs(spark, sf_small)
+        large = {"report": P.report(inputs), "assessed": P.assessed(inputs, full=True)}
+        for name, df in large.items():
+            assert "BroadcastHashJoin" not in _plan(df)
+            assert _scans(df, "l_orderkey") == scans[name]
+            assert bag(df) == rows[name]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_drug_pairs_are_kept_before_annotation(spark, sf_small):
+    """In the optimized plan no annotation join lies below the semi join."""
+    spark.catalog.clearCache()
+    plan = P.report(fixture_inputs(spark, sf_small))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    indent = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    semi = [i for i, line in enumerate(plan) if "LeftSemi" in line]
+    assert len(semi) >= len(V.EVIDENCE_SOURCES)
+    for i in semi:
+        below = [line for line in _below(plan, i, indent)]
+        assert not any("LeftOuter" in line for line in below)
+
+
+def _below(plan, i, indent):
+    for line in plan[i + 1 :]:
+        if indent(line) <= indent(plan[i]):
+            return
+        yield line
 
 
 def test_restrict_to_drug_pairs_keeps_all_rows_of_drug_pairs(spark):
@@ -316,10 +291,9 @@ def test_restrict_to_drug_pairs_keeps_all_rows_of_drug_pairs(spark):
         ("T3", None, "eva"),
     ]
     df = spark.createDataFrame(rows, "targetId string, diseaseId string, datasourceId string")
-    kept = bag(CL.restrict_to_drug_pairs(df))
-    assert kept == bag(df.where("NOT (targetId <=> 'T2') AND NOT (diseaseId IS NULL)"))
-    # above the bound nothing is dropped (the aggregation gives the same spine)
-    assert len(bag(CL.restrict_to_drug_pairs(df, max_broadcast_rows=0))) == len(rows)
+    frames = {s: df.where(F.col("datasourceId") == s) for s in ("chembl", "eva", "impc", "orphanet")}
+    kept = CL.restrict_to_drug_pairs(frames)
+    assert bag(union_aligned(list(kept.values()))) == bag(df.where("NOT (targetId <=> 'T2') AND NOT (diseaseId IS NULL)"))
 
 
 def test_hot_pair_is_combined_map_side(spark):
@@ -332,20 +306,24 @@ def test_hot_pair_is_combined_map_side(spark):
         "targetId string, diseaseId string, datasourceId string, unified string, homogenized string, "
         "mutatedSamples array<struct<functionalConsequenceId: string>>",
     ).withColumn("clinicalPhase", F.lit(None).cast("double"))
-    for frame in (CL.pair_profile(df), A.consequence_count(df), M.subset_matrix(df)):
+    counts = M.label_counts(df)
+    for frame in (CL.pair_profile(counts), A.consequence_count(df), M.subset_matrix(counts)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         # partial aggregation below the shuffle, and no window over pairs
         assert "partial_" in plan and "Window" not in plan, plan
-    prof = {r["targetId"]: r for r in CL.pair_profile(df).collect()}
+    prof = {r["targetId"]: r for r in CL.pair_profile(counts).collect()}
     ev_index = [n for n, _ in M.subset_predicates()].index("eva")
     assert prof["T1"][CL.subset_column(ev_index, "LoF_risk")] == 300
 
 
-def test_release_sides_unpersists(spark):
-    side = spark.range(5).withColumnRenamed("id", "k2")
-    big = spark.range(10)
-    out = J.left_join_bounded(big, side, F.col("id") == F.col("k2"), F.lit(True))
-    assert out.count() == 10
-    assert side.storageLevel.useMemory or side.storageLevel.useDisk
-    J.release_sides()
-    assert not (side.storageLevel.useMemory or side.storageLevel.useDisk)
+def test_generated_code_fits_the_jit(spark, sf_small):
+    """No source's assessment needs a method above the 8000 bytes that the JVM compiles."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    # From stored sources: the fixture's arithmetic is no part of the assessment.
+    frames = read_sources(spark, write_source_folders(spark, sf_small))
+    inputs = replace(fixture_inputs(spark, sf_small), evidence=frames)
+    for source in frames:
+        df = P.assessed(inputs, only=source)
+        df.collect()
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+        assert sizes and max(sizes) < 8000, source

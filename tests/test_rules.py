@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from doeffect.functions import rules as R
 from doeffect.functions import vocab as V
-from doeffect.operators.assess import label
+from doeffect.operators.align import union_aligned
+from doeffect.operators.assess import label as label_source
 
 L = ["SO_0001587", "SO_0001589"]
 PARAMS = R.RuleParams(var_filter_lof=L)
@@ -43,6 +44,14 @@ SCHEMA = T.StructType(
 FIELDS = [f.name for f in SCHEMA.fields]
 
 
+def label(df, params):
+    """All sources of a mixed frame, each by its own rules."""
+    src = F.col("datasourceId")
+    parts = [label_source(df.where(src == s), s, params) for s in R.SOURCE_RULES]
+    rest = df.where(src.isNull() | ~src.isin(list(R.SOURCE_RULES)))
+    return union_aligned([*parts, label_source(rest, "other", params)])
+
+
 def row(**kw):
     base = dict.fromkeys(FIELDS)
     base.update(targetId="T1", diseaseId="D1")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import tempfile
+from dataclasses import replace
 
+from doeffect.functions import vocab as V
 from doeffect.operators.contingency import CONTINGENCY_COLUMNS
 from doeffect.plans import run as P
 from doeffect.plans.inputs import fixture_inputs
@@ -34,9 +37,25 @@ def test_roundtrip_and_dynamic_overwrite(spark):
     # rewriting run-b replaces only run-b's partitions
     sinks.write_contingency(r2, path, "run-b")
     assert sinks.read_contingency(spark, path).count() == 3
-    manifest = sinks.contingency_manifest(sinks.read_contingency(spark, path))
-    cells = {r["cell"] for r in manifest.collect()}
-    assert cells == {"_!chembl_c1_p1", "_eva_c1_p1", "_eva_c2_p2"}
+    manifest = sinks.contingency_manifest(
+        sinks.read_contingency(spark, path), "run-a", ["!chembl", "eva"], [("c1", ""), ("c2", "")], [("p1", "")]
+    )
+    assert {r["path"]: r["rows"] for r in manifest.collect()} == {
+        "run-a_original/_!chembl_c1_p1.parquet": 1, "run-a_original/_eva_c1_p1.parquet": 1,
+        "run-a_original/_!chembl_c2_p1.parquet": 0, "run-a_original/_eva_c2_p1.parquet": 0,
+    }
+
+
+def test_run_date_stays_text_and_manifest_has_all_cells(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="doeffect-sink-"), "report")
+    # No disease under Oncology: a third of the comparisons have no rows.
+    rows = [(d, c, p, "dif", "x", t, "clinical", 1, 1, 1, 1) for d in V.SUBSET_NAMES for c, t in V.COMPARISONS
+            if not c.startswith("oncology") for p, _ in V.PREDICTIONS]
+    sinks.write_contingency(_report(spark, rows), path, "2024-06-01")
+    back = sinks.read_contingency(spark, path)
+    assert dict(back.dtypes)["run_date"] == "string" and back.first()["run_date"] == "2024-06-01"
+    manifest = sinks.contingency_manifest(back, "2024-06-01")
+    assert manifest.count() == 1560 and manifest.where("rows = 0").count() == 1560 - len(rows) == 520
 
 
 def test_run_writes_the_grid(spark, sf_small):
@@ -66,18 +85,43 @@ def test_read_annotations_csv_header_and_quotes(spark):
                      "Burden test with synonymous variants": "notGet"}
 
 
-def test_read_evidence_keeps_partition_and_prunes(spark, sf_small):
+def _files_read(df) -> int:
+    """Files that the scans of an executed query listed, from their metrics."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        metric = node.metrics().get("numFiles")
+        if metric.isDefined():
+            found += metric.get().value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_one_source_reads_its_folder_alone(spark, sf_small):
     from doeffect.plans.registry import write_source_folders
-    from doeffect.sources.readers import read_evidence
+    from doeffect.sources.readers import read_evidence, read_sources
 
     root = write_source_folders(spark, sf_small)
     ev = read_evidence(spark, root)
     assert "sourceId" in ev.columns and "mutatedSamples" in ev.columns
     only = ev.where("sourceId = 'impc'")
-    plan = only._jdf.queryExecution().executedPlan().toString()
-    # partition filter on a literal partition column: every other branch reads nothing
     assert only.count() == ev.where("datasourceId = 'impc'").count()
-    assert "sourceId=impc" in plan or "PartitionFilters" in plan
+    only.collect()
+    own = len(glob.glob(f"{root.removeprefix('file:')}/sourceId=impc/*.parquet"))
+    assert _files_read(only) == own
+    plan = only._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") >= len(V.EVIDENCE_SOURCES)
+
+    inputs = replace(fixture_inputs(spark, sf_small), evidence=read_sources(spark, root))
+    drugs = P.assessed(inputs, only="chembl").select("Assessment", "targetId")
+    listed = [f for f in drugs.inputFiles() if "sourceId=" in f]
+    assert listed and all("sourceId=chembl/" in f for f in listed)
 
 
 def test_release_layout_gives_the_same_report(spark, sf_small):
@@ -90,20 +134,18 @@ def test_release_layout_gives_the_same_report(spark, sf_small):
 
     root = os.path.join(tempfile.mkdtemp(prefix="doeffect-release-"), "release")
     for source, frame in fixtures.source_frames(spark, sf_small).items():
-        frame.write.parquet(f"{root}/evidence/sourceId={source}")
+        if source != fixtures.OTHER:
+            frame.write.parquet(f"{root}/evidence/sourceId={source}")
     fixtures.targets(spark, sf_small).write.parquet(f"{root}/targets")
     fixtures.diseases(spark, sf_small).write.parquet(f"{root}/diseases")
     fixtures.mechanisms(spark, sf_small).write.parquet(f"{root}/mechanismOfAction")
     study_csv = os.path.join(os.path.dirname(root), "study.csv")
-    with open(study_csv, "w") as fh:
-        fh.write(",statisticalMethodOverview,count,comment,whatToDo\n")
-        for i, (method, decision) in enumerate(
-            [("M0", "get"), ("M1", "notGet"), ("M2", "get"), ("M3", "noGet")]
-        ):
-            fh.write(f"{i},{method},1,,{decision}\n")
+    study = fixtures.study_inclusion(spark, sf_small).withColumnRenamed("stMethod", "statisticalMethodOverview")
+    study.write.option("header", True).csv(study_csv)
 
     out = os.path.join(os.path.dirname(root), "report")
     P.run(spark, release_inputs(spark, root, study_csv, FIXTURE_VAR_FILTER_LOF), out, "release-run")
     written = sinks.read_contingency(spark, out).drop("run_date")
-    expected = P.report(fixture_inputs(spark, sf_small))
-    assert bag(written, CONTINGENCY_COLUMNS) == bag(expected, CONTINGENCY_COLUMNS)
+    inputs = fixture_inputs(spark, sf_small)
+    del inputs.evidence[fixtures.OTHER]
+    assert bag(written, CONTINGENCY_COLUMNS) == bag(P.report(inputs), CONTINGENCY_COLUMNS)
