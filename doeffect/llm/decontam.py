@@ -210,3 +210,30 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         F.col("places").isNotNull().alias("contaminated"),
     )
+
+
+def oracle_sql(span: int = SPAN) -> str:
+    """The digest in DuckDB, over the tables ``documents`` and ``benchmark``."""
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {words} AS words FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS words FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT *, least({span}, len(words)) AS n FROM items WHERE len(words) > 0),
+runs AS (
+  SELECT DISTINCT item, n, array_to_string(words[i:i + n - 1], ' ') AS run
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM sized)),
+places AS (
+  SELECT row, n, i, array_to_string(words[i:i + n - 1], ' ') AS run
+  FROM (SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM runs))),
+hits AS (SELECT row, i, n, item FROM places JOIN runs USING (n, run)),
+covered AS (
+  SELECT row, count(DISTINCT w) AS n_hit
+  FROM (SELECT row, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT row, i, n FROM hits)) GROUP BY row),
+found AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+"""

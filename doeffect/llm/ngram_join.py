@@ -366,3 +366,31 @@ def one_each(
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
     once = keyed.where(~empty).join(stay, same, "left_semi").dropDuplicates([id_col, "_text_key"])
     return once.unionByName(keyed.where(empty)).drop("_text_key")
+
+
+def oracle_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:
+    """The join in DuckDB, over the table ``documents`` (ids there are unique)."""
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {k - 1}], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - {k - 1}) + 1)) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both >= {percent} * (x.n + y.n - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) c USING (doc_id)
+"""

@@ -232,3 +232,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 def digest(records: DataFrame) -> DataFrame:
     return records.drop("url")
+
+
+def oracle_sql() -> str:
+    """The digest in DuckDB, over the table ``pages``."""
+    return f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM rows),
+kinds AS (SELECT *, strlen(html) >= {LEAST} AND page_id IS DISTINCT FROM first AS revisit FROM firsts)
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to
+FROM kinds
+"""
