@@ -380,11 +380,11 @@ grams AS (
   FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - {k - 1}) + 1)) AS i FROM docs WHERE len(words) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared
   FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both >= {percent} * (x.n + y.n - both)),
+  WHERE 100 * n_shared >= {percent} * (x.n + y.n - n_shared)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (
   SELECT doc_id, doc_id AS other FROM sizes
