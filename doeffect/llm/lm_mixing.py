@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from .text import LOWER, NONSPACE, blocks, mix, spans, utf8, word_hashes, worker_cache
 
 ORDER = 5
@@ -148,8 +148,7 @@ def count_corpus(docs: DataFrame, n_blocks: int, folder: str) -> None:
         docs.mapInArrow(count, "block long, v binary, n binary")
         .groupBy("block")
         .applyInArrow(merge, "kind int, value long, n long")
-        .write.partitionBy("kind")
-        .parquet(folder)
+        .write.parquet(folder)
     )
 
 
@@ -367,9 +366,10 @@ def train_cells(seen: DataFrame, shipped, weights: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
     """The model of these texts (column ``text``), and the counts of their words."""
     spark = docs.sparkSession
-    n_blocks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Several blocks a partition, so that a packed block is a small row.
+    n_blocks = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     count_corpus(docs.select("text"), n_blocks, folder)
-    schema = "value long, n long, kind int"
+    schema = "kind int, value long, n long"
     seen = spark.read.schema(schema).parquet(folder).where("kind = 1")
     counts = tables(seen)
     shipped = ship(docs, *counts)
@@ -435,7 +435,7 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
     """Learn from the rows that are not held out, score all: ``doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mixing-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "mixing")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, train_folds).alias("held_out"), F.col(text_col).cast("string").alias("text")
     )

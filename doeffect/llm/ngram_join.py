@@ -30,14 +30,12 @@ are told apart by 64-bit hashes, and so are n-grams.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from .graph import components
 from .text import _GRAM, NONSPACE, grams, mix, text_key, words_of
 
@@ -260,7 +258,7 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     texts that connect all texts whose n-gram sets reach ``percent`` Jaccard
     similarity, directly or by other such links."""
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-join-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "ngram-join")
     n_blocks = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     (

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_dir
 
 LEAST = 100  # bytes of a payload that others may refer to
 SAMPLE_RECORDS = 512  # payloads the dictionary is trained on
@@ -226,8 +226,7 @@ def read(archives: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` under the session's checkpoint folder and read the archives back."""
-    folder = f"{ensure_checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return read(write(pages, folder))
+    return read(write(pages, scratch_dir(pages.sparkSession, "warc")))
 
 
 def digest(records: DataFrame) -> DataFrame:
