@@ -43,14 +43,14 @@ def train(pages: DataFrame, text_col: str = "html") -> bytes:
     import zstandard as zstd
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = (
-        pages.select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-        .where(F.length("t") > 0)
-        .orderBy("h", "t")
-        .limit(SAMPLE_RECORDS)
-        .collect()
-    )
-    samples = [r.t.encode() for r in rows]
+    hashed = pages.select(F.xxhash64(text).alias("h"), text.alias("t")).where(F.length("t") > 0)
+    # First the hashes alone, then the few texts that have them.
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).collect()]
+    if not least:
+        return b""
+    picked = hashed.where(F.col("h") <= max(least)).select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+    rows = picked.groupBy("h").agg(F.min("t").alias("t")).collect()
+    samples = [r.t.encode() for r in sorted(rows)]
     total = sum(map(len, samples))
     if not total:
         return b""
