@@ -101,7 +101,7 @@ def _rows(blocks, payloads) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
 
-def to_columns(docs: DataFrame, k: int, n_blocks: int) -> DataFrame:
+def to_columns(docs: DataFrame, k: int, n_columns: int, n_rows: int) -> DataFrame:
     """Packed n-grams by column block, and (at block -1 - r) the texts of row block r."""
 
     def pack(batches):
@@ -113,8 +113,8 @@ def to_columns(docs: DataFrame, k: int, n_blocks: int) -> DataFrame:
             key, size = np.concatenate(keys), np.concatenate(sizes)
             h = np.concatenate(held)
             doc = np.repeat(np.arange(len(key)), size)
-            block = block_of(h, n_blocks)
-            order = np.argsort(block.astype(np.uint16) if n_blocks < 65536 else block, kind="stable")
+            block = block_of(h, n_columns)
+            order = np.argsort(block.astype(np.uint16) if n_columns < 65536 else block, kind="stable")
             h, doc, block = h[order], doc[order], block[order]
             out_block, out = [], []
             for start, length in zip(*_runs(block)):
@@ -124,7 +124,7 @@ def to_columns(docs: DataFrame, k: int, n_blocks: int) -> DataFrame:
                 out_block.append(int(block[start]))
                 out.append(_pack(key[who], size[who], count, h[start : start + length]))
             order = np.argsort(key)
-            row = block_of(key[order], n_blocks)
+            row = block_of(key[order], n_rows)
             for start, length in zip(*_runs(row)):
                 who = order[start : start + length]
                 out_block.append(-1 - int(row[start]))
@@ -153,7 +153,7 @@ def to_columns(docs: DataFrame, k: int, n_blocks: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(pack, "block long, payload binary")
 
 
-def _column_block(n_blocks: int):
+def _column_block(n_rows: int):
     def count(key, table):
         block = key[0].as_py()
         payloads = [p.as_py() for p in table.column("payload")]
@@ -188,7 +188,7 @@ def _column_block(n_blocks: int):
         h, who, size, held_by = (x[held_by > 1] for x in (h, who, size, held_by))
         order = np.argsort(who, kind="stable")
         h, who, size, held_by = h[order], who[order], size[order], held_by[order].astype(np.uint32)
-        row = block_of(who, n_blocks)
+        row = block_of(who, n_rows)
         rows, out = [], []
         for start, length in zip(*_runs(row)):
             cut = slice(start, start + length)
@@ -259,12 +259,15 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     similarity, directly or by other such links."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "ngram-join")
-    n_blocks = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Several blocks a partition: they are dealt out by hash, and many small
+    # ones come out more even than few large ones.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_columns, n_rows = max(64, 8 * partitions), max(16, 2 * partitions)
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     (
-        to_columns(texts, k, n_blocks)
+        to_columns(texts, k, n_columns, n_rows)
         .groupBy("block")
-        .applyInArrow(_column_block(n_blocks), "block long, payload binary")
+        .applyInArrow(_column_block(n_rows), "block long, payload binary")
         .groupBy("block")
         .applyInArrow(_row_block(percent), "key long, n long, shared long, rare array<long>, grams array<long>")
         .write.parquet(folder)
