@@ -185,8 +185,8 @@ def find(
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` in whose text no run of an item occurs."""
     found = find(docs, items, id_col=id_col, text_col=text_col, **settings)
-    bad = found.where(F.col("places").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_key"))
+    bad = found.where(F.col("places").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
     return docs.join(bad, same, "left_anti")
 
 

@@ -361,12 +361,12 @@ def one_each(
     rows = members(docs, k, percent, id_col, text_col).where("n > 0")
     # Ids and keys only; one row a component, from per-task minima.
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
-    stay = first.select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
-    keyed = docs.withColumn("_text_key", text_key(text_col))
+    stay = first.select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__key"))
+    keyed = docs.withColumn("__text_key", text_key(text_col))
     empty = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("^[ \\t\\n\\x0B\\f\\r]*$")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    once = keyed.where(~empty).join(stay, same, "left_semi").dropDuplicates([id_col, "_text_key"])
-    return once.unionByName(keyed.where(empty)).drop("_text_key")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    once = keyed.where(~empty).join(stay, same, "left_semi").dropDuplicates([id_col, "__text_key"])
+    return once.unionByName(keyed.where(empty)).drop("__text_key")
 
 
 def oracle_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:

@@ -11,7 +11,8 @@ the adaptive skew join if a digest is hot.  Texts stream through the tasks;
 what a task holds is the digests it has seen.
 
 NULL text counts as empty, and an empty text has no findings.  Repeated rows
-each get the findings of their blob.  Offsets are code points.
+each get the findings of their blob.  Offsets are code points.  Columns of
+the input named ``blob`` or ``spans`` are replaced by the scan's own.
 """
 
 from __future__ import annotations
@@ -129,12 +130,12 @@ def scan(
     else:
         ensure_checkpoint_dir(spark)
         scanned = scanned.where(F.size("spans") > 0).checkpoint()
-    findings = scanned.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+    findings = scanned.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), "spans")
     keyed = docs.withColumn("blob", blob_id(text_col))
     empty = F.array().cast(f"array<{SPAN}>")
     return (
-        keyed.join(findings, F.col("blob") == F.col("_blob"), "left")
-        .drop("_blob")
+        keyed.join(findings, F.col("blob") == F.col("__blob"), "left")
+        .drop("__blob")
         .withColumn("spans", F.coalesce("spans", empty))
     )
 
@@ -190,13 +191,13 @@ def redact(scanned: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -
         ),
     )
     return (
-        scanned.withColumn("_cut", F.when(F.size("spans") > 0, step))
+        scanned.withColumn("__cut", F.when(F.size("spans") > 0, step))
         .withColumn(
             text_col,
             F.when(
-                F.col("_cut").isNotNull(),
-                F.concat(F.col("_cut.done"), F.substr(text, (F.col("_cut.at") + 1).cast("int"))),
+                F.col("__cut").isNotNull(),
+                F.concat(F.col("__cut.done"), F.substr(text, (F.col("__cut.at") + 1).cast("int"))),
             ).otherwise(text),
         )
-        .drop("_cut", "spans", "blob")
+        .drop("__cut", "spans", "blob")
     )
