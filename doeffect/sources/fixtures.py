@@ -41,7 +41,6 @@ SOURCE_COLUMNS = {
     "impc": [],
     "chembl": ["drugId", "clinicalPhase", "diseaseFromSourceId"],
 }
-KEY_COLUMNS = ["targetId", "diseaseId", "datasourceId"]
 # Key of the frame of all rows whose source has no rules (or is NULL).
 OTHER = "other"
 
@@ -76,14 +75,16 @@ def _disease(part: Column | str, order: Column) -> Column:
     return _named("D", _tenth(part, 2000) * 60 + order)
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One evidence row per ``lineitem`` row, with every column of every source."""
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with the hash keys of the recipes, each computed once per row."""
     k0 = F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 3
     k2 = _tenth(F.col("l_orderkey") * 11 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 5, 3)
-    li = table(spark, sf_dir, "lineitem").select("*", k0.alias("_k0"), k2.alias("_k2")).withColumn("_k1", _tenth("_k0"))
-    k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
-    listed = _case(k0 % 10, dict(enumerate(V.EVIDENCE_SOURCES)))
-    source = F.when(k0 % 101 == 0, F.lit("clingen")).when(k0 % 103 == 1, F.lit(None)).otherwise(listed)
+    return table(spark, sf_dir, "lineitem").select("*", k0.alias("_k0"), k2.alias("_k2"))
+
+
+def _columns() -> dict[str, Column]:
+    """The recipe of every evidence column but the source."""
+    k1, k2 = _tenth("_k0"), F.col("_k2")
     consequence_ids = _case(
         k2 % 6,
         {
@@ -94,21 +95,20 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
             4: _arr("SO_0001583"),
         },
     )
-    return li.select(
-        _named("T", _tenth("l_partkey")).alias("targetId"),
-        F.when(k2 % 97 != 0, _disease("l_partkey", F.col("l_orderkey") % 60)).alias("diseaseId"),
-        source.alias("datasourceId"),
-        F.when((k1 % 4).isin(0, 3), F.col("l_discount") - F.lit(0.05)).alias("beta"),
-        F.when(k1 % 4 == 1, F.col("l_quantity") / F.lit(25.0)).when(k1 % 4 == 3, F.lit(1.5)).alias("oddsRatio"),
-        _case(
+    return {
+        "targetId": _named("T", _tenth("l_partkey")),
+        "diseaseId": F.when(k2 % 97 != 0, _disease("l_partkey", F.col("l_orderkey") % 60)),
+        "beta": F.when((k1 % 4).isin(0, 3), F.col("l_discount") - F.lit(0.05)),
+        "oddsRatio": F.when(k1 % 4 == 1, F.col("l_quantity") / F.lit(25.0)).when(k1 % 4 == 3, F.lit(1.5)),
+        "variantFunctionalConsequenceId": _case(
             k2 % 8,
             {0: "SO_0001587", 1: "SO_0001589", 2: "SO_0002315", 3: "SO_0002317",
              4: "SO_0002053", 5: "SO_0002054", 6: "SO_0001583"},
-        ).alias("variantFunctionalConsequenceId"),
-        _case(_tenth(k1, 4) % 4, {0: "SO_0002314", 1: "SO_0002315", 2: "SO_0002316"}).alias(
-            "variantFunctionalConsequenceFromQtlId"
         ),
-        _case(
+        "variantFunctionalConsequenceFromQtlId": _case(
+            _tenth(k1, 4) % 4, {0: "SO_0002314", 1: "SO_0002315", 2: "SO_0002316"}
+        ),
+        "clinicalSignificances": _case(
             k1 % 5,
             {
                 0: _arr("pathogenic"),
@@ -116,21 +116,31 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
                 2: _arr("protective"),
                 3: _arr("pathogenic", "risk factor"),
             },
-        ).alias("clinicalSignificances"),
-        F.transform(consequence_ids, lambda x: F.struct(x.alias("functionalConsequenceId"))).alias("mutatedSamples"),
-        _named("M", _tenth("l_partkey", 50)).alias("statisticalMethodOverview"),
-        _named("C", F.col("l_suppkey")).alias("drugId"),
-        _case(F.col("l_linenumber"), {1: 0.5, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0}).cast("double").alias("clinicalPhase"),
-        _named("S", F.col("l_orderkey") % 500).alias("diseaseFromSourceId"),
-    )
+        ),
+        "mutatedSamples": F.transform(consequence_ids, lambda x: F.struct(x.alias("functionalConsequenceId"))),
+        "statisticalMethodOverview": _named("M", _tenth("l_partkey", 50)),
+        "drugId": _named("C", F.col("l_suppkey")),
+        "clinicalPhase": _case(F.col("l_linenumber"), {1: 0.5, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0}).cast("double"),
+        "diseaseFromSourceId": _named("S", F.col("l_orderkey") % 500),
+    }
 
 
 def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The evidence as ten per-source frames with their own columns, and the rest."""
-    ev = evidence(spark, sf_dir)
-    source = F.col("datasourceId")
-    frames = {s: ev.where(source == s).select(*KEY_COLUMNS, *cols) for s, cols in SOURCE_COLUMNS.items()}
-    frames[OTHER] = ev.where(source.isNull() | ~source.isin(V.EVIDENCE_SOURCES)).select(*KEY_COLUMNS)
+    """One evidence row per ``lineitem`` row: ten per-source frames with their
+    own columns, and the rows of sources without rules (or NULL)."""
+    rows, columns, k0 = _hashed(spark, sf_dir), _columns(), F.col("_k0")
+    unlisted, missing = k0 % 101 == 0, k0 % 103 == 1
+
+    def frame(keep: Column, source: Column, own: list[str]) -> DataFrame:
+        fields = {"targetId": columns["targetId"], "diseaseId": columns["diseaseId"], "datasourceId": source}
+        fields |= {c: columns[c] for c in own}
+        return rows.where(keep).select(*[c.alias(name) for name, c in fields.items()])
+
+    frames = {
+        s: frame((k0 % 10 == i) & ~unlisted & ~missing, F.lit(s), SOURCE_COLUMNS[s])
+        for i, s in enumerate(V.EVIDENCE_SOURCES)
+    }
+    frames[OTHER] = frame(unlisted | missing, F.when(unlisted, F.lit("clingen")), [])
     return frames
 
 
@@ -140,36 +150,47 @@ def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     A third of them name a drug, a third have an empty list and a third none;
     likewise a few have an empty list of targets or none.
     """
-    gene = _tenth("l_partkey")
-    none = F.lit(None).cast(T.ArrayType(T.StringType()))
-    empty = F.array().cast(T.ArrayType(T.StringType()))
-    action = _case(
-        (F.col("l_suppkey") + gene) % 5, {0: "INHIBITOR", 1: "AGONIST", 2: "BLOCKER", 3: "BINDING AGENT"}
-    )
     part = F.col("l_partkey")
-    return (
+    # Distinct by whole numbers; the lists are made of what is left.
+    keys = (
         table(spark, sf_dir, "lineitem")
         .select(
-            F.when(part % 3 == 0, F.array(_named("C", F.col("l_suppkey")))).when(part % 3 == 1, empty).otherwise(none).alias("chemblIds"),
-            action.alias("actionType"),
-            _named("moa-", F.col("l_linenumber") % 2).alias("mechanismOfAction"),
-            F.when(part % 11 == 5, empty)
-            .when(part % 11 == 6, none)
-            .otherwise(F.array(_named("T", gene), _named("T", gene + 1)))
-            .alias("targets"),
+            F.col("l_suppkey").alias("drug"),
+            _tenth(part).alias("gene"),
+            (F.col("l_linenumber") % 2).alias("moa"),
+            (part % 3).alias("drugs"),
+            F.when((part % 11).isin(5, 6), part % 11).otherwise(0).alias("genes"),
         )
         .distinct()
     )
+    drug, gene = F.col("drug"), F.col("gene")
+    none = F.lit(None).cast(T.ArrayType(T.StringType()))
+    empty = F.array().cast(T.ArrayType(T.StringType()))
+    return keys.select(
+        F.when(F.col("drugs") == 0, F.array(_named("C", drug))).when(F.col("drugs") == 1, empty).otherwise(none).alias("chemblIds"),
+        _case((drug + gene) % 5, {0: "INHIBITOR", 1: "AGONIST", 2: "BLOCKER", 3: "BINDING AGENT"}).alias("actionType"),
+        _named("moa-", F.col("moa")).alias("mechanismOfAction"),
+        F.when(F.col("genes") == 5, empty)
+        .when(F.col("genes") == 6, none)
+        .otherwise(F.array(_named("T", gene), _named("T", gene + 1)))
+        .alias("targets"),
+    )
 
 
 def diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diseases: ``id, descendants, therapeuticAreas``."""
-    i = F.col("l_orderkey") % 60
-    part = F.col("l_partkey")
+    keys = table(spark, sf_dir, "lineitem").select(
+        _tenth("l_partkey", 2000).alias("block"), (F.col("l_orderkey") % 60).alias("i")
+    ).distinct()
+    i = F.col("i")
+
+    def disease(order: Column) -> Column:
+        return _named("D", F.col("block") * 60 + order)
+
     empty = F.array().cast(T.ArrayType(T.StringType()))
     descendants = (
         F.when(i % 10 == 9, F.lit(None).cast(T.ArrayType(T.StringType())))
-        .when(i < 20, F.array(_disease(part, i + 20), _disease(part, i + 40)))
+        .when(i < 20, F.array(disease(i + 20), disease(i + 40)))
         .otherwise(empty)
     )
     areas = F.when(i % 15 == 4, _arr("EFO_0000319", "EFO_0000319")).otherwise(
@@ -183,11 +204,7 @@ def diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
             },
         )
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(_disease(part, i).alias("id"), descendants.alias("descendants"), areas.alias("therapeuticAreas"))
-        .distinct()
-    )
+    return keys.select(disease(i).alias("id"), descendants.alias("descendants"), areas.alias("therapeuticAreas"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
