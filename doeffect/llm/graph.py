@@ -18,9 +18,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     dropped; no edges give no rows.
     """
     ensure_checkpoint_dir(edges.sparkSession)
+    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ((a, b), (b, a))]
     both = (
-        edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-        .unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
+        edges.select(F.inline(F.array(*ends)))
         .where(F.col("node").isNotNull() & F.col("other").isNotNull())
         .distinct()
         .checkpoint()
@@ -28,7 +28,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = both.groupBy("node").agg(F.min("other").alias("other")).select(
         "node", F.least("node", "other").alias("component")
     )
-    labels = labels.checkpoint()
     while True:
         told = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
             F.min("component").alias("near")

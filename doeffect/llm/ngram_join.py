@@ -259,10 +259,8 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     similarity, directly or by other such links."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "ngram-join")
-    # Several blocks a partition: they are dealt out by hash, and many small
-    # ones come out more even than few large ones.
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_columns, n_rows = max(64, 8 * partitions), max(16, 2 * partitions)
+    # Two blocks a partition; with more, each text's key is repeated in more of them.
+    n_columns = n_rows = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     (
         to_columns(texts, k, n_columns, n_rows)
@@ -309,7 +307,7 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
         .where("first < last")
         .select("gram")
     )
-    classed = classed.join(mixed, "gram").checkpoint()
+    classed = classed.join(mixed, "gram")
     left = classed.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "class")])
     right = classed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "class")])
     na, nb = F.col("n_a"), F.col("n_b")
@@ -324,8 +322,7 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
         .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
         .distinct()
     )
-    edges = stars.unionByName(_linked(across, sets, percent)).checkpoint()
-    return sets.select("key", "n"), edges
+    return sets.select("key", "n"), stars.unionByName(_linked(across, sets, percent))
 
 
 def members(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
