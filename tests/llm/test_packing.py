@@ -1,7 +1,10 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from doeffect.llm.packing import END_ID, Encoder, digest, pack, piece_lengths, vocabulary, write_buckets
@@ -51,3 +54,14 @@ def test_buckets_and_empty_table(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "b"))
     assert back.where("bucket != length or length > 64").count() == 0 and back.count() == pieces.count()
     assert digest(pack(cases.frame(spark, []), files)).count() == 0
+
+
+@cache
+def _encoder() -> Encoder:
+    return Encoder(*vocabulary())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x23F, exclude_categories=["Cs"]), max_size=80))
+def test_both_encoders_agree_below_u0240(text):
+    assert _encoder().ids(text) == _encoder().full(text)
