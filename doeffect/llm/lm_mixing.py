@@ -42,10 +42,10 @@ ORDER = 5
 END = 0xFF  # the byte that ends a text; UTF-8 has no such byte
 TABLE_BITS = 22
 HEAD = 1 << 17  # words whose counts all tasks hold
-PRIOR = 0.3  # added to the counts of a bit
+PRIOR = 0.1  # added to the counts of a bit
 MOST = 8.0  # bound of log-odds
 CELLS = 24  # of the adaptive map, along the mixed log-odds
-RATE = 0.5
+RATE = 2.0
 BATCH = 4096
 HELD = 1 << 21  # distinct windows or words that a task holds before it sends them
 MEMO_BITS = 21
