@@ -46,7 +46,8 @@ def mechanism_pairs(mechanisms: DataFrame) -> DataFrame:
             lambda t: F.transform(_or_null("chemblIds"), lambda d: F.struct(t.alias("targetId2"), d.alias("drugId2"))),
         )
     )
-    return mechanisms.select(F.inline(pairs), R.ACTION, "mechanismOfAction").distinct()
+    # Never empty; as an outer generator it infers no filter that would make the lists twice.
+    return mechanisms.select(F.inline_outer(pairs), R.ACTION, "mechanismOfAction").distinct()
 
 
 def _clean_consequences() -> Column:

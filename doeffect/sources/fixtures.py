@@ -85,16 +85,10 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _columns() -> dict[str, Column]:
     """The recipe of every evidence column but the source."""
     k1, k2 = _tenth("_k0"), F.col("_k2")
-    consequence_ids = _case(
-        k2 % 6,
-        {
-            0: _arr("SO_0002053"),
-            1: _arr("SO_0002054"),
-            2: _arr("SO_0002053", "SO_0002054"),
-            3: _arr("SO_0001583", None),
-            4: _arr("SO_0001583"),
-        },
-    )
+
+    def samples(*ids: str | None) -> Column:
+        return F.array(*[F.struct(F.lit(x).cast("string").alias("functionalConsequenceId")) for x in ids])
+
     return {
         "targetId": _named("T", _tenth("l_partkey")),
         "diseaseId": F.when(k2 % 97 != 0, _disease("l_partkey", F.col("l_orderkey") % 60)),
@@ -117,7 +111,16 @@ def _columns() -> dict[str, Column]:
                 3: _arr("pathogenic", "risk factor"),
             },
         ),
-        "mutatedSamples": F.transform(consequence_ids, lambda x: F.struct(x.alias("functionalConsequenceId"))),
+        "mutatedSamples": _case(
+            k2 % 6,
+            {
+                0: samples("SO_0002053"),
+                1: samples("SO_0002054"),
+                2: samples("SO_0002053", "SO_0002054"),
+                3: samples("SO_0001583", None),
+                4: samples("SO_0001583"),
+            },
+        ),
         "statisticalMethodOverview": _named("M", _tenth("l_partkey", 50)),
         "drugId": _named("C", F.col("l_suppkey")),
         "clinicalPhase": _case(F.col("l_linenumber"), {1: 0.5, 2: 1.0, 3: 2.0, 4: 3.0, 5: 4.0}).cast("double"),
