@@ -163,10 +163,16 @@ def find(
     """Per row: ``doc_id, key`` (a hash of the text), ``n_words``, the covered ``places`` (start, length) and the ``items`` found."""
     ensure_checkpoint_dir(docs.sparkSession)
     bitmaps: dict[int, np.ndarray] = {}
-    # At most 2 ** BITS slots a length, and as many lengths as words in a run.
-    for length, slots in item_slots(items, span, k).toPandas().groupby("length")["slot"]:
-        bitmaps[int(length)] = np.zeros(1 << BITS, bool)
-        bitmaps[int(length)][slots.to_numpy()] = True
+    part = 1 << 16
+    packed = (
+        item_slots(items, span, k)
+        .groupBy("length", F.floor(F.col("slot") / part).alias("part"))
+        .agg(F.collect_set((F.col("slot") % part).cast("int")).alias("places"))
+    )
+    # At most 2 ** BITS places a length, and as many lengths as words in a run.
+    for length, at, places in zip(*packed.toArrow().columns):
+        bitmap = bitmaps.setdefault(length.as_py(), np.zeros(1 << BITS, bool))
+        bitmap[at.as_py() * part + places.values.to_numpy()] = True
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text_col).alias("key"))
     rows = candidates(rows, bitmaps, span, k).withColumn("row", F.monotonically_increasing_id()).checkpoint()
