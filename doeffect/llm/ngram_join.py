@@ -243,13 +243,18 @@ def _need(a: Column, b: Column, percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole overlap reaches the bound."""
+    """The pairs (a, b) whose whole overlap reaches the bound.
+
+    The central texts (b) are joined first: there a pair is two keys, so a
+    centre of very many texts draws few bytes to its task; the sets of both
+    then meet by the other text (a).
+    """
     one, two = (
         sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab"
     )
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
     return (
-        pairs.join(one, "a").join(two, "b").where((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        pairs.join(two, "b").join(one, "a").where((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     )
 
 
