@@ -47,8 +47,12 @@ def spine(inputs: Inputs, keep_subsets: bool = False) -> DataFrame:
     return clinical_spine(pair_profile(label_counts(rows)), area(inputs), keep_subsets=keep_subsets)
 
 
-def scored(inputs: Inputs, keep_pair_flag: bool = False) -> DataFrame:
-    return score(spine(inputs, keep_subsets=True), keep_pair_flag)
+def scored(inputs: Inputs, keep_pair_flag: bool = False, persist: bool = False) -> DataFrame:
+    """One row per (subset, spine row).  With ``persist`` they are kept in memory
+    and on disk when first computed, for several reports of one session; the
+    caller unpersists them."""
+    rows = score(spine(inputs, keep_subsets=True), keep_pair_flag)
+    return rows.persist() if persist else rows
 
 
 def report(inputs: Inputs) -> DataFrame:

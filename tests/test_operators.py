@@ -234,6 +234,19 @@ def test_single_pass_total_equals_distinct_count(small):
     assert bag(one_pass) == bag(two_pass)
 
 
+def test_persisted_scores_serve_several_reports(spark, small):
+    kept = P.scored(small[0], keep_pair_flag=True, persist=True)
+    try:
+        assert kept.storageLevel.useMemory and kept.storageLevel.useDisk
+        one = CT.contingency(kept, "coherency_inter", "pro_phase4", pair_flag=CL.PAIR_FLAG)
+        two = CT.contingency(kept, "coherency_inter", "pro_phase3", pair_flag=CL.PAIR_FLAG)
+        assert "InMemoryTableScan" in _plan(one) and "InMemoryTableScan" in _plan(two)
+        assert one.agg(F.sum("a")).first() == two.agg(F.sum("a")).first()
+    finally:
+        kept.unpersist()
+    assert not kept.storageLevel.useMemory
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
