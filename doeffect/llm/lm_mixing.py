@@ -63,7 +63,7 @@ def windows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     w = np.zeros(len(data), np.uint64)
     for k in range(ORDER, -1, -1):
         w <<= np.uint64(8)
-        w[k:] |= data[: len(data) - k]
+        w[k:] |= data[: max(len(data) - k, 0)]
     for k in range(ORDER):
         at = off[:-1] + k
         at = at[at < off[1:]]

@@ -78,3 +78,13 @@ def test_empty_tables(spark):
     rows = [(i, "ab", None, None, None, None, None, None) for i in held]
     got = M.score(cases.frame(spark, rows)).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and abs(r.score + 24 * math.log10(2)) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("text", ["a", "ab", "abc", "abcd", "abcde", "abcdef"])
+def test_a_short_text_alone_in_a_block(spark, text):
+    w = M.windows(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    whole = text.encode() + b"\xff"
+    assert [int(x) for x in w] == [int.from_bytes(whole[max(0, i - M.ORDER) : i + 1], "big") for i in range(len(whole))]
+    rows = [(i, text, None, None, None, None, None, None) for i in range(3)]
+    got = M.score(cases.frame(spark, rows).coalesce(1)).collect()
+    assert len(got) == 3 and all(r.score < 0 for r in got)
