@@ -1,20 +1,25 @@
 """Scoring by logistic context mixing.
 
 A text is predicted bit by bit.  For contexts of the last 0 to ``ORDER``
-bytes, hashed tables hold how often each bit was 0 or 1 in the training
-texts.  A mixer adds the predictors' log-odds with weights gated by the
-bit's place and by the longest context that was seen; an adaptive map then
-refines the mixed probability.  The sum of the bits' costs is the text's
-code length, so ``bits_per_byte`` and its log10 probability.
-
-Training is spread over the corpus.  Tasks count byte windows (a context and
-the byte after it) and words; the counts of equal windows meet in blocks.
-The mixer learns online, window after window, in every task that reads the
-window table, with each window's own occurrence left out of the counts that
-predict it; the tasks' weights are averaged by the text they saw.  Scoring
-uses the finished model, so it does not depend on the order of texts: the
-cost of a byte is a function of its window, and a task works out the cost of
-every distinct window once.
+bytes it is known how often each bit was 0 or 1 in the training texts; these
+counts are exact, and they grow with the corpus.  A mixer adds the
+predictors' log-odds with weights gated by the bit's place and by the longest
+context that was seen; an adaptive map then refines the mixed probability.
+The sum of the bits' costs is the text's code length, so ``bits_per_byte``
+and its log10 probability.
+
+Tasks cut the texts into chunks and count each chunk's distinct byte windows
+(a context and the byte after it).  Windows whose contexts end in the same
+``NEAR`` bytes meet in one block, so a block has all that contexts of
+``NEAR`` bytes and more need; the counts of shorter contexts follow from the
+distinct runs of ``NEAR`` bytes (at most 2^24), which all tasks hold.  The
+mixer learns online, window after window, in every task that reads the
+blocks, with each window's own occurrence left out of the counts that predict
+it; the tasks' weights are averaged by the text they saw.  Scoring uses the
+finished model, so it does not depend on the order of texts: the cost of a
+byte is a function of its window.  A block works out the cost of its distinct
+windows once and returns to every chunk those it asked for, where the texts
+are added up.
 
 Beside it stands a unigram word model with additive smoothing.  The counts
 of the ``HEAD`` most frequent words are sent to all tasks; rarer words are
@@ -40,7 +45,7 @@ from .text import LOWER, NONSPACE, blocks, mix, spans, utf8, word_hashes, worker
 
 ORDER = 5
 END = 0xFF  # the byte that ends a text; UTF-8 has no such byte
-TABLE_BITS = 22
+NEAR = 3  # contexts that end in the same bytes are counted together
 HEAD = 1 << 17  # words whose counts all tasks hold
 PRIOR = 0.1  # added to the counts of a bit
 MOST = 8.0  # bound of log-odds
@@ -48,8 +53,12 @@ CELLS = 24  # of the adaptive map, along the mixed log-odds
 RATE = 2.0
 BATCH = 4096
 HELD = 1 << 21  # distinct windows or words that a task holds before it sends them
-MEMO_BITS = 21
+CHUNK = 1 << 25  # bytes of the texts that ask for costs together
+STRETCH = 10_000  # windows over which the learning rate falls
+LEVEL = 6  # of the texts' compression
+PLACE_BITS = 22
 ADD = 0.1
+PARTS = "block long, chunk long, v binary, n binary, ids array<long>, held array<boolean>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, base double, known long, rare array<long>, bits double, n_bytes long"
 
 
@@ -90,31 +99,118 @@ def distinct(v: np.ndarray):
     return v[first], np.diff(np.append(first, len(v)))
 
 
-def count_corpus(docs: DataFrame, n_blocks: int, folder: str) -> None:
-    """Write ``kind, value, n``: words (kind 0, their hashes) and byte windows (1) of all texts."""
+def rotated(w: np.ndarray) -> np.ndarray:
+    """Windows with the last ``NEAR`` bytes of the context first, then the byte after it."""
+    low, far = 8 * (NEAR + 1), 8 * (ORDER - NEAR)
+    return ((w & np.uint64((1 << low) - 1)) << np.uint64(far)) | (w >> np.uint64(low))
+
+
+def restored(r: np.ndarray) -> np.ndarray:
+    low, far = 8 * (NEAR + 1), 8 * (ORDER - NEAR)
+    return (r >> np.uint64(far)) | ((r & np.uint64((1 << far) - 1)) << np.uint64(low))
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, byte place by byte place."""
+    import zstandard as zstd
+
+    return zstd.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def expanded(raw: bytes, kind=np.uint64) -> np.ndarray:
+    import zstandard as zstd
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstd.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def packets(r: np.ndarray, n: np.ndarray, n_blocks: int):
+    """Blocks of rotated windows (in order), and the windows and counts of each."""
+    spread = mix(r >> np.uint64(8 * (ORDER - NEAR + 1)))
+    block = ((spread >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block, r, n = block[order], r[order], n[order].astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    for a, b in zip(first, np.append(first[1:], len(block))):
+        yield int(block[a]), squeezed(r[a:b]), squeezed(n[a:b])
+
+
+def part_rows(block, chunk: int, v, n, ids=None, held=None) -> pa.RecordBatch:
+    none = pa.nulls(len(v))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(block, pa.int64()),
+            pa.array([chunk] * len(v), pa.int64()),
+            pa.array(v, pa.binary()),
+            pa.array(n, pa.binary()),
+            none.cast(pa.list_(pa.int64())) if ids is None else pa.array(ids, pa.list_(pa.int64())),
+            none.cast(pa.list_(pa.bool_())) if held is None else pa.array(held, pa.list_(pa.bool_())),
+        ],
+        ["block", "chunk", "v", "n", "ids", "held"],
+    )
+
+
+def cut_corpus(docs: DataFrame, n_blocks: int, folder: str) -> None:
+    """Write, of ``doc_id, held_out, text``, the texts in chunks (rows without a block), and
+    the distinct byte windows of each chunk by blocks, with their counts in training texts."""
+
+    def cut(batches):
+        import zstandard as zstd
+        from pyspark import TaskContext
+
+        chunk, n_bytes, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def send(r, n):
+            rows = list(packets(r, n, n_blocks))
+            return part_rows([b for b, _, _ in rows], chunk, [v for _, v, _ in rows], [c for _, _, c in rows])
+
+        for batch in batches:
+            data, off = utf8(batch.column(2))
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in blocks(off):
+                codes, rel = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                # The lowest bit tells the windows of training texts.
+                train = ~out[i:j]
+                train = np.concatenate((np.repeat(train, np.diff(rel)), train))
+                both, n = distinct((rotated(windows(codes, rel)) << np.uint64(1)) | train.astype(np.uint64))
+                held.append((both >> np.uint64(1), np.where(both & np.uint64(1), n, 0)))
+                size += len(both)
+                yield part_rows(
+                    [None],
+                    chunk,
+                    [zstd.compress(codes.tobytes(), LEVEL)],
+                    [zstd.compress(rel.astype(np.int64).tobytes(), LEVEL)],
+                    [batch.column(0).slice(i, j - i).to_pylist()],
+                    [out[i:j].tolist()],
+                )
+                n_bytes += len(codes) + j - i
+                if size > HELD:
+                    held = [counted([r for r, _ in held], [c for _, c in held])]
+                    size = len(held[0][0])
+                if size > HELD // 2 or n_bytes > CHUNK:
+                    yield send(*counted([r for r, _ in held], [c for _, c in held]))
+                    chunk, n_bytes, held, size = chunk + 1, 0, [], 0
+        if held:
+            yield send(*counted([r for r, _ in held], [c for _, c in held]))
+
+    docs.mapInArrow(cut, PARTS).write.parquet(folder)
+
+
+def count_words(docs: DataFrame, n_blocks: int, folder: str) -> None:
+    """Write ``word, n``: the hashes of the words of all texts, and their counts."""
 
     def count(batches):
-        held = {0: [], 1: []}
-        size = {0: 0, 1: 0}
-
-        def send(kind):
-            values, n = counted([v for v, _ in held[kind]], [c for _, c in held[kind]])
-            held[kind], size[kind] = [(values, n)], len(values)
-            if len(values) < HELD // 2:
-                return
-            held[kind], size[kind] = [], 0
-            yield pack(kind, values, n)
-
-        def pack(kind, values, n):
-            spread = mix(values)
-            block = ((spread >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+        held, size = [], 0
+
+        def pack(values, n):
+            block = ((mix(values) >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             block, values, n = block[order], values[order], n[order].astype(np.uint32)
             first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             last = np.append(first[1:], len(block))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(2 * block[first] + kind),
+                    pa.array(block[first]),
                     pa.array([values[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
                     pa.array([n[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
                 ],
@@ -124,53 +220,116 @@ def count_corpus(docs: DataFrame, n_blocks: int, folder: str) -> None:
         for batch in batches:
             data, off = utf8(batch.column(0))
             for i, j in blocks(off):
-                codes, rel = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                lower = LOWER[codes]
-                starts, ends, _ = spans(lower, rel, NONSPACE)
-                for kind, got in ((0, word_hashes(lower, starts, ends)), (1, windows(codes, rel))):
-                    held[kind].append(distinct(got))
-                    size[kind] += len(held[kind][-1][0])
-                    if size[kind] > HELD:
-                        yield from send(kind)
-        for kind in (0, 1):
-            if size[kind]:
-                yield pack(kind, *counted([v for v, _ in held[kind]], [c for _, c in held[kind]]))
+                lower = LOWER[data[off[i] : off[j]]]
+                starts, ends, _ = spans(lower, off[i : j + 1] - off[i], NONSPACE)
+                held.append(distinct(word_hashes(lower, starts, ends)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [counted([v for v, _ in held], [c for _, c in held])]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pack(*held[0])
+                        held, size = [], 0
+        if size:
+            yield pack(*counted([v for v, _ in held], [c for _, c in held]))
 
     def merge(key, table):
         values, n = counted(
             [np.frombuffer(v.as_py(), np.uint64) for v in table.column("v")],
             [np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for c in table.column("n")],
         )
-        kind = np.full(len(values), key[0].as_py() % 2)
-        return pa.table({"kind": pa.array(kind, pa.int32()), "value": pa.array(values.view(np.int64)), "n": pa.array(n, pa.int64())})
+        return pa.table({"word": pa.array(values.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    (
-        docs.mapInArrow(count, "block long, v binary, n binary")
-        .groupBy("block")
-        .applyInArrow(merge, "kind int, value long, n long")
-        .write.parquet(folder)
-    )
+    docs.mapInArrow(count, "block long, v binary, n binary").groupBy("block").applyInArrow(merge, "word long, n long").write.parquet(folder)
 
 
-def slots(context: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the last ``order`` bytes of the contexts."""
-    part = context & np.uint64((1 << (8 * order)) - 1)
-    return mix(part + np.uint64(order << 56))
+def block_windows(table):
+    """Distinct rotated windows of a block's rows and their counts."""
+    return counted([expanded(v.as_py()) for v in table.column("v")], [expanded(c.as_py(), np.int64) for c in table.column("n")])
 
 
-def slot_of(base: np.ndarray, node: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (((base + node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def merge_windows(parts: DataFrame, folder: str) -> None:
+    """Write ``block, v, n``: a row of all windows of a block that training texts have."""
 
+    def merge(key, table):
+        r, n = block_windows(table)
+        r, n = r[n > 0], n[n > 0]
+        return pa.table(
+            {"block": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([squeezed(r)], pa.binary()), "n": pa.array([squeezed(n)], pa.binary())}
+        )
+
+    requests(parts).groupBy("block").applyInArrow(merge, "block long, v binary, n binary").write.parquet(folder)
+
+
+def requests(parts: DataFrame) -> DataFrame:
+    return parts.where("block is not null").select("block", "chunk", "v", "n")
+
+
+def short_runs(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``NEAR`` bytes that end in a window's last byte, and their counts."""
+    shift, mask = np.uint64(8 * (ORDER - NEAR)), np.uint64((1 << (8 * NEAR)) - 1)
+
+    def runs(batches):
+        for batch in batches:
+            for v, c in zip(batch.column(0), batch.column(1)):
+                run, n = counted([(expanded(v.as_py()) >> shift) & mask], [expanded(c.as_py(), np.int64)])
+                part = (run >> np.uint64(8 * NEAR - 8)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+                ends = list(zip(first, np.append(first[1:], len(part))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[first], pa.int64()),
+                        pa.array([squeezed(run[a:b]) for a, b in ends], pa.binary()),
+                        pa.array([squeezed(n[a:b]) for a, b in ends], pa.binary()),
+                    ],
+                    ["part", "v", "n"],
+                )
 
-def steps(w: np.ndarray):
-    """For the bits of the windows' last bytes, first to last: place, node, bit, slot of each order."""
-    symbol = (w & np.uint64(0xFF)).astype(np.int64)
-    context = w >> np.uint64(8)
-    bases = [slots(context, k) for k in range(ORDER + 1)]
-    for b in range(8):
-        node = (1 << b) | (symbol >> (8 - b))
-        yield b, node, (symbol >> (7 - b)) & 1, [slot_of(base, node.astype(np.uint64)) for base in bases]
+    def add(key, table):
+        run, n = block_windows(table)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([squeezed(run)], pa.binary()), "n": pa.array([squeezed(n)], pa.binary())})
+
+    # At most 256 rows and 2^24 runs, whatever the corpus.
+    rows = seen.select("v", "n").mapInArrow(runs, "part long, v binary, n binary").groupBy("part").applyInArrow(add, "part long, v binary, n binary").collect()
+    rows.sort(key=lambda row: row["part"])
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(none + [expanded(row["v"]) for row in rows]), np.concatenate(none + [expanded(row["n"]) for row in rows]).astype(np.int64)
+
+
+class Counts:
+    """Exact counts of the bits after all contexts of a block's windows.
+
+    ``w`` are distinct windows, all those of training texts whose contexts
+    end like theirs among them, and ``n`` their counts; ``runs`` and
+    ``run_n`` are the short runs of the whole corpus."""
+
+    def __init__(self, w: np.ndarray, n: np.ndarray, runs: np.ndarray, run_n: np.ndarray):
+        self.symbol = (w & np.uint64(0xFF)).astype(np.int64)
+        self.grams = []
+        for order in range(ORDER + 1):
+            mask = np.uint64((1 << (8 * (order + 1))) - 1)
+            if order < NEAR:
+                g, back = np.unique(np.concatenate((runs & mask, w & mask)), return_inverse=True)
+                total = np.bincount(back[: len(runs)], run_n, len(g))
+                back = back[len(runs) :]
+            else:
+                g, back = np.unique(w & mask, return_inverse=True)
+                total = np.bincount(back, n, len(g))
+            self.grams.append((g, back, total))
+
+    def bits(self):
+        """For the bits of the windows' last bytes, first to last: place, node, bit, and
+        for each order the zeros and ones of every gram, and the windows' grams."""
+        for b in range(8):
+            found = []
+            for g, back, total in self.grams:
+                node = g >> np.uint64(8 - b)
+                new = np.concatenate(([True], node[1:] != node[:-1]))
+                first, run = np.flatnonzero(new), np.cumsum(new) - 1
+                ones = np.add.reduceat(total * ((g >> np.uint64(7 - b)) & np.uint64(1)), first)
+                zeros = np.add.reduceat(total, first) - ones
+                found.append((zeros[run], ones[run], back))
+            yield b, (1 << b) | (self.symbol >> (8 - b)), (self.symbol >> (7 - b)) & 1, found
 
 
 def log_odds(zeros, ones):
@@ -181,29 +340,65 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-@dataclass
-class Model:
-    odds: np.ndarray  # float16, per slot; NaN where no bit was seen
-    weights: np.ndarray  # (bit place * (ORDER + 2) + gate) x (ORDER + 1)
-    cells: np.ndarray  # per node and cell, the refined probability of a 1
+class Mixer:
+    def __init__(self, weights: np.ndarray, cells: np.ndarray | None = None):
+        self.weights = weights  # (bit place * (ORDER + 2) + gate) x (ORDER + 1)
+        self.cells = cells  # per node and cell, the refined probability of a 1
 
     def mixed(self, b: int, inputs: np.ndarray, seen: np.ndarray):
         gate = b * (ORDER + 2) + seen
         return np.clip((self.weights[gate] * inputs).sum(axis=1), -MOST, MOST), gate
 
-    def cost(self, w: np.ndarray) -> np.ndarray:
+    def cost(self, counts: Counts) -> np.ndarray:
         """Bits that the last byte of each window takes after the others."""
-        total = np.zeros(len(w))
-        for b, node, bit, at in steps(w):
-            found = np.stack([self.odds[s] for s in at], axis=1).astype(np.float32)
-            known = ~np.isnan(found)
-            inputs = np.where(known, found, 0)
-            t, _ = self.mixed(b, inputs, gate_of(known))
-            p = (_sigmoid(t) + refined(self.cells, node, t)) / 2
-            total -= np.log2(np.where(bit == 1, p, 1 - p))
+        total = np.zeros(len(counts.symbol))
+        for b, node, bit, found in counts.bits():
+            odds = [(np.where(z + o > 0, log_odds(z, o), np.nan), back) for z, o, back in found]
+            for i in range(0, len(total), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                inputs = np.stack([x[back[part]] for x, back in odds], axis=1)
+                known = ~np.isnan(inputs)
+                t, _ = self.mixed(b, np.where(known, inputs, 0), gate_of(known))
+                p = (_sigmoid(t) + refined(self.cells, node[part], t)) / 2
+                total[part] -= np.log2(np.where(bit[part] == 1, p, 1 - p))
         return total
 
 
+@dataclass
+class Model:
+    parts: DataFrame  # what ``cut_corpus`` wrote
+    n_blocks: int
+    runs: np.ndarray  # the short runs of the corpus
+    run_n: np.ndarray
+    weights: np.ndarray
+    cells: np.ndarray
+
+    def costs(self, asked: DataFrame) -> DataFrame:
+        """``chunk, v, n``: the windows that each chunk asked for in ``asked``, and their costs."""
+        shipped = ship(asked, self.runs, self.run_n, self.weights, self.cells)
+
+        def cost(key, table):
+            runs, run_n, weights, cells = received(shipped)
+            r, n = block_windows(table)
+            bits = Mixer(weights, cells).cost(Counts(restored(r), n, runs, run_n)).astype(np.float32)
+            found = [squeezed(bits[np.searchsorted(r, expanded(v.as_py()))]) for v in table.column("v")]
+            return pa.table({"chunk": table.column("chunk"), "v": table.column("v"), "n": pa.array(found, pa.binary())})
+
+        return asked.groupBy("block").applyInArrow(cost, "chunk long, v binary, n binary")
+
+    def cost(self, w: np.ndarray) -> np.ndarray:
+        """Bits that the last byte of each window takes after the others."""
+        r, back = np.unique(rotated(w), return_inverse=True)
+        rows = [(b, -1, v, c) for b, v, c in packets(r, np.zeros(len(r)), self.n_blocks)]
+        mine = self.parts.sparkSession.createDataFrame(rows, "block long, chunk long, v binary, n binary")
+        seen = requests(self.parts).join(mine.select("block"), "block", "left_semi")
+        got = self.costs(seen.unionByName(mine)).where("chunk = -1").collect()
+        keys = np.concatenate([expanded(bytes(row["v"])) for row in got])
+        cost = np.concatenate([expanded(bytes(row["n"]), np.float32).astype(np.float64) for row in got])
+        order = np.argsort(keys)
+        return cost[order][back]
+
+
 def gate_of(known: np.ndarray) -> np.ndarray:
     """0 if no context was seen, else one more than the longest that was."""
     order = np.arange(1, known.shape[1] + 1)
@@ -246,59 +441,24 @@ def _initial_cells() -> np.ndarray:
     return np.tile(_sigmoid(np.linspace(-MOST, MOST, CELLS)), 256)
 
 
-def tables(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How often the bit of each slot was 0 and 1."""
-    span = 1 << 16
-
-    def fill(batches):
-        zeros, ones = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
-        some = False
-        for batch in batches:
-            w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(w), 1 << 17):
-                for _, _, bit, at in steps(w[i : i + (1 << 17)]):
-                    for s in at:
-                        part = n[i : i + (1 << 17)]
-                        some = True
-                        np.add.at(zeros, s[bit == 0], part[bit == 0])
-                        np.add.at(ones, s[bit == 1], part[bit == 1])
-        if some:
-            for r in range(0, 1 << TABLE_BITS, span):
-                z, o = zeros[r : r + span], ones[r : r + span]
-                at = np.flatnonzero(z + o)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r // span], pa.int32()),
-                        pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
-                        pa.array([np.stack([z[at], o[at]]).astype(np.uint64).tobytes()], pa.binary()),
-                    ],
-                    ["part", "at", "n"],
-                )
-
-    def add(key, table):
-        total = np.zeros((2, span), np.uint64)
-        for at, n in zip(table.column("at"), table.column("n")):
-            at = np.frombuffer(at.as_py(), np.uint16)
-            total[:, at] += np.frombuffer(n.as_py(), np.uint64).reshape(2, -1)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    summed = seen.select("value", "n").mapInArrow(fill, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
-    zeros, ones = np.zeros(1 << TABLE_BITS, np.float32), np.zeros(1 << TABLE_BITS, np.float32)
-    # As many rows as the table has parts.
-    for row in summed.collect():
-        z, o = np.frombuffer(row["n"], np.float32).reshape(2, -1)
-        zeros[row["part"] * span : (row["part"] + 1) * span] = z
-        ones[row["part"] * span : (row["part"] + 1) * span] = o
-    return zeros, ones
-
-
-def _left_out(counts, at, bit):
+def _left_out(found, bit, part):
     """Inputs and seen contexts when one occurrence of the bit is left out of the counts."""
-    zeros, ones = counts
-    z = np.stack([zeros[s] for s in at], axis=1) - (bit == 0)[:, None]
-    o = np.stack([ones[s] for s in at], axis=1) - (bit == 1)[:, None]
+    z = np.stack([zeros[back[part]] for zeros, _, back in found], axis=1) - (bit == 0)[:, None]
+    o = np.stack([ones[back[part]] for _, ones, back in found], axis=1) - (bit == 1)[:, None]
     known = z + o > 0.5
-    return np.where(known, log_odds(np.maximum(z, 0), np.maximum(o, 0)), 0).astype(np.float32), known
+    return np.where(known, log_odds(np.maximum(z, 0), np.maximum(o, 0)), 0), known
+
+
+def training_blocks(batches, shipped):
+    """The windows of each block, their counts and those of their contexts' bits."""
+    runs, run_n = received(shipped)
+    for batch in batches:
+        for v, c in zip(batch.column(0), batch.column(1)):
+            w, n = restored(expanded(v.as_py())), expanded(c.as_py(), np.int64).astype(np.float64)
+            if len(w):
+                # In no order, so that neighbours share no context.
+                order = np.argsort(mix(w))
+                yield n[order], Counts(w[order], n[order], runs, run_n)
 
 
 def train_mixer(seen: DataFrame, shipped) -> np.ndarray:
@@ -306,19 +466,18 @@ def train_mixer(seen: DataFrame, shipped) -> np.ndarray:
     n_gates = 8 * (ORDER + 2)
 
     def learn(batches):
-        counts = received(shipped)
-        model = Model(None, np.full((n_gates, ORDER + 1), 1.5 / (ORDER + 1)), None)
+        model = Mixer(np.full((n_gates, ORDER + 1), 1.5 / (ORDER + 1)))
         mass = np.zeros(n_gates)
-        for batch in batches:
-            w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(w), BATCH):
-                part = n[i : i + BATCH]
-                for b, _, bit, at in steps(w[i : i + BATCH]):
-                    inputs, known = _left_out(counts, at, bit)
+        for n, counts in training_blocks(batches, shipped):
+            for b, _, bit, found in counts.bits():
+                for i in range(0, len(n), BATCH):
+                    at = slice(i, i + BATCH)
+                    part = n[at]
+                    inputs, known = _left_out(found, bit[at], at)
                     t, gate = model.mixed(b, inputs, gate_of(known))
-                    wrong = (bit - _sigmoid(t)) * part
+                    wrong = (bit[at] - _sigmoid(t)) * part
                     total = np.bincount(gate, part, n_gates)
-                    rate = RATE / np.sqrt(1 + i / BATCH) / np.maximum(total, 1)
+                    rate = RATE / np.sqrt(1 + i % STRETCH // BATCH) / np.maximum(total, 1)
                     for k in range(ORDER + 1):
                         model.weights[:, k] += rate * np.bincount(gate, wrong * inputs[:, k], n_gates)
                     mass += total
@@ -327,7 +486,7 @@ def train_mixer(seen: DataFrame, shipped) -> np.ndarray:
             share = np.repeat(mass, ORDER + 1)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.weights.ravel() * share), pa.array(share)], ["at", "w", "mass"])
 
-    rows = seen.select("value", "n").mapInArrow(learn, "at long, w double, mass double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
+    rows = seen.select("v", "n").mapInArrow(learn, "at long, w double, mass double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
     weights = np.full(n_gates * (ORDER + 1), 1.5 / (ORDER + 1))
     for row in rows.where("mass > 0").collect():
         weights[row["at"]] = row["w"] / row["mass"]
@@ -338,24 +497,22 @@ def train_cells(seen: DataFrame, shipped, weights: np.ndarray) -> np.ndarray:
     """The adaptive map: how often the bit was 1 around each mixed probability."""
 
     def learn(batches):
-        counts = received(shipped)
-        model = Model(None, weights, None)
+        model = Mixer(weights)
         total, ones = np.zeros(256 * CELLS), np.zeros(256 * CELLS)
-        for batch in batches:
-            w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(w), 1 << 16):
-                part = n[i : i + (1 << 16)]
-                for b, node, bit, at in steps(w[i : i + (1 << 16)]):
-                    inputs, known = _left_out(counts, at, bit)
+        for n, counts in training_blocks(batches, shipped):
+            for b, node, bit, found in counts.bits():
+                for i in range(0, len(n), 1 << 16):
+                    at = slice(i, i + (1 << 16))
+                    inputs, known = _left_out(found, bit[at], at)
                     t, _ = model.mixed(b, inputs, gate_of(known))
                     low, share = cell_of(t)
-                    for cell, weight in ((node * CELLS + low, part * (1 - share)), (node * CELLS + low + 1, part * share)):
+                    for cell, weight in ((node[at] * CELLS + low, n[at] * (1 - share)), (node[at] * CELLS + low + 1, n[at] * share)):
                         total += np.bincount(cell, weight, 256 * CELLS)
-                        ones += np.bincount(cell, weight * bit, 256 * CELLS)
+                        ones += np.bincount(cell, weight * bit[at], 256 * CELLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], ["at", "ones", "total"])
 
-    rows = seen.select("value", "n").mapInArrow(learn, "at long, ones double, total double").groupBy("at").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
+    rows = seen.select("v", "n").mapInArrow(learn, "at long, ones double, total double").groupBy("at").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
     cells = _initial_cells()
     for row in rows.collect():
         # The starting value counts as some occurrences.
@@ -364,21 +521,24 @@ def train_cells(seen: DataFrame, shipped, weights: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
-    """The model of these texts (column ``text``), and the counts of their words."""
+    """The model of the texts that are not held out (columns ``doc_id``, ``held_out``
+    and ``text``, or ``text`` alone), and the counts of their words."""
     spark = docs.sparkSession
+    if "held_out" not in docs.columns:
+        docs = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
     # Several blocks a partition, so that a packed block is a small row.
     n_blocks = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    count_corpus(docs.select("text"), n_blocks, folder)
-    schema = "kind int, value long, n long"
-    seen = spark.read.schema(schema).parquet(folder).where("kind = 1")
-    counts = tables(seen)
-    shipped = ship(docs, *counts)
+    cut_corpus(docs.select("doc_id", "held_out", "text"), n_blocks, f"{folder}/parts")
+    count_words(docs.where(~F.col("held_out")).select("text"), n_blocks, f"{folder}/words")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts")
+    merge_windows(parts, f"{folder}/windows")
+    seen = spark.read.schema("block long, v binary, n binary").parquet(f"{folder}/windows")
+    runs, run_n = short_runs(seen)
+    shipped = ship(docs, runs, run_n)
     weights = train_mixer(seen, shipped)
     cells = train_cells(seen, shipped, weights)
     shipped.unpersist()
-    odds = np.where(counts[0] + counts[1] > 0, log_odds(*counts), np.nan).astype(np.float16)
-    words = spark.read.schema(schema).parquet(folder).where("kind = 0").select(F.col("value").alias("word"), "n")
-    return Model(odds, weights, cells), words
+    return Model(parts, n_blocks, runs, run_n, weights, cells), spark.read.schema("word long, n long").parquet(f"{folder}/words")
 
 
 def most_frequent(words: DataFrame, most: int):
@@ -439,70 +599,73 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, train_folds).alias("held_out"), F.col(text_col).cast("string").alias("text")
     )
-    model, words = train(rows.where(~F.col("held_out")), f"{folder}/counts")
+    model, words = train(rows, f"{folder}/counts")
     # Every training text has one end.
     texts = rows.where(~F.col("held_out")).count()
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n_train, kinds = totals["n"] + texts, totals["v"] + (texts > 0)
     below = np.log10(n_train + ADD * (kinds + 1))
     top = most_frequent(words, HEAD)
-    shipped = ship(
-        rows, model.odds, model.weights, model.cells, top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    )
+    shipped = ship(rows, top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
     end_cost = float(np.log10(texts + ADD) - below)
 
-    def run(batches):
-        odds, weights, cells, *top = received(shipped)
-        model, head = Model(odds, weights, cells), Head(*top)
-        memo = worker_cache()
-        if memo.get("mixing") != folder:
-            memo["mixing"] = folder
-            memo["keys"] = np.full(1 << MEMO_BITS, np.iinfo(np.uint64).max, np.uint64)
-            memo["cost"] = np.zeros(1 << MEMO_BITS, np.float32)
-        keys, cost = memo["keys"], memo["cost"]
-        for batch in batches:
-            data, off = utf8(batch.column(2))
-            for i, j in blocks(off):
-                n = j - i
-                codes, rel = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                lower = LOWER[codes]
-                starts, ends, docs_of = spans(lower, rel, NONSPACE)
-                h = word_hashes(lower, starts, ends)
-                count = head.counts(h)
-                common = count >= 0
-                base = np.bincount(docs_of[common], np.log10(count[common] + ADD) - below, n) + end_cost
-                known = np.bincount(docs_of[common], minlength=n) + (texts > 0)
-                rare = h[~common].view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(docs_of[~common], minlength=n)))).astype(np.int32)
-                w = windows(codes, rel)
-                place = (mix(w) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-                bits = cost[place]
-                miss = np.flatnonzero(keys[place] != w)
-                if len(miss):
-                    new, back = np.unique(w[miss], return_inverse=True)
-                    fresh = model.cost(new).astype(np.float32)
-                    bits[miss] = fresh[back]
-                    at = (mix(new) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-                    keys[at], cost[at] = new, fresh
-                    # A place that several windows claim stays empty.
-                    clash = keys[at] != new
-                    keys[at[clash]] = np.iinfo(np.uint64).max
-                doc = np.concatenate((np.repeat(np.arange(n), np.diff(rel)), np.arange(n)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, n),
-                        batch.column(1).slice(i, n),
-                        pa.array(np.bincount(docs_of, minlength=n) + 1),
-                        pa.array(base),
-                        pa.array(known),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
-                        pa.array(np.bincount(doc, bits.astype(np.float64), n)),
-                        pa.array(np.diff(rel)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "base", "known", "rare", "bits", "n_bytes"],
+    def run(key, table):
+        import zstandard as zstd
+
+        head = Head(*received(shipped))
+        text = table.column("ids").is_valid().to_numpy()
+        v, c = table.column("v"), table.column("n")
+        keys = np.concatenate([restored(expanded(v[int(i)].as_py())) for i in np.flatnonzero(~text)])
+        cost = np.concatenate([expanded(c[int(i)].as_py(), np.float32) for i in np.flatnonzero(~text)])
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order]
+        # Most windows are found at their hash; one that shares it is searched for.
+        place = np.zeros(1 << PLACE_BITS, np.int32)
+        place[mix(keys) >> np.uint64(64 - PLACE_BITS)] = np.arange(len(keys))
+        out = []
+        for row in np.flatnonzero(text):
+            codes = np.frombuffer(zstd.decompress(v[int(row)].as_py()), np.uint8)
+            rel = np.frombuffer(zstd.decompress(c[int(row)].as_py()), np.int64)
+            n = len(rel) - 1
+            lower = LOWER[codes]
+            starts, ends, docs_of = spans(lower, rel, NONSPACE)
+            h = word_hashes(lower, starts, ends)
+            count = head.counts(h)
+            common = count >= 0
+            base = np.bincount(docs_of[common], np.log10(count[common] + ADD) - below, n) + end_cost
+            known = np.bincount(docs_of[common], minlength=n) + (texts > 0)
+            rare = h[~common].view(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(docs_of[~common], minlength=n)))).astype(np.int32)
+            w = windows(codes, rel)
+            at = place[mix(w) >> np.uint64(64 - PLACE_BITS)]
+            miss = np.flatnonzero(keys[at] != w)
+            at[miss] = np.searchsorted(keys, w[miss])
+            doc = np.concatenate((np.repeat(np.arange(n), np.diff(rel)), np.arange(n)))
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": pa.array(table.column("ids")[int(row)].as_py(), pa.int64()),
+                        "held_out": pa.array(table.column("held")[int(row)].as_py(), pa.bool_()),
+                        "n_tokens": pa.array(np.bincount(docs_of, minlength=n) + 1),
+                        "base": pa.array(base),
+                        "known": pa.array(known),
+                        "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
+                        "bits": pa.array(np.bincount(doc, cost[at].astype(np.float64), n)),
+                        "n_bytes": pa.array(np.diff(rel)),
+                    }
                 )
+            )
+        return pa.concat_tables(out)
 
-    rows.mapInArrow(run, SCORED).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/scored")
+    pieces = model.parts.where("block is null").drop("block")
+    costs = model.costs(requests(model.parts))
+    (
+        pieces.unionByName(costs, allowMissingColumns=True)
+        .groupBy("chunk")
+        .applyInArrow(run, SCORED)
+        .withColumn("row", F.monotonically_increasing_id())
+        .write.parquet(f"{folder}/scored")
+    )
     scored = spark.read.parquet(f"{folder}/scored")
     rare = (
         scored.select("row", F.explode("rare").alias("word"))

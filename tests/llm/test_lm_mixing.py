@@ -88,3 +88,38 @@ def test_a_short_text_alone_in_a_block(spark, text):
     rows = [(i, text, None, None, None, None, None, None) for i in range(3)]
     got = M.score(cases.frame(spark, rows).coalesce(1)).collect()
     assert len(got) == 3 and all(r.score < 0 for r in got)
+
+
+def exact_cost(texts, w, model):
+    """Bits of the last byte of a window, from counts of its contexts in the texts."""
+    whole = [bytes(M.ORDER) + t + b"\xff" for t in texts]
+    w = int(w).to_bytes(M.ORDER + 1, "big")
+    after = [Counter() for _ in range(M.ORDER + 1)]
+    for t in whole:
+        for k in range(M.ORDER + 1):
+            at = t.find(w[M.ORDER - k : M.ORDER], M.ORDER - k)
+            while 0 <= at < len(t) - k:
+                if at + k >= M.ORDER:
+                    after[k][t[at + k]] += 1
+                at = t.find(w[M.ORDER - k : M.ORDER], at + 1)
+    bits = 0.0
+    for b in range(8):
+        node, bit = (256 | w[-1]) >> (8 - b), w[-1] >> (7 - b) & 1
+        n = [[sum(c for s, c in a.items() if (256 | s) >> (7 - b) == 2 * node + x) for x in (0, 1)] for a in after]
+        odds = [math.log((o + M.PRIOR) / (z + M.PRIOR)) if z + o else 0.0 for z, o in n]
+        gate = max(((k + 1) * (sum(n[k]) > 0) for k in range(M.ORDER + 1)), default=0)
+        t = np.clip(np.dot(model.weights[b * (M.ORDER + 2) + gate], np.clip(odds, -M.MOST, M.MOST)), -M.MOST, M.MOST)
+        p = (1 / (1 + math.exp(-t)) + M.refined(model.cells, np.array([node]), np.array([t]))[0]) / 2
+        bits -= math.log2(p if bit else 1 - p)
+    return bits
+
+
+def test_costs_follow_from_exact_counts_of_many_contexts(spark, tmp_path):
+    # 80,000 bytes at random ask for 2.6 million nodes of contexts of 2 bytes and more.
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(1, 128, 4000, dtype=np.uint8)) for _ in range(20)]
+    docs = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
+    model, _ = M.train(docs, str(tmp_path / "counts"))
+    seen = M.windows(np.frombuffer(texts[3], np.uint8), np.array([0, len(texts[3])]))
+    w = np.concatenate((seen[:8], seen[100:120], seen[-1:], r.integers(0, 1 << 48, 10).astype(np.uint64)))
+    assert np.allclose(model.cost(w), [exact_cost(texts, x, model) for x in w], atol=1e-6)
