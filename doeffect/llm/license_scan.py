@@ -145,6 +145,7 @@ class Scanner:
         self.phrases = [(label, [number[w] for w in ws]) for label, ws in spoken]
         self.automaton = SuffixAutomaton([[number[w] for w in ws] for _, ws in split])
         self.least = min(LEAST, *self.sizes)
+        self.shorter: dict[int, dict[int, tuple[int, int]]] = {}  # by state; see held()
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int32)
@@ -169,17 +170,32 @@ class Scanner:
         long = ends - starts >= self.least
         return list(zip(starts[long].tolist(), ends[long].tolist()))
 
+    def held(self, length: int, state: int) -> dict[int, tuple[int, int]]:
+        """Template: (length, template end) of its own longest match that ends
+        where the longest of all has this length and state."""
+        if state not in self.shorter:
+            found: dict[int, tuple[int, int]] = {}
+            up = self.automaton.link[state]
+            while up > 0 and self.automaton.length[up] >= self.least:
+                size = self.automaton.length[up]
+                for which, stop in self.automaton.ends[up].items():
+                    if which not in self.automaton.ends[state] and size >= min(LEAST, self.sizes[which]):
+                        found.setdefault(which, (size, stop))
+                up = self.automaton.link[up]
+            self.shorter[state] = found
+        out = {which: (length, stop) for which, stop in self.automaton.ends[state].items() if length >= min(LEAST, self.sizes[which])}
+        return out | self.shorter[state]
+
     def matches(self, ids: list[int], base: int) -> list[tuple[int, int, int, int]]:
-        """(template, document start, document end, template end) of the maximal
-        matches of a run whose first word is word ``base`` of its document."""
-        stats = self.automaton.statistics(ids)
-        out = []
-        for i, (length, state) in enumerate(stats):
-            if i + 1 < len(stats) and stats[i + 1][0] == length + 1:
-                continue
-            for which, stop in self.automaton.ends[state].items():
-                if length >= min(LEAST, self.sizes[which]):
-                    out.append((which, base + i + 1 - length, base + i + 1, stop))
+        """(template, document start, document end, template end) of each template's
+        maximal matches in a run whose first word is word ``base`` of its document."""
+        out, held = [], {}
+        for i, (length, state) in enumerate([*self.automaton.statistics(ids), (0, 0)]):
+            now = self.held(length, state) if length >= self.least else {}
+            for which, (size, stop) in held.items():
+                if which not in now or now[which][0] != size + 1:
+                    out.append((which, base + i - size, base + i, stop))
+            held = now
         return out
 
     def chains(self, matches: list[tuple[int, int, int, int]]):

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +76,21 @@ def test_matching_statistics(templates, text):
             assert set(automaton.ends[state]) == holders
             for k, stop in automaton.ends[state].items():
                 assert templates[k][stop - length : stop] == piece
+
+
+def test_each_template_has_the_matches_it_has_alone(monkeypatch):
+    monkeypatch.setattr(L, "LEAST", 3)
+    r = random.Random(7)
+    for _ in range(200):
+        templates = [(str(k), " ".join(r.choices("abc", k=r.randint(2, 10)))) for k in range(3)]
+        text = L.hash_words(r.choices("abcd", k=30))
+        matches = lambda ts: L.Scanner(ts, {}).matches(L.Scanner(ts, {}).word_ids(text).tolist(), 5)
+        alone = [(k, *m[1:]) for k, t in enumerate(templates) for m in matches([t])]
+        assert sorted(matches(templates)) == sorted(alone)
+
+
+def test_a_template_that_begins_another_is_found_whole():
+    short = "licensed under the apache license version 2 0"
+    scanner = L.Scanner([("short", short), ("long", short + " the license " + " ".join(f"w{i}" for i in range(30)))], {})
+    ids = scanner.word_ids(L.hash_words((short + " the license").split())).tolist()
+    assert {label: share for label, _, _, share in scanner.chains(scanner.matches(ids, 0))}["short"] == 1.0
