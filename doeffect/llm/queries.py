@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, lm_mixing, ngram_join, packing, quality_js, secrets, url_lm, warc
+from . import (
+    decontam,
+    langid,
+    license_scan,
+    lm_mixing,
+    ngram_join,
+    packing,
+    permutation_index,
+    quality_js,
+    resampling,
+    secrets,
+    url_lm,
+    warc,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +65,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -62,6 +88,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_permutation_index": op11_permutation_index,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 # The other queries are tested against brute force, round trips or held-out accuracy.
