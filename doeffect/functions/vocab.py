@@ -120,6 +120,10 @@ EVIDENCE_SOURCES = [
 
 DRUG_SOURCE = "chembl"
 
+# Sources that a release holds beside them; they are read, but have no rules.
+UNASSESSED_SOURCES = ["genomics_england", "uniprot_literature", "uniprot_variants", "clingen"]
+READ_SOURCES = EVIDENCE_SOURCES + UNASSESSED_SOURCES
+
 # Subset names, in report order.  "!chembl" is every source but the drug one,
 # including sources no list names.
 SINGLE_SOURCE_SUBSETS = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,10 @@ def _clean_consequences() -> Column:
     return F.array_except(F.col(R.CONSEQUENCES), F.array(F.lit(None).cast(T.StringType())))
 
 
-def consequence_count(evidence: DataFrame, source: str = "intogen") -> DataFrame:
-    """``targetId, diseaseId, own, every``: consequence ids summed over the
+def consequence_count(
+    evidence: DataFrame, source: str = "intogen", keys: Sequence[str] = (R.TARGET, R.DISEASE)
+) -> DataFrame:
+    """``targetId, diseaseId`` (or other ``keys`` of the pair), ``own, every``: consequence ids summed over the
     distinct (null-stripped, per-row deduplicated) id arrays of the pair, of
     the rows of ``source`` and of all rows.
 
@@ -66,12 +70,12 @@ def consequence_count(evidence: DataFrame, source: str = "intogen") -> DataFrame
     in one task.
     """
     arrays = (
-        evidence.select(R.TARGET, R.DISEASE, _clean_consequences().alias("ids"), F.col(R.SOURCE).eqNullSafe(source).alias("mine"))
+        evidence.select(*keys, _clean_consequences().alias("ids"), F.col(R.SOURCE).eqNullSafe(source).alias("mine"))
         .where(F.col("ids").isNotNull())
-        .groupBy(R.TARGET, R.DISEASE, "ids")
+        .groupBy(*keys, "ids")
         .agg(F.bool_or("mine").alias("mine"))
     )
     n = F.size("ids")
-    return arrays.groupBy(R.TARGET, R.DISEASE).agg(
+    return arrays.groupBy(*keys).agg(
         F.sum(F.when(F.col("mine"), n).otherwise(0)).cast("int").alias("own"), F.sum(n).cast("int").alias("every")
     )

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
 from .align import union_aligned
 from .annotate import consequence_count
+from .skew import split_left_join
 
 CONSEQUENCE_SCHEMA = T.ArrayType(
     T.StructType([T.StructField("functionalConsequenceId", T.StringType(), True)])
@@ -58,16 +59,17 @@ def prepare(evidence: DataFrame) -> DataFrame:
     ``try_cast`` keeps a malformed effect size NULL instead of failing the
     job under ANSI mode.  Missing rule inputs are added as typed NULLs.
     """
-    present = {c.lower() for c in evidence.columns}
-    missing = {c: F.lit(None).cast(t) for c, t in RULE_INPUTS.items() if c.lower() not in present}
-    ev = evidence.withColumns(missing) if missing else evidence
-    return ev.withColumns(
-        {
-            R.BETA: F.col(R.BETA).try_cast("float"),
-            R.ODDS: F.col(R.ODDS).try_cast("float"),
-            R.SIGNIFICANCE: F.concat_ws(",", F.col(R.SIGNIFICANCE)),
-        }
-    )
+    columns = evidence.columns
+    present = {c.lower() for c in columns}
+    typed = {
+        R.BETA: lambda c: c.try_cast("float"),
+        R.ODDS: lambda c: c.try_cast("float"),
+        R.SIGNIFICANCE: lambda c: F.concat_ws(",", c),
+    }
+    inputs = {c: F.col(c) if c.lower() in present else F.lit(None).cast(t) for c, t in RULE_INPUTS.items()}
+    inputs = {c: typed[c](x).alias(c) if c in typed else x.alias(c) for c, x in inputs.items()}
+    read = {c.lower() for c in inputs}
+    return evidence.select(*[c for c in columns if c.lower() not in read], *inputs.values())
 
 
 def with_counts(evidence: DataFrame, counts: DataFrame) -> DataFrame:
@@ -80,44 +82,59 @@ def with_counts(evidence: DataFrame, counts: DataFrame) -> DataFrame:
     return evidence.join(side, same, "left").withColumn(R.CONSEQUENCE_COUNT, count).drop("_ct", "_cd", "own", "every")
 
 
-def with_label(evidence: DataFrame, label: DataFrame) -> DataFrame:
-    return evidence.join(label, F.col(R.TARGET) == F.col("target_id"), "left").drop("target_id")
+def _left(evidence: DataFrame, side: DataFrame, on: list[tuple[str, str]], split: int) -> DataFrame:
+    """Left join without the side's keys; hot keys are dealt over ``split`` places if it is given."""
+    if split:
+        joined = split_left_join(evidence, side, on, split)
+    else:
+        joined = evidence.join(side, [F.col(a) == F.col(b) for a, b in on], "left")
+    return joined.drop(*[b for _, b in on])
 
 
-def with_study(evidence: DataFrame, study: DataFrame) -> DataFrame:
-    return evidence.join(study, F.col(R.METHOD) == F.col("stMethod"), "left").drop("stMethod")
+def with_label(evidence: DataFrame, label: DataFrame, split: int = 0) -> DataFrame:
+    return _left(evidence, label, [(R.TARGET, "target_id")], split)
 
 
-def with_mechanisms(evidence: DataFrame, mechanisms: DataFrame) -> DataFrame:
+def with_study(evidence: DataFrame, study: DataFrame, split: int = 0) -> DataFrame:
+    return _left(evidence, study, [(R.METHOD, "stMethod")], split)
+
+
+def with_mechanisms(evidence: DataFrame, mechanisms: DataFrame, split: int = 0) -> DataFrame:
     """Add the drug's mechanisms on the target (a row for each)."""
-    same = (F.col("drugId2") == F.col("drugId")) & (F.col("targetId2") == F.col(R.TARGET))
-    return evidence.join(mechanisms, same, "left").drop("drugId2", "targetId2")
+    return _left(evidence, mechanisms, [("drugId", "drugId2"), (R.TARGET, "targetId2")], split)
 
 
 JOINS = {"counts": with_counts, "label": with_label, "study": with_study, "mechanisms": with_mechanisms}
 
 
+def normal_forms() -> list[Column]:
+    """``homogenized, tendency, variation, unified`` of ``Assessment``."""
+    homogenized = F.col("homogenized")
+    return [
+        R.homogenize(F.col("Assessment")).alias("homogenized"),
+        R.tendency(homogenized).alias("tendency"),
+        R.variation(homogenized).alias("variation"),
+        R.unify(F.col("Assessment"), homogenized).alias("unified"),
+    ]
+
+
 def label(annotated: DataFrame, source: str, params: R.RuleParams) -> DataFrame:
     """Add ``Assessment`` by the rules of ``source`` (NULL without rules) and its normal forms."""
     assessment = F.lit(None).cast("string")
     if source in R.SOURCE_RULES:
         assessment = F.when(F.col(R.SOURCE) == source, R.source_assessment(source, params))
-    ev = annotated.withColumn("Assessment", assessment)
-    ev = ev.withColumn("homogenized", R.homogenize(F.col("Assessment")))
-    return ev.withColumns(
-        {
-            "tendency": R.tendency(F.col("homogenized")),
-            "variation": R.variation(F.col("homogenized")),
-            "unified": R.unify(F.col("Assessment"), F.col("homogenized")),
-        }
-    )
-
-
-def branch(source: str, evidence: DataFrame, sides: Mapping[str, DataFrame], params: R.RuleParams) -> DataFrame:
-    """The assessed rows of one source, with the given side tables joined."""
+    # Each column may use those before it in the list.
+    return annotated.select("*", assessment.alias("Assessment"), *normal_forms())
+
+
+def branch(
+    source: str, evidence: DataFrame, sides: Mapping[str, DataFrame], params: R.RuleParams, split: int = 0
+) -> DataFrame:
+    """The assessed rows of one source, with the given side tables joined (see :func:`assess` for ``split``)."""
     ev = prepare(evidence)
     for name, side in sides.items():
-        ev = JOINS[name](ev, side)
+        # The counts are of the pair itself: see ``with_counts``.
+        ev = JOINS[name](ev, side) if name == "counts" else JOINS[name](ev, side, split)
     return label(ev, source, params)
 
 
@@ -130,7 +147,12 @@ def counts_of(frames: Mapping[str, DataFrame]) -> DataFrame | None:
 
 
 def assess(
-    frames: Mapping[str, DataFrame], sides: Sides, params: R.RuleParams, full: bool = False, only: str | None = None
+    frames: Mapping[str, DataFrame],
+    sides: Sides,
+    params: R.RuleParams,
+    full: bool = False,
+    only: str | None = None,
+    split: int = 0,
 ) -> DataFrame:
     """Per-source evidence -> assessed evidence (one row per evidence row, or
     more where a drug has several mechanisms on the target).
@@ -139,9 +161,12 @@ def assess(
     row also gets the gene label, the consequence count, and, where the source
     has a study method or a drug, the study's and the mechanism's columns.
     ``only`` assesses a single source.  Frames of sources without rules are
-    kept with a NULL assessment.
+    kept with a NULL assessment.  With ``split`` the joins with genes, studies
+    and mechanisms deal the rows of hot keys over that many places (see
+    ``operators.skew``) instead of resting on a broadcast or the adaptive plan.
     """
     tables = {"label": sides.label, "study": sides.study, "mechanisms": sides.mechanisms}
+    every_count = counts_of(frames) if full else None
     out = []
     for source, frame in frames.items():
         if only is not None and source != only:
@@ -152,7 +177,7 @@ def assess(
             wanted = ["counts", "label", *[name for name, column in own if column in frame.columns]]
         joined = {name: tables[name] for name in wanted if name in tables}
         # Rules that read the count see their own source's arrays alone.
-        if "counts" in wanted and (counts := counts_of(frames if full else {source: frame})) is not None:
+        if "counts" in wanted and (counts := every_count if full else counts_of({source: frame})) is not None:
             joined["counts"] = counts
-        out.append(branch(source, frame, joined, params))
+        out.append(branch(source, frame, joined, params, split))
     return union_aligned(out)

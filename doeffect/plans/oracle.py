@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions import vocab as V
 from ..sources.fixtures import FIXTURE_VAR_FILTER_LOF
-from .registry import ASSESSED_BASE, ROUNDTRIP_RUN, SOURCE_EXTRA
+from .registry import ASSESSED_BASE, OTHER_RUN, RERUN_SUBSETS, ROUNDTRIP_RUN, SOURCE_EXTRA
 
 
 def _list(values) -> str:
@@ -41,7 +41,8 @@ ev_k AS (
   FROM lineitem),
 ev_k1 AS (SELECT *, CAST(floor(k0 / 10.0) AS BIGINT) AS k1 FROM ev_k),
 ev_s AS (SELECT *,
-    CASE WHEN k0 % 101 = 0 THEN 'clingen' WHEN k0 % 103 = 1 THEN NULL ELSE CASE k0 % 10 WHEN 0 THEN 'ot_genetics_portal' WHEN 1 THEN 'gene_burden' WHEN 2 THEN 'eva'
+    CASE WHEN k0 % 101 = 0 THEN CASE (k0 // 101) % 4 WHEN 0 THEN 'genomics_england' WHEN 1 THEN 'uniprot_literature'
+      WHEN 2 THEN 'uniprot_variants' ELSE 'clingen' END WHEN k0 % 103 = 1 THEN NULL ELSE CASE k0 % 10 WHEN 0 THEN 'ot_genetics_portal' WHEN 1 THEN 'gene_burden' WHEN 2 THEN 'eva'
       WHEN 3 THEN 'eva_somatic' WHEN 4 THEN 'gene2phenotype' WHEN 5 THEN 'orphanet'
       WHEN 6 THEN 'cancer_gene_census' WHEN 7 THEN 'intogen' WHEN 8 THEN 'impc' ELSE 'chembl' END END AS src
   FROM ev_k1),
@@ -436,7 +437,16 @@ _UNION = "\nUNION ALL BY NAME\n".join(
     f"SELECT targetId, diseaseId, datasourceId{', ' + cols if cols else ''} "
     f"FROM evidence WHERE datasourceId = '{s}'"
     for s, cols in UNION_ARMS.items()
+) + (
+    "\nUNION ALL BY NAME\nSELECT targetId, diseaseId, datasourceId FROM evidence "
+    f"WHERE datasourceId IS NULL OR datasourceId IN {_list(V.UNASSESSED_SOURCES)}"
 )
+_EVIDENCE_ROWS = """SELECT datasourceId AS sourceId, targetId, diseaseId, datasourceId, beta, oddsRatio,
+  variantFunctionalConsequenceId, variantFunctionalConsequenceFromQtlId,
+  """ + _joined("clinicalSignificances") + """ AS clinicalSignificances,
+  """ + _joined("consequenceIds") + """ AS consequenceIds,
+  statisticalMethodOverview, drugId, clinicalPhase
+FROM unioned"""
 
 _ASSESSED_COLUMN_SQL = {
     "variantFunctionalConsequenceId": "v AS variantFunctionalConsequenceId",
@@ -461,20 +471,28 @@ ORACLE: dict[str, str] = {
   statisticalMethodOverview, drugId, clinicalPhase
 FROM unioned""",
     ),
-    "read_evidence": _q(
-        f"unioned AS ({_UNION})",
-        select="""SELECT datasourceId AS sourceId, targetId, diseaseId, datasourceId, beta, oddsRatio,
-  variantFunctionalConsequenceId, variantFunctionalConsequenceFromQtlId,
-  """ + _joined("clinicalSignificances") + """ AS clinicalSignificances,
-  """ + _joined("consequenceIds") + """ AS consequenceIds,
-  statisticalMethodOverview, drugId, clinicalPhase
-FROM unioned""",
+    "read_evidence": _q(f"unioned AS ({_UNION})", select=_EVIDENCE_ROWS),
+    "scan_evidence": _q(f"unioned AS ({_UNION})", select=_EVIDENCE_ROWS),
+    "scan_evidence_group": _q(
+        select=f"""SELECT 'germline' AS subset, datasourceId AS sourceId, targetId, count(*) AS n, count(beta) AS n_beta
+FROM evidence WHERE datasourceId IN {_list(V.GERMLINE)} GROUP BY ALL"""
     ),
     "read_entity": _q(
         select="SELECT id, approvedSymbol, array_to_string(list_sort(list(description)), '|') AS descriptions "
         "FROM target_rows GROUP BY id, approvedSymbol"
     ),
+    "read_mechanisms": _q(select="SELECT targetId2, drugId2, actionType, mechanismOfAction FROM mech_pairs"),
     "read_study_csv": _q(select='SELECT stMethod, "count", "comment", whatToDo FROM study'),
+    "read_study_csv_checked": """WITH m AS (SELECT DISTINCT p_partkey // 50 AS m FROM part),
+cells AS (SELECT *, 'M' || CAST(m AS VARCHAR) AS a, CASE WHEN m % 7 = 3 THEN CAST(m AS VARCHAR) || ' studies' ELSE CAST(m AS VARCHAR) END AS b,
+  CASE WHEN m % 2 = 0 THEN '"a note, with comma"' ELSE '' END AS c FROM m),
+lines AS (SELECT *, m % 13 = 5 AS short, m % 11 = 4 AS long, m % 7 = 3 AS word,
+  CASE WHEN m % 13 = 5 THEN a || ',' || b WHEN m % 11 = 4 THEN a || ',' || b || ',' || c || ',get,more' ELSE a || ',' || b || ',' || c || ',get' END AS line
+  FROM cells)
+SELECT a AS statisticalMethodOverview, CASE WHEN NOT word THEN CAST(m AS INTEGER) END AS "count",
+  CASE WHEN NOT short AND m % 2 = 0 THEN 'a note, with comma' END AS "comment",
+  CASE WHEN NOT short THEN 'get' END AS whatToDo,
+  CASE WHEN short OR long OR word THEN line END AS badLine FROM lines""",
     "read_ontology_csv": _q(select="SELECT Accession, Parents FROM so"),
     "ensure_columns": _q(
         select=f"SELECT targetId, diseaseId, {_cells(['LoF_risk', 'evidenceDif'])}, CAST(NULL AS BIGINT) AS LoF_protect, "
@@ -514,6 +532,10 @@ FROM action_counts""",
         "array_to_string(description, '|') AS description, TSorOncogene, whatToDo, \"count\", \"comment\", "
         "drugId, diseaseFromSourceId, actionType, mechanismOfAction FROM assessed"
     ),
+    "assess_split_keys": _q(
+        select=f"SELECT {', '.join(ASSESSED_BASE)}, unified, CASE WHEN datasourceId = 'gene_burden' THEN whatToDo END AS whatToDo, "
+        "CASE WHEN datasourceId = 'cancer_gene_census' THEN TSorOncogene END AS TSorOncogene, drugId, actionType FROM assessed"
+    ),
     "assessment_labels": _q(
         select="SELECT datasourceId, Assessment, homogenized, tendency, variation, count(*) AS n "
         "FROM assessed GROUP BY ALL"
@@ -525,6 +547,11 @@ FROM action_counts""",
         select=f"SELECT targetId, diseaseId, {_cells()} FROM assessed GROUP BY targetId, diseaseId"
     ),
     "subset_matrix": _q(MATRIX, select="SELECT * FROM matrix"),
+    "label_counts_by_pair": _q(
+        """drug_keys AS (SELECT DISTINCT targetId AS t, diseaseId AS d FROM drug_ev)""",
+        select="""SELECT targetId, diseaseId, datasourceId, unified, count(*) AS "rows", count(targetId) AS n, max(clinicalPhase) AS phase
+FROM assessed WHERE EXISTS (SELECT 1 FROM drug_keys WHERE t IS NOT DISTINCT FROM targetId AND d IS NOT DISTINCT FROM diseaseId) GROUP BY ALL""",
+    ),
     "evidence_coherence": _q(
         MATRIX,
         select=f"SELECT dataset, targetId, diseaseId, {', '.join(V.MATRIX_COLUMNS)}, "
@@ -553,6 +580,10 @@ FROM so LEFT JOIN so_children c ON c.Parentalind = so.Accession""",
     ),
     "propagate_terms": _q(select="SELECT id, propagatedTrait FROM propagated"),
     "primary_area": _q(select="SELECT diseaseId, taId, taLabel, taLabelSimple FROM area"),
+    "ranked_area": _q(
+        select="SELECT diseaseId, taId, taLabel, taLabelSimple, CAST(taRank AS BIGINT) AS taRank FROM disease_ta "
+        "QUALIFY taRank = min(taRank) OVER (PARTITION BY diseaseId)"
+    ),
     "propagated_area": _q(
         select="SELECT p.id, p.propagatedTrait, a.diseaseId, a.taLabelSimple "
         "FROM propagated p LEFT JOIN area a ON p.propagatedTrait = a.diseaseId"
@@ -597,6 +628,24 @@ FROM so LEFT JOIN so_children c ON c.Parentalind = so.Accession""",
     "contingency_roundtrip": _q(
         SPINE, SCORED, _grid(), select=f"SELECT *, '{ROUNDTRIP_RUN}' AS run_date FROM grid"
     ),
+    "contingency_rerun": _q(
+        SPINE, SCORED, _grid(),
+        select=f"""SELECT *, '{OTHER_RUN}' AS run_date FROM grid
+UNION ALL SELECT *, '{ROUNDTRIP_RUN}' AS run_date FROM grid WHERE dataset IN {_list(RERUN_SUBSETS)}""",
+    ),
+    "contingency_files": _q(
+        SPINE, SCORED, _grid(),
+        select=f"""SELECT '{ROUNDTRIP_RUN}' AS run_date, dataset, comparisonColumn,
+  'run_date={ROUNDTRIP_RUN}/dataset=' || dataset || '/comparisonColumn=' || comparisonColumn AS folder, true AS has_bytes,
+  count(*) AS "rows" FROM grid GROUP BY dataset, comparisonColumn""",
+    ),
+    "persisted_reports": _q(
+        SPINE, SCORED,
+        _grid("{'n': 'coherency_inter', 't': 'byDatatype', 'v': coherency_inter}, "
+              "{'n': 'hasGeneticsFromDS', 't': 'byDataType', 'v': hasGeneticsFromDS}",
+              "{'n': 'pro_phase3H', 't': 'clinical', 'v': pro_phase3H}, {'n': 'pro_phase4', 't': 'clinical', 'v': pro_phase4}"),
+        select="SELECT * FROM grid WHERE (comparisonColumn = 'coherency_inter') = (predictionColumn = 'pro_phase3H')",
+    ),
     "contingency_manifest": _q(
         SPINE, SCORED, _grid(),
         "cells AS (SELECT * FROM (SELECT unnest(" + SUBSET_LIST + ") AS dataset), "

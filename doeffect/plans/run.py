@@ -33,9 +33,10 @@ def sides(inputs: Inputs) -> Sides:
     return Sides(oncogene_label(inputs.targets), inputs.study, mechanism_pairs(inputs.mechanisms))
 
 
-def assessed(inputs: Inputs, full: bool = False, only: str | None = None) -> DataFrame:
-    """All evidence, assessed (of one source with ``only``; with every annotation with ``full``)."""
-    return assess(inputs.evidence, sides(inputs), inputs.params, full=full, only=only)
+def assessed(inputs: Inputs, full: bool = False, only: str | None = None, split: int = 0) -> DataFrame:
+    """All evidence, assessed (of one source with ``only``; with every annotation with ``full``;
+    with hot keys of the joins dealt over ``split`` places)."""
+    return assess(inputs.evidence, sides(inputs), inputs.params, full=full, only=only, split=split)
 
 
 def area(inputs: Inputs) -> DataFrame:

@@ -41,6 +41,14 @@ SOURCE_COLUMNS = {
     "impc": [],
     "chembl": ["drugId", "clinicalPhase", "diseaseFromSourceId"],
 }
+# All of them together, as one relation.
+EVIDENCE_SCHEMA = (
+    "targetId string, diseaseId string, datasourceId string, beta double, oddsRatio double, "
+    "variantFunctionalConsequenceId string, variantFunctionalConsequenceFromQtlId string, "
+    "statisticalMethodOverview string, clinicalSignificances array<string>, "
+    "mutatedSamples array<struct<functionalConsequenceId:string>>, "
+    "drugId string, clinicalPhase double, diseaseFromSourceId string"
+)
 # Key of the frame of all rows whose source has no rules (or is NULL).
 OTHER = "other"
 
@@ -130,7 +138,7 @@ def _columns() -> dict[str, Column]:
 
 def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One evidence row per ``lineitem`` row: ten per-source frames with their
-    own columns, and the rows of sources without rules (or NULL)."""
+    own columns, and the rows of the four sources without rules, or of none (NULL)."""
     rows, columns, k0 = _hashed(spark, sf_dir), _columns(), F.col("_k0")
     unlisted, missing = k0 % 101 == 0, k0 % 103 == 1
 
@@ -143,10 +151,50 @@ def source_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         s: frame((k0 % 10 == i) & ~unlisted & ~missing, F.lit(s), SOURCE_COLUMNS[s])
         for i, s in enumerate(V.EVIDENCE_SOURCES)
     }
-    frames[OTHER] = frame(unlisted | missing, F.when(unlisted, F.lit("clingen")), [])
+    # (k0 / 101 is a whole number where it is used.)
+    named = F.get(F.array(*[F.lit(s) for s in V.UNASSESSED_SOURCES]), (_tenth(k0, 101) % len(V.UNASSESSED_SOURCES)).cast("int"))
+    frames[OTHER] = frame(unlisted | missing, F.when(unlisted, named), [])
     return frames
 
 
+def write_sources(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Write the evidence as ``<root>/sourceId=<source>/`` Parquet folders, each
+    with its own columns; rows without a source lie in the default partition."""
+    for source, rows in source_frames(spark, sf_dir).items():
+        if source == OTHER:
+            rows.withColumn("sourceId", F.col("datasourceId")).write.mode("append").partitionBy("sourceId").parquet(root)
+        else:
+            rows.write.parquet(f"{root}/sourceId={source}")
+    return root
+
+
+def write_release(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The fixtures in the layout of a data release (see ``plans.inputs``)."""
+    write_sources(spark, sf_dir, f"{root}/evidence")
+    for name, rows in (("targets", targets), ("diseases", diseases), ("mechanismOfAction", mechanisms)):
+        rows(spark, sf_dir).write.parquet(f"{root}/{name}")
+    study = study_inclusion(spark, sf_dir).withColumnRenamed("stMethod", "statisticalMethodOverview")
+    study.write.option("header", True).csv(f"{root}/study.csv")
+    return root
+
+
+def source_catalog(spark: SparkSession) -> DataFrame:
+    """``subset, sourceId``: the sources of each group."""
+    groups = [("germline", V.GERMLINE), ("somatic", V.SOMATIC), ("drug", [V.DRUG_SOURCE]), ("unassessed", V.UNASSESSED_SOURCES)]
+    return spark.createDataFrame([(g, s) for g, sources in groups for s in sources], "subset string, sourceId string")
+
+
+def study_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a hand-edited study list: every seventh has a count that is no
+    number, every eleventh a cell too many, every thirteenth too few."""
+    m = F.col("m")
+    count = F.when(m % 7 == 3, F.concat(m.cast("string"), F.lit(" studies"))).otherwise(m.cast("string"))
+    cells = [_named("M", m), count, F.when(m % 2 == 0, F.lit('"a note, with comma"')).otherwise(""), F.lit("get")]
+    line = F.when(m % 13 == 5, F.concat_ws(",", *cells[:2])).when(m % 11 == 4, F.concat_ws(",", *cells, F.lit("more")))
+    rows = table(spark, sf_dir, "part").select(_tenth("p_partkey", 50).alias("m")).distinct()
+    return rows.select(F.coalesce(line, F.concat_ws(",", *cells)).alias("value"))
+
+
 def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drug mechanisms: ``chemblIds, actionType, mechanismOfAction, targets``.
 

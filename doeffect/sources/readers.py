@@ -12,27 +12,48 @@ from ..functions import vocab as V
 from ..operators.align import union_aligned
 
 PARTITION_COLUMN = "sourceId"
+# Fixed value: the partition folder of rows without a source.
+NO_SOURCE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def read_sources(
     spark: SparkSession,
     root: str,
-    source_ids: Sequence[str] = V.EVIDENCE_SOURCES,
-) -> dict[str, DataFrame]:
+    source_ids: Sequence[str | None] = V.EVIDENCE_SOURCES,
+) -> dict[str | None, DataFrame]:
     """Evidence stored as ``<root>/sourceId=<name>/`` Parquet folders, by source.
 
     Every source is read with its own footer schema (sources differ in
-    columns) and keeps ``sourceId`` as a partition column.
+    columns) and keeps ``sourceId`` as a partition column.  ``None`` is the
+    folder of the rows without a source.
     """
+    folder = f"{root.rstrip('/')}/{PARTITION_COLUMN}="
     return {
-        s: spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/{PARTITION_COLUMN}={s}") for s in source_ids
+        s: spark.read.option("basePath", root).parquet(folder + (NO_SOURCE if s is None else s)) for s in source_ids
     }
 
 
+def scan_evidence(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """All sources under ``root`` as one relation, partitioned by ``sourceId``.
+
+    The schema is that of all sources together; columns that a source lacks
+    are NULL.  Without a declared ``schema`` the files' footers are read and
+    merged first (a distributed pass over all footers); with one, nothing is
+    read before the query.  A filter on ``sourceId`` prunes folders while the
+    query is planned, a join on it while the query runs.
+    """
+    if schema is None:
+        return spark.read.option("mergeSchema", True).parquet(root)
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if PARTITION_COLUMN not in wanted.fieldNames():
+        wanted = T.StructType([*wanted.fields, T.StructField(PARTITION_COLUMN, T.StringType())])
+    return spark.read.schema(wanted).parquet(root)
+
+
 def read_evidence(
     spark: SparkSession,
     root: str,
-    source_ids: Sequence[str] = V.EVIDENCE_SOURCES,
+    source_ids: Sequence[str | None] = V.EVIDENCE_SOURCES,
 ) -> DataFrame:
     """The sources as one frame, aligned by name; columns a source lacks are NULL.
 
@@ -48,16 +69,26 @@ def read_entity(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_annotations_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    bad_lines: str | None = None,
+    header: bool = True,
 ) -> DataFrame:
-    """Header CSV, every column a string unless a schema is given.
+    """CSV with a header (unless told otherwise), every column a string unless a schema is given.
 
     An empty first header cell becomes ``_c0``; quoted cells may hold commas.
+    With a schema, ``bad_lines`` names a column that has the whole line where
+    a cell does not fit its type, or cells are missing or too many; the cells
+    that fit are kept, the others are NULL.  All other lines have NULL there.
     """
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    reader = spark.read.option("header", header)
+    if schema is None:
+        return reader.csv(path)
+    if bad_lines:
+        schema = T.StructType([*schema.fields, T.StructField(bad_lines, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_lines)
+    return reader.schema(schema).csv(path)
 
 
 def read_study_inclusion(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +114,7 @@ def _sql_literal(value) -> str:
 def inline_table(spark: SparkSession, rows, columns: list[str], types: list[str]) -> DataFrame:
     """A small constant table as SQL ``VALUES``.
 
-    Unlike ``createDataFrame`` on Python rows (a new RDD per call), the plan
-    is a deterministic local relation: repeated calls give equal plans, so
-    cached results derived from it are found again.
+    The plan is a local relation, known in size, that Spark can broadcast.
     """
     body = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
     cols = ", ".join(columns)

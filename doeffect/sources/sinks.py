@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +21,19 @@ SCHEMA = (
 def write_contingency(report: DataFrame, path: str, run_date: str) -> None:
     """Write the report under ``path`` partitioned by run date, subset and comparison.
 
-    Dynamic partition overwrite: rewriting one run date replaces only its
-    folders.  The report is small (a few rows per cell), so each partition
-    is written as one file.
+    The run date's folder is overwritten as a whole, so a run that is repeated
+    leaves exactly its own rows, also where it has fewer cells than the run
+    before; other run dates are not touched.  The report is small (a few rows
+    per cell), so each partition is written as one file.
     """
+    within = PARTITIONS[1:]
     (
-        report.withColumn("run_date", F.lit(run_date))
-        .repartition(*PARTITIONS)
+        report.repartition(*within)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*within)
+        # The folder's name as Spark escapes it: a date or a plain word stays as it is.
+        .parquet(f"{path.rstrip('/')}/run_date={quote(run_date, safe=' -_.!~()@$,;&+')}")
     )
 
 
@@ -60,3 +63,16 @@ def contingency_manifest(
         F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
         F.concat("run_date", F.lit("_original/"), name, F.lit(".parquet")).alias("path"),
     )
+
+
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of the report with what is in it, from the files
+    themselves: ``run_date, dataset, comparisonColumn, folder`` (below
+    ``path``), ``file_path, file_bytes, rows``."""
+    file = F.col("_metadata.file_path")
+    below = F.regexp_extract(file, "(run_date=[^/]*/dataset=[^/]*/comparisonColumn=[^/]*)/[^/]*$", 1)
+    return (
+        read_contingency(spark, path)
+        .groupBy(*PARTITIONS, below.alias("folder"), file.alias("file_path"), F.col("_metadata.file_size").alias("file_bytes"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )

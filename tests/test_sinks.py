@@ -25,7 +25,7 @@ def _report(spark, rows):
     )
 
 
-def test_roundtrip_and_dynamic_overwrite(spark):
+def test_roundtrip_by_run_date(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="doeffect-sink-"), "report")
     r1 = _report(spark, [("!chembl", "c1", "p1", "PhaseIV", "coherent", "byDatatype", "clinical", 1, 2, 3, 4),
                          ("eva", "c1", "p1", "dif", "dispar", "byDatatype", "clinical", 5, 6, 7, 8)])
@@ -34,7 +34,7 @@ def test_roundtrip_and_dynamic_overwrite(spark):
     sinks.write_contingency(r2, path, "run-b")
     back = sinks.read_contingency(spark, path)
     assert bag(back.where("run_date = 'run-a'"), CONTINGENCY_COLUMNS) == bag(r1, CONTINGENCY_COLUMNS)
-    # rewriting run-b replaces only run-b's partitions
+    # rewriting run-b replaces only run-b's folder
     sinks.write_contingency(r2, path, "run-b")
     assert sinks.read_contingency(spark, path).count() == 3
     manifest = sinks.contingency_manifest(
@@ -133,15 +133,8 @@ def test_release_layout_gives_the_same_report(spark, sf_small):
     from doeffect.sources.fixtures import FIXTURE_VAR_FILTER_LOF
 
     root = os.path.join(tempfile.mkdtemp(prefix="doeffect-release-"), "release")
-    for source, frame in fixtures.source_frames(spark, sf_small).items():
-        if source != fixtures.OTHER:
-            frame.write.parquet(f"{root}/evidence/sourceId={source}")
-    fixtures.targets(spark, sf_small).write.parquet(f"{root}/targets")
-    fixtures.diseases(spark, sf_small).write.parquet(f"{root}/diseases")
-    fixtures.mechanisms(spark, sf_small).write.parquet(f"{root}/mechanismOfAction")
-    study_csv = os.path.join(os.path.dirname(root), "study.csv")
-    study = fixtures.study_inclusion(spark, sf_small).withColumnRenamed("stMethod", "statisticalMethodOverview")
-    study.write.option("header", True).csv(study_csv)
+    fixtures.write_release(spark, sf_small, root)
+    study_csv = f"{root}/study.csv"
 
     out = os.path.join(os.path.dirname(root), "report")
     P.run(spark, release_inputs(spark, root, study_csv, FIXTURE_VAR_FILTER_LOF), out, "release-run")
