@@ -1,34 +1,41 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a file is addressed by the SHA-256 of its content.  The
-ledger is a Parquet table of (blob, rule version) pairs that were scanned,
-with their findings; a run scans only pairs the ledger lacks, appends them,
-and joins the findings back to every path that holds the blob.
+ledger is a Parquet table of (blob, rules) pairs that were scanned, with their
+findings; ``rules`` is a digest of the rules themselves, so changed rules are
+new pairs.  A run scans only pairs the ledger lacks, appends them, and takes
+all findings from the ledger, joined back to every path that holds the blob.
+Without a ledger's path a run starts one of its own under the checkpoint
+folder.
 
 Every task drops its own copies of a blob before the shuffle, so a group that
 holds a third of all rows sends one row per task; the join back is split by
 the adaptive skew join if a digest is hot.  Texts stream through the tasks;
-what a task holds is the digests it has seen.
+what a task holds is the digests it has seen.  Patterns take time in
+proportion to the text: a run of a token's characters is tried once, from its
+beginning.
 
 NULL text counts as empty, and an empty text has no findings.  Repeated rows
-each get the findings of their blob.  Offsets are code points.  Columns of
-the input named ``blob`` or ``spans`` are replaced by the scan's own.
+each get the findings of their blob.  Offsets are code points.  ``scan`` names
+the columns it adds as it is told to and replaces columns of these names;
+``without_secrets`` keeps every column of the input.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ["assign", "access", "hex", "private_key", "jwt", "github", "slack"]
 BASE_KINDS = KINDS[:3]
-RULE_VERSION = 1
 
 # Kind: (pattern, group whose length counts, least length).  Letters of the
 # assign keywords match in either case, ASCII only.
@@ -40,14 +47,20 @@ RULES = {
     ),
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+    # A token, not a part of one: each run of its characters is tried once.
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+", 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 }
 
 SPAN = "struct<start:long,kind:int,stop:long>"
-LEDGER = f"blob binary, rule_version int, spans array<{SPAN}>"
+LEDGER = f"blob binary, rules string, spans array<{SPAN}>"
+
+
+def rules_id(rules: dict = RULES) -> str:
+    """A digest of the rules: their kinds in order, patterns, groups and lengths."""
+    return hashlib.sha256(json.dumps([[k, *r] for k, r in rules.items()]).encode()).hexdigest()[:16]
 
 
 def find(text: str, patterns) -> list[tuple[int, int, int]]:
@@ -86,28 +99,15 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan(
-    docs: DataFrame,
-    ledger_path: str | None = None,
-    rules: dict = RULES,
-    rule_version: int = RULE_VERSION,
-    text_col: str = "text",
-) -> DataFrame:
-    """The rows of ``docs`` with ``blob`` and ``spans`` (by start, then kind).
-
-    Blobs the ledger has for this rule version are not scanned again; new
-    ones are appended to it.  Without a ledger path all blobs are new, and
-    their findings are checkpointed for this run alone.
-    """
-    spark = docs.sparkSession
+def append_unseen(docs: DataFrame, ledger_path: str, rules: dict = RULES, text_col: str = "text") -> None:
+    """Scan the blobs of ``docs`` that the ledger lacks for these rules, and append them to it."""
+    version = rules_id(rules)
     blobs = docs.select(blob_id(text_col).alias("blob"), F.col(text_col).cast("string").alias("text")).where(
         F.length("text") > 0
     )
     blobs = blobs.mapInArrow(first_ones, blobs.schema)
-    if ledger_path:
-        known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    blobs = blobs.repartition("blob")
+    known = read_ledger(docs.sparkSession, ledger_path).where(F.col("rules") == version)
+    blobs = blobs.join(known.select("blob"), "blob", "left_anti").repartition("blob")
     patterns = [(re.compile(p, re.ASCII), group, least) for p, group, least in rules.values()]
 
     def scan_batch(batches):
@@ -116,27 +116,41 @@ def scan(
             found = [
                 [{"start": a, "kind": k, "stop": b} for a, k, b in find(t.as_py(), patterns)] for t in batch.column(1)
             ]
-            version = pa.array([rule_version] * len(found), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), version, pa.array(found, kind)], ["blob", "rule_version", "spans"]
-            )
+            names = pa.array([version] * len(found), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(found, kind)], ["blob", "rules", "spans"])
+
+    blobs.mapInArrow(scan_batch, LEDGER).write.mode("append").parquet(ledger_path)
+
 
-    scanned = blobs.mapInArrow(scan_batch, LEDGER)
-    if ledger_path:
-        scanned.write.mode("append").parquet(ledger_path)
-        scanned = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version)
-        # Two runs that append at once may both scan a blob.
-        scanned = scanned.dropDuplicates(["blob"])
-    else:
-        ensure_checkpoint_dir(spark)
-        scanned = scanned.where(F.size("spans") > 0).checkpoint()
-    findings = scanned.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), "spans")
-    keyed = docs.withColumn("blob", blob_id(text_col))
+def free_name(taken, name: str) -> str:
+    """``name``, with underscores in front until no column has it (in any case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def scan(
+    docs: DataFrame,
+    ledger_path: str | None = None,
+    rules: dict = RULES,
+    text_col: str = "text",
+    blob_col: str = "blob",
+    spans_col: str = "spans",
+) -> DataFrame:
+    """The rows of ``docs`` with ``blob`` and ``spans`` (by start, then kind), from the ledger."""
+    spark = docs.sparkSession
+    ledger_path = ledger_path or scratch_dir(spark, "secret-ledger")
+    append_unseen(docs, ledger_path, rules, text_col)
+    found = read_ledger(spark, ledger_path).where((F.col("rules") == rules_id(rules)) & (F.size("spans") > 0))
+    keyed = docs.drop(spans_col).withColumn(blob_col, blob_id(text_col))
+    theirs, spans = free_name(keyed.columns, "__blob"), free_name(keyed.columns, "__spans")
+    # Two runs that append at once may both scan a blob.
+    found = found.select(F.col("blob").alias(theirs), F.col("spans").alias(spans)).dropDuplicates([theirs])
     empty = F.array().cast(f"array<{SPAN}>")
-    return (
-        keyed.join(findings, F.col("blob") == F.col("__blob"), "left")
-        .drop("__blob")
-        .withColumn("spans", F.coalesce("spans", empty))
+    columns = [F.col(f"`{c}`") for c in keyed.columns]
+    return keyed.join(found, F.col(f"`{blob_col}`") == F.col(theirs), "left").select(
+        *columns, F.coalesce(F.col(spans), empty).alias(spans_col)
     )
 
 
@@ -167,15 +181,12 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
-    """The scanned rows with every span of their text replaced by ``mask``.
-
-    Overlapping spans become one.  Texts without findings stay as they are.
-    """
-    text = F.col(text_col)
+def masked(text: Column, spans: Column, mask: str = "<SECRET>") -> Column:
+    """The text with every span replaced by ``mask``; overlapping spans become
+    one.  A text without spans stays as it is."""
     # Folds the spans from left to right: the text so far, and where the rest begins.
-    step = F.aggregate(
-        "spans",
+    cut = F.aggregate(
+        spans,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] < acc["at"], acc["done"])
@@ -189,15 +200,26 @@ def redact(scanned: DataFrame, text_col: str = "text", mask: str = "<SECRET>") -
             .alias("done"),
             F.greatest(acc["at"], s["stop"]).alias("at"),
         ),
+        lambda acc: F.concat(acc["done"], F.substr(text, (acc["at"] + 1).cast("int"))),
     )
-    return (
-        scanned.withColumn("__cut", F.when(F.size("spans") > 0, step))
-        .withColumn(
-            text_col,
-            F.when(
-                F.col("__cut").isNotNull(),
-                F.concat(F.col("__cut.done"), F.substr(text, (F.col("__cut.at") + 1).cast("int"))),
-            ).otherwise(text),
-        )
-        .drop("__cut", "spans", "blob")
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+
+def without_secrets(
+    docs: DataFrame, ledger_path: str | None = None, text_col: str = "text", length_col: str | None = None, **how
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, with the secrets of their
+    text masked.  ``length_col`` names a column that has the text's length; it
+    is counted again where the text changed."""
+    blob, spans = (free_name(docs.columns, f"__secret_{x}") for x in ("blob", "spans"))
+    scanned = scan(docs, ledger_path, text_col=text_col, blob_col=blob, spans_col=spans, **how)
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    text = masked(columns[text_col], F.col(spans))
+    changed = free_name(scanned.columns, "__secret_changed")
+    rows = scanned.select(
+        *[(text if c == text_col else x).alias(c) for c, x in columns.items()], (F.size(spans) > 0).alias(changed)
     )
+    if length_col in columns:
+        length = F.length(columns[text_col]).cast(docs.schema[length_col].dataType)
+        columns[length_col] = F.when(F.col(changed), length).otherwise(columns[length_col]).alias(length_col)
+    return rows.select(*columns.values())

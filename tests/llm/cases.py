@@ -28,7 +28,7 @@ def low(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def prose(seed: int, n: int, words: str = "the of and a to in stone river cloud amber quiet lantern orbit velvet") -> str:
+def prose(seed: int, n: int, words: str = "the of and a to in stone river meadow amber quiet lantern orbit velvet") -> str:
     r = random.Random(seed)
     return " ".join(r.choice(words.split()) + (".\n" if r.random() < 0.05 else "") for _ in range(n))
 
