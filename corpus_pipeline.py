@@ -9,7 +9,6 @@ folder and reads them back, so a lost executor repeats one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +23,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near copies."""
+    """Keep the document of least id of each group of near copies: texts whose
+    five-word shingles have a similarity of 0.8 or more."""
     from doeffect.llm.ngram_join import one_each
 
-    return one_each(docs)
+    return one_each(docs, k=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets in the texts; the other columns stay, but for the length."""
-    from doeffect.llm.secrets import redact, scan
+    from doeffect.llm import secrets
 
-    masked = redact(scan(docs).withColumn("_found", F.size("spans") > 0))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    return secrets.without_secrets(docs, length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
