@@ -7,11 +7,14 @@ all texts of that language that pass the base rules and the length guard) by
 Jensen-Shannon distance.  Texts shorter than the guard, and languages with
 fewer than ``LEAST_TEXTS`` reference texts, are left to the base rules.
 
-Everything about a text is worked out within its row; the references are one
-small row of sums, read back as a scalar subquery.  Nothing but those sums
-is shuffled, so no source or language is a hot spot.
-
-NULL text has no words and fails; a NULL language has no reference.
+Everything about a text is worked out within its row; the references are a
+small row of sums for each language, joined back: broadcast up to
+``BROADCAST`` languages, by a join that Spark chooses beyond.  Nothing but
+those sums is shuffled for the usual few languages, so no source or language
+is a hot spot.
+
+NULL text has no words and fails; a NULL language has no reference, whatever
+other languages are called.
 Repeated rows count as often as they occur.
 """
 
@@ -27,6 +30,7 @@ LEAST_BASE = 20  # words, base rule
 MOST_REPEATED = 30  # per cent, base rule
 LEAST_WORDS = 80  # length guard of the method
 LEAST_TEXTS = 30  # of a reference
+BROADCAST = 4096  # languages with a reference (about 1 KB each)
 MOST_CHAR_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.55
 
@@ -138,9 +142,9 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """One row: a map from language to its mean histograms."""
+    """``ref_lang, ref_chars, ref_common``: the mean histograms of each language."""
     n, m = len(CLASSES), len(COMMON) + 1
-    by_lang = (
+    return (
         rows.where(~F.col("base_failed") & (F.col("n_words") >= LEAST_WORDS) & F.col("lang").isNotNull())
         .groupBy("lang")
         .agg(
@@ -149,14 +153,12 @@ def references(rows: DataFrame) -> DataFrame:
             *[F.avg(F.col("p_common")[i]).alias(f"w{i}") for i in range(m)],
         )
         .where(F.col("texts") >= LEAST_TEXTS)
+        .select(
+            F.col("lang").alias("ref_lang"),
+            F.array(*[f"c{i}" for i in range(n)]).alias("ref_chars"),
+            F.array(*[f"w{i}" for i in range(m)]).alias("ref_common"),
+        )
     )
-    entry = F.struct(
-        "lang",
-        F.struct(
-            F.array(*[f"c{i}" for i in range(n)]).alias("chars"), F.array(*[f"w{i}" for i in range(m)]).alias("common")
-        ),
-    )
-    return by_lang.agg(F.map_from_entries(F.collect_list(entry)).alias("references"))
 
 
 def judge(docs: DataFrame, **columns) -> DataFrame:
@@ -165,12 +167,14 @@ def judge(docs: DataFrame, **columns) -> DataFrame:
     rows = features(docs, **columns).checkpoint()
     total = F.aggregate("chars", F.lit(0).cast("long"), lambda acc, c: acc + c)
     rows = rows.withColumns({"p_chars": _share(F.col("chars"), total), "p_common": _share(F.col("common"), F.col("n_words"))})
-    rows = rows.withColumn("reference", F.try_element_at(references(rows).scalar(), F.coalesce("lang", F.lit(""))))
-    compared = (F.col("n_words") >= LEAST_WORDS) & F.col("reference").isNotNull()
+    means = references(rows).checkpoint()
+    few = means.limit(BROADCAST + 1).count() <= BROADCAST
+    rows = rows.join(F.broadcast(means) if few else means, F.col("lang") == F.col("ref_lang"), "left")
+    compared = (F.col("n_words") >= LEAST_WORDS) & F.col("ref_lang").isNotNull()
     rows = rows.withColumns(
         {
-            "char_distance": F.when(compared, distance(F.col("p_chars"), F.col("reference.chars"))),
-            "word_distance": F.when(compared, distance(F.col("p_common"), F.col("reference.common"))),
+            "char_distance": F.when(compared, distance(F.col("p_chars"), F.col("ref_chars"))),
+            "word_distance": F.when(compared, distance(F.col("p_common"), F.col("ref_common"))),
         }
     )
     far = (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)

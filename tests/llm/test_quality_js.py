@@ -53,6 +53,23 @@ def test_method_matches_sql_and_drops_junk(spark):
     assert by[200].char_distance is None  # no language
 
 
+def test_no_language_is_not_the_empty_label(spark):
+    given = [(i, cases.prose(i, 150), "", "s", 0, "k", "b", 1) for i in range(40)]
+    given += [(100, cases.prose(100, 150), None, "s", 0, "k", "b", 1)]
+    docs = cases.frame(spark, given + given[-1:]).selectExpr("*", "1 AS ref_lang", "2 AS chars", "3 AS n_words")
+    got = Q.judge(docs).collect()
+    assert len(got) == 42 and all((r.char_distance is None) == (r.doc_id == 100) for r in got)
+    assert {r.kept for r in got} == {True}
+
+
+def test_many_languages_are_joined(spark, monkeypatch):
+    given = [(i, cases.prose(i, 100), f"l{i % 3}", "s", 0, "k", "b", 1) for i in range(120)]
+    key = lambda r: r.doc_id
+    want = sorted(Q.judge(cases.frame(spark, given)).collect(), key=key)
+    monkeypatch.setattr(Q, "BROADCAST", 2)
+    assert sorted(Q.judge(cases.frame(spark, given)).collect(), key=key) == want
+
+
 def test_windows_of_random_texts(spark):
     r = np.random.default_rng(0)
     given = [(i, " ".join(r.choice(["a", "b"], r.integers(1, 60))), None, None, None, None, None, None) for i in range(150)]
