@@ -1,16 +1,23 @@
 """Dictionary-compressed WARC writer and reader.
 
-A Zstandard dictionary is trained on a bounded sample of payloads and stored
-in a leading skippable frame of every archive; each record is a frame of its
-own, so one record can be read without the others.  Of records with equal
-payloads (of at least ``LEAST`` bytes) the one with the smallest id is a
-response, the others are revisits that refer to it and repeat no payload.
+A Zstandard dictionary is trained on pieces of the payloads and stored in a
+leading skippable frame of every archive, before a ``warcinfo`` record; each
+record is a frame of its own, so one record can be read without the others.
+Of records with equal payloads (of at least ``LEAST`` bytes) the one with the
+smallest id is a response, the others are revisits that refer to it and repeat
+no payload.
+
+The sample is of pieces from anywhere in the payloads, those of least hash
+over all pieces of all distinct payloads.  It is bounded, as the dictionary
+is: a hundred times its size is what training makes use of.  Only compression
+depends on it.
 
 Every task writes its archive under a name of its own attempt and renames
 it when it is complete, so a lost executor leaves no half archive behind.
 
 NULL html is an empty payload.  A NULL id is no smallest id (unless no other
-has the payload); repeated rows with the smallest id are all responses.
+has the payload); repeated rows with the smallest id are all responses, with
+record ids of their own, and revisits then name their url and date alone.
 NULL urls leave their header out.  An empty table gives no archives.
 """
 
@@ -27,9 +34,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, scratch_dir
 
 LEAST = 100  # bytes of a payload that others may refer to
-SAMPLE_RECORDS = 512  # payloads the dictionary is trained on
-SAMPLE_CHARS = 16384  # of each
 DICTIONARY_BYTES = 64 << 10
+PIECE = 2048  # characters
+PIECES = 100 * DICTIONARY_BYTES // PIECE  # the dictionary is trained on
 LEVEL = 3
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed value: skippable frame that holds a dictionary
 DATE = "2024-01-01T00:00:00Z"
@@ -38,18 +45,25 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def train(pages: DataFrame, text_col: str = "html") -> bytes:
-    """A dictionary from the ``SAMPLE_RECORDS`` payloads of least hash; empty if there are none."""
+def train(pages: DataFrame, text_col: str = "html", most: int = PIECES) -> bytes:
+    """A dictionary from the ``most`` pieces of least hash; empty if there are none."""
     import zstandard as zstd
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashed = pages.select(F.xxhash64(text).alias("h"), text.alias("t")).where(F.length("t") > 0)
+    texts = pages.select(F.xxhash64(text).alias("h"), F.length(text).alias("n"), text.alias("t")).where(F.col("n") > 0)
+    # A payload's pieces, by its hash: copies have the same.
+    numbers = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))
+    place = F.col("place") * PIECE + 1
     # First the hashes alone, then the few texts that have them.
-    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).collect()]
+    hashed = texts.select("h", F.explode(numbers).alias("place")).select(F.xxhash64("h", "place").alias("p"))
+    least = [r.p for r in hashed.distinct().orderBy("p").limit(most).collect()]
     if not least:
         return b""
-    picked = hashed.where(F.col("h") <= max(least)).select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    rows = picked.groupBy("h").agg(F.min("t").alias("t")).collect()
+    wanted = F.filter(numbers, lambda i: F.xxhash64("h", i) <= max(least))
+    picked = texts.select("h", "t", F.explode(wanted).alias("place")).select(
+        F.xxhash64("h", "place").alias("p"), F.substr("t", place, F.lit(PIECE)).alias("t")
+    )
+    rows = picked.groupBy("p").agg(F.min("t").alias("t")).collect()
     samples = [r.t.encode() for r in sorted(rows)]
     total = sum(map(len, samples))
     if not total:
@@ -70,8 +84,33 @@ def _header(value: str) -> str:
     return "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in value)
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
-    """The bytes of one record; a revisit's block has the HTTP header alone."""
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def stored_id(page_id, digest: str) -> str:
+    """The id of the one response that has the payload of its revisits."""
+    return record_id(f"{page_id}:{digest}")
+
+
+def info(name: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: doeffect.llm.warc\r\nformat: WARC File Format 1.1\r\n"
+    lines = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: {record_id(name)}",
+        f"WARC-Date: {DATE}",
+        f"WARC-Filename: {name.rpartition('/')[2]}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id, url, payload: bytes, digest: str, revisit: bool, own_id: str, first=None) -> bytes:
+    """The bytes of one record; a revisit's block has the HTTP header alone.
+    ``first`` is what a revisit says of its response: page id, url, rows with that id."""
     http = (
         "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" f"Content-Length: {len(payload)}\r\n\r\n"
     ).encode()
@@ -79,7 +118,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>",
+        f"WARC-Record-ID: {own_id}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -91,15 +130,23 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
         lines.append(f"WARC-Profile: {PROFILE}")
-        if refers_to is not None:
-            lines.append(f"X-Refers-To-Page-ID: {refers_to}")
+        if first is not None:
+            first_id, first_url, rows = first
+            lines += [f"X-Refers-To-Page-ID: {first_id}", f"WARC-Refers-To-Date: {DATE}"]
+            if first_url is not None:
+                lines.append(f"WARC-Refers-To-Target-URI: {_header(first_url)}")
+            if rows == 1:
+                lines.append(f"WARC-Refers-To: {stored_id(first_id, digest)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> dict:
-    """What a record says of its page; a response's digest is taken from its payload."""
+def parse(raw: bytes) -> dict | None:
+    """What a record says of its page (None if it is of none); a response's
+    digest is taken from its payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    if fields["WARC-Type"] not in ("response", "revisit"):
+        return None
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rpartition(b"Content-Length: ")[2])
@@ -133,13 +180,20 @@ def plan(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", url_
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("html")
     ).withColumn("digest", F.sha2("html", 256))
     # One row a payload, from per-task minima; a hot payload's rows are split by the adaptive join.
-    first = (
-        rows.where(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.lit(True).alias("large"))
+    large = rows.where(F.octet_length("html") >= LEAST)
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = large.groupBy("digest").agg(F.min(named).alias("first"), F.lit(True).alias("large"))
+    # How many rows have that id: counted by (payload, id) first.
+    times = large.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))).alias("times")
     )
-    revisit = F.col("large").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest", "left").select(
-        "page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to")
+    first = first.join(times, "digest").select(
+        "digest", "large", F.when(F.col("first").isNotNull(), F.struct("first.page_id", "first.url", "times.n")).alias("first")
     )
+    revisit = F.col("large").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return rows.join(first, "digest", "left").select(
+        "page_id", "url", "html", "digest", revisit.alias("revisit"), "first.page_id", "first.url", "first.n"
+    ).toDF("page_id", "url", "html", "digest", "revisit", "first_id", "first_url", "first_rows")
 
 
 def write(pages: DataFrame, folder: str, **columns) -> DataFrame:
@@ -156,7 +210,7 @@ def write(pages: DataFrame, folder: str, **columns) -> DataFrame:
         n = size = 0
         for batch in batches:
             for row in range(batch.num_rows):
-                page_id, url, html, digest, revisit, refers_to = (batch.column(c)[row].as_py() for c in range(6))
+                page_id, url, html, digest, revisit, *first = (batch.column(c)[row].as_py() for c in range(8))
                 if out is None:
                     files, base = _filesystem(folder)
                     files.create_dir(base, recursive=True)
@@ -165,7 +219,11 @@ def write(pages: DataFrame, folder: str, **columns) -> DataFrame:
                     out = files.open_output_stream(part, compression=None)
                     if raw:
                         size += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
-                size += out.write(compressor.compress(record(page_id, url, html.encode(), digest, refers_to, revisit)))
+                    size += out.write(compressor.compress(info(name)))
+                stored = not revisit and page_id is not None and first == [page_id, first[1], 1]
+                own = stored_id(page_id, digest) if stored else record_id(f"{name}:{n}")
+                first = first if first[0] is not None else None
+                size += out.write(compressor.compress(record(page_id, url, html.encode(), digest, revisit, own, first)))
                 n += 1
         if out is not None:
             out.close()
@@ -214,7 +272,8 @@ def read(archives: DataFrame) -> DataFrame:
                 with files.open_input_stream(place, compression=None) as stream:
                     rows = []
                     for raw in frames(stream):
-                        rows.append(parse(raw))
+                        if (row := parse(raw)) is not None:
+                            rows.append(row)
                         if len(rows) == 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema).select(names)
                             rows = []
