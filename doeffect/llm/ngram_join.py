@@ -1,18 +1,24 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 The incidence matrix has a row per distinct text and a column per word
-n-gram.  It is cut into blocks, and only packed blocks move:
-
-1. Rows to column blocks: each task packs the n-grams of its texts by column
-   block.  A column block counts in how many texts each of its n-grams
-   occurs and drops the n-grams of one text only, which no overlap can hold.
-2. Column blocks to row blocks: what is left goes back to its text, whose
-   n-grams are then in order of rarity.
+n-gram.  It is cut into blocks of rows (chunks, of about ``FLUSH`` entries) and
+blocks of columns, and only packed blocks move:
+
+1. Chunks to column blocks: each chunk sends each of its n-grams once, with the
+   number of its texts that have it (or the one text).  A column block adds up
+   in how many texts each n-gram occurs.  So an n-gram of a third of all texts
+   is one entry a chunk, and no task meets all its texts.
+2. Column blocks to chunks: the counts above one go back, and each chunk puts
+   the n-grams of its texts in order of rarity; those of one text only, which
+   no overlap can hold, come first of all.  A text that several chunks have
+   stays in the first of them.
 3. The product over the rare columns: for two texts to reach the bound, the
    rarest n-grams of one (as many as the bound lets it miss, plus one) must
-   hold one of the other's.  Pairs are cut by their sizes and by the largest
-   overlap that the places of the shared n-gram leave.
-4. The product over all columns, for pairs that remain: whole overlap counts
+   hold one of the other's.  For each pair of texts the shared columns are
+   counted up; the count and the places of the last shared column bound the
+   whole overlap, and pairs whose sizes ask for more are dropped there, before
+   anything long is sent.
+4. The other columns are added for the pairs that remain: whole overlap counts
    decide, exactly.
 
 No group of texts is paired with itself.  Within a column each text is first
@@ -20,12 +26,14 @@ paired with the column's most central text alone; texts found to be linked
 share a class, and only texts of different classes are paired after that.
 So a group of near copies takes pairs in proportion to its size.
 
-Copies of a text meet early: a task sends each text once, and a column block
-keeps one of each.  Nothing is capped, and every count is over all rows.
+Copies of a text meet early: a chunk has each text once, and one chunk keeps
+it.  Nothing is capped, and every count is over all rows.
 
 Empty texts, NULL and texts without words have no n-grams and are linked
 with nothing.  NULL ids take part, but are never a component's id.  Texts
-are told apart by 64-bit hashes, and so are n-grams.
+are told apart by 64-bit hashes, and so are n-grams: among 10^9 texts, two
+different ones share a hash with a chance of about 3 %, and would then count
+as copies.
 """
 
 from __future__ import annotations
@@ -41,7 +49,10 @@ from .text import _GRAM, NONSPACE, grams, mix, text_key, words_of
 
 SHINGLE = 4
 PERCENT = 85
-FLUSH = 1 << 20  # n-grams that a task holds before it packs them
+FLUSH = 1 << 20  # n-grams of a chunk
+
+# What a message is, and to whom.
+COLUMNS, KEYS, OWN = 0, 1, 2
 
 
 def sets_of(column, k: int):
@@ -73,22 +84,28 @@ def block_of(h: np.ndarray, n_blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(keys, sizes, counts, *values) -> bytes:
-    """Texts (key, size, how many of the values are theirs) and their values."""
-    head = np.array([len(keys), len(values[0])], np.uint32)
-    parts = [head, keys.astype(np.uint64), sizes.astype(np.uint32), counts.astype(np.uint32), *values]
-    return b"".join(p.tobytes() for p in parts)
+def _pack(*arrays) -> bytes:
+    """Arrays one after the other, their lengths first."""
+    head = np.array([len(x) for x in arrays], np.uint64)
+    return b"".join(x.tobytes() for x in (head, *arrays))
 
 
-def _unpack(payload, *kinds):
-    n, m = np.frombuffer(payload, np.uint32, 2).tolist()
-    out, at = [], 8
-    for kind, length in [(np.uint64, n), (np.uint32, n), (np.uint32, n), *[(k, m) for k in kinds]]:
+def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
+    lengths = np.frombuffer(payload, np.uint64, len(kinds)).tolist()
+    out, at = [], 8 * len(kinds)
+    for kind, length in zip(kinds, lengths):
         out.append(np.frombuffer(payload, kind, length, at))
         at += length * np.dtype(kind).itemsize
     return out
 
 
+GRAM, INDEX = np.uint64, np.uint32
+ENTRIES = (GRAM, INDEX, GRAM, INDEX)  # n-grams of one text and that text; of more, and how many
+COUNTED = (GRAM, INDEX, INDEX, GRAM, INDEX)  # the same with the count over all texts
+TEXTS = (GRAM, INDEX)  # hash and size
+INCIDENCE = (*TEXTS, GRAM, INDEX, INDEX)  # texts; n-grams of more, how many texts, which
+
+
 def _runs(values: np.ndarray):
     """Starts and lengths of the runs of equal values."""
     if not len(values):
@@ -97,39 +114,62 @@ def _runs(values: np.ndarray):
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _rows(blocks, payloads) -> pa.Table:
-    return pa.table({"block": pa.array(blocks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
-
-
-def to_columns(docs: DataFrame, k: int, n_columns: int, n_rows: int) -> DataFrame:
-    """Packed n-grams by column block, and (at block -1 - r) the texts of row block r."""
+def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all members of the runs, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
+def chunk_messages(chunk: int, keys: np.ndarray, sizes: np.ndarray, h: np.ndarray, n_columns: int, n_rows: int):
+    """(kind, block, payload) of one chunk: its n-grams by column block, its texts
+    by hash, and what it keeps for itself."""
+    doc = np.repeat(np.arange(len(keys), dtype=INDEX), sizes)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    starts, n = _runs(h)
+    gram, single = h[starts], n == 1
+    # Column blocks follow the order of the hashes.
+    edge = np.searchsorted(block_of(gram, n_columns), np.arange(n_columns + 1))
+    for c in range(n_columns):
+        part = slice(edge[c], edge[c + 1])
+        one, more = single[part], ~single[part]
+        if one.size:
+            g, s = gram[part], starts[part]
+            yield COLUMNS, c, _pack(g[one], doc[s[one]], g[more], n[part][more].astype(INDEX))
+    row = block_of(keys, n_rows)
+    order = np.argsort(row, kind="stable")
+    first, length = _runs(row[order])
+    for a, m in zip(first.tolist(), length.tolist()):
+        who = order[a : a + m]
+        yield KEYS, int(row[who[0]]), _pack(keys[who], sizes[who].astype(INDEX))
+    many = ~single
+    docs = doc[_expand(starts[many], n[many])]
+    yield OWN, chunk, _pack(keys, sizes.astype(INDEX), gram[many], n[many].astype(INDEX), docs)
+
+
+def to_blocks(docs: DataFrame, k: int, n_columns: int, n_rows: int) -> DataFrame:
+    """The messages of all chunks of ``docs`` (``key, text``)."""
 
     def pack(batches):
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        made, total, seen = 0, 0, set()
         keys, sizes, held = [], [], []
-        total = 0
 
         def flush():
-            key, size = np.concatenate(keys), np.concatenate(sizes)
-            h = np.concatenate(held)
-            doc = np.repeat(np.arange(len(key)), size)
-            block = block_of(h, n_columns)
-            order = np.argsort(block.astype(np.uint16) if n_columns < 65536 else block, kind="stable")
-            h, doc, block = h[order], doc[order], block[order]
-            out_block, out = [], []
-            for start, length in zip(*_runs(block)):
-                part = doc[start : start + length]
-                first, count = _runs(part)
-                who = part[first]
-                out_block.append(int(block[start]))
-                out.append(_pack(key[who], size[who], count, h[start : start + length]))
-            order = np.argsort(key)
-            row = block_of(key[order], n_rows)
-            for start, length in zip(*_runs(row)):
-                who = order[start : start + length]
-                out_block.append(-1 - int(row[start]))
-                out.append(_pack(key[who], size[who], np.zeros(length), np.zeros(0, np.uint64)))
-            return _rows(out_block, out).to_batches()
+            # The number of the task and of its chunk: the same if the task is run again.
+            chunk = task << 32 | made
+            messages = list(chunk_messages(chunk, np.concatenate(keys), np.concatenate(sizes), np.concatenate(held), n_columns, n_rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([m[0] for m in messages], pa.int32()),
+                    pa.array([m[1] for m in messages], pa.int64()),
+                    pa.array([chunk] * len(messages), pa.int64()),
+                    pa.array([m[2] for m in messages], pa.binary()),
+                ],
+                ["kind", "block", "chunk", "payload"],
+            )
 
         for batch in batches:
             ids = batch.column(0).to_numpy().view(np.uint64)
@@ -146,76 +186,103 @@ def to_columns(docs: DataFrame, k: int, n_columns: int, n_rows: int) -> DataFram
                 total += len(held[-1]) + len(keys[-1])
                 if total > FLUSH:
                     yield from flush()
+                    made += 1
                     keys, sizes, held, total = [], [], [], 0
+                    seen.clear()
         if total:
             yield from flush()
 
-    return docs.select("key", "text").mapInArrow(pack, "block long, payload binary")
-
-
-def _column_block(n_rows: int):
-    def count(key, table):
-        block = key[0].as_py()
-        payloads = [p.as_py() for p in table.column("payload")]
-        if block < 0:
-            parts = [_unpack(p, np.uint64) for p in payloads]
-            texts, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-            size = np.concatenate([p[1] for p in parts])[first]
-            none = np.zeros(0, np.uint64)
-            return _rows([-1 - block], [_pack(texts, size, np.zeros(len(texts)), none, none.astype(np.uint32))])
-        texts, sizes, held = [], [], []
-        for p in payloads:
-            who, size, n, h = _unpack(p, np.uint64)
-            texts.append(np.repeat(who, n))
-            sizes.append(np.repeat(size, n))
-            held.append(h)
+    return docs.select("key", "text").mapInArrow(pack, "kind int, block long, chunk long, payload binary")
+
+
+def _answers(kind: int, chunks, payloads) -> pa.Table:
+    return pa.table(
+        {
+            "chunk": pa.array(chunks, pa.int64()),
+            "kind": pa.array([kind] * len(payloads), pa.int32()),
+            "payload": pa.array(payloads, pa.binary()),
+        }
+    )
+
+
+def count_columns(key, table):
+    """Answers of one block to the chunks: counts of n-grams, or the texts that stay with a chunk."""
+    kind = key[0].as_py()
+    chunks = table.column("chunk").to_numpy()
+    payloads = table.column("payload").to_pylist()
+    if kind == OWN:
+        return _answers(OWN, chunks, payloads)
+    out = []
+    if kind == KEYS:
+        parts = [_unpack(p, *TEXTS)[0] for p in payloads]
+        keys = np.concatenate(parts)
+        chunk = np.repeat(chunks, [len(p) for p in parts])
+        order = np.lexsort((chunk, keys))
+        first = _runs(keys[order])[0]
+        keys, chunk = keys[order][first], chunk[order][first]
+        order = np.argsort(chunk, kind="stable")
+        starts, n = _runs(chunk[order])
+        homes = chunk[order][starts]
+        out = [_pack(keys[order[a : a + m]]) for a, m in zip(starts.tolist(), n.tolist())]
+        return _answers(KEYS, homes, out)
+    parts = [_unpack(p, *ENTRIES) for p in payloads]
+    del payloads
+    grams = np.concatenate([x for p in parts for x in (p[0], p[2])])
+    times = np.concatenate([x for p in parts for x in (np.ones(len(p[0]), INDEX), p[3])])
+    order = np.argsort(grams, kind="stable")
+    starts, n = _runs(grams[order])
+    total = np.add.reduceat(times[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    held_by = np.empty(len(grams), INDEX)
+    held_by[order] = np.repeat(np.minimum(total, np.iinfo(INDEX).max), n)
+    at = 0
+    for one, doc, more, _ in parts:
+        first, second = held_by[at : at + len(one)], held_by[at + len(one) : at + len(one) + len(more)]
+        at += len(one) + len(more)
+        shared = first > 1
+        out.append(_pack(one[shared], doc[shared], first[shared], more, second))
+    return _answers(COLUMNS, chunks, out)
+
+
+def order_rows(percent: int):
+    """The sets of a chunk's texts, from the answers to it."""
+
+    def ordered(key, table):
+        kinds = table.column("kind").to_numpy()
+        payloads = table.column("payload").to_pylist()
+        (own,) = [_unpack(p, *INCIDENCE) for k, p in zip(kinds, payloads) if k == OWN]
+        texts, size, gram, n, docs = own
+        homes = np.concatenate([_unpack(p, GRAM)[0] for k, p in zip(kinds, payloads) if k == KEYS] or [np.zeros(0, GRAM)])
+        stays = np.isin(texts, homes)
+        counted = [_unpack(p, *COUNTED) for k, p in zip(kinds, payloads) if k == COLUMNS]
         del payloads
-        h = np.concatenate(held)
-        del held
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        order = order[np.append(same, False) | np.insert(same, 0, False)]
-        h, who, size = h[order], np.concatenate(texts)[order], np.concatenate(sizes)[order]
-        # One entry of each text; then those n-grams that two texts hold.
-        order = np.lexsort((who, h))
-        h, who, size = h[order], who[order], size[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-        h, who, size = h[new], who[new], size[new]
-        _, n = _runs(h)
-        held_by = np.repeat(n, n)
-        h, who, size, held_by = (x[held_by > 1] for x in (h, who, size, held_by))
-        order = np.argsort(who, kind="stable")
-        h, who, size, held_by = h[order], who[order], size[order], held_by[order].astype(np.uint32)
-        row = block_of(who, n_rows)
-        rows, out = [], []
-        for start, length in zip(*_runs(row)):
-            cut = slice(start, start + length)
-            first, n = _runs(who[cut])
-            rows.append(int(row[start]))
-            out.append(_pack(who[cut][first], size[cut][first], n, h[cut], held_by[cut]))
-        return _rows(rows, out)
-
-    return count
-
-
-def _row_block(percent: int):
-    def order_rows(key, table):
-        parts = [_unpack(p.as_py(), np.uint64, np.uint32) for p in table.column("payload")]
-        texts, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        size = np.concatenate([p[1] for p in parts])[first].astype(np.int64)
-        who = np.searchsorted(texts, np.concatenate([np.repeat(p[0], p[2]) for p in parts]))
-        h = np.concatenate([p[3] for p in parts])
-        held_by = np.concatenate([p[4] for p in parts])
+        who, h, held_by = [], [], []
+        starts = np.cumsum(n) - n
+        for one, doc, first, more, second in counted:
+            place = np.searchsorted(gram, more)
+            members = n[place].astype(np.int64)
+            who += [doc, docs[_expand(starts[place].astype(np.int64), members)]]
+            h += [one, np.repeat(more, members)]
+            held_by += [first, np.repeat(second, members)]
+        none = np.zeros(0, INDEX)
+        who = np.concatenate([*who, none]).astype(np.int64)
+        h, held_by = np.concatenate([*h, np.zeros(0, GRAM)]), np.concatenate([*held_by, none])
+        here = stays[who]
+        # Number the texts that stay.
+        number = np.cumsum(stays) - 1
+        who, h, held_by = number[who[here]], h[here], held_by[here]
+        texts, size = texts[stays], size[stays].astype(np.int64)
         shared = np.bincount(who, minlength=len(texts))
         # n-grams of one text come first in its order, so they take up its prefix.
         prefix = size - -(-percent * size // 100) + 1
         prefix = np.clip(prefix - (size - shared), 0, shared)
         prefix[size == 0] = 0
-        by_rarity = np.lexsort((h, held_by, who))
+        # Of equally rare ones the order is that of signed numbers, as in the table.
+        by_rarity = np.lexsort((h.view(np.int64), held_by, who))
         rank = np.arange(len(h)) - np.repeat(np.cumsum(shared) - shared, shared)
-        rare = h[by_rarity][rank < prefix[who[by_rarity]]]
+        is_rare = rank < prefix[who[by_rarity]]
+        rare = h[by_rarity][is_rare]
+        rarity = np.append(held_by[by_rarity][is_rare], 0).astype(np.int64)
+        end_by = np.where(prefix > 0, rarity[np.cumsum(prefix) - 1], 0)
         full = np.lexsort((h, who))
         full = full[prefix[who[full]] > 0]
         kept = np.where(prefix > 0, shared, 0)
@@ -229,12 +296,13 @@ def _row_block(percent: int):
                 "key": pa.array(texts.view(np.int64)),
                 "n": pa.array(size, pa.int64()),
                 "shared": pa.array(shared, pa.int64()),
+                "end_by": pa.array(end_by, pa.int64()),
                 "rare": lists(prefix, rare),
                 "grams": lists(kept, h[full]),
             }
         )
 
-    return order_rows
+    return ordered
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -242,6 +310,47 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent))
 
 
+def _may_link(common: Column, last_a: Column, last_b: Column, percent: int) -> Column:
+    """Whether texts a and b with so many common rare columns, the last at these
+    places of their orders, can reach the bound.
+
+    What follows the last common column is in both or not at all.  And the text
+    whose rare columns end first in the order has no other of them in common
+    with the other text: ``rest`` columns are left to it.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    behind = F.least(n_a - last_a, n_b - last_b) - 1
+    rest = F.when(F.col("end_a") < F.col("end_b"), F.col("rest_a")).when(F.col("end_b") < F.col("end_a"), F.col("rest_b"))
+    left = F.least(behind, F.coalesce(rest, F.least("rest_a", "rest_b")))
+    return common + left >= _need(n_a, n_b, percent)
+
+
+def _ends() -> list[Column]:
+    """Where a text's rare columns end in the order, and how many shared ones follow."""
+    end = F.struct("end_by", F.try_element_at("rare", F.lit(-1)).alias("gram"))
+    return [end.alias("end"), (F.col("shared") - F.size("rare")).alias("rest")]
+
+
+def _rarely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose common rare columns let them reach the bound."""
+    one, two = (
+        sets.select(
+            F.col("key").alias(x),
+            F.col("n").alias(f"n_{x}"),
+            (F.col("n") - F.col("shared")).alias(f"alone_{x}"),
+            F.col("rare").alias(f"rare_{x}"),
+            *[e.alias(f"{name}_{x}") for e, name in zip(_ends(), ("end", "rest"))],
+        )
+        for x in "ab"
+    )
+    common = F.array_intersect("rare_a", "rare_b")
+    last = F.try_element_at("common", F.lit(-1))
+    # Places from 0: n-grams of one text only come first.
+    places = [F.array_position(f"rare_{x}", last) - 1 + F.col(f"alone_{x}") for x in "ab"]
+    bound = _may_link(F.size("common"), *places, percent)
+    return pairs.join(two, "b").join(one, "a").withColumn("common", common).where((F.size("common") > 0) & bound).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole overlap reaches the bound.
 
@@ -258,53 +367,37 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: str = "text"):
-    """(sets, edges): ``key, n`` of every distinct text, and links ``a, b`` between
-    texts that connect all texts whose n-gram sets reach ``percent`` Jaccard
-    similarity, directly or by other such links."""
+def incidence(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
+    """``key, n, shared, end_by, rare, grams`` of every distinct text: its hash, the size
+    of its set, how many n-grams it shares with any text, the rarest of those
+    that the bound looks at (and how many texts have the last of them), and, if
+    there are any, all of them."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "ngram-join")
-    # Two blocks a partition; with more, each text's key is repeated in more of them.
-    n_columns = n_rows = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Two blocks a partition; with more, each chunk sends more and smaller messages.
+    n_blocks = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     (
-        to_columns(texts, k, n_columns, n_rows)
-        .groupBy("block")
-        .applyInArrow(_column_block(n_rows), "block long, payload binary")
-        .groupBy("block")
-        .applyInArrow(_row_block(percent), "key long, n long, shared long, rare array<long>, grams array<long>")
+        to_blocks(texts, k, n_blocks, n_blocks)
+        .groupBy("kind", "block")
+        .applyInArrow(count_columns, "chunk long, kind int, payload binary")
+        .groupBy("chunk")
+        .applyInArrow(order_rows(percent), "key long, n long, shared long, end_by long, rare array<long>, grams array<long>")
         .write.parquet(folder)
     )
-    sets = spark.read.parquet(folder)
-    cells = sets.where(F.size("rare") > 0).select(
-        "key", "n", "shared", F.posexplode("rare").alias("at", "gram")
-    )
-    # Place of the n-gram in the text's order of rarity.
-    cells = cells.select("key", "n", "gram", (F.col("n") - F.col("shared") + F.col("at")).alias("place"))
-    central = (
-        cells.groupBy("gram")
-        .agg(F.min(F.struct("place", "n", "key")).alias("hub"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows"))
-        .where("rows > 1")
-    )
-    # A text can reach the bound only with partners of at least this size.
-    floor = F.greatest("least", F.ceil(F.col("n") * percent / F.lit(100)))
-    cells = (
-        cells.join(central, "gram")
-        .where(F.col("n") - F.col("place") >= _need(F.col("n"), floor, percent))
-        .select("gram", "key", "n", "place", "hub")
-        .checkpoint()
-    )
-    n, hub_n = F.col("n"), F.col("hub.n")
-    fits = F.least(n - F.col("place"), hub_n - F.col("hub.place")) >= _need(n, hub_n, percent)
-    sized = F.least(n, hub_n) * 100 >= F.greatest(n, hub_n) * percent
-    starred = cells.where((F.col("key") != F.col("hub.key")) & fits & sized).select(
-        F.col("key").alias("a"), F.col("hub.key").alias("b")
-    )
-    stars = _linked(starred.distinct(), sets, percent).checkpoint()
-    # Class of a text: the least centre it is linked with, or that centre's own.
-    direct = stars.groupBy("a").agg(F.min("b").alias("b"))
-    second = direct.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    classes = direct.join(second, "b", "left").select(F.col("a").alias("key"), F.coalesce("c", "b").alias("class"))
+    return spark.read.parquet(folder)
+
+
+def cells_of(sets: DataFrame) -> DataFrame:
+    """A row for each text and rare column: ``key, n, gram``, its ``place`` in the
+    text's order of rarity, and ``end, rest`` (see :func:`_may_link`)."""
+    cells = sets.where(F.size("rare") > 0).select("key", "n", "shared", *_ends(), F.posexplode("rare").alias("at", "gram"))
+    return cells.select("key", "n", "gram", (F.col("n") - F.col("shared") + F.col("at")).alias("place"), "end", "rest")
+
+
+def candidates_across(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts of different classes whose rare columns, counted up,
+    let them reach the bound."""
     classed = cells.drop("hub").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     mixed = (
         classed.groupBy("gram")
@@ -313,20 +406,54 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
         .select("gram")
     )
     classed = classed.join(mixed, "gram")
-    left = classed.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "class")])
-    right = classed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "class")])
+    left, right = (
+        classed.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "place", "class", "end", "rest")]) for x in "ab"
+    )
     na, nb = F.col("n_a"), F.col("n_b")
-    across = (
+    return (
         left.join(right, "gram")
         .where(
             (F.col("class_a") != F.col("class_b"))
             & (F.col("key_a") < F.col("key_b"))
             & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-            & (F.least(na - F.col("place_a"), nb - F.col("place_b")) >= _need(na, nb, percent))
         )
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .distinct()
+        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .agg(
+            F.count(F.lit(1)).alias("common"),
+            *[F.max(f"place_{x}").alias(f"last_{x}") for x in "ab"],
+            # The same in all rows of a pair.
+            *[F.min(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n", "end", "rest") for x in "ab"],
+        )
+        .where(_may_link(F.col("common"), F.col("last_a"), F.col("last_b"), percent))
+        .select("a", "b")
     )
+
+
+def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: str = "text"):
+    """(sets, edges): ``key, n`` of every distinct text, and links ``a, b`` between
+    texts that connect all texts whose n-gram sets reach ``percent`` Jaccard
+    similarity, directly or by other such links."""
+    sets = incidence(docs, k, percent, text_col)
+    cells = cells_of(sets)
+    central = (
+        cells.groupBy("gram")
+        .agg(F.min(F.struct("place", "n", "key")).alias("hub"), F.count(F.lit(1)).alias("rows"))
+        .where("rows > 1")
+        .drop("rows")
+    )
+    cells = cells.join(central, "gram").checkpoint()
+    n, hub_n = F.col("n"), F.col("hub.n")
+    fits = F.least(n - F.col("place"), hub_n - F.col("hub.place")) >= _need(n, hub_n, percent)
+    sized = F.least(n, hub_n) * 100 >= F.greatest(n, hub_n) * percent
+    starred = cells.where((F.col("key") != F.col("hub.key")) & fits & sized).select(
+        F.col("key").alias("a"), F.col("hub.key").alias("b")
+    )
+    stars = _linked(_rarely(starred.distinct(), sets, percent), sets, percent).checkpoint()
+    # Class of a text: the least centre it is linked with, or that centre's own.
+    direct = stars.groupBy("a").agg(F.min("b").alias("b"))
+    second = direct.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    classes = direct.join(second, "b", "left").select(F.col("a").alias("key"), F.coalesce("c", "b").alias("class"))
+    across = candidates_across(cells, classes, percent)
     return sets.select("key", "n"), stars.unionByName(_linked(across, sets, percent))
 
 
