@@ -14,10 +14,11 @@ blocks of columns, and only packed blocks move:
    stays in the first of them.
 3. The product over the rare columns: for two texts to reach the bound, the
    rarest n-grams of one (as many as the bound lets it miss, plus one) must
-   hold one of the other's.  For each pair of texts the shared columns are
-   counted up; the count and the places of the last shared column bound the
-   whole overlap, and pairs whose sizes ask for more are dropped there, before
-   anything long is sent.
+   hold one of the other's.  Pairs of texts meet in such a column if its place
+   in both orders leaves enough behind it.  For each pair the common rare
+   columns are counted up; the count, the place of the last one and what is
+   left behind the rare columns bound the whole overlap, and pairs whose sizes
+   ask for more are dropped there, before whole sets are sent.
 4. The other columns are added for the pairs that remain: whole overlap counts
    decide, exactly.
 
@@ -99,9 +100,10 @@ def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-GRAM, INDEX = np.uint64, np.uint32
+GRAM, INDEX, COUNT = np.uint64, np.uint32, np.uint16
 ENTRIES = (GRAM, INDEX, GRAM, INDEX)  # n-grams of one text and that text; of more, and how many
-COUNTED = (GRAM, INDEX, INDEX, GRAM, INDEX)  # the same with the count over all texts
+# The same with the count over all texts: it only orders them, so 65,535 stands for more.
+COUNTED = (GRAM, INDEX, COUNT, GRAM, COUNT)
 TEXTS = (GRAM, INDEX)  # hash and size
 INCIDENCE = (*TEXTS, GRAM, INDEX, INDEX)  # texts; n-grams of more, how many texts, which
 
@@ -232,8 +234,8 @@ def count_columns(key, table):
     order = np.argsort(grams, kind="stable")
     starts, n = _runs(grams[order])
     total = np.add.reduceat(times[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    held_by = np.empty(len(grams), INDEX)
-    held_by[order] = np.repeat(np.minimum(total, np.iinfo(INDEX).max), n)
+    held_by = np.empty(len(grams), COUNT)
+    held_by[order] = np.repeat(np.minimum(total, np.iinfo(COUNT).max), n)
     at = 0
     for one, doc, more, _ in parts:
         first, second = held_by[at : at + len(one)], held_by[at + len(one) : at + len(one) + len(more)]
@@ -263,9 +265,8 @@ def order_rows(percent: int):
             who += [doc, docs[_expand(starts[place].astype(np.int64), members)]]
             h += [one, np.repeat(more, members)]
             held_by += [first, np.repeat(second, members)]
-        none = np.zeros(0, INDEX)
-        who = np.concatenate([*who, none]).astype(np.int64)
-        h, held_by = np.concatenate([*h, np.zeros(0, GRAM)]), np.concatenate([*held_by, none])
+        who = np.concatenate([*who, np.zeros(0, INDEX)]).astype(np.int64)
+        h, held_by = np.concatenate([*h, np.zeros(0, GRAM)]), np.concatenate([*held_by, np.zeros(0, COUNT)])
         here = stays[who]
         # Number the texts that stay.
         number = np.cumsum(stays) - 1
@@ -367,6 +368,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def multiplied(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: overlaps over the rare columns first,
+    then, for the few that they leave, over all."""
+    return _linked(_rarely(pairs, sets, percent), sets, percent)
+
+
 def incidence(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
     """``key, n, shared, end_by, rare, grams`` of every distinct text: its hash, the size
     of its set, how many n-grams it shares with any text, the rarest of those
@@ -389,15 +396,15 @@ def incidence(docs: DataFrame, k: int, percent: int, text_col: str = "text") ->
 
 
 def cells_of(sets: DataFrame) -> DataFrame:
-    """A row for each text and rare column: ``key, n, gram``, its ``place`` in the
-    text's order of rarity, and ``end, rest`` (see :func:`_may_link`)."""
-    cells = sets.where(F.size("rare") > 0).select("key", "n", "shared", *_ends(), F.posexplode("rare").alias("at", "gram"))
-    return cells.select("key", "n", "gram", (F.col("n") - F.col("shared") + F.col("at")).alias("place"), "end", "rest")
+    """A row for each text and rare column: ``key, n, gram`` and its ``place`` in the
+    text's order of rarity."""
+    cells = sets.where(F.size("rare") > 0).select("key", "n", "shared", F.posexplode("rare").alias("at", "gram"))
+    return cells.select("key", "n", "gram", (F.col("n") - F.col("shared") + F.col("at")).alias("place"))
 
 
 def candidates_across(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of texts of different classes whose rare columns, counted up,
-    let them reach the bound."""
+    """Pairs (a, b) of texts of different classes that meet in a rare column early
+    enough in both orders for what follows to reach the bound."""
     classed = cells.drop("hub").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     mixed = (
         classed.groupBy("gram")
@@ -407,7 +414,7 @@ def candidates_across(cells: DataFrame, classes: DataFrame, percent: int) -> Dat
     )
     classed = classed.join(mixed, "gram")
     left, right = (
-        classed.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "place", "class", "end", "rest")]) for x in "ab"
+        classed.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "place", "class")]) for x in "ab"
     )
     na, nb = F.col("n_a"), F.col("n_b")
     return (
@@ -416,16 +423,10 @@ def candidates_across(cells: DataFrame, classes: DataFrame, percent: int) -> Dat
             (F.col("class_a") != F.col("class_b"))
             & (F.col("key_a") < F.col("key_b"))
             & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+            & (F.least(na - F.col("place_a"), nb - F.col("place_b")) >= _need(na, nb, percent))
         )
-        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .agg(
-            F.count(F.lit(1)).alias("common"),
-            *[F.max(f"place_{x}").alias(f"last_{x}") for x in "ab"],
-            # The same in all rows of a pair.
-            *[F.min(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n", "end", "rest") for x in "ab"],
-        )
-        .where(_may_link(F.col("common"), F.col("last_a"), F.col("last_b"), percent))
-        .select("a", "b")
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .distinct()
     )
 
 
@@ -437,24 +438,31 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text_col: s
     cells = cells_of(sets)
     central = (
         cells.groupBy("gram")
-        .agg(F.min(F.struct("place", "n", "key")).alias("hub"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.min(F.struct("place", "n", "key")).alias("hub"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows"))
         .where("rows > 1")
         .drop("rows")
     )
-    cells = cells.join(central, "gram").checkpoint()
     n, hub_n = F.col("n"), F.col("hub.n")
+    # A text can reach the bound only with partners of at least this size.
+    floor = F.greatest("least", F.ceil(n * percent / F.lit(100)))
+    cells = (
+        cells.join(central, "gram")
+        .where(n - F.col("place") >= _need(n, floor, percent))
+        .select("gram", "key", "n", "place", "hub")
+        .checkpoint()
+    )
     fits = F.least(n - F.col("place"), hub_n - F.col("hub.place")) >= _need(n, hub_n, percent)
     sized = F.least(n, hub_n) * 100 >= F.greatest(n, hub_n) * percent
     starred = cells.where((F.col("key") != F.col("hub.key")) & fits & sized).select(
         F.col("key").alias("a"), F.col("hub.key").alias("b")
     )
-    stars = _linked(_rarely(starred.distinct(), sets, percent), sets, percent).checkpoint()
+    stars = multiplied(starred.distinct(), sets, percent).checkpoint()
     # Class of a text: the least centre it is linked with, or that centre's own.
     direct = stars.groupBy("a").agg(F.min("b").alias("b"))
     second = direct.select(F.col("a").alias("b"), F.col("b").alias("c"))
     classes = direct.join(second, "b", "left").select(F.col("a").alias("key"), F.coalesce("c", "b").alias("class"))
     across = candidates_across(cells, classes, percent)
-    return sets.select("key", "n"), stars.unionByName(_linked(across, sets, percent))
+    return sets.select("key", "n"), stars.unionByName(multiplied(across, sets, percent))
 
 
 def members(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
