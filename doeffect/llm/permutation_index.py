@@ -249,7 +249,9 @@ class Block:
                 yield ids[order], score[order]
 
 
-def look_up(routed: DataFrame, pivots: Pivots, dtype, nearest: int, prefix: int, share: float, keep: int) -> DataFrame:
+def look_up(
+    routed: DataFrame, n_blocks: int, pivots: Pivots, dtype, nearest: int, prefix: int, share: float, keep: int
+) -> DataFrame:
     """Answers of each block to each query sent to it."""
 
     def run(batches):
@@ -283,7 +285,10 @@ def look_up(routed: DataFrame, pivots: Pivots, dtype, nearest: int, prefix: int,
                     [pa.array(raw, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), cells)], ["vec", "found"]
                 )
 
-    return routed.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, FOUND)
+    # As many tasks as blocks at least: a block is few bytes and much work, so
+    # it is not merged with others by its bytes.
+    tasks = max(n_blocks, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return routed.repartition(tasks, "block").sortWithinPartitions("block", "asks").mapInArrow(run, FOUND)
 
 
 def search(
@@ -337,7 +342,9 @@ def search(
     counts = index.select("vec").mapInArrow(homes, "head int, n long").groupBy("head").agg(F.sum("n").alias("n")).collect()
     blocks = deal({r["head"]: r["n"] for r in counts}, heads, BLOCKS, BLOCK_ROWS)
     prefix = min(prefix, len(matrix))
-    answers = look_up(route(index, pivots, blocks, dtype, probes), pivots, dtype, nearest + 1, prefix, share, keep)
+    n_blocks = 1 + max(b for own in blocks for b in own)
+    routed = route(index, pivots, blocks, dtype, probes)
+    answers = look_up(routed, n_blocks, pivots, dtype, nearest + 1, prefix, share, keep)
     merged = answers.groupBy("vec").agg(F.flatten(F.collect_list("found")).alias("found"))
     merged = merged.select(F.md5("vec").alias("same"), F.slice(F.array_sort("found"), 1, nearest + 1).alias("found"))
 
