@@ -36,7 +36,8 @@ def write_by_pair(frames: Mapping[str, DataFrame], folder: str, buckets: int) ->
     """Write each source as a table in ``buckets`` buckets of the pair, sorted by
     it, under ``folder``; returns the tables' names by source.
 
-    One shuffle by bucket each, so that a bucket is one file.  Rows of a hot
+    The tables are external: dropping them from the catalog leaves the files to
+    the folder's owner.  One shuffle by bucket each, so that a bucket is one file.  Rows of a hot
     pair share a bucket: choose this layout where pairs are small beside a
     bucket, and the counting of ``label_counts`` otherwise.
     """
