@@ -2,19 +2,27 @@
 
 A rule (host and path, allow or block) fits its host and all subdomains if
 the url's path starts with the rule's; the longest fitting rule decides.
-The urls that rules allow and block train two variable-order Markov models
-over a folded alphabet (Witten-Bell smoothing from two characters of context
-down to none).  A url without a rule is judged by the difference of its
-log-likelihoods per character, against a threshold calibrated halfway
-between the means of the two training sets.
+The urls that rules allow and block, less a held-out quarter (by the url's
+md5), train two variable-order Markov models over a folded alphabet:
+Witten-Bell smoothing from ``ORDER`` characters of context down to none, so a
+context that was not seen escapes to the next shorter one.  A url without a
+rule is judged by the difference of its log-likelihoods per character.  The
+threshold is the cut with the best balanced accuracy on the held-out quarter,
+which the models have not seen; of equal cuts the widest gap wins, then the
+lowest.
 
-Both models together are one array of a fixed size (every string of three
-symbols), made by aggregations and read back as a scalar subquery, so urls
-are scored in place: no join, no shuffle, no Python.
+Only strings that occur in some url are stored.  They are counted with
+map-side combination; shorter strings follow from the longer ones, and every
+join of two lengths meets at most one string per symbol.  Of the strings of
+full length, those that make up more than one in ``HEAD`` of all places (so
+fewer than ``HEAD``) are broadcast; the rest, none of them frequent, are
+joined.  Sums are whole numbers of millionths, so the order of rows does not
+matter.  DataFrame functions only.
 
 NULL urls and urls without ``://`` have empty host and path; a NULL or empty
-url scores 0.  A model without training urls is uniform.  Repeated rows
-train as often as they occur.  Between rules of equal length the first wins.
+url scores 0.  A model without training urls is uniform; without held-out
+urls of both kinds the threshold is 0.  Repeated rows train as often as they
+occur.  Between rules of equal length the first wins.
 """
 
 from __future__ import annotations
@@ -23,6 +31,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import ensure_checkpoint_dir
 
 # The rules (verdict, rule).
 RULES = [
@@ -36,8 +47,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER, PAD = "~", "^"
 # Symbols of a folded url: 0 stands for every digit, OTHER for all else.
 ALPHABET = LOWER + "0./-_?=&%:#" + OTHER
-SYMBOLS = ALPHABET + PAD
-A, S = len(ALPHABET), len(SYMBOLS)
+A = len(ALPHABET)
+ORDER = 5  # characters of context
+HEAD = 1 << 16  # strings broadcast, at most
+UNIT = 1_000_000  # scores are summed in millionths
+STEP = 10_000  # of them: a bucket of the calibration, clipped to CLIP buckets on either side
+CLIP = 10_000
 
 
 def lower(c: Column) -> Column:
@@ -65,94 +80,118 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return out if out is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def trigrams(url: Column) -> Column:
-    """Numbers (0 to S * S * A) of the strings of three symbols that end at each character."""
+def strings(url: Column, order: int = ORDER) -> Column:
+    """The strings of ``order + 1`` symbols that end at each character."""
     rest = F.regexp_replace(lower(F.coalesce(url, F.lit(""))), r"^(?s).*?://", "")
     folded = F.regexp_replace(F.regexp_replace(rest, "[0-9]", "0"), r"[^a-z0./\-_?=&%:#]", OTHER)
-    symbols = F.when(folded == "", F.array().cast("array<string>")).otherwise(F.split(folded, "(?!^)(?!$)"))
-    number = F.transform(symbols, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    # A let: the numbers are needed three times.
-    pad = F.lit(S - 1)
-    return F.flatten(
-        F.transform(
-            F.array(number),
-            lambda n: F.transform(
-                n, lambda c, i: (F.coalesce(F.get(n, i - 2), pad) * S + F.coalesce(F.get(n, i - 1), pad)) * A + c
-            ),
+    return F.regexp_extract_all(F.concat(F.lit(PAD * order), folded), F.lit(f"(?=(.{{{order + 1}}}))"), 1)
+
+
+def smoothed(n, context, kinds, shorter) -> Column:
+    """Witten-Bell: a seen context gives its new symbols the weight of its kinds."""
+    return F.when(context > 0, (n + kinds * shorter) / (context + kinds)).otherwise(shorter)
+
+
+def model(places: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram, n, delta`` of every string of ``places`` (``gram, verdict``; a NULL verdict does not train): how often it
+    occurs, and the accepted model's log probability of its last symbol after the others less the rejected model's."""
+    longest = (
+        places.groupBy("gram")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("verdict") == "allow").alias("g"),
+            F.count_if(F.col("verdict") == "block").alias("r"),
         )
+        .checkpoint()
     )
+    levels = [longest]
+    for _ in range(order):
+        shorter = levels[-1].groupBy(F.expr("substring(gram, 2)").alias("gram"))
+        levels.append(shorter.agg(*[F.sum(c).alias(c) for c in "ngr"]))
+    rows = None
+    for length, level in enumerate(reversed(levels), 1):
+        # A context has at most as many rows as there are symbols.
+        context = Window.partitionBy(F.substring("gram", 1, length - 1))
+        level = level.select(
+            F.col("gram"),
+            F.expr("substring(gram, 2)").alias("tail"),
+            "n",
+            *[c for k in "gr" for c in (F.col(k), F.sum(k).over(context).alias(f"all_{k}"), F.count_if(F.col(k) > 0).over(context).alias(f"kinds_{k}"))],
+        )
+        if rows is None:
+            level = level.withColumns({f"p_{k}": F.lit(1.0 / A) for k in "gr"})
+        else:
+            level = level.join(rows.select(F.col("gram").alias("tail"), "p_g", "p_r"), "tail")
+        rows = level.select(
+            "gram", "n", *[smoothed(F.col(k), F.col(f"all_{k}"), F.col(f"kinds_{k}"), F.col(f"p_{k}")).alias(f"p_{k}") for k in "gr"]
+        )
+    delta = F.round((F.log("p_g") - F.log("p_r")) * UNIT).cast("long")
+    return rows.select("gram", "n", delta.alias("delta"))
 
 
-def model(judged: DataFrame) -> DataFrame:
-    """One row (``deltas``): for every three symbols, the accepted model's log
-    probability of the last after the first two, less the rejected model's."""
-    seen = (
-        judged.where(F.col("fit").isNotNull())
-        .select((F.col("fit.verdict") == "allow").alias("good"), F.explode("grams").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("r"))
-    )
-    every = judged.sparkSession.range(S * S * A).select(F.col("id").alias("gram"))
-    # At most S * S * A rows from here on.
-    full = every.join(seen, "gram", "left").select(
-        "gram",
-        F.floor(F.col("gram") / (S * A)).alias("x"),
-        (F.floor(F.col("gram") / A) % S).alias("y"),
-        (F.col("gram") % A).alias("z"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in "gr"],
-    )
-    two = full.groupBy("x", "y").agg(*[F.sum(c).alias(f"{c}2") for c in "gr"], *[F.count_if(F.col(c) > 0).alias(f"t{c}2") for c in "gr"])
-    pairs = full.groupBy("y", "z").agg(*[F.sum(c).alias(f"{c}yz") for c in "gr"])
-    one = pairs.groupBy("y").agg(*[F.sum(f"{c}yz").alias(f"{c}1") for c in "gr"], *[F.count_if(F.col(f"{c}yz") > 0).alias(f"t{c}1") for c in "gr"])
-    last = pairs.groupBy("z").agg(*[F.sum(f"{c}yz").alias(f"{c}z") for c in "gr"])
-    none = last.agg(*[F.sum(f"{c}z").alias(f"{c}0") for c in "gr"], *[F.count_if(F.col(f"{c}z") > 0).alias(f"t{c}0") for c in "gr"])
-    total = none.select(F.struct("*").alias("n")).scalar()
-    rows = full.join(two, ["x", "y"]).join(pairs, ["y", "z"]).join(one, "y").join(last, "z").withColumn("all", total)
-
-    def smoothed(n, context, kinds, shorter):
-        return F.when(context + kinds > 0, (n + kinds * shorter) / (context + kinds)).otherwise(shorter)
-
-    logs = []
-    for c in "gr":
-        p = smoothed(F.col(f"{c}z"), F.col(f"all.{c}0"), F.col(f"all.t{c}0"), F.lit(1.0 / A))
-        p = smoothed(F.col(f"{c}yz"), F.col(f"{c}1"), F.col(f"t{c}1"), p)
-        logs.append(F.log(smoothed(F.col(c), F.col(f"{c}2"), F.col(f"t{c}2"), p)))
-    return rows.select("gram", (logs[0] - logs[1]).alias("delta")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("gram", "delta"))), lambda e: e["delta"]).alias("deltas")
-    )
+def sums(places: DataFrame, deltas: DataFrame) -> DataFrame:
+    """``row, score``: the mean of the deltas of each row of ``places`` (``row, gram``), in whole millionths."""
+    total = deltas.agg(F.sum("n")).scalar()
+    marked = deltas.select("gram", "delta", (F.col("n") * HEAD > total).alias("often"))
+    often = marked.where("often").drop("often")  # fewer than HEAD rows, whatever the table
+    seldom = marked.where("NOT often").drop("often")
+    common = places.join(F.broadcast(often), "gram").select("row", "delta")
+    rare = places.join(F.broadcast(often.select("gram")), "gram", "left_anti").join(seldom, "gram").select("row", "delta")
+    both = common.union(rare).groupBy("row").agg(F.sum("delta").alias("sum"), F.count(F.lit(1)).alias("count"))
+    return both.select("row", F.floor(F.col("sum") / F.col("count")).alias("score"))
+
+
+def threshold(scored: DataFrame) -> DataFrame:
+    """One row (``least``): the cut of the held-out scores (``score, verdict``) with the best balanced accuracy, else 0."""
+    bucket = F.least(F.greatest(F.floor(F.col("score") / STEP), F.lit(-CLIP)), F.lit(CLIP))
+    # At most 2 * CLIP + 1 rows from here on.
+    counts = scored.groupBy(bucket.alias("bucket")).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")])
+    up = Window.orderBy("bucket")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    cuts = counts.select(
+        "bucket",
+        F.lag("bucket").over(up).alias("last"),
+        F.try_divide(F.sum("block").over(before), F.sum("block").over(whole)).alias("out"),
+        F.try_divide(F.sum("allow").over(before), F.sum("allow").over(whole)).alias("lost"),
+    ).where("out IS NOT NULL AND lost IS NOT NULL AND last IS NOT NULL")
+    best = F.max_by("cut", F.struct(F.round(F.col("out") - F.col("lost"), 9), F.col("bucket") - F.col("last"), -F.col("bucket")))
+    return cuts.withColumn("cut", (F.col("last") + 1 + F.col("bucket")) * (STEP // 2)).agg(F.coalesce(best, F.lit(0)).alias("least"))
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame,
+    rules: Sequence[tuple[str, str]] = RULES,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    order: int = ORDER,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row."""
+    ensure_checkpoint_dir(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host, path = split_url(url)
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), trigrams(url).alias("grams"))
-    judged = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    deltas = model(judged).scalar()
-    n = F.size("grams")
-    score = F.when(
-        n > 0,
-        F.aggregate(F.col("grams"), F.lit(0.0), lambda acc, g: acc + F.get(F.col("deltas"), g.cast("int"))) / n,
-    ).otherwise(F.lit(0.0))
-    scored = judged.withColumn("deltas", deltas).withColumn("score", F.round(score, 6)).drop("deltas", "grams")
-    means = scored.agg(
-        F.avg(F.when(F.col("fit.verdict") == "allow", F.col("score"))).alias("good"),
-        F.avg(F.when(F.col("fit.verdict") == "block", F.col("score"))).alias("bad"),
+    rows = (
+        pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
+        .select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("fit"), F.monotonically_increasing_id().alias("row"))
+        .withColumn("held_out", F.coalesce(F.substring(F.md5("url"), 1, 1) < "4", F.lit(False)))
+        .checkpoint()
     )
-    threshold = means.select(F.round((F.coalesce("good", F.lit(0.0)) + F.coalesce("bad", F.lit(0.0))) / 2, 6)).scalar()
-    return scored.withColumn("least", threshold).select(
+    learnt = F.when(~F.col("held_out"), F.col("fit.verdict")).alias("verdict")
+    deltas = model(rows.select(learnt, F.explode(strings(F.col("url"), order)).alias("gram")), order).checkpoint()
+    scores = sums(rows.select("row", F.explode(strings(F.col("url"), order)).alias("gram")), deltas)
+    scored = rows.join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0))).checkpoint()
+    least = threshold(scored.where("held_out AND fit IS NOT NULL").select("score", "fit.verdict")).scalar()
+    return scored.withColumn("least", least).select(
         "page_id",
         "host",
         "path",
         F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", F.when(F.col("score") >= F.col("least"), F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"),
-        "score",
+        (F.col("score") / UNIT).alias("score"),
     )
 
 
-def oracle_sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
+def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER) -> str:
     """The same in DuckDB, over the table ``pages``."""
     fits = []
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
@@ -161,54 +200,58 @@ def oracle_sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
     verdicts = " ".join(f"WHEN {c} THEN '{v}'" for c, v, _ in fits)
     names = " ".join(f"WHEN {c} THEN '{r}'" for c, _, r in fits)
 
-    def smoothed(n, context, kinds, shorter):
-        return f"(CASE WHEN {context} + {kinds} > 0 THEN ({n} + {kinds} * {shorter}) / CAST({context} + {kinds} AS DOUBLE) ELSE {shorter} END)"
-
-    logs = []
-    for c in "gr":
-        p = smoothed(f"{c}z", f"{c}0", f"t{c}0", f"(1.0::DOUBLE / {A})")
-        p = smoothed(f"{c}yz", f"{c}1", f"t{c}1", p)
-        logs.append(f"ln({smoothed(c, f'{c}2', f't{c}2', p)})")
+    # Every level straight from the places: counts of strings, of contexts, and the chain of probabilities.
+    levels = []
+    for k in range(order + 1):
+        at = order + 1 - k  # the string of k + 1 symbols starts here
+        p = {
+            c: f"CASE WHEN all_{c} > 0 THEN ({c} + kinds_{c} * {f'p_{c}' if k else f'(1.0::DOUBLE / {A})'}) "
+            f"/ CAST(all_{c} + kinds_{c} AS DOUBLE) ELSE {f'p_{c}' if k else f'(1.0::DOUBLE / {A})'} END"
+            for c in "gr"
+        }
+        shorter = f"JOIN (SELECT gram AS tail, p_g, p_r FROM p{k}) USING (tail)" if k else ""
+        levels.append(f"""
+n{k} AS (
+  SELECT substr(gram, {at}) AS gram, substr(gram, {at + 1}) AS tail, substr(gram, {at}, {k}) AS context,
+    count(*) FILTER (learnt = 'allow') AS g, count(*) FILTER (learnt = 'block') AS r
+  FROM grams GROUP BY ALL),
+c{k} AS (
+  SELECT context, sum(g) AS all_g, sum(r) AS all_r, count(*) FILTER (g > 0) AS kinds_g, count(*) FILTER (r > 0) AS kinds_r
+  FROM n{k} GROUP BY context),
+p{k + 1} AS (SELECT gram, {p['g']} AS p_g, {p['r']} AS p_r FROM n{k} JOIN c{k} USING (context) {shorter}),""")
     return f"""
 WITH cut AS (
-  SELECT row_number() OVER () AS row, page_id, url,
+  SELECT row_number() OVER () AS row, page_id, url, coalesce(substr(md5(url), 1, 1) < '4', false) AS held_out,
     CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
     regexp_replace(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '^(?s).*?://', '') AS low
   FROM pages),
 named AS (
-  SELECT row, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
+  SELECT row, page_id, held_out, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
     regexp_replace(regexp_replace(low, '[0-9]', '0', 'g'), '[^a-z0./\\-_?=&%:#]', '{OTHER}', 'g') AS folded
   FROM cut),
 judged AS (SELECT *, CASE {verdicts} END AS fit, CASE {names} END AS rule FROM named),
-places AS (SELECT row, fit, folded, unnest(range(1, length(folded) + 1)) AS i FROM judged),
 grams AS (
-  SELECT row, fit,
-    ((CASE WHEN i > 2 THEN strpos('{SYMBOLS}', substr(folded, i - 2, 1)) - 1 ELSE {S - 1} END) * {S}
-     + (CASE WHEN i > 1 THEN strpos('{SYMBOLS}', substr(folded, i - 1, 1)) - 1 ELSE {S - 1} END)) * {A}
-     + strpos('{SYMBOLS}', substr(folded, i, 1)) - 1 AS gram
-  FROM places),
-seen AS (
-  SELECT gram, count(*) FILTER (fit = 'allow') AS g, count(*) FILTER (fit = 'block') AS r
-  FROM grams WHERE fit IS NOT NULL GROUP BY gram),
-f AS (
-  SELECT e.gram, e.gram // {S * A} AS x, (e.gram // {A}) % {S} AS y, e.gram % {A} AS z,
-    coalesce(g, 0) AS g, coalesce(r, 0) AS r
-  FROM range({S * S * A}) AS e(gram) LEFT JOIN seen USING (gram)),
-two AS (SELECT x, y, sum(g) AS g2, sum(r) AS r2, count(*) FILTER (g > 0) AS tg2, count(*) FILTER (r > 0) AS tr2 FROM f GROUP BY x, y),
-pairs AS (SELECT y, z, sum(g) AS gyz, sum(r) AS ryz FROM f GROUP BY y, z),
-one AS (SELECT y, sum(gyz) AS g1, sum(ryz) AS r1, count(*) FILTER (gyz > 0) AS tg1, count(*) FILTER (ryz > 0) AS tr1 FROM pairs GROUP BY y),
-fin AS (SELECT z, sum(gyz) AS gz, sum(ryz) AS rz FROM pairs GROUP BY z),
-zero AS (SELECT sum(gz) AS g0, sum(rz) AS r0, count(*) FILTER (gz > 0) AS tg0, count(*) FILTER (rz > 0) AS tr0 FROM fin),
-deltas AS (
-  SELECT f.gram, {logs[0]} - {logs[1]} AS delta
-  FROM f JOIN two USING (x, y) JOIN pairs USING (y, z) JOIN one USING (y) JOIN fin USING (z) CROSS JOIN zero),
-sums AS (SELECT row, round(sum(delta) / count(*), 6) AS score FROM grams JOIN deltas USING (gram) GROUP BY row),
-scored AS (SELECT j.*, coalesce(s.score, 0.0) AS score FROM judged j LEFT JOIN sums s USING (row)),
+  SELECT row, CASE WHEN NOT held_out THEN fit END AS learnt, substr('{PAD * order}' || folded, i, {order + 1}) AS gram
+  FROM (SELECT *, unnest(range(1, length(folded) + 1)) AS i FROM judged)),{"".join(levels)}
+deltas AS (SELECT gram, CAST(round((ln(p_g) - ln(p_r)) * {UNIT}) AS BIGINT) AS delta FROM p{order + 1}),
+means AS (
+  SELECT row, CAST(floor(CAST(sum(delta) AS DOUBLE) / count(*)) AS BIGINT) AS micro FROM grams JOIN deltas USING (gram) GROUP BY row),
+scored AS (SELECT j.*, coalesce(m.micro, 0) AS micro FROM judged j LEFT JOIN means m USING (row)),
+counts AS (
+  SELECT CAST(least(greatest(floor(micro / {STEP}.0), {-CLIP}), {CLIP}) AS BIGINT) AS bucket,
+    count(*) FILTER (fit = 'allow') AS good, count(*) FILTER (fit = 'block') AS bad
+  FROM scored WHERE held_out AND fit IS NOT NULL GROUP BY bucket),
+cuts AS (
+  SELECT bucket, lag(bucket) OVER up AS last,
+    CAST(sum(bad) OVER before AS DOUBLE) / nullif(sum(bad) OVER (), 0) AS out,
+    CAST(sum(good) OVER before AS DOUBLE) / nullif(sum(good) OVER (), 0) AS lost
+  FROM counts WINDOW up AS (ORDER BY bucket), before AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 least AS (
-  SELECT round((coalesce(avg(score) FILTER (fit = 'allow'), 0.0) + coalesce(avg(score) FILTER (fit = 'block'), 0.0)) / 2, 6) AS least
-  FROM scored)
+  SELECT coalesce((
+    SELECT (last + 1 + bucket) * {STEP // 2} FROM cuts WHERE last IS NOT NULL AND out IS NOT NULL AND lost IS NOT NULL
+    ORDER BY round(out - lost, 9) DESC, bucket - last DESC, bucket LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule,
-  coalesce(fit, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict, score
+  coalesce(fit, CASE WHEN micro >= least THEN 'allow' ELSE 'block' END) AS verdict, micro / {UNIT}.0::DOUBLE AS score
 FROM scored CROSS JOIN least
 """
