@@ -15,11 +15,18 @@ Tasks cut the texts into chunks and count each chunk's distinct byte windows
 distinct runs of ``NEAR`` bytes (at most 2^24), which all tasks hold.  The
 mixer learns online, window after window, in every task that reads the
 blocks, with each window's own occurrence left out of the counts that predict
-it; the tasks' weights are averaged by the text they saw.  Scoring uses the
-finished model, so it does not depend on the order of texts: the cost of a
-byte is a function of its window.  A block works out the cost of its distinct
-windows once and returns to every chunk those it asked for, where the texts
-are added up.
+it; the tasks' weights are averaged by the text they saw.  A block works out
+the log-odds of the bits of its distinct windows once (in sixteenths) and
+returns to every chunk those it asked for.
+
+There each text is read once more from its begin.  A match predictor looks up
+where the last ``ORDER`` bytes occurred before in the same text and predicts
+the byte that followed.  A second mixer adds its log-odds to the corpus
+model's, with weights gated by the length of the match, and learns online,
+byte after byte: its weights start anew every ``STRIDE`` bytes, and matches
+are looked for within ``REACH`` bytes.  So a byte's cost depends on the
+finished model and on the text before it, not on the order or placement of
+texts.
 
 Beside it stands a unigram word model with additive smoothing.  The counts
 of the ``HEAD`` most frequent words are sent to all tasks; rarer words are
@@ -57,9 +64,15 @@ CHUNK = 1 << 25  # bytes of the texts that ask for costs together
 STRETCH = 10_000  # windows over which the learning rate falls
 LEVEL = 6  # of the texts' compression
 PLACE_BITS = 22
+GRAIN = 16  # steps of the log-odds that blocks return
+STRIDE = 2048  # bytes along which the second mixer learns
+REACH = 1 << 20  # bytes within which a match is looked for
+# Weights of the corpus model and of the match, by the length of the match: none, ORDER bytes, 2 * ORDER, 4 * ORDER.
+START = ((1.0, 0.0), (1.0, 0.5), (0.8, 1.5), (0.6, 3.0))
+RATES = (0.004, 0.03)
 ADD = 0.1
 PARTS = "block long, chunk long, v binary, n binary, ids array<long>, held array<boolean>"
-SCORED = "doc_id long, held_out boolean, n_tokens long, base double, known long, rare array<long>, bits double, n_bytes long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, base double, known long, rare array<long>, bits double, plain double, n_bytes long"
 
 
 def held_out(id_col: str = "doc_id", folds: int = 10) -> Column:
@@ -273,7 +286,9 @@ def short_runs(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for v, c in zip(batch.column(0), batch.column(1)):
                 run, n = counted([(expanded(v.as_py()) >> shift) & mask], [expanded(c.as_py(), np.int64)])
-                part = (run >> np.uint64(8 * NEAR - 8)).astype(np.int64)
+                part = (mix(run) >> np.uint64(56)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                part, run, n = part[order], run[order], n[order]
                 first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
                 ends = list(zip(first, np.append(first[1:], len(part))))
                 yield pa.RecordBatch.from_arrays(
@@ -349,20 +364,122 @@ class Mixer:
         gate = b * (ORDER + 2) + seen
         return np.clip((self.weights[gate] * inputs).sum(axis=1), -MOST, MOST), gate
 
-    def cost(self, counts: Counts) -> np.ndarray:
-        """Bits that the last byte of each window takes after the others."""
-        total = np.zeros(len(counts.symbol))
+    def refine(self, counts: Counts):
+        """Bit place, part of the windows, and the probability of the bit that their last bytes have."""
         for b, node, bit, found in counts.bits():
             odds = [(np.where(z + o > 0, log_odds(z, o), np.nan), back) for z, o, back in found]
-            for i in range(0, len(total), 1 << 16):
+            for i in range(0, len(bit), 1 << 16):
                 part = slice(i, i + (1 << 16))
                 inputs = np.stack([x[back[part]] for x, back in odds], axis=1)
                 known = ~np.isnan(inputs)
                 t, _ = self.mixed(b, np.where(known, inputs, 0), gate_of(known))
                 p = (_sigmoid(t) + refined(self.cells, node[part], t)) / 2
-                total[part] -= np.log2(np.where(bit[part] == 1, p, 1 - p))
+                yield b, part, np.where(bit[part] == 1, p, 1 - p)
+
+    def cost(self, counts: Counts) -> np.ndarray:
+        """Bits that the last byte of each window takes after the others."""
+        total = np.zeros(len(counts.symbol), np.float32)
+        for _, part, p in self.refine(counts):
+            total[part] -= np.log2(p)
         return total
 
+    def odds(self, counts: Counts) -> np.ndarray:
+        """For the eight bits of each window's last byte: log-odds of the bit that it has, in steps, eight to a number."""
+        out = np.zeros((len(counts.symbol), 8), np.int8)
+        for b, part, p in self.refine(counts):
+            out[part, b] = np.clip(np.rint(np.log(p / (1 - p)) * GRAIN), -127, 127)
+        return out.view(np.uint64).ravel()
+
+
+def matches(context: np.ndarray, off: np.ndarray):
+    """Of every place, the last place before it with the same context in the same text
+    (-1: none), and the class of the match's length."""
+    n, k = len(context), ORDER
+    text = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
+    h = mix(context ^ mix(text + np.uint64(1)))
+    order = np.argsort(h)
+    run = np.zeros(n, np.uint64)
+    run[1:] = np.cumsum(h[order[1:]] != h[order[:-1]])
+    # Places of equal contexts in their order.
+    both = np.sort((run << np.uint64(32)) | order.astype(np.uint64))
+    at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = (both[1:] >> np.uint64(32)) == (both[:-1] >> np.uint64(32))
+    last = np.full(n, -1, np.int64)
+    last[at[1:][same]] = at[:-1][same]
+    gate = np.zeros(n, np.int8)
+    begin = np.repeat(off[:-1], np.diff(off))
+    long = np.flatnonzero(last >= 0)
+    gate[long] = 1
+    for level, backs in ((2, (k,)), (3, (2 * k, 3 * k))):
+        for back in backs:
+            long = long[last[long] - back >= begin[long]]
+            long = long[context[long - back] == context[last[long] - back]]
+        gate[long] = level
+    return last, gate
+
+
+# By the exclusive or of a byte and its prediction, for each bit: 1 while they agree, -1 where they first do not, then 0.
+AGREES = np.array([[(x >> (8 - b) == 0) * (1 - 2 * (x >> (7 - b) & 1)) for b in range(8)] for x in range(256)], np.float32)
+
+
+def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus
+    model's ``odds`` of their eight bits and the match's are mixed by weights that learn along the text."""
+    last, gate = matches(context, off)
+    agree = AGREES[np.where(last >= 0, symbol ^ symbol[last], 0)]
+    agree[last < 0] = 0
+    begins = np.concatenate([np.arange(a, b, STRIDE) for a, b in zip(off[:-1], off[1:])])
+    ends = np.minimum(begins + STRIDE, off[np.searchsorted(off, begins, "right")])
+    order = np.argsort(begins - ends, kind="stable")  # the longest first
+    begins, length = begins[order], (ends - begins)[order]
+    weights = np.tile(np.array(START, np.float32), (len(begins), 1, 1))
+    every = np.arange(len(begins))
+    out = np.empty(len(symbol), np.float32)
+    # All stretches advance together, a byte a step.
+    for step, some in enumerate(len(length) - np.searchsorted(length[::-1], np.arange(length.max(initial=0)), "right")):
+        at = begins[:some] + step
+        g = gate[at]
+        first = odds[at] * np.float32(1 / GRAIN)
+        second = agree[at]
+        w = weights[every[:some], g]
+        miss = np.exp(-np.clip(w[:, :1] * first + w[:, 1:] * second, -10, 10))
+        cost = 1 + miss
+        miss /= cost  # probability of the other bit
+        cost = cost[:, :4] * cost[:, 4:]
+        cost = cost[:, :2] * cost[:, 2:]
+        out[at] = cost[:, 0] * cost[:, 1]
+        w[:, 0] += RATES[0] * np.einsum("ij,ij->i", miss, first)
+        w[:, 1] += RATES[1] * np.einsum("ij,ij->i", miss, second)
+        weights[every[:some], g] = w
+    return np.log2(out)
+
+
+# Bits of a bit by its log-odds in steps (as an unsigned byte).
+PLAIN = np.log2(1 + np.exp(-np.arange(256, dtype=np.uint8).view(np.int8) / GRAIN))
+
+
+def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of every text of a piece, from its windows (bytes, then ends) and their packed odds:
+    with the mixing along the text, and by the corpus model alone."""
+    n = len(rel) - 1
+    # Bytes and ends in the order of the texts.
+    order = np.empty(len(w), np.int64)
+    order[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(rel))] = np.arange(len(codes))
+    order[rel[1:] + np.arange(n)] = len(codes) + np.arange(n)
+    off = rel + np.arange(n + 1)
+    bits, plain = np.zeros(n), np.zeros(n)
+    for a, b in blocks(off, REACH):
+        # Whole texts, or parts of a long one.
+        for lo in range(off[a], off[b], REACH if b == a + 1 else off[b] - off[a]):
+            hi = min(lo + REACH, off[b]) if b == a + 1 else off[b]
+            part = order[lo:hi]
+            bounds = np.array([lo, hi]) if b == a + 1 else off[a : b + 1]
+            mine = odds[part].view(np.int8).reshape(-1, 8)
+            found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), mine, bounds - lo)
+            bits[a:b] += np.add.reduceat(found, bounds[:-1] - lo, dtype=np.float64)
+            plain[a:b] += np.add.reduceat(PLAIN[mine.view(np.uint8)].sum(axis=1), bounds[:-1] - lo)
+    return bits, plain
+
 
 @dataclass
 class Model:
@@ -373,26 +490,26 @@ class Model:
     weights: np.ndarray
     cells: np.ndarray
 
-    def costs(self, asked: DataFrame) -> DataFrame:
-        """``chunk, v, n``: the windows that each chunk asked for in ``asked``, and their costs."""
+    def costs(self, asked: DataFrame, each=Mixer.odds) -> DataFrame:
+        """``chunk, v, n``: the windows that each chunk asked for in ``asked``, and what ``each`` says of them."""
         shipped = ship(asked, self.runs, self.run_n, self.weights, self.cells)
 
         def cost(key, table):
             runs, run_n, weights, cells = received(shipped)
             r, n = block_windows(table)
-            bits = Mixer(weights, cells).cost(Counts(restored(r), n, runs, run_n)).astype(np.float32)
-            found = [squeezed(bits[np.searchsorted(r, expanded(v.as_py()))]) for v in table.column("v")]
+            said = each(Mixer(weights, cells), Counts(restored(r), n, runs, run_n))
+            found = [squeezed(said[np.searchsorted(r, expanded(v.as_py()))]) for v in table.column("v")]
             return pa.table({"chunk": table.column("chunk"), "v": table.column("v"), "n": pa.array(found, pa.binary())})
 
         return asked.groupBy("block").applyInArrow(cost, "chunk long, v binary, n binary")
 
     def cost(self, w: np.ndarray) -> np.ndarray:
-        """Bits that the last byte of each window takes after the others."""
+        """Bits that the last byte of each window takes after the others, by the corpus model alone."""
         r, back = np.unique(rotated(w), return_inverse=True)
         rows = [(b, -1, v, c) for b, v, c in packets(r, np.zeros(len(r)), self.n_blocks)]
         mine = self.parts.sparkSession.createDataFrame(rows, "block long, chunk long, v binary, n binary")
         seen = requests(self.parts).join(mine.select("block"), "block", "left_semi")
-        got = self.costs(seen.unionByName(mine)).where("chunk = -1").collect()
+        got = self.costs(seen.unionByName(mine), Mixer.cost).where("chunk = -1").collect()
         keys = np.concatenate([expanded(bytes(row["v"])) for row in got])
         cost = np.concatenate([expanded(bytes(row["n"]), np.float32).astype(np.float64) for row in got])
         order = np.argsort(keys)
@@ -593,7 +710,8 @@ class Head:
 
 def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows that are not held out, score all: ``doc_id, held_out,
-    n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
+    n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` (of the corpus model
+    alone), ``adapted_bits_per_byte`` (with the mixing along the text, like ``score``)."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "mixing")
     rows = docs.select(
@@ -616,9 +734,9 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
         text = table.column("ids").is_valid().to_numpy()
         v, c = table.column("v"), table.column("n")
         keys = np.concatenate([restored(expanded(v[int(i)].as_py())) for i in np.flatnonzero(~text)])
-        cost = np.concatenate([expanded(c[int(i)].as_py(), np.float32) for i in np.flatnonzero(~text)])
+        odds = np.concatenate([expanded(c[int(i)].as_py()) for i in np.flatnonzero(~text)])
         order = np.argsort(keys)
-        keys, cost = keys[order], cost[order]
+        keys, odds = keys[order], odds[order]
         # Most windows are found at their hash; one that shares it is searched for.
         place = np.zeros(1 << PLACE_BITS, np.int32)
         place[mix(keys) >> np.uint64(64 - PLACE_BITS)] = np.arange(len(keys))
@@ -640,7 +758,7 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
             at = place[mix(w) >> np.uint64(64 - PLACE_BITS)]
             miss = np.flatnonzero(keys[at] != w)
             at[miss] = np.searchsorted(keys, w[miss])
-            doc = np.concatenate((np.repeat(np.arange(n), np.diff(rel)), np.arange(n)))
+            bits, plain = text_bits(codes, rel, w, odds[at])
             out.append(
                 pa.table(
                     {
@@ -650,7 +768,8 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
                         "base": pa.array(base),
                         "known": pa.array(known),
                         "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
-                        "bits": pa.array(np.bincount(doc, cost[at].astype(np.float64), n)),
+                        "bits": pa.array(bits),
+                        "plain": pa.array(plain),
                         "n_bytes": pa.array(np.diff(rel)),
                     }
                 )
@@ -684,9 +803,10 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", none)).alias("base_score"),
         (-F.col("bits") * float(np.log10(2))).alias("score"),
-        (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("plain") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("adapted_bits_per_byte"),
     )
 
 
 def digest(scored: DataFrame) -> DataFrame:
-    return scored.drop("bits_per_byte")
+    return scored.drop("bits_per_byte", "adapted_bits_per_byte")

@@ -123,3 +123,85 @@ def test_costs_follow_from_exact_counts_of_many_contexts(spark, tmp_path):
     seen = M.windows(np.frombuffer(texts[3], np.uint8), np.array([0, len(texts[3])]))
     w = np.concatenate((seen[:8], seen[100:120], seen[-1:], r.integers(0, 1 << 48, 10).astype(np.uint64)))
     assert np.allclose(model.cost(w), [exact_cost(texts, x, model) for x in w], atol=1e-6)
+
+
+def plain_adapted(symbols, odds, k=M.ORDER):
+    """One text, byte after byte, from its begin: the match by plain search, the mixer in doubles."""
+    text = bytes(k) + bytes(symbols)
+    out = []
+    for i, s in enumerate(symbols):
+        if i % M.STRIDE == 0:
+            weights = [list(w) for w in M.START]
+        here = text[i : i + k]
+        last = next((j for j in range(i - 1, -1, -1) if text[j : j + k] == here), None)
+        gate, agree = 0, [0] * 8
+        if last is not None:
+            gate = 1
+            same = lambda back: last >= back and text[last - back : last - back + k] == text[i - back : i - back + k]
+            if same(k):
+                gate = 3 if same(2 * k) and same(3 * k) else 2
+            for b in range(8):
+                agree[b] = 1 if symbols[last] >> (7 - b) & 1 == s >> (7 - b) & 1 else -1
+                if agree[b] < 0:
+                    break
+        w, bits, steps = weights[gate], 0.0, [0.0, 0.0]
+        for b in range(8):
+            x = odds[i][b] / M.GRAIN
+            p = 1 / (1 + math.exp(-max(-10, min(10, w[0] * x + w[1] * agree[b]))))
+            bits -= math.log2(p)
+            steps = [steps[0] + (1 - p) * x, steps[1] + (1 - p) * agree[b]]
+        w[0], w[1] = w[0] + M.RATES[0] * steps[0], w[1] + M.RATES[1] * steps[1]
+        out.append(bits)
+    return out
+
+
+def piece(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    rel = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return data, rel, M.windows(data, rel)
+
+
+@pytest.mark.parametrize("stride, reach", [(2048, 1 << 20), (50, 1 << 20), (2048, 90)])
+def test_mixing_along_the_text_by_brute_force(monkeypatch, stride, reach):
+    monkeypatch.setattr(M, "STRIDE", stride)
+    monkeypatch.setattr(M, "REACH", reach)
+    r = np.random.default_rng(3)
+    texts = [cases.prose(i, 30).encode() for i in range(6)] + [b"", b"a", b"abcde" * 40, bytes(12), cases.prose(1, 15).encode() * 3]
+    data, rel, w = piece(texts)
+    odds = r.integers(-60, 100, (len(w), 8)).astype(np.int8)
+    got, _ = M.text_bits(data, rel, w, odds.view(np.uint64).ravel())
+    for i, text in enumerate(texts):
+        rows = np.concatenate((odds[rel[i] : rel[i + 1]], odds[len(data) + i :][:1]))
+        whole = text + b"\xff"
+        if len(whole) > reach:
+            continue  # its context before a cut is known, which the plain version does not say
+        assert abs(sum(plain_adapted(whole, rows.tolist())) - got[i]) < 1e-3 * max(got[i], 1)
+
+
+def test_adapted_symbols_add_up_to_one():
+    r = np.random.default_rng(4)
+    nodes = np.rint(r.normal(0, 20, 256)).astype(int).clip(-127, 127)  # log-odds of a 1, by the bits before
+    for prefix in (b"", b"abcdefg abcdef", b"the river the river the river the riv"):
+        total = 0.0
+        for s in range(256):
+            whole = np.frombuffer(prefix + bytes([s]), np.uint8)
+            w = M.windows(whole, np.array([0, len(whole)]))[:-1]
+            odds = np.array([[nodes[(256 | x) >> (8 - b)] * (1 if x >> (7 - b) & 1 else -1) for b in range(8)] for x in whole.tolist()], np.int8)
+            total += 2.0 ** -M.adapted(whole, w >> np.uint64(8), odds, np.array([0, len(whole)]))[-1]
+        assert abs(total - 1) < 1e-4
+
+
+def test_a_repeated_passage_costs_less_the_second_time(spark):
+    train = [(i, cases.prose(i, 150), None, None, None, None, None, None) for i in range(60)]
+    noise = "".join(chr(97 + x) for x in np.random.default_rng(8).integers(0, 26, 400))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = train + [(held[0], noise, *[None] * 6), (held[1], noise + noise, *[None] * 6)]
+    score = {x.doc_id: x.score for x in M.score(cases.frame(spark, rows)).collect()}
+    assert score[held[1]] > 1.25 * score[held[0]]
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = cases.prose(5, 400_000)
+    rows = [(0, long, *[None] * 6), (1, "x" * 1_500_000, *[None] * 6), (2, "short", *[None] * 6), (2, "short", *[None] * 6)]
+    got = {(x.doc_id, round(x.score, 6)) for x in M.score(cases.frame(spark, rows)).collect()}
+    assert len(got) == 3 and all(s < 0 for _, s in got)
