@@ -395,21 +395,21 @@ def matches(context: np.ndarray, off: np.ndarray):
     """Of every place, the last place before it with the same context in the same text
     (-1: none), and the class of the match's length."""
     n, k = len(context), ORDER
-    text = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
-    h = mix(context ^ mix(text + np.uint64(1)))
-    order = np.argsort(h)
-    run = np.zeros(n, np.uint64)
-    run[1:] = np.cumsum(h[order[1:]] != h[order[:-1]])
-    # Places of equal contexts in their order.
-    both = np.sort((run << np.uint64(32)) | order.astype(np.uint64))
-    at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    same = (both[1:] >> np.uint64(32)) == (both[:-1] >> np.uint64(32))
+    h = mix(context ^ np.repeat(mix(np.arange(1, len(off), dtype=np.uint64)), np.diff(off)))
+    # Sorted by the hash, then by the place, which takes the lowest bits.
+    low = np.uint64((1 << max(n - 1, 0).bit_length()) - 1)
+    both = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
+    at = (both & low).astype(np.int64)
+    same, whole = (both[1:] & ~low) == (both[:-1] & ~low), h[at]
+    whole = whole[1:] == whole[:-1]
+    if (same & ~whole).any():  # the highest bits alone do not tell all contexts apart
+        at = np.argsort(h, kind="stable")
+        whole = h[at[1:]] == h[at[:-1]]
     last = np.full(n, -1, np.int64)
-    last[at[1:][same]] = at[:-1][same]
-    gate = np.zeros(n, np.int8)
+    last[at[1:][whole]] = at[:-1][whole]
+    gate = (last >= 0).astype(np.int8)
     begin = np.repeat(off[:-1], np.diff(off))
-    long = np.flatnonzero(last >= 0)
-    gate[long] = 1
+    long = np.flatnonzero(gate)
     for level, backs in ((2, (k,)), (3, (2 * k, 3 * k))):
         for back in backs:
             long = long[last[long] - back >= begin[long]]
@@ -418,44 +418,60 @@ def matches(context: np.ndarray, off: np.ndarray):
     return last, gate
 
 
-# By the exclusive or of a byte and its prediction, for each bit: 1 while they agree, -1 where they first do not, then 0.
-AGREES = np.array([[(x >> (8 - b) == 0) * (1 - 2 * (x >> (7 - b) & 1)) for b in range(8)] for x in range(256)], np.float32)
+# By the exclusive or of a byte and its prediction (256: none), eight to a number, for each bit:
+# 1 while they agree, -1 where they first do not, then 0.
+AGREES = np.array([[(x >> (8 - b) == 0) * (1 - 2 * (x >> (7 - b) & 1)) for b in range(8)] for x in range(256)] + [[0] * 8], np.int8).view(np.uint64).ravel()
 
 
-def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus
-    model's ``odds`` of their eight bits and the match's are mixed by weights that learn along the text."""
+def by_bit(packed: np.ndarray) -> np.ndarray:
+    """A row for each of the eight places of packed numbers."""
+    return np.ascontiguousarray(packed.view(np.int8).reshape(-1, 8).T)
+
+
+def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus model's
+    packed ``odds`` and the match's are mixed by weights that learn along the text; and by the odds alone."""
+    n = len(symbol)
     last, gate = matches(context, off)
-    agree = AGREES[np.where(last >= 0, symbol ^ symbol[last], 0)]
-    agree[last < 0] = 0
     begins = np.concatenate([np.arange(a, b, STRIDE) for a, b in zip(off[:-1], off[1:])])
     ends = np.minimum(begins + STRIDE, off[np.searchsorted(off, begins, "right")])
     order = np.argsort(begins - ends, kind="stable")  # the longest first
     begins, length = begins[order], (ends - begins)[order]
-    weights = np.tile(np.array(START, np.float32), (len(begins), 1, 1))
-    every = np.arange(len(begins))
-    out = np.empty(len(symbol), np.float32)
-    # All stretches advance together, a byte a step.
-    for step, some in enumerate(len(length) - np.searchsorted(length[::-1], np.arange(length.max(initial=0)), "right")):
-        at = begins[:some] + step
-        g = gate[at]
-        first = odds[at] * np.float32(1 / GRAIN)
-        second = agree[at]
-        w = weights[every[:some], g]
-        miss = np.exp(-np.clip(w[:, :1] * first + w[:, 1:] * second, -10, 10))
-        cost = 1 + miss
+    # All stretches advance together, a byte a step: places in the order of steps.
+    some = len(length) - np.searchsorted(length[::-1], np.arange(length.max(initial=0)), "right")
+    step = np.repeat(np.arange(len(some)), some)
+    bounds = np.concatenate(([0], np.cumsum(some)))
+    which = np.arange(n) - bounds[step]
+    place = begins[which] + step
+    first = by_bit(odds[place])
+    second = by_bit(AGREES[np.where(last >= 0, symbol ^ symbol[last], np.int64(256))[place]])
+    mine = gate[place] * np.int64(len(begins)) + which
+    w0, w1 = np.repeat(np.array(START, np.float32).T / [[GRAIN], [1]], len(begins), axis=1).astype(np.float32)
+    out = np.empty(n, np.float32)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        at = mine[a:b]
+        x, y = first[:, a:b].astype(np.float32), second[:, a:b].astype(np.float32)
+        u, v = w0[at], w1[at]
+        miss = u * x
+        miss += v * y
+        np.maximum(miss, -10, out=miss)
+        np.minimum(miss, 10, out=miss)
+        np.exp(np.negative(miss, out=miss), out=miss)
+        cost = miss + 1
         miss /= cost  # probability of the other bit
-        cost = cost[:, :4] * cost[:, 4:]
-        cost = cost[:, :2] * cost[:, 2:]
-        out[at] = cost[:, 0] * cost[:, 1]
-        w[:, 0] += RATES[0] * np.einsum("ij,ij->i", miss, first)
-        w[:, 1] += RATES[1] * np.einsum("ij,ij->i", miss, second)
-        weights[every[:some], g] = w
-    return np.log2(out)
+        out[a:b] = np.multiply.reduce(cost, axis=0)
+        x *= miss
+        y *= miss
+        w0[at] = u + np.float32(RATES[0] / GRAIN**2) * x.sum(axis=0)
+        w1[at] = v + np.float32(RATES[1]) * y.sum(axis=0)
+    bits = np.empty(n, np.float32)
+    bits[place] = np.log2(out)
+    alone = PLAIN[odds.view(np.uint16)]
+    return bits, alone[::4] + alone[1::4] + alone[2::4] + alone[3::4]
 
 
-# Bits of a bit by its log-odds in steps (as an unsigned byte).
-PLAIN = np.log2(1 + np.exp(-np.arange(256, dtype=np.uint8).view(np.int8) / GRAIN))
+# Bits of two neighbouring bits by their log-odds in steps (a byte each).
+PLAIN = np.log2(1 + np.exp(-np.arange(1 << 16, dtype=np.uint16).view(np.int8).reshape(-1, 2) / GRAIN)).sum(axis=1).astype(np.float32)
 
 
 def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -468,16 +484,15 @@ def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarra
     order[rel[1:] + np.arange(n)] = len(codes) + np.arange(n)
     off = rel + np.arange(n + 1)
     bits, plain = np.zeros(n), np.zeros(n)
-    for a, b in blocks(off, REACH):
+    for a, b in blocks(off, 2 * REACH):
         # Whole texts, or parts of a long one.
         for lo in range(off[a], off[b], REACH if b == a + 1 else off[b] - off[a]):
             hi = min(lo + REACH, off[b]) if b == a + 1 else off[b]
             part = order[lo:hi]
             bounds = np.array([lo, hi]) if b == a + 1 else off[a : b + 1]
-            mine = odds[part].view(np.int8).reshape(-1, 8)
-            found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), mine, bounds - lo)
-            bits[a:b] += np.add.reduceat(found, bounds[:-1] - lo, dtype=np.float64)
-            plain[a:b] += np.add.reduceat(PLAIN[mine.view(np.uint8)].sum(axis=1), bounds[:-1] - lo)
+            found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), odds[part], bounds - lo)
+            for total, each in zip((bits, plain), found):
+                total[a:b] += np.add.reduceat(each, bounds[:-1] - lo, dtype=np.float64)
     return bits, plain
 
 

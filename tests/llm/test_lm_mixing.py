@@ -187,7 +187,7 @@ def test_adapted_symbols_add_up_to_one():
             whole = np.frombuffer(prefix + bytes([s]), np.uint8)
             w = M.windows(whole, np.array([0, len(whole)]))[:-1]
             odds = np.array([[nodes[(256 | x) >> (8 - b)] * (1 if x >> (7 - b) & 1 else -1) for b in range(8)] for x in whole.tolist()], np.int8)
-            total += 2.0 ** -M.adapted(whole, w >> np.uint64(8), odds, np.array([0, len(whole)]))[-1]
+            total += 2.0 ** -M.adapted(whole, w >> np.uint64(8), odds.view(np.uint64).ravel(), np.array([0, len(whole)]))[0][-1]
         assert abs(total - 1) < 1e-4
 
 
