@@ -3,37 +3,48 @@
 The words of all license templates make one automaton.  The words of a file
 stream through it and give matching statistics (the longest piece of any
 template that ends at each word); maximal matches of at least ``LEAST``
-words are chained per template into covered spans.  A template counts as
-present if a chain covers ``COVERED`` of it.
+words are chained per template into covered spans.  A template is present
+where a chain covers ``COVERED`` of it, unless another such chain accounts for
+more of the same words: licenses share whole paragraphs (MIT-0 lies in MIT,
+most of one GNU license in another), and only the one that explains a place
+best is reported there.
 
-A match consists of template words only, so only runs of at least ``LEAST``
-consecutive words that occur in templates go through the automaton; the rest
-of the text is passed over by vectorised look-ups.  Nothing is shuffled.
+The templates are short notices and the whole texts of licenses in
+``licenses/``, a file a license, whose label is the family of its name.
+
+A match of ``LEAST`` words consists of runs of ``LEAST`` words that occur in
+templates, so only unbroken sequences of such runs go through the automaton;
+the rest of the text is passed over by vectorised look-ups.  Nothing is
+shuffled.
 
 NULL text is empty: no words, no labels, score 0.  Ties between chains go to
-the earlier one.  Repeated rows are scanned like any other.
+the earlier one; of two templates that account for as many words of a place
+the one covered to the larger share is present, both if that is equal too.
+Repeated rows are scanned like any other.  An empty template is never found.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, hash_words, spans, utf8, blocks, word_hashes, worker_cache, LOWER
+from .text import ALNUM, hash_words, mix, spans, utf8, blocks, word_hashes, worker_cache, LOWER
 
 LEAST = 5  # words of a match
 GAP = 40  # words between matches of one chain
 COVERED = 0.6  # of a template
 
-# Phrases of the base labels, and texts of public licenses.
+# Phrases of the base labels, notices of public licenses, and families of the texts in ``licenses/``.
 PHRASES = {
     "mit": "mit license",
     "apache": "apache license",
     "gpl": "general public license",
 }
-TEMPLATES = [
+NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("mit", "Released under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -47,11 +58,27 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
 ]
+FAMILIES = ["apache", "artistic", "bsd", "cc0", "epl", "gfdl", "gpl", "lgpl", "mpl"]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Label and text of the licenses in ``licenses/``."""
+    out = []
+    for file in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name):
+        name = file.name.removesuffix(".txt")
+        family = name.split("-")[0]
+        out.append((family if family in FAMILIES else name, file.read_text()))
+    return out
+
+
+TEMPLATES = NOTICES + whole_texts()
 
 FOUND = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-    "matches array<struct<label:string,start:long,stop:long,covered:double>>"
+    "matches array<struct<label:string,start:long,stop:long,covered:double,present:boolean>>"
 )
 
 
@@ -144,7 +171,12 @@ class Scanner:
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.phrases = [(label, [number[w] for w in ws]) for label, ws in spoken]
         self.automaton = SuffixAutomaton([[number[w] for w in ws] for _, ws in split])
-        self.least = min(LEAST, *self.sizes)
+        self.least = min([LEAST, *filter(None, self.sizes)])
+        whole = [np.array([number[w] for w in ws], np.int32) for _, ws in split]
+        grams = [self.grams(ids, np.arange(len(ids) - self.least + 1)) for ids in whole]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.shorter: dict[int, dict[int, tuple[int, int]]] = {}  # by state; see held()
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -155,20 +187,28 @@ class Scanner:
             out[at] = np.where(self.hashes[k] == hashes[at], self.ids[k], 0)
         return out
 
+    def grams(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A hash of the ``least`` words from each of the given places on."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.least):
+            out = mix(out + ids[at + k].astype(np.uint64))
+        return out
+
     def runs(self, ids: np.ndarray, docs: np.ndarray):
-        """Runs (a, b) of template words within a document, long enough to hold a match."""
-        known = ids > 0
-        if not known.any():
+        """Runs (a, b) within a document in which all ``least`` neighbouring words stand so in a template."""
+        last = self.least - 1
+        if len(ids) <= last:
+            return []
+        at = np.flatnonzero((ids[: len(ids) - last] > 0) & (ids[last:] > 0) & (docs[: len(ids) - last] == docs[last:]))
+        for k in range(1, last):
+            at = at[ids[at + k] > 0]
+        gram = self.grams(ids, at)
+        some = self.maybe[(gram >> np.uint64(44)).astype(np.int64)]
+        at = at[some][np.isin(gram[some], self.known)]
+        if not len(at):
             return []
-        cut = np.empty(len(ids), bool)
-        cut[0] = True
-        cut[1:] = (docs[1:] != docs[:-1]) | ~known[:-1]
-        starts = np.flatnonzero(known & cut)
-        cut[-1] = True
-        cut[:-1] = (docs[1:] != docs[:-1]) | ~known[1:]
-        ends = np.flatnonzero(known & cut) + 1
-        long = ends - starts >= self.least
-        return list(zip(starts[long].tolist(), ends[long].tolist()))
+        cut = np.flatnonzero((np.diff(at) > 1) | (docs[at[1:]] != docs[at[:-1]])) + 1
+        return list(zip(at[np.r_[0, cut]].tolist(), (at[np.r_[cut - 1, len(at) - 1]] + self.least).tolist()))
 
     def held(self, length: int, state: int) -> dict[int, tuple[int, int]]:
         """Template: (length, template end) of its own longest match that ends
@@ -198,19 +238,20 @@ class Scanner:
             held = now
         return out
 
-    def chains(self, matches: list[tuple[int, int, int, int]]):
-        """(label, start, end, covered share) of the best chain of each place of each template."""
+    def chained(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(template, start, end, covered words) of the best chain of each place of each template."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for which, start, stop, end in matches:
             by.setdefault(which, []).append((start, stop, end))
         out = []
         for which, found in by.items():
             found.sort()
+            longest = max(stop - start for start, stop, _ in found)
             best: list[tuple[int, int]] = []  # words covered by the best chain up to here, its start
             for i, (start, stop, end) in enumerate(found):
                 take = (stop - start, start)
                 for j in range(i - 1, -1, -1):
-                    if start - found[j][1] > GAP + self.sizes[which]:
+                    if start - found[j][0] > GAP + longest:
                         break
                     lap = max(0, found[j][1] - start, found[j][2] - (end - (stop - start)))
                     if start - found[j][1] <= GAP and end > found[j][2] and lap < stop - start:
@@ -222,10 +263,44 @@ class Scanner:
             for (covered, start), (_, stop, _) in zip(best, found):
                 if covered > top.get(start, (0, 0))[0]:
                     top[start] = (covered, stop)
-            for start, (covered, stop) in sorted(top.items()):
-                out.append((self.labels[which], start, stop, min(1.0, covered / self.sizes[which])))
+            out += [(which, start, stop, covered) for start, (covered, stop) in sorted(top.items())]
+        return out
+
+    def share(self, which: int, covered: int) -> float:
+        return min(1.0, covered / self.sizes[which])
+
+    def chains(self, matches: list[tuple[int, int, int, int]]):
+        """(label, start, end, covered share) of the best chain of each place of each template."""
+        return [(self.labels[which], start, stop, self.share(which, n)) for which, start, stop, n in self.chained(matches)]
+
+    def present(self, chains: list[tuple[int, int, int, int]], covered: float) -> set[int]:
+        """Places in the list of the chains that cover enough of their template, but for those half
+        of whose words or more lie in such a chain that accounts for more."""
+        good = sorted((i for i, c in enumerate(chains) if self.share(c[0], c[3]) >= covered), key=lambda i: chains[i][1:3])
+        worth = {i: (chains[i][3], self.share(chains[i][0], chains[i][3])) for i in good}
+        out, near = set(good), []
+        for i in good:
+            _, start, stop, _ = chains[i]
+            near = [j for j in near if chains[j][2] > start]
+            for j in near:
+                common = min(stop, chains[j][2]) - start
+                less, more = (i, j) if worth[i] < worth[j] else (j, i)
+                if worth[less] < worth[more] and 2 * common >= chains[less][2] - chains[less][1]:
+                    out.discard(less)
+            near.append(i)
         return out
 
+    def judged(self, matches: list[tuple[int, int, int, int]], covered: float) -> list[dict]:
+        """The chains with their labels; of chains with one label and place the best covered."""
+        chains = self.chained(matches)
+        present = self.present(chains, covered)
+        out: dict[tuple[str, int, int], tuple[float, bool]] = {}
+        for i, (which, start, stop, n) in enumerate(chains):
+            key = (self.labels[which], start, stop)
+            share, own = out.get(key, (0.0, False))
+            out[key] = (max(share, self.share(which, n)), own or i in present)
+        return [dict(zip(("label", "start", "stop", "covered", "present"), key + value)) for key, value in out.items()]
+
 
 def scan(
     docs: DataFrame,
@@ -233,10 +308,13 @@ def scan(
     phrases: dict[str, str] = PHRASES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    covered: float = COVERED,
 ) -> DataFrame:
     """Per row: counts of the phrases, and the template spans (``matches``)."""
     match_type = pa.list_(
-        pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("covered", pa.float64())])
+        pa.struct(
+            [("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("covered", pa.float64()), ("present", pa.bool_())]
+        )
     )
 
     def run(batches):
@@ -275,10 +353,7 @@ def scan(
                 for a, b in scanner.runs(ids, docs_of):
                     d = int(docs_of[a])
                     found.setdefault(d, []).extend(scanner.matches(ids[a:b].tolist(), a - int(bounds[d])))
-                matches = [
-                    [dict(zip(("label", "start", "stop", "covered"), c)) for c in scanner.chains(found[d])] if d in found else []
-                    for d in range(n)
-                ]
+                matches = [scanner.judged(found[d], covered) if d in found else [] for d in range(n)]
                 none = count == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -297,9 +372,9 @@ def scan(
     return rows.mapInArrow(run, FOUND)
 
 
-def digest(scanned: DataFrame, covered: float = COVERED) -> DataFrame:
-    """Labels (those of the phrases and of the templates covered well enough) and score."""
-    own = F.transform(F.filter("matches", lambda m: m["covered"] >= covered), lambda m: m["label"])
+def digest(scanned: DataFrame) -> DataFrame:
+    """Labels (those of the phrases and of the templates that are present) and score."""
+    own = F.transform(F.filter("matches", lambda m: m["present"]), lambda m: m["label"])
     return scanned.select(
         "doc_id",
         "n_words",
