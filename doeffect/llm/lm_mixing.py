@@ -66,7 +66,8 @@ LEVEL = 6  # of the texts' compression
 PLACE_BITS = 22
 GRAIN = 16  # steps of the log-odds that blocks return
 STRIDE = 2048  # bytes along which the second mixer learns
-REACH = 1 << 20  # bytes within which a match is looked for
+REACH = 1 << 20  # bytes within which a match is looked for; with a context it fits into 64 bits
+NEIGHBOURS = 1 << 16  # bytes of the texts whose matches are looked for together
 # Weights of the corpus model and of the match, by the length of the match: none, ORDER bytes, 2 * ORDER, 4 * ORDER.
 START = ((1.0, 0.0), (1.0, 0.5), (0.8, 1.5), (0.6, 3.0))
 RATES = (0.004, 0.03)
@@ -393,22 +394,29 @@ class Mixer:
 
 def matches(context: np.ndarray, off: np.ndarray):
     """Of every place, the last place before it with the same context in the same text
-    (-1: none), and the class of the match's length."""
+    (-1: none), and the class of the match's length.  Texts are taken a few at a time."""
+    last, gate = np.empty(len(context), np.int64), np.empty(len(context), np.int8)
+    for i, j in blocks(off, NEIGHBOURS):
+        a, b = off[i], off[j]
+        last[a:b], gate[a:b] = _matches(context[a:b], off[i : j + 1] - a)
+        last[a:b] += np.where(gate[a:b] > 0, a, 0)
+    return last, gate
+
+
+def _matches(context: np.ndarray, off: np.ndarray):
     n, k = len(context), ORDER
-    h = mix(context ^ np.repeat(mix(np.arange(1, len(off), dtype=np.uint64)), np.diff(off)))
-    # Sorted by the hash, then by the place, which takes the lowest bits.
-    low = np.uint64((1 << max(n - 1, 0).bit_length()) - 1)
-    both = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
-    at = (both & low).astype(np.int64)
-    same, whole = (both[1:] & ~low) == (both[:-1] & ~low), h[at]
-    whole = whole[1:] == whole[:-1]
-    if (same & ~whole).any():  # the highest bits alone do not tell all contexts apart
-        at = np.argsort(h, kind="stable")
-        whole = h[at[1:]] == h[at[:-1]]
+    # Sorted by the context, then by the place: a context's neighbour is its last place before.
+    bits = np.uint64(max(n - 1, 0).bit_length())
+    both = np.sort((context << bits) | np.arange(n, dtype=np.uint64))
+    at = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    both >>= bits
+    same = np.flatnonzero(both[1:] == both[:-1])
+    begin = np.repeat(off[:-1], np.diff(off))
+    here, before = at[same + 1], at[same]
+    mine = before >= begin[here]
     last = np.full(n, -1, np.int64)
-    last[at[1:][whole]] = at[:-1][whole]
+    last[here[mine]] = before[mine]
     gate = (last >= 0).astype(np.int8)
-    begin = np.repeat(off[:-1], np.diff(off))
     long = np.flatnonzero(gate)
     for level, backs in ((2, (k,)), (3, (2 * k, 3 * k))):
         for back in backs:
@@ -446,9 +454,11 @@ def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.n
     first = by_bit(odds[place])
     second = by_bit(AGREES[np.where(last >= 0, symbol ^ symbol[last], np.int64(256))[place]])
     mine = gate[place] * np.int64(len(begins)) + which
-    w0, w1 = np.repeat(np.array(START, np.float32).T / [[GRAIN], [1]], len(begins), axis=1).astype(np.float32)
+    # The weights are negative, so that they give the log-odds of the other bit.
+    w0, w1 = np.repeat(np.array(START, np.float32).T / [[-GRAIN], [-1]], len(begins), axis=1).astype(np.float32)
     out = np.empty(n, np.float32)
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    rates = np.float32(RATES[0] / GRAIN**2), np.float32(RATES[1])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         at = mine[a:b]
         x, y = first[:, a:b].astype(np.float32), second[:, a:b].astype(np.float32)
         u, v = w0[at], w1[at]
@@ -456,18 +466,18 @@ def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.n
         miss += v * y
         np.maximum(miss, -10, out=miss)
         np.minimum(miss, 10, out=miss)
-        np.exp(np.negative(miss, out=miss), out=miss)
+        np.exp(miss, out=miss)
         cost = miss + 1
         miss /= cost  # probability of the other bit
-        out[a:b] = np.multiply.reduce(cost, axis=0)
+        np.multiply.reduce(cost, axis=0, out=out[a:b])
         x *= miss
         y *= miss
-        w0[at] = u + np.float32(RATES[0] / GRAIN**2) * x.sum(axis=0)
-        w1[at] = v + np.float32(RATES[1]) * y.sum(axis=0)
+        u -= rates[0] * np.add.reduce(x, axis=0)
+        v -= rates[1] * np.add.reduce(y, axis=0)
+        w0[at], w1[at] = u, v
     bits = np.empty(n, np.float32)
     bits[place] = np.log2(out)
-    alone = PLAIN[odds.view(np.uint16)]
-    return bits, alone[::4] + alone[1::4] + alone[2::4] + alone[3::4]
+    return bits, PLAIN[odds.view(np.uint16)].reshape(-1, 4) @ np.ones(4, np.float32)
 
 
 # Bits of two neighbouring bits by their log-odds in steps (a byte each).
