@@ -67,6 +67,7 @@ PLACE_BITS = 22
 GRAIN = 16  # steps of the log-odds that blocks return
 STRIDE = 2048  # bytes along which the second mixer learns
 REACH = 1 << 20  # bytes within which a match is looked for; with a context it fits into 64 bits
+WIDTH = 1 << 22  # bytes of the texts that are mixed side by side
 NEIGHBOURS = 1 << 16  # bytes of the texts whose matches are looked for together
 # Weights of the corpus model and of the match, by the length of the match: none, ORDER bytes, 2 * ORDER, 4 * ORDER.
 START = ((1.0, 0.0), (1.0, 0.5), (0.8, 1.5), (0.6, 3.0))
@@ -395,11 +396,11 @@ class Mixer:
 def matches(context: np.ndarray, off: np.ndarray):
     """Of every place, the last place before it with the same context in the same text
     (-1: none), and the class of the match's length.  Texts are taken a few at a time."""
-    last, gate = np.empty(len(context), np.int64), np.empty(len(context), np.int8)
+    last, gate = np.empty(len(context), np.int32), np.empty(len(context), np.int8)
     for i, j in blocks(off, NEIGHBOURS):
         a, b = off[i], off[j]
-        last[a:b], gate[a:b] = _matches(context[a:b], off[i : j + 1] - a)
-        last[a:b] += np.where(gate[a:b] > 0, a, 0)
+        before, gate[a:b] = _matches(context[a:b], off[i : j + 1] - a)
+        last[a:b] = np.where(before < 0, before, before + a)
     return last, gate
 
 
@@ -436,36 +437,43 @@ def by_bit(packed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed.view(np.int8).reshape(-1, 8).T)
 
 
+def stretches(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut every ``most`` bytes: where the cuts begin, and the text of each."""
+    cuts = -(-np.diff(off) // most)
+    text = np.repeat(np.arange(len(cuts)), cuts)
+    return off[text] + (np.arange(len(text)) - (np.cumsum(cuts) - cuts)[text]) * most, text
+
+
 def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus model's
     packed ``odds`` and the match's are mixed by weights that learn along the text; and by the odds alone."""
     n = len(symbol)
     last, gate = matches(context, off)
-    begins = np.concatenate([np.arange(a, b, STRIDE) for a, b in zip(off[:-1], off[1:])])
-    ends = np.minimum(begins + STRIDE, off[np.searchsorted(off, begins, "right")])
+    agrees = np.where(last >= 0, symbol ^ symbol[last], np.int16(256))
+    begins, text = stretches(off, STRIDE)
+    ends = np.minimum(begins + STRIDE, off[text + 1])
     order = np.argsort(begins - ends, kind="stable")  # the longest first
-    begins, length = begins[order], (ends - begins)[order]
+    begins, length = begins[order].astype(np.int32), (ends - begins)[order]
     # All stretches advance together, a byte a step: places in the order of steps.
     some = len(length) - np.searchsorted(length[::-1], np.arange(length.max(initial=0)), "right")
-    step = np.repeat(np.arange(len(some)), some)
+    step = np.repeat(np.arange(len(some), dtype=np.int32), some)
     bounds = np.concatenate(([0], np.cumsum(some)))
-    which = np.arange(n) - bounds[step]
+    which = np.arange(n, dtype=np.int32) - bounds.astype(np.int32)[step]
     place = begins[which] + step
     first = by_bit(odds[place])
-    second = by_bit(AGREES[np.where(last >= 0, symbol ^ symbol[last], np.int64(256))[place]])
-    mine = gate[place] * np.int64(len(begins)) + which
+    second = by_bit(AGREES[agrees[place]])
+    mine = gate[place] * np.int32(len(begins)) + which
     # The weights are negative, so that they give the log-odds of the other bit.
     w0, w1 = np.repeat(np.array(START, np.float32).T / [[-GRAIN], [-1]], len(begins), axis=1).astype(np.float32)
     out = np.empty(n, np.float32)
-    rates = np.float32(RATES[0] / GRAIN**2), np.float32(RATES[1])
+    rates, bound = (np.float32(RATES[0] / GRAIN**2), np.float32(RATES[1])), np.float32(10)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        at = mine[a:b]
+        at = mine[a:b].astype(np.intp)
         x, y = first[:, a:b].astype(np.float32), second[:, a:b].astype(np.float32)
         u, v = w0[at], w1[at]
         miss = u * x
         miss += v * y
-        np.maximum(miss, -10, out=miss)
-        np.minimum(miss, 10, out=miss)
+        miss.clip(-bound, bound, out=miss)
         np.exp(miss, out=miss)
         cost = miss + 1
         miss /= cost  # probability of the other bit
@@ -494,15 +502,14 @@ def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarra
     order[rel[1:] + np.arange(n)] = len(codes) + np.arange(n)
     off = rel + np.arange(n + 1)
     bits, plain = np.zeros(n), np.zeros(n)
-    for a, b in blocks(off, 2 * REACH):
-        # Whole texts, or parts of a long one.
-        for lo in range(off[a], off[b], REACH if b == a + 1 else off[b] - off[a]):
-            hi = min(lo + REACH, off[b]) if b == a + 1 else off[b]
-            part = order[lo:hi]
-            bounds = np.array([lo, hi]) if b == a + 1 else off[a : b + 1]
-            found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), odds[part], bounds - lo)
-            for total, each in zip((bits, plain), found):
-                total[a:b] += np.add.reduceat(each, bounds[:-1] - lo, dtype=np.float64)
+    # Parts of long texts are taken like texts.
+    begins, text = stretches(off, REACH)
+    cuts = np.append(begins, off[-1])
+    for i, j in blocks(cuts, WIDTH):
+        part, bounds = order[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]
+        found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), odds[part], bounds)
+        for total, each in zip((bits, plain), found):
+            np.add.at(total, text[i:j], np.add.reduceat(each, bounds[:-1], dtype=np.float64))
     return bits, plain
 
 
@@ -766,10 +773,18 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
         place = np.zeros(1 << PLACE_BITS, np.int32)
         place[mix(keys) >> np.uint64(64 - PLACE_BITS)] = np.arange(len(keys))
         out = []
-        for row in np.flatnonzero(text):
-            codes = np.frombuffer(zstd.decompress(v[int(row)].as_py()), np.uint8)
-            rel = np.frombuffer(zstd.decompress(c[int(row)].as_py()), np.int64)
-            n = len(rel) - 1
+
+        def beside(rows):
+            """The rows of texts, a few at a time (or one large row)."""
+            sizes = np.array([zstd.frame_content_size(v[row].as_py()) for row in rows], np.int64)
+            return [rows[i:j] for i, j in blocks(np.concatenate(([0], np.cumsum(sizes))), 3 << 20)]
+
+        for group in beside(np.flatnonzero(text).tolist()):
+            pieces = [np.frombuffer(zstd.decompress(v[row].as_py()), np.uint8) for row in group]
+            rels = [np.frombuffer(zstd.decompress(c[row].as_py()), np.int64) for row in group]
+            codes, sizes = np.concatenate(pieces), np.concatenate([np.diff(rel) for rel in rels])
+            rel = np.concatenate(([0], np.cumsum(sizes)))
+            n = len(sizes)
             lower = LOWER[codes]
             starts, ends, docs_of = spans(lower, rel, NONSPACE)
             h = word_hashes(lower, starts, ends)
@@ -787,8 +802,8 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
             out.append(
                 pa.table(
                     {
-                        "doc_id": pa.array(table.column("ids")[int(row)].as_py(), pa.int64()),
-                        "held_out": pa.array(table.column("held")[int(row)].as_py(), pa.bool_()),
+                        "doc_id": pa.array([i for row in group for i in table.column("ids")[row].as_py()], pa.int64()),
+                        "held_out": pa.array([h for row in group for h in table.column("held")[row].as_py()], pa.bool_()),
                         "n_tokens": pa.array(np.bincount(docs_of, minlength=n) + 1),
                         "base": pa.array(base),
                         "known": pa.array(known),
