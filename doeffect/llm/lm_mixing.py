@@ -67,7 +67,7 @@ PLACE_BITS = 22
 GRAIN = 16  # steps of the log-odds that blocks return
 STRIDE = 2048  # bytes along which the second mixer learns
 REACH = 1 << 20  # bytes within which a match is looked for; with a context it fits into 64 bits
-WIDTH = 1 << 22  # bytes of the texts that are mixed side by side
+WIDTH = 1 << 21  # bytes of the texts that are mixed side by side
 NEIGHBOURS = 1 << 16  # bytes of the texts whose matches are looked for together
 # Weights of the corpus model and of the match, by the length of the match: none, ORDER bytes, 2 * ORDER, 4 * ORDER.
 START = ((1.0, 0.0), (1.0, 0.5), (0.8, 1.5), (0.6, 3.0))
@@ -393,18 +393,21 @@ class Mixer:
         return out.view(np.uint64).ravel()
 
 
-def matches(context: np.ndarray, off: np.ndarray):
-    """Of every place, the last place before it with the same context in the same text
-    (-1: none), and the class of the match's length.  Texts are taken a few at a time."""
-    last, gate = np.empty(len(context), np.int32), np.empty(len(context), np.int8)
+def predicted(w: np.ndarray, off: np.ndarray):
+    """Of every window, its last byte's exclusive or with the byte that followed the context
+    before (256: none did), and the class of the match's length."""
+    agrees, gates = np.empty(len(w), np.int16), np.empty(len(w), np.int8)
     for i, j in blocks(off, NEIGHBOURS):
         a, b = off[i], off[j]
-        before, gate[a:b] = _matches(context[a:b], off[i : j + 1] - a)
-        last[a:b] = np.where(before < 0, before, before + a)
-    return last, gate
+        symbol = (w[a:b] & np.uint64(0xFF)).astype(np.uint8)
+        last, gates[a:b] = matches(w[a:b] >> np.uint64(8), off[i : j + 1] - a)
+        agrees[a:b] = np.where(last >= 0, symbol ^ symbol[last], np.int16(256))
+    return agrees, gates
 
 
-def _matches(context: np.ndarray, off: np.ndarray):
+def matches(context: np.ndarray, off: np.ndarray):
+    """Of every place, the last place before it with the same context in the same text
+    (-1: none), and the class of the match's length."""
     n, k = len(context), ORDER
     # Sorted by the context, then by the place: a context's neighbour is its last place before.
     bits = np.uint64(max(n - 1, 0).bit_length())
@@ -444,12 +447,11 @@ def stretches(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return off[text] + (np.arange(len(text)) - (np.cumsum(cuts) - cuts)[text]) * most, text
 
 
-def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus model's
+def adapted(w: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that the last byte of each window takes (texts end at ``off``, their end bytes included), when the corpus model's
     packed ``odds`` and the match's are mixed by weights that learn along the text; and by the odds alone."""
-    n = len(symbol)
-    last, gate = matches(context, off)
-    agrees = np.where(last >= 0, symbol ^ symbol[last], np.int16(256))
+    n = len(w)
+    agrees, gate = predicted(w, off)
     begins, text = stretches(off, STRIDE)
     ends = np.minimum(begins + STRIDE, off[text + 1])
     order = np.argsort(begins - ends, kind="stable")  # the longest first
@@ -460,9 +462,11 @@ def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.n
     bounds = np.concatenate(([0], np.cumsum(some)))
     which = np.arange(n, dtype=np.int32) - bounds.astype(np.int32)[step]
     place = begins[which] + step
+    mine = gate[place] * np.int32(len(begins)) + which
+    del step, which, gate
     first = by_bit(odds[place])
     second = by_bit(AGREES[agrees[place]])
-    mine = gate[place] * np.int32(len(begins)) + which
+    del agrees
     # The weights are negative, so that they give the log-odds of the other bit.
     w0, w1 = np.repeat(np.array(START, np.float32).T / [[-GRAIN], [-1]], len(begins), axis=1).astype(np.float32)
     out = np.empty(n, np.float32)
@@ -497,7 +501,7 @@ def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarra
     with the mixing along the text, and by the corpus model alone."""
     n = len(rel) - 1
     # Bytes and ends in the order of the texts.
-    order = np.empty(len(w), np.int64)
+    order = np.empty(len(w), np.int32)
     order[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(rel))] = np.arange(len(codes))
     order[rel[1:] + np.arange(n)] = len(codes) + np.arange(n)
     off = rel + np.arange(n + 1)
@@ -507,7 +511,7 @@ def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarra
     cuts = np.append(begins, off[-1])
     for i, j in blocks(cuts, WIDTH):
         part, bounds = order[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]
-        found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), odds[part], bounds)
+        found = adapted(w[part], odds[part], bounds)
         for total, each in zip((bits, plain), found):
             np.add.at(total, text[i:j], np.add.reduceat(each, bounds[:-1], dtype=np.float64))
     return bits, plain
@@ -777,7 +781,7 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
         def beside(rows):
             """The rows of texts, a few at a time (or one large row)."""
             sizes = np.array([zstd.frame_content_size(v[row].as_py()) for row in rows], np.int64)
-            return [rows[i:j] for i, j in blocks(np.concatenate(([0], np.cumsum(sizes))), 3 << 20)]
+            return [rows[i:j] for i, j in blocks(np.concatenate(([0], np.cumsum(sizes))), WIDTH)]
 
         for group in beside(np.flatnonzero(text).tolist()):
             pieces = [np.frombuffer(zstd.decompress(v[row].as_py()), np.uint8) for row in group]
@@ -798,13 +802,17 @@ def score(docs: DataFrame, train_folds: int = 10, id_col: str = "doc_id", text_c
             at = place[mix(w) >> np.uint64(64 - PLACE_BITS)]
             miss = np.flatnonzero(keys[at] != w)
             at[miss] = np.searchsorted(keys, w[miss])
-            bits, plain = text_bits(codes, rel, w, odds[at])
+            said = odds[at]
+            n_tokens = np.bincount(docs_of, minlength=n) + 1
+            del pieces, lower, starts, ends, docs_of, h, count, common, at, miss
+            bits, plain = text_bits(codes, rel, w, said)
+            del codes, w, said
             out.append(
                 pa.table(
                     {
                         "doc_id": pa.array([i for row in group for i in table.column("ids")[row].as_py()], pa.int64()),
                         "held_out": pa.array([h for row in group for h in table.column("held")[row].as_py()], pa.bool_()),
-                        "n_tokens": pa.array(np.bincount(docs_of, minlength=n) + 1),
+                        "n_tokens": pa.array(n_tokens),
                         "base": pa.array(base),
                         "known": pa.array(known),
                         "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
