@@ -393,15 +393,15 @@ class Mixer:
         return out.view(np.uint64).ravel()
 
 
-def predicted(w: np.ndarray, off: np.ndarray):
-    """Of every window, its last byte's exclusive or with the byte that followed the context
+def predicted(symbol: np.ndarray, context: np.ndarray, off: np.ndarray):
+    """Of every byte, its exclusive or with the byte that followed the context
     before (256: none did), and the class of the match's length."""
-    agrees, gates = np.empty(len(w), np.int16), np.empty(len(w), np.int8)
+    agrees, gates = np.empty(len(symbol), np.int16), np.empty(len(symbol), np.int8)
     for i, j in blocks(off, NEIGHBOURS):
         a, b = off[i], off[j]
-        symbol = (w[a:b] & np.uint64(0xFF)).astype(np.uint8)
-        last, gates[a:b] = matches(w[a:b] >> np.uint64(8), off[i : j + 1] - a)
-        agrees[a:b] = np.where(last >= 0, symbol ^ symbol[last], np.int16(256))
+        mine = symbol[a:b]
+        last, gates[a:b] = matches(context[a:b], off[i : j + 1] - a)
+        agrees[a:b] = np.where(last >= 0, mine ^ mine[last], np.int16(256))
     return agrees, gates
 
 
@@ -447,11 +447,11 @@ def stretches(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return off[text] + (np.arange(len(text)) - (np.cumsum(cuts) - cuts)[text]) * most, text
 
 
-def adapted(w: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits that the last byte of each window takes (texts end at ``off``, their end bytes included), when the corpus model's
+def adapted(symbol: np.ndarray, context: np.ndarray, odds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that each byte takes (texts end at ``off``, their end bytes included), when the corpus model's
     packed ``odds`` and the match's are mixed by weights that learn along the text; and by the odds alone."""
-    n = len(w)
-    agrees, gate = predicted(w, off)
+    n = len(symbol)
+    agrees, gate = predicted(symbol, context, off)
     begins, text = stretches(off, STRIDE)
     ends = np.minimum(begins + STRIDE, off[text + 1])
     order = np.argsort(begins - ends, kind="stable")  # the longest first
@@ -511,7 +511,7 @@ def text_bits(codes: np.ndarray, rel: np.ndarray, w: np.ndarray, odds: np.ndarra
     cuts = np.append(begins, off[-1])
     for i, j in blocks(cuts, WIDTH):
         part, bounds = order[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]
-        found = adapted(w[part], odds[part], bounds)
+        found = adapted((w[part] & np.uint64(0xFF)).astype(np.uint8), w[part] >> np.uint64(8), odds[part], bounds)
         for total, each in zip((bits, plain), found):
             np.add.at(total, text[i:j], np.add.reduceat(each, bounds[:-1], dtype=np.float64))
     return bits, plain
