@@ -64,3 +64,30 @@ def test_copies_for_subsets_are_not_exchanged(spark):
         **{(s, "T2", None): none for s in ("impc", "!chembl", "WOcgc", "germline")},
         **{(s, None, "D2"): cells(GoF_risk=0) for s in ("orphanet", "!chembl", "WOcgc", "germline")},
     }
+
+
+def test_profile_exchanges_counts_and_no_wide_sums(spark):
+    profile = CL.pair_profile(_counts(spark))
+    plan = _plan(profile)
+    exchange = next(i for i, line in enumerate(plan) if "Exchange" in line)
+    assert sum("Aggregate" in line for line in plan[:exchange]) == 2, plan
+    assert not any("Aggregate" in line for line in plan[exchange:]), plan
+    t1 = next(r for r in profile.collect() if r.targetId == "T1")
+    assert (t1.drug_rows, t1.GoF_protectC, t1.LoF_protectC, t1.maxClinPhase, t1.Nr_evidences) == (4, 4, None, 2.0, 10)
+
+
+def test_mechanisms_that_match_nothing_leave_first(spark, sf_small):
+    rows = [
+        (["C1", None], "AGONIST", "m", ["T1", "T2"]),
+        (["C1"], "AGONIST", "m", ["T1", None, "T1"]),
+        (["C1"], "BLOCKER", "m", []),
+        (None, "BLOCKER", "m", ["T9"]),
+        ([], None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "chemblIds array<string>, actionType string, mechanismOfAction string, targets array<string>")
+    both = "targetId2 IS NOT NULL AND drugId2 IS NOT NULL"
+    assert bag(A.matching_pairs(df)) == bag(A.mechanism_pairs(df).where(both)) and A.matching_pairs(df).count() == 2
+    # Where the mechanisms are made distinct, those rows are gone already.
+    plan = A.matching_pairs(fixtures.mechanisms(spark, sf_small))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lowest = max(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert any("Filter" in line and "size(" in line for line in plan[lowest:]), plan
