@@ -91,3 +91,18 @@ def test_mechanisms_that_match_nothing_leave_first(spark, sf_small):
     plan = A.matching_pairs(fixtures.mechanisms(spark, sf_small))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     lowest = max(i for i, line in enumerate(plan) if "Aggregate" in line)
     assert any("Filter" in line and "size(" in line for line in plan[lowest:]), plan
+
+
+def test_kept_rows_have_what_reports_read(spark, sf_small):
+    spark.catalog.clearCache()
+    got = QUERIES["persisted_reports"](spark, sf_small)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "InMemoryRelation" in line:
+            assert "Nr_evidences" not in line and "targetIdO" not in line, line
+    spark.catalog.clearCache()
+    narrow = P.scored(fixture_inputs(spark, sf_small), labels_only=True)
+    assert set(narrow.columns) == {"dataset", "targetIdC", "diseaseIdC", *[c for c, _ in V.COMPARISONS], *[p for p, _ in V.PREDICTIONS]}
+    full = P.scored(fixture_inputs(spark, sf_small))
+    assert bag(CT.contingency(narrow, "coherency_inter", "pro_phase3H")) == bag(CT.contingency(full, "coherency_inter", "pro_phase3H"))
+    assert full.agg(F.count(F.lit(1))).first() == narrow.agg(F.count(F.lit(1))).first()
