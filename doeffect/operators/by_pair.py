@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -32,6 +32,12 @@ def with_pair_keys(evidence: DataFrame) -> DataFrame:
     return evidence.withColumns(keys)
 
 
+def pair_ids() -> list[Column]:
+    """The pair's ids from its keys."""
+    ids = zip(KEYS, (R.TARGET, R.DISEASE))
+    return [F.when(F.col(k) != "", F.substring(k, 2, 2**31 - 1)).alias(c) for k, c in ids]
+
+
 def write_by_pair(frames: Mapping[str, DataFrame], folder: str, buckets: int) -> dict[str, str]:
     """Write each source as a table in ``buckets`` buckets of the pair, sorted by
     it, under ``folder``; returns the tables' names by source.
@@ -83,13 +89,11 @@ def drug_pair_label_counts(frames: Mapping[str, DataFrame], sides: Sides, params
             kept = kept.drop("own", *[f"_{k}" for k in KEYS])
         elif source in NEEDS:
             joined[NEEDS[source]] = tables[NEEDS[source]]
-        # The two ids follow from the keys: one group a pair.
+        # The two ids follow from the keys, after the grouping: it has no strings to keep and needs no sort.
         counted = branch(source, kept, joined, params).groupBy(*KEYS, R.SOURCE, "unified").agg(
-            F.max(R.TARGET).alias(R.TARGET),
-            F.max(R.DISEASE).alias(R.DISEASE),
             F.count(F.lit(1)).alias("rows"),
             F.count(R.TARGET).alias("n"),
             F.max("clinicalPhase").alias("phase"),
         )
-        out.append(counted.select(R.TARGET, R.DISEASE, R.SOURCE, "unified", "rows", "n", "phase"))
+        out.append(counted.select(*pair_ids(), R.SOURCE, "unified", "rows", "n", "phase"))
     return union_aligned(out)

@@ -93,6 +93,32 @@ def test_mechanisms_that_match_nothing_leave_first(spark, sf_small):
     assert any("Filter" in line and "size(" in line for line in plan[lowest:]), plan
 
 
+def test_counts_by_pair_sort_no_evidence(spark, sf_small, tmp_path):
+    inputs = fixture_inputs(spark, sf_small)
+    frames = BP.read_by_pair(spark, BP.write_by_pair(inputs.evidence, f"{tmp_path}/by-pair", 4))
+    plan = _plan(BP.drug_pair_label_counts(frames, P.sides(inputs), inputs.params))
+    assert not any("SortAggregate" in line for line in plan), plan
+
+
+def test_ids_from_pair_keys(spark):
+    df = spark.createDataFrame([("t", None), ("", "=d"), (None, None), ("", "")], "targetId string, diseaseId string")
+    assert bag(BP.with_pair_keys(df).select(*BP.pair_ids())) == bag(df.select("targetId", "diseaseId"))
+
+
+def test_buckets_grow_with_the_evidence(spark, sf_small):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "8k")
+        spark.conf.set(keys[1], "0")
+        tasks = fixture_inputs(spark, sf_small).evidence[V.DRUG_SOURCE].rdd.getNumPartitions()
+        plan = "\n".join(_plan(QUERIES["label_counts_by_pair"](spark, sf_small)))
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert tasks > 8 and set(re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", plan)) == {str(tasks)}
+
+
 def test_kept_rows_have_what_reports_read(spark, sf_small):
     spark.catalog.clearCache()
     got = QUERIES["persisted_reports"](spark, sf_small)
